@@ -1,83 +1,73 @@
-"""Reading of model output: lenient typing over a variant column."""
+"""Reading of model output: lenient typing over a variant column, as SQL expression text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from ticketloom.functions.sql import q
 
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+WHOLE = r"^[+-]?\d+$"
+OPENS_OBJECT = r"^\s*\{"
 
-def json_object(text: Column) -> Column:
+
+def json_object(text: str) -> str:
     """The parsed JSON object; NULL for NULL, blank, broken JSON or any other JSON kind."""
-    parsed = F.try_parse_json(text)
-    return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed)
+    return f"CASE WHEN rlike({text}, {q(OPENS_OBJECT)}) THEN try_parse_json({text}) END"
+
 
+def get(document: str, field: str, kind: str) -> str:
+    return f"try_variant_get({document}, '$.{field}', '{kind}')"
 
-def kind(document: Column, field: str) -> Column:
-    """Type name of a field: STRING, BOOLEAN, BIGINT, DOUBLE, DECIMAL..., VOID (JSON null); NULL if absent."""
-    return F.schema_of_variant(F.try_variant_get(document, f"$.{field}", "variant"))
 
+def kind(document: str, field: str) -> str:
+    """Type name of a field: STRING, BOOLEAN, BIGINT, DECIMAL..., VOID (JSON null); NULL if absent."""
+    return f"schema_of_variant({get(document, field, 'variant')})"
 
-def text_of(document: Column, field: str) -> Column:
-    return F.try_variant_get(document, f"$.{field}", "string")
 
+def field(document: str, name: str) -> str:
+    """``struct<kind, text>`` of a field: all the lenient readers need, read once."""
+    return f"named_struct('kind', {kind(document, name)}, 'text', {get(document, name, 'string')})"
 
-def is_number(type_name: Column) -> Column:
-    return type_name.isin("BIGINT", "DOUBLE", "FLOAT") | type_name.startswith("DECIMAL")
 
+def is_number(f: str) -> str:
+    return f"({f}.kind IN ('BIGINT', 'DOUBLE', 'FLOAT') OR {f}.kind LIKE 'DECIMAL%')"
 
-def lenient_double(document: Column, field: str) -> Column:
+
+def lenient_double(f: str) -> str:
     """Number, number in quotes, or true/false as 1/0; NULL for anything else."""
-    t = kind(document, field)
-    text = text_of(document, field)
     return (
-        F.when(is_number(t), F.try_variant_get(document, f"$.{field}", "double"))
-        .when(t == "BOOLEAN", F.when(text == "true", 1.0).otherwise(0.0))
-        .when((t == "STRING") & text.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), F.trim(text).try_cast("double"))
+        f"CASE WHEN {is_number(f)} THEN try_cast({f}.text AS DOUBLE) "
+        f"WHEN {f}.kind = 'BOOLEAN' THEN CASE WHEN {f}.text = 'true' THEN 1D ELSE 0D END "
+        f"WHEN {f}.kind = 'STRING' AND rlike({f}.text, {q(NUMBER)}) THEN try_cast(trim({f}.text) AS DOUBLE) END"
     )
 
 
-def lenient_long(document: Column, field: str) -> Column:
+def lenient_long(f: str) -> str:
     """Whole number, whole number in quotes, ``3.0``, or true/false; NULL for anything else."""
-    t = kind(document, field)
-    text = text_of(document, field)
-    number = F.try_variant_get(document, f"$.{field}", "double")
-    quoted = F.regexp_replace(F.trim(text), r"\.0+$", "")
+    cut = rf"regexp_replace(trim({f}.text), '\\.0+$', '')"
     return (
-        F.when(t == "BIGINT", F.try_variant_get(document, f"$.{field}", "bigint"))
-        .when(is_number(t), F.when(number == F.floor(number), F.floor(number)))
-        .when(t == "BOOLEAN", F.when(text == "true", 1).otherwise(0))
-        .when((t == "STRING") & quoted.rlike(r"^[+-]?\d+$"), quoted.try_cast("bigint"))
+        f"CASE WHEN {is_number(f)} THEN coalesce(try_cast(CASE WHEN rlike({cut}, {q(WHOLE)}) THEN {cut} END AS BIGINT), "
+        f"CASE WHEN try_cast({f}.text AS DOUBLE) = floor(try_cast({f}.text AS DOUBLE)) "
+        f"THEN try_cast(try_cast({f}.text AS DOUBLE) AS BIGINT) END) "
+        f"WHEN {f}.kind = 'BOOLEAN' THEN CASE WHEN {f}.text = 'true' THEN 1L ELSE 0L END "
+        f"WHEN {f}.kind = 'STRING' AND rlike({cut}, {q(WHOLE)}) THEN try_cast({cut} AS BIGINT) END"
     )
 
 
-def lenient_boolean(document: Column, field: str) -> Column:
+def lenient_boolean(f: str) -> str:
     """true/false, 1/0, or the usual words; NULL for anything else."""
-    t = kind(document, field)
-    text = text_of(document, field)
-    word = F.lower(text)
-    number = F.try_variant_get(document, f"$.{field}", "double")
+    number = f"try_cast({f}.text AS DOUBLE)"
     return (
-        F.when(t == "BOOLEAN", text == "true")
-        .when(is_number(t), F.when(number == 1, True).when(number == 0, False))
-        .when(
-            t == "STRING",
-            F.when(word.isin("1", "t", "true", "on", "y", "yes"), True).when(
-                word.isin("0", "f", "false", "off", "n", "no"), False
-            ),
-        )
+        f"CASE WHEN {f}.kind = 'BOOLEAN' THEN {f}.text = 'true' "
+        f"WHEN {is_number(f)} THEN CASE WHEN {number} = 1 THEN true WHEN {number} = 0 THEN false END "
+        f"WHEN {f}.kind = 'STRING' THEN CASE WHEN lower({f}.text) IN ('1', 't', 'true', 'on', 'y', 'yes') THEN true "
+        f"WHEN lower({f}.text) IN ('0', 'f', 'false', 'off', 'n', 'no') THEN false END END"
     )
 
 
-def truthy(document: Column, field: str) -> Column:
+def truthy(f: str) -> str:
     """Whether the value counts as true: not absent, null, false, 0, '' or an empty array/object."""
-    t = kind(document, field)
-    text = text_of(document, field)
-    number = F.try_variant_get(document, f"$.{field}", "double")
-    return F.coalesce(
-        F.when(t.isNull() | (t == "VOID"), False)
-        .when(t == "BOOLEAN", text == "true")
-        .when(is_number(t), number != 0)
-        .when(t == "STRING", text != "")
-        .otherwise(~text.isin("[]", "{}")),
-        F.lit(False),
+    return (
+        f"coalesce(CASE WHEN {f}.kind = 'VOID' THEN false WHEN {f}.kind = 'BOOLEAN' THEN {f}.text = 'true' "
+        f"WHEN {is_number(f)} THEN try_cast({f}.text AS DOUBLE) <> 0 WHEN {f}.kind = 'STRING' THEN {f}.text <> '' "
+        f"ELSE {f}.text NOT IN ('[]', '{{}}') END, false)"
     )

@@ -1,101 +1,65 @@
-"""Derived labels, buckets and flags; all plain ``when`` chains."""
+"""Derived labels, buckets and flags, as SQL expression text."""
 
 from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ticketloom import vocab
+from ticketloom.functions.sql import listed, lookup, q
 
 
-def lookup(key: Column, table: dict[str, object]) -> Column:
-    """Value of a small literal table for ``key``; NULL where absent."""
-    chain = None
-    for name, value in table.items():
-        chain = F.when(key == name, F.lit(value)) if chain is None else chain.when(key == name, F.lit(value))
-    return chain
-
-
-def priority_score(priority: Column) -> Column:
+def priority_score(priority: str) -> str:
     """Low=0 .. Urgent=3; NULL for NULL."""
     return lookup(priority, {p: i for i, p in enumerate(vocab.PRIORITIES)})
 
 
-def priority_of(score: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(p) for p in vocab.PRIORITIES]), score + F.lit(1))
+def priority_of(score: str) -> str:
+    return lookup(score, dict(enumerate(vocab.PRIORITIES)))
 
 
-def recommended_action(path: Column, priority: Column) -> Column:
+def recommended_action(path: str, priority: str) -> str:
     """NULL while undecided."""
     return (
-        F.when(path.isNull(), None)
-        .when(path == vocab.AUTOMATED, "AUTO_RESOLVE")
-        .when(priority.isin("High", "Urgent"), "HUMAN_REVIEW_URGENT")
-        .otherwise("HUMAN_REVIEW_STANDARD")
+        f"CASE WHEN {path} IS NULL THEN NULL WHEN {path} = {q(vocab.AUTOMATED)} THEN 'AUTO_RESOLVE' "
+        f"WHEN {priority} IN ('High', 'Urgent') THEN 'HUMAN_REVIEW_URGENT' ELSE 'HUMAN_REVIEW_STANDARD' END"
     )
 
 
-def response_type(category: Column) -> Column:
+def response_type(category: str) -> str:
     return lookup(category, vocab.RESPONSE_TYPE_OF)
 
 
-def customer_facing(status: Column) -> Column:
-    return F.when(status.isin(vocab.RESPONSE_STATUSES), status == "DRAFT_GENERATED")
+def customer_facing(status: str) -> str:
+    return f"CASE WHEN {status} IN {listed(vocab.RESPONSE_STATUSES)} THEN {status} = 'DRAFT_GENERATED' END"
 
 
-def requires_human_review(status: Column) -> Column:
-    return F.when(status.isin(vocab.RESPONSE_STATUSES), status.isin("HUMAN_REVIEW_DRAFT", "BLOCKED"))
+def requires_human_review(status: str) -> str:
+    return (
+        f"CASE WHEN {status} IN {listed(vocab.RESPONSE_STATUSES)} "
+        f"THEN {status} IN ('HUMAN_REVIEW_DRAFT', 'BLOCKED') END"
+    )
 
 
-def sentiment_bucket(score: Column) -> Column:
-    edge = lambda text: F.lit(Decimal(text))
+def sentiment_bucket(score: str) -> str:
     return (
-        F.when(score.isNull(), "missing")
-        .when(score <= edge("-0.7"), "very_negative (<= -0.7)")
-        .when(score <= edge("-0.3"), "negative (-0.7 to -0.3)")
-        .when(score < edge("0.3"), "neutral (-0.3 to 0.3)")
-        .when(score < edge("0.7"), "positive (0.3 to 0.7)")
-        .otherwise("very_positive (>= 0.7)")
+        f"CASE WHEN {score} IS NULL THEN 'missing' WHEN {score} <= -0.7 THEN 'very_negative (<= -0.7)' "
+        f"WHEN {score} <= -0.3 THEN 'negative (-0.7 to -0.3)' WHEN {score} < 0.3 THEN 'neutral (-0.3 to 0.3)' "
+        f"WHEN {score} < 0.7 THEN 'positive (0.3 to 0.7)' ELSE 'very_positive (>= 0.7)' END"
     )
 
 
-def confidence_bucket(score: Column, threshold: Decimal) -> Column:
+def confidence_bucket(score: str, threshold: Decimal) -> str:
+    shown = float(threshold)
     return (
-        F.when(score.isNull(), "missing")
-        .when(score < F.lit(threshold), f"below_threshold (< {float(threshold)})")
-        .otherwise(f"at_or_above_threshold (>= {float(threshold)})")
+        f"CASE WHEN {score} IS NULL THEN 'missing' WHEN {score} < {threshold} "
+        f"THEN 'below_threshold (< {shown})' ELSE 'at_or_above_threshold (>= {shown})' END"
     )
 
 
-def or_label(value: Column, label: str) -> Column:
-    return F.coalesce(value, F.lit(label))
+def or_label(value: str, label: str) -> str:
+    return f"coalesce({value}, {q(label)})"
 
 
-def not_available(value: Column) -> Column:
+def not_available(value: str) -> str:
     """Display form of a metric: NULL becomes NOT AVAILABLE."""
-    return F.coalesce(value.cast("double").cast("string"), F.lit(vocab.NOT_AVAILABLE))
-
-
-def kept(*texts: Column) -> Column:
-    """Array of the non-NULL texts, in order.
-
-    ``array_remove`` compiles into whole-stage code, unlike ``filter`` and
-    ``array_compact``.
-    """
-    return F.array_remove(F.array(*[F.coalesce(t, F.lit("")) for t in texts]), "")
-
-
-def fill(template: str, **values: Column) -> Column:
-    """Text template with ``{name}`` places filled by columns."""
-    parts, rest = [], template
-    while "{" in rest:
-        head, _, tail = rest.partition("{")
-        name, _, rest = tail.partition("}")
-        if head:
-            parts.append(F.lit(head))
-        parts.append(values[name])
-    if rest:
-        parts.append(F.lit(rest))
-    return F.concat(*parts)
+    return f"coalesce(CAST(CAST({value} AS DOUBLE) AS STRING), {q(vocab.NOT_AVAILABLE)})"

@@ -1,82 +1,84 @@
-"""Exact rounding, durations and number text."""
+"""Exact rounding, durations and number text, as SQL expression text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 MICROS_PER_MINUTE = 60 * 10**6
 MICROS_PER_HOUR = 3600 * 10**6
 
 
-def half_up_units(num: Column, den: Column, places: int) -> Column:
+def half_up_units(num: str, den: str, places: int) -> str:
     """``round(num / den, places)`` times ``10**places``, as bigint, half away from zero.
 
     Integer arithmetic only: a decimal quotient would already be rounded once
     before the final rounding, and a double one may miss an exact half. NULL
     where ``den`` is 0 or NULL. ``num`` may be bigint or decimal(p,0).
     """
-    wide = F.abs(num).cast("decimal(30,0)") * F.lit(2 * 10**places).cast("decimal(7,0)")
-    safe = F.nullif(den.cast("decimal(30,0)"), F.lit(0).cast("decimal(30,0)"))
-    units = F.call_function("div", wide + safe, safe * F.lit(2).cast("decimal(1,0)"))
-    return F.when(num < 0, -units).otherwise(units)
+    safe = f"nullif(CAST({den} AS DECIMAL(30,0)), 0)"
+    units = f"((CAST(abs({num}) AS DECIMAL(30,0)) * {2 * 10**places} + {safe}) div (2 * {safe}))"
+    return f"(CASE WHEN {num} < 0 THEN -1 ELSE 1 END * {units})"
 
 
-def units_to_decimal(units: Column, places: int) -> Column:
-    step = F.lit(10**-places if places == 0 else f"0.{'0' * (places - 1)}1").cast(f"decimal({places},{places})")
-    return (units.cast("decimal(18,0)") * step).cast(f"decimal(20,{places})")
+def units_to_decimal(units: str, places: int) -> str:
+    step = f"CAST(0.{'0' * (places - 1)}1 AS DECIMAL({places},{places}))"
+    return f"CAST(CAST({units} AS DECIMAL(18,0)) * {step} AS DECIMAL(20,{places}))"
 
 
-def half_up_ratio(num: Column, den: Column, places: int) -> Column:
+def half_up_ratio(num: str, den: str, places: int) -> str:
     return units_to_decimal(half_up_units(num, den, places), places)
 
 
-def pct(num: Column, den: Column) -> Column:
+def pct(num: str, den: str) -> str:
     """Percentage with 2 decimals over counts; NULL on an empty population."""
-    return half_up_ratio(num * F.lit(100), den, 2)
+    return half_up_ratio(f"({num}) * 100", den, 2)
+
+
+def fraction(num: str, den: str) -> str:
+    """Unrounded fraction over counts, as double; NULL on an empty population."""
+    return f"CAST({num} AS DOUBLE) / CAST(nullif({den}, 0) AS DOUBLE)"
 
 
-def exact_sum(value: Column) -> Column:
-    """Sum of a bigint column that cannot overflow."""
-    return F.sum(value.cast("decimal(18,0)"))
+def exact_sum(value: str) -> str:
+    """Sum of a bigint expression that cannot overflow."""
+    return f"sum(CAST({value} AS DECIMAL(18,0)))"
 
 
-def micros_between(start: Column | str, end: Column | str) -> Column:
-    return F.timestamp_diff("MICROSECOND", F.col(start) if isinstance(start, str) else start,
-                            F.col(end) if isinstance(end, str) else end)
+def micros_between(start: str, end: str) -> str:
+    return f"timestampdiff(MICROSECOND, {start}, {end})"
 
 
-def duration_hundredths(micros: Column, unit_micros: int) -> Column:
+def duration_hundredths(micros: str, unit_micros: int) -> str:
     """Duration in hundredths of a unit, rounded half away from zero."""
-    rounded = F.call_function("div", F.abs(micros) * F.lit(200) + F.lit(unit_micros), F.lit(2 * unit_micros))
-    return F.when(micros < 0, -rounded).otherwise(rounded)
+    return (
+        f"(CASE WHEN {micros} < 0 THEN -1 ELSE 1 END * "
+        f"((abs({micros}) * 200 + {unit_micros}) div {2 * unit_micros}))"
+    )
 
 
-def duration(micros: Column, unit_micros: int) -> Column:
+def duration(micros: str, unit_micros: int) -> str:
     return units_to_decimal(duration_hundredths(micros, unit_micros), 2)
 
 
-def money(value: Column) -> Column:
+def money(value: str) -> str:
     """Money to the cent, half away from zero; ``value`` must be a decimal."""
-    return F.round(value, 2)
+    return f"round({value}, 2)"
 
 
-def number_text(value: Column) -> Column:
+def number_text(value: str) -> str:
     """A number as Python prints a float: ``0.9``, ``450.0``, ``12345678.0``, ``1e-05``."""
-    d = value.cast("double")
-    text = d.cast("string")
-    size = F.abs(d)
-    plain = F.regexp_replace(
-        F.regexp_replace(text.cast("decimal(38,18)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ".0"
+    d = f"CAST({value} AS DOUBLE)"
+    text = f"CAST({d} AS STRING)"
+    plain = (
+        f"regexp_replace(regexp_replace(CAST(CAST({text} AS DECIMAL(38,18)) AS STRING), "
+        r"'(\\.\\d*?)0+$', '$1'), '\\.$', '.0')"
+    )
+    exponent = f"CAST(split_part({text}, 'E', 2) AS INT)"
+    digits = f"CAST(abs({exponent}) AS STRING)"
+    scientific = (
+        rf"concat(regexp_replace(split_part({text}, 'E', 1), '\\.0$', ''), "
+        f"CASE WHEN {exponent} < 0 THEN 'e-' ELSE 'e+' END, lpad({digits}, greatest(2, length({digits})), '0'))"
     )
-    mantissa = F.regexp_replace(F.split_part(text, F.lit("E"), F.lit(1)), r"\.0$", "")
-    exponent = F.split_part(text, F.lit("E"), F.lit(2)).cast("int")
-    scientific = F.concat(mantissa, F.when(exponent < 0, "e-").otherwise("e+"),
-                          F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), "0"))
     return (
-        F.when(d.isNull(), None)
-        .when((size == 0) | ((size >= 1e-3) & (size < 1e7)), text)
-        .when((size >= 1e-4) & (size < 1e16), plain)
-        .when(text.contains("E"), scientific)
-        .otherwise(text)
+        f"CASE WHEN {d} = 0 OR (abs({d}) >= 1e-3 AND abs({d}) < 1e7) THEN {text} "
+        f"WHEN abs({d}) >= 1e-4 AND abs({d}) < 1e16 THEN {plain} "
+        f"WHEN contains({text}, 'E') THEN {scientific} ELSE {text} END"
     )

@@ -1,9 +1,8 @@
-"""Scan of draft texts for claims that must not be made."""
+"""Scan of draft texts for claims that must not be made, as SQL expression text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from ticketloom.functions.sql import any_of, kept, q
 
 # --- Fixed values: reason codes and patterns ---------------------------------------
 COMPLETED = "(?:processed|issued|approved|completed|applied|sent|given|credited|refunded|finalized|granted)"
@@ -31,37 +30,42 @@ FORBIDDEN = [
 
 # Ignore case by Unicode rules, "." stops at \n only, word and space classes by Unicode.
 FLAGS = "(?idU)"
+STRIPPED = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
-def first_match(text: Column, pattern: str) -> Column:
-    """First match of the pattern, '' where there is none (or the text is NULL)."""
-    return F.coalesce(F.regexp_extract(text, FLAGS + pattern, 0), F.lit(""))
+# One word or phrase of these opens every pattern, so a text without any of
+# them needs no further look. Matched under the same flags as the patterns.
+OPENINGS = (
+    r"\b(?:refund|we have|we've|i have|i've|payment|charge|transaction|compensation|store credit|discount"
+    r"|your account|your order|your shipment|your shipping address|ai model|language model|large language model|llm"
+    r"|classification model|machine learning|artificial intelligence|confidence score|as an ai|i am an ai|i'm an ai)"
+)
 
 
-def violation_codes(text: Column) -> Column:
+def _matches(text: str, pattern: str) -> str:
+    return f"coalesce(rlike({text}, {q(FLAGS + pattern)}), false)"
+
+
+def violation_codes(text: str) -> str:
     """Sorted distinct reason codes found in the text; empty for NULL or ''."""
-    found = [
-        F.when(text.rlike(FLAGS + pattern), F.lit(code)).otherwise(F.lit("")) for code, pattern in FORBIDDEN
-    ]
-    return F.array_sort(F.array_remove(F.array_distinct(F.array(*found)), ""))
+    by_code: dict[str, list[str]] = {}
+    for code, pattern in FORBIDDEN:
+        by_code.setdefault(code, []).append(_matches(text, pattern))
+    found = [f"CASE WHEN {any_of(by_code[code])} THEN {q(code)} END" for code in sorted(by_code)]
+    empty = "CAST(array() AS ARRAY<STRING>)"
+    return f"CASE WHEN {_matches(text, OPENINGS)} THEN {kept(found)} ELSE {empty} END"
 
 
-def violations(text: Column) -> Column:
+def violations(text: str) -> str:
     """``array<struct<pattern_no, code, matched>>`` in pattern order, with the first match of each."""
-    hits = F.array(*[
-        F.struct(F.lit(i).alias("pattern_no"), F.lit(code).alias("code"), first_match(text, pattern).alias("matched"))
+    hits = ", ".join(
+        f"named_struct('pattern_no', {i}, 'code', {q(code)}, "
+        f"'matched', regexp_extract({text}, {q(FLAGS + pattern)}, 0))"
         for i, (code, pattern) in enumerate(FORBIDDEN, 1)
-    ])
-    return F.filter(hits, lambda h: h["matched"] != "")
-
-
-def any_violation(text: Column) -> Column:
-    hit = F.lit(False)
-    for _, pattern in FORBIDDEN:
-        hit = hit | F.coalesce(text.rlike(FLAGS + pattern), F.lit(False))
-    return hit
+    )
+    return f"CASE WHEN {_matches(text, OPENINGS)} THEN filter(array({hits}), h -> h.matched <> '') END"
 
 
-def strip(text: Column) -> Column:
+def strip(text: str) -> str:
     """Trim every Unicode space at both ends, not only blanks."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return f"regexp_replace({text}, {q(STRIPPED)}, '')"

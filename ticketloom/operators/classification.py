@@ -6,17 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom import vocab
-from ticketloom.functions import jsonfields as J
+from ticketloom.functions.jsonfields import field, json_object, lenient_boolean, lenient_double, lenient_long
+from ticketloom.functions.sql import fill, listed, true
 
 
-def classification_prompt(message: Column) -> Column:
+def classification_prompt(message: str) -> str:
     # --- Fixed values: prompt wording ---
-    return F.concat(F.lit('Customer support message:\n"""\n'), message, F.lit('\n"""'))
+    return fill('Customer support message:\n"""\n{message}\n"""', message=message)
 
 
-def _bounded(value: Column, low: float, high: float) -> Column:
+def _bounded(value: str, low: float, high: float) -> str:
     """In range; NULL and NaN are not."""
-    return F.coalesce((value >= low) & (value <= high) & ~F.isnan(value), F.lit(False))
+    return true(f"{value} BETWEEN {low} AND {high}")
+
+
+FIELDS = ["category", "priority", "sentiment_score", "confidence", "order_id", "mentions_customer_info"]
 
 
 def validate_classifications(outputs: DataFrame) -> DataFrame:
@@ -28,47 +32,49 @@ def validate_classifications(outputs: DataFrame) -> DataFrame:
     category counts as an invalid one. Failed rows carry no fields. Number
     fields accept quoted numbers and booleans, the order id also ``3.0``.
     """
-    document = F.col("_document")
-    rows = outputs.withColumn("_document", J.json_object(F.col("tool_input_json"))).withColumns(
-        {
-            "_category": F.when(J.kind(document, "category") == "STRING", J.text_of(document, "category")),
-            "_priority": F.when(J.kind(document, "priority") == "STRING", J.text_of(document, "priority")),
-            "_sentiment": J.lenient_double(document, "sentiment_score"),
-            "_confidence": J.lenient_double(document, "confidence"),
-            "_order": J.lenient_long(document, "order_id"),
-            "_mentions": J.lenient_boolean(document, "mentions_customer_info"),
-        }
-    )
-    order_kind = J.kind(document, "order_id")
-    mentions_kind = J.kind(document, "mentions_customer_info")
-    order_ok = order_kind.isNull() | (order_kind == "VOID") | F.col("_order").isNotNull()
-    mentions_ok = mentions_kind.isNull() | F.col("_mentions").isNotNull()
+    text = "CASE WHEN _{0}.kind = 'STRING' THEN _{0}.text END"
+    typed = {
+        "_category_value": text.format("category"),
+        "_priority_value": text.format("priority"),
+        "_sentiment_value": lenient_double("_sentiment_score"),
+        "_confidence_value": lenient_double("_confidence"),
+        "_order_value": lenient_long("_order_id"),
+        "_mentions_value": lenient_boolean("_mentions_customer_info"),
+    }
     fits = (
-        _bounded(F.col("_sentiment"), -1.0, 1.0) & _bounded(F.col("_confidence"), 0.0, 1.0) & order_ok & mentions_ok
+        f"{_bounded('_sentiment_value', -1, 1)} AND {_bounded('_confidence_value', 0, 1)} "
+        "AND (_order_id.kind IS NULL OR _order_id.kind = 'VOID' OR _order_value IS NOT NULL) "
+        "AND (_mentions_customer_info.kind IS NULL OR _mentions_value IS NOT NULL)"
     )
     error = (
-        F.when(F.col("error_type").isNotNull(), F.col("error_type"))
-        .when(document.isNull(), F.lit("malformed_response"))
-        .when(~F.coalesce(F.col("_category").isin(vocab.CATEGORIES), F.lit(False)), F.lit("invalid_category"))
-        .when(~F.coalesce(F.col("_priority").isin(vocab.PRIORITIES), F.lit(False)), F.lit("invalid_priority"))
-        .when(~fits, F.lit("invalid_response_schema"))
+        "CASE WHEN error_type IS NOT NULL THEN error_type WHEN _document IS NULL THEN 'malformed_response' "
+        f"WHEN NOT {true(f'_category_value IN {listed(vocab.CATEGORIES)}')} THEN 'invalid_category' "
+        f"WHEN NOT {true(f'_priority_value IN {listed(vocab.PRIORITIES)}')} THEN 'invalid_priority' "
+        f"WHEN NOT ({fits}) THEN 'invalid_response_schema' END"
     )
-    rows = rows.withColumn("error_type", error)
-    ok = F.col("error_type").isNull()
-    fields = {
-        "success": ok,
-        "category": F.when(ok, F.col("_category")),
-        "priority": F.when(ok, F.col("_priority")),
-        "sentiment_score": F.when(ok, F.col("_sentiment")),
-        "confidence": F.when(ok, F.col("_confidence")),
-        "order_id": F.when(ok, F.col("_order")),
-        "mentions_customer_info": F.when(ok, F.coalesce(F.col("_mentions"), F.lit(False))),
+    ok = "CASE WHEN error_type IS NULL THEN {} END"
+    result = {
+        "success": "error_type IS NULL",
+        "category": ok.format("_category_value"),
+        "priority": ok.format("_priority_value"),
+        "sentiment_score": ok.format("_sentiment_value"),
+        "confidence": ok.format("_confidence_value"),
+        "order_id": ok.format("_order_value"),
+        "mentions_customer_info": ok.format("coalesce(_mentions_value, false)"),
     }
     for tokens in ("input_tokens", "output_tokens"):
-        fields[tokens] = F.coalesce(F.col(tokens), F.lit(0).cast("bigint")) if tokens in outputs.columns else F.lit(0).cast("bigint")
-    return rows.withColumns(fields).drop(
-        "_document", "_category", "_priority", "_sentiment", "_confidence", "_order", "_mentions"
-    )
+        result[tokens] = f"coalesce({tokens}, 0L)" if tokens in outputs.columns else "0L"
+    steps = [
+        {"_document": json_object("tool_input_json")},
+        {f"_{name}": field("_document", name) for name in FIELDS},
+        typed,
+        {"error_type": error},
+        result,
+    ]
+    rows = outputs
+    for step in steps:
+        rows = rows.withColumns({n: F.expr(e) for n, e in step.items()})
+    return rows.drop("_document", *[f"_{name}" for name in FIELDS], *typed)
 
 
 def classification_updates(validated: DataFrame, run_at: Column) -> DataFrame:

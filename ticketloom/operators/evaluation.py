@@ -4,40 +4,33 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom import vocab
 from ticketloom.functions.labels import confidence_bucket, or_label, recommended_action, sentiment_bucket
+from ticketloom.functions.numeric import fraction
+from ticketloom.functions.sql import any_of, q
 from ticketloom.vocab import DEFAULTS, Thresholds
 
 IN_MEMORY = "REAL (in-memory batch run)"
 FROM_DATABASE = "REAL (derived from database)"
 
 
-def fraction(num: Column, den: Column) -> Column:
-    """Unrounded fraction over counts; NULL on an empty population."""
-    return num.cast("double") / F.nullif(den, F.lit(0).cast("bigint")).cast("double")
+def _rate(condition: str) -> str:
+    return fraction(f"count_if({condition})", "count(1)")
 
 
-def _rate(condition: Column) -> Column:
-    return fraction(F.count_if(condition), F.count(F.lit(1)))
+ROUTING_RATES = {
+    "n_processed": "count(1)",
+    "automated_rate": _rate(f"decision_path = {q(vocab.AUTOMATED)}"),
+    "human_review_rate": fraction(f"count(1) - count_if(decision_path = {q(vocab.AUTOMATED)})", "count(1)"),
+    "urgent_human_review_rate": _rate(f"{recommended_action('decision_path', 'final_priority')} = 'HUMAN_REVIEW_URGENT'"),
+}
 
 
-def _absent(kind: str) -> Column:
-    return F.lit(None).cast(kind)
-
-
-def _routing_rates() -> list[Column]:
-    automated = F.count_if(F.col("decision_path") == vocab.AUTOMATED)
-    total = F.count(F.lit(1))
-    urgent = recommended_action(F.col("decision_path"), F.col("final_priority")) == "HUMAN_REVIEW_URGENT"
-    return [
-        total.alias("n_processed"),
-        fraction(automated, total).alias("automated_rate"),
-        fraction(total - automated, total).alias("human_review_rate"),
-        _rate(urgent).alias("urgent_human_review_rate"),
-    ]
+def _one_row(rows: DataFrame, columns: dict[str, str], provenance: str) -> DataFrame:
+    return rows.agg(*[F.expr(e).alias(n) for n, e in columns.items()]).withColumn("metric_provenance", F.lit(provenance))
 
 
 def rules_evaluation(decided: DataFrame, provenance: str = IN_MEMORY) -> DataFrame:
@@ -45,37 +38,34 @@ def rules_evaluation(decided: DataFrame, provenance: str = IN_MEMORY) -> DataFra
 
     Everything that is not Automated counts as human review.
     """
-    return decided.agg(
-        *_routing_rates(),
-        _rate(F.size("triggered_rules") > 1).alias("multi_rule_frequency"),
-        _rate(F.col("conflicting_signals")).alias("conflict_frequency"),
-        _rate(F.col("is_fallback")).alias("fallback_frequency"),
-    ).withColumn("metric_provenance", F.lit(provenance))
+    detail = {
+        "multi_rule_frequency": _rate("size(triggered_rules) > 1"),
+        "conflict_frequency": _rate("conflicting_signals"),
+        "fallback_frequency": _rate("is_fallback"),
+    }
+    return _one_row(decided, ROUTING_RATES | detail, provenance)
 
 
 def rules_evaluation_stored(results: DataFrame) -> DataFrame:
     """The same from stored columns; what was not stored is NULL, not 0."""
-    return results.agg(*_routing_rates()).withColumns(
-        {
-            "multi_rule_frequency": _absent("double"),
-            "conflict_frequency": _absent("double"),
-            "fallback_frequency": _absent("double"),
-            "metric_provenance": F.lit(FROM_DATABASE),
-        }
-    )
+    absent = dict.fromkeys(["multi_rule_frequency", "conflict_frequency", "fallback_frequency"], "CAST(NULL AS DOUBLE)")
+    return _one_row(results, ROUTING_RATES, FROM_DATABASE).withColumns({n: F.expr(e) for n, e in absent.items()})
 
 
-def _context_entries(threshold: Decimal) -> list[Column]:
-    entry = lambda dimension, key: F.struct(F.lit(dimension).alias("dimension"), key.alias("key"))
+def _entry(dimension: str, key: str) -> str:
+    return f"named_struct('dimension', {q(dimension)}, 'key', {key})"
+
+
+def _context_entries(threshold: Decimal) -> list[str]:
     return [
-        entry("category", or_label(F.nullif("ai_predicted_category", F.lit("")), vocab.UNCLASSIFIED)),
-        entry("sentiment", sentiment_bucket(F.col("sentiment_score"))),
-        entry("confidence", confidence_bucket(F.col("classification_confidence"), threshold)),
+        _entry("category", or_label("nullif(ai_predicted_category, '')", vocab.UNCLASSIFIED)),
+        _entry("sentiment", sentiment_bucket("sentiment_score")),
+        _entry("confidence", confidence_bucket("classification_confidence", threshold)),
     ]
 
 
-def _long_counts(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("dimension", "key").agg(F.count(F.lit(1)).alias("n"))
+def _long_counts(rows: DataFrame, entries: str) -> DataFrame:
+    return rows.selectExpr(f"inline({entries})").groupBy("dimension", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def rules_breakdown(decided: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
@@ -83,16 +73,16 @@ def rules_breakdown(decided: DataFrame, limits: Thresholds = DEFAULTS) -> DataFr
 
     Fallback rows have no valid context: they count under priority and rule only.
     """
-    priority = F.array(F.struct(F.lit("priority").alias("dimension"), F.col("final_priority").alias("key")))
-    rule = F.transform("triggered_rules", lambda r: F.struct(F.lit("rule").alias("dimension"), r.alias("key")))
-    context = F.array(*_context_entries(limits.low_confidence))
-    entries = F.when(F.col("is_fallback"), F.concat(priority, rule)).otherwise(F.concat(priority, rule, context))
-    return _long_counts(decided.select(F.inline(entries)))
+    own = f"array({_entry('priority', 'final_priority')}), transform(triggered_rules, r -> {_entry('rule', 'r')})"
+    context = ", ".join(_context_entries(limits.low_confidence))
+    return _long_counts(
+        decided, f"CASE WHEN is_fallback THEN concat({own}) ELSE concat({own}, array({context})) END"
+    )
 
 
 def rules_breakdown_stored(results: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
-    priority = F.struct(F.lit("priority").alias("dimension"), F.col("final_priority").alias("key"))
-    return _long_counts(results.select(F.inline(F.array(priority, *_context_entries(limits.low_confidence)))))
+    entries = [_entry("priority", "final_priority"), *_context_entries(limits.low_confidence)]
+    return _long_counts(results, f"array({', '.join(entries)})")
 
 
 def rule_frequency(decided: DataFrame) -> DataFrame:
@@ -101,39 +91,26 @@ def rule_frequency(decided: DataFrame) -> DataFrame:
     )
 
 
-def _response_rates() -> list[Column]:
-    status = F.col("response_status")
-    return [
-        F.count(F.lit(1)).alias("n_processed"),
-        _rate(status == "DRAFT_GENERATED").alias("automated_response_eligible_rate"),
-        _rate(status == "HUMAN_REVIEW_DRAFT").alias("human_review_response_rate"),
-        _rate(status == "BLOCKED").alias("blocked_response_rate"),
-        _rate(status == "NOT_ELIGIBLE").alias("not_eligible_rate"),
-    ]
-
-
-def _response_row(rows: DataFrame, attempted: Column, has_draft: Column, extra: list[Column]) -> DataFrame:
-    internal = F.col("response_status") == "HUMAN_REVIEW_DRAFT"
-    tries, wins = F.count_if(attempted), F.count_if(attempted & has_draft)
-    return rows.agg(
-        *_response_rates(),
-        tries.alias("draft_generation_attempted"),
-        wins.alias("draft_generation_succeeded"),
-        fraction(wins, tries).alias("draft_generation_success_rate"),
-        fraction(F.count_if(internal & has_draft), F.count_if(internal)).alias("internal_draft_rate"),
-        *extra,
-    )
+def _response_columns(attempted: str, has_draft: str) -> dict[str, str]:
+    internal = "response_status = 'HUMAN_REVIEW_DRAFT'"
+    tries, wins = f"count_if({attempted})", f"count_if({attempted} AND {has_draft})"
+    return {
+        "n_processed": "count(1)",
+        "automated_response_eligible_rate": _rate("response_status = 'DRAFT_GENERATED'"),
+        "human_review_response_rate": _rate(internal),
+        "blocked_response_rate": _rate("response_status = 'BLOCKED'"),
+        "not_eligible_rate": _rate("response_status = 'NOT_ELIGIBLE'"),
+        "draft_generation_attempted": tries,
+        "draft_generation_succeeded": wins,
+        "draft_generation_success_rate": fraction(wins, tries),
+        "internal_draft_rate": fraction(f"count_if({internal} AND {has_draft})", f"count_if({internal})"),
+    }
 
 
-def _mentions(markers: list[str]) -> Column:
+def _mentions(markers: list[str]) -> str:
     """Whether any rationale line holds one of the markers, ignoring case."""
-    def one_line(line: Column) -> Column:
-        found = F.lit(False)
-        for marker in markers:
-            found = found | F.contains(F.lower(line), F.lit(marker))
-        return found
-
-    return F.exists("rationale", one_line)
+    found = any_of(f"contains(lower(line), {q(m)})" for m in markers)
+    return f"exists(rationale, line -> {found})"
 
 
 def response_evaluation(decided: DataFrame, provenance: str = IN_MEMORY) -> DataFrame:
@@ -143,42 +120,30 @@ def response_evaluation(decided: DataFrame, provenance: str = IN_MEMORY) -> Data
     rationale says it was skipped for lack of a generator; a human-review row
     whose internal draft is switched off carries no such mark and so counts.
     """
-    attempted = (F.col("response_status") != "NOT_ELIGIBLE") & ~_mentions(vocab.SKIPPED_MARKERS)
-    has_draft = F.coalesce(F.col("response_draft"), F.lit("")) != ""
-    return _response_row(
-        decided,
-        attempted,
-        has_draft,
-        [
-            _rate(_mentions(vocab.MISSING_CONTEXT_MARKERS)).alias("missing_context_rate"),
-            _rate(F.col("is_fallback")).alias("fallback_rate"),
-        ],
-    ).withColumn("metric_provenance", F.lit(provenance))
+    rows = decided.selectExpr(
+        "response_status",
+        "is_fallback",
+        "coalesce(response_draft, '') <> '' AS has_draft",
+        f"response_status <> 'NOT_ELIGIBLE' AND NOT {_mentions(vocab.SKIPPED_MARKERS)} AS attempted",
+        f"{_mentions(vocab.MISSING_CONTEXT_MARKERS)} AS missing_context",
+    )
+    extra = {"missing_context_rate": _rate("missing_context"), "fallback_rate": _rate("is_fallback")}
+    return _one_row(rows, _response_columns("attempted", "has_draft") | extra, provenance)
 
 
 def response_evaluation_stored(results: DataFrame) -> DataFrame:
-    return _response_row(results, F.col("response_status") != "NOT_ELIGIBLE", F.col("has_draft"), []).withColumns(
-        {
-            "missing_context_rate": _absent("double"),
-            "fallback_rate": _absent("double"),
-            "metric_provenance": F.lit(FROM_DATABASE),
-        }
-    )
+    columns = _response_columns("response_status <> 'NOT_ELIGIBLE'", "has_draft")
+    absent = dict.fromkeys(["missing_context_rate", "fallback_rate"], "CAST(NULL AS DOUBLE)")
+    return _one_row(results, columns, FROM_DATABASE).withColumns({n: F.expr(e) for n, e in absent.items()})
 
 
 def response_breakdown(rows: DataFrame) -> DataFrame:
     """``(dimension, key, n)`` by status and type."""
-    entry = lambda dimension, key: F.struct(F.lit(dimension).alias("dimension"), key.alias("key"))
-    return _long_counts(
-        rows.select(
-            F.inline(
-                F.array(
-                    entry("response_status", F.col("response_status")),
-                    entry("response_type", or_label(F.nullif("response_type", F.lit("")), vocab.UNKNOWN_TYPE)),
-                )
-            )
-        )
-    )
+    entries = [
+        _entry("response_status", "response_status"),
+        _entry("response_type", or_label("nullif(response_type, '')", vocab.UNKNOWN_TYPE)),
+    ]
+    return _long_counts(rows, f"array({', '.join(entries)})")
 
 
 def pair_counts(rows: DataFrame, truth: str = "ground_truth_category", predicted: str = "ai_predicted_category") -> DataFrame:
@@ -194,46 +159,32 @@ def _labels(pairs: DataFrame, labels: list[str]) -> DataFrame:
 
 def per_category(pairs: DataFrame, labels: list[str] = vocab.CATEGORIES) -> DataFrame:
     """Precision, recall, F1 and support for each label; 0 where undefined, unseen labels included."""
-    hit = F.col("truth") == F.col("predicted")
-    entries = F.array(
-        F.struct(F.col("truth").alias("label"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("called"),
-                 F.when(hit, F.col("n")).otherwise(0).alias("hits")),
-        F.struct(F.col("predicted").alias("label"), F.lit(0).cast("bigint").alias("support"), F.col("n").alias("called"),
-                 F.lit(0).cast("bigint").alias("hits")),
+    entries = (
+        "inline(array(named_struct('label', truth, 'support', n, 'called', 0L, 'hits', if(truth = predicted, n, 0L)), "
+        "named_struct('label', predicted, 'support', 0L, 'called', n, 'hits', 0L)))"
     )
-    sums = pairs.select(F.inline(entries)).groupBy("label").agg(
+    sums = pairs.selectExpr(entries).groupBy("label").agg(
         F.sum("support").alias("support"), F.sum("called").alias("called"), F.sum("hits").alias("hits")
     )
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
-    rows = _labels(pairs, labels).join(sums, "label", "left").select(
-        "label_no", "label", zero("support").alias("support"), zero("called").alias("called"), zero("hits").alias("hits")
-    )
-    safe = lambda a, b: F.coalesce(fraction(a, b), F.lit(0.0))
-    return rows.select(
+    rows = _labels(pairs, labels).join(sums, "label", "left").na.fill(0, ["support", "called", "hits"])
+    return rows.selectExpr(
         "label_no",
-        F.col("label").alias("category"),
-        safe(F.col("hits"), F.col("called")).alias("precision"),
-        safe(F.col("hits"), F.col("support")).alias("recall"),
-        safe(F.col("hits") * 2, F.col("called") + F.col("support")).alias("f1"),
+        "label AS category",
+        f"coalesce({fraction('hits', 'called')}, 0D) AS precision",
+        f"coalesce({fraction('hits', 'support')}, 0D) AS recall",
+        f"coalesce({fraction('hits * 2', '(called + support)')}, 0D) AS f1",
         "support",
     )
 
 
 def classifier_evaluation(pairs: DataFrame, labels: list[str] = vocab.CATEGORIES) -> DataFrame:
     """One row: n, accuracy, macro F1 over all fixed labels. Fails on an empty set."""
-    total = F.coalesce(F.sum("n"), F.lit(0).cast("bigint"))
-    counted = pairs.agg(
-        total.alias("n_evaluated"),
-        F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)).alias("_hits"),
-    )
-    macro = per_category(pairs, labels).agg(F.avg("f1"))
-    checked = F.when(
-        F.col("n_evaluated") == 0, F.raise_error(F.lit("Cannot compute metrics on an empty evaluation set")).cast("bigint")
-    ).otherwise(F.col("n_evaluated"))
-    return counted.select(
-        checked.alias("n_evaluated"),
-        fraction(F.col("_hits"), F.col("n_evaluated")).alias("accuracy"),
-        macro.scalar().alias("macro_f1"),
+    counted = pairs.selectExpr("coalesce(sum(n), 0L) AS n", "sum(if(truth = predicted, n, 0L)) AS hits")
+    empty = "raise_error('Cannot compute metrics on an empty evaluation set')"
+    return counted.withColumn("macro_f1", per_category(pairs, labels).agg(F.avg("f1")).scalar()).selectExpr(
+        f"CASE WHEN n = 0 THEN CAST({empty} AS BIGINT) ELSE n END AS n_evaluated",
+        f"{fraction('hits', 'n')} AS accuracy",
+        "macro_f1",
     )
 
 
@@ -266,7 +217,8 @@ def classify_summary(validated: DataFrame) -> DataFrame:
 
 
 def failures_by_type(validated: DataFrame) -> DataFrame:
-    return validated.where(~F.col("success")).groupBy("error_type").agg(F.count(F.lit(1)).alias("n"))
+    """Failed calls per error code."""
+    return validated.groupBy("error_type").agg(F.count("error_type").alias("n")).where("n > 0")
 
 
 def token_cost(
@@ -274,7 +226,7 @@ def token_cost(
 ) -> DataFrame:
     """Adds ``estimated_cost_usd``: NULL unless both prices are given and some call succeeded."""
     if not input_price_per_million or not output_price_per_million:
-        return summary.withColumn("estimated_cost_usd", _absent("double"))
+        return summary.withColumn("estimated_cost_usd", F.lit(None).cast("double"))
     money = lambda tokens, price: F.col(tokens).cast("decimal(18,0)") * F.lit(Decimal(price))
     total = money("total_input_tokens", input_price_per_million) + money("total_output_tokens", output_price_per_million)
     return summary.withColumn(

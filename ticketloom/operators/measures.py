@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketloom import vocab
-from ticketloom.functions.numeric import half_up_ratio
+from ticketloom.functions.numeric import fraction, half_up_ratio
+from ticketloom.functions.sql import as_list, q
 from ticketloom.operators.medians import exact_median
 from ticketloom.vocab import DEFAULTS, Thresholds
 
@@ -46,8 +47,10 @@ RATES = [
     ("blocked_rate", "blocked_responses", "response_processed", False),
     ("not_eligible_rate", "not_eligible_responses", "response_processed", False),
 ]
-# (measure, fact column): exact means of 2-decimal durations.
+# (measure, fact column): means of exact decimals and of the priority score.
 AVERAGES = [
+    ("avg_classification_confidence", "classification_confidence"),
+    ("average_priority_score", "final_priority_score"),
     ("avg_first_response_minutes", "first_response_minutes"),
     ("avg_resolution_hours", "resolution_hours"),
     ("avg_rule_decision_hours", "rule_decision_hours"),
@@ -59,61 +62,53 @@ MEDIANS = [
 ]
 
 
-def _counts(limits: Thresholds) -> dict[str, Column]:
-    predicted, confidence = F.col("ai_predicted_category"), F.col("classification_confidence")
-    path, priority, status = F.col("decision_path"), F.col("final_priority"), F.col("response_status")
-    human = path == vocab.HUMAN_REVIEW
+def _counts(limits: Thresholds) -> dict[str, str]:
+    human = f"decision_path = {q(vocab.HUMAN_REVIEW)}"
+    status = "count_if(response_status = '{}')"
     return {
-        "total_tickets": F.count(F.lit(1)),
-        "classified_tickets": F.count(predicted),
-        "confidence_available_tickets": F.count(confidence),
-        "low_confidence_tickets": F.count_if(confidence < F.lit(limits.low_confidence)),
-        "exact_category_matches": F.count_if(predicted == F.col("ground_truth_category")),
-        "tickets_with_first_response": F.count("first_response_at"),
-        "tickets_with_resolution_timestamp": F.count("resolved_at"),
-        "tickets_with_rule_decision": F.count(path),
-        "automated_decisions": F.count_if(path == vocab.AUTOMATED),
-        "human_review_decisions": F.count_if(human),
-        "high_urgent_human_review_tickets": F.count_if(human & priority.isin("High", "Urgent")),
-        "urgent_only_human_review_count": F.count_if(human & (priority == "Urgent")),
-        "response_processed": F.count(status),
-        "drafts_generated": F.count_if(status == "DRAFT_GENERATED"),
-        "human_review_drafts": F.count_if(status == "HUMAN_REVIEW_DRAFT"),
-        "blocked_responses": F.count_if(status == "BLOCKED"),
-        "not_eligible_responses": F.count_if(status == "NOT_ELIGIBLE"),
+        "total_tickets": "count(1)",
+        "classified_tickets": "count(ai_predicted_category)",
+        "confidence_available_tickets": "count(classification_confidence)",
+        "low_confidence_tickets": f"count_if(classification_confidence < {limits.low_confidence})",
+        "exact_category_matches": "count_if(ai_predicted_category = ground_truth_category)",
+        "tickets_with_first_response": "count(first_response_at)",
+        "tickets_with_resolution_timestamp": "count(resolved_at)",
+        "tickets_with_rule_decision": "count(decision_path)",
+        "automated_decisions": f"count_if(decision_path = {q(vocab.AUTOMATED)})",
+        "human_review_decisions": f"count_if({human})",
+        "high_urgent_human_review_tickets": f"count_if({human} AND final_priority IN ('High', 'Urgent'))",
+        "urgent_only_human_review_count": f"count_if({human} AND final_priority = 'Urgent')",
+        "response_processed": "count(response_status)",
+        "drafts_generated": status.format("DRAFT_GENERATED"),
+        "human_review_drafts": status.format("HUMAN_REVIEW_DRAFT"),
+        "blocked_responses": status.format("BLOCKED"),
+        "not_eligible_responses": status.format("NOT_ELIGIBLE"),
     }
 
 
-def _sums() -> dict[str, Column]:
-    sums = {
-        "_confidence_sum": F.sum("classification_confidence"),
-        "_confidence_n": F.count("classification_confidence"),
-        "_score_sum": F.sum("final_priority_score"),
-        "_score_n": F.count("final_priority_score"),
-    }
+def _sums() -> dict[str, str]:
+    """Sum and count of what is averaged."""
+    out = {}
     for name, column in AVERAGES:
-        sums[f"_{name}_sum"] = F.sum(column)
-        sums[f"_{name}_n"] = F.count(column)
-    return sums
+        out[f"_{name}_sum"] = f"sum({column})"
+        out[f"_{name}_n"] = f"count({column})"
+    return out
 
 
-def _ratio(num: Column, den: Column) -> Column:
-    """Fraction as double; NULL on an empty denominator."""
-    return num.cast("double") / F.nullif(den, F.lit(0)).cast("double")
+def _aggregates(limits: Thresholds) -> list[Column]:
+    return [F.expr(e).alias(n) for n, e in (_counts(limits) | _sums()).items()]
 
 
 def _finish(grouped: DataFrame, by: Sequence[str], empty: str) -> DataFrame:
-    out = {name: F.col(name) for name in _counts(DEFAULTS)}
-    out["unclassified_tickets"] = F.col("total_tickets") - F.col("classified_tickets")
-    out["response_not_processed"] = F.col("total_tickets") - F.col("response_processed")
+    out = {name: name for name in _counts(DEFAULTS)}
+    out["unclassified_tickets"] = "total_tickets - classified_tickets"
+    out["response_not_processed"] = "total_tickets - response_processed"
     for rate, num, den, zero in RATES:
-        value = _ratio(F.col(num), F.col(den))
-        out[rate] = F.coalesce(value, F.lit(0.0)) if zero and empty == "zero" else value
-    out["avg_classification_confidence"] = _ratio(F.col("_confidence_sum"), F.col("_confidence_n"))
-    out["average_priority_score"] = _ratio(F.col("_score_sum"), F.col("_score_n"))
+        value = fraction(num, den)
+        out[rate] = f"coalesce({value}, 0D)" if zero and empty == "zero" else value
     for name, _ in AVERAGES:
-        out[name] = _ratio(F.col(f"_{name}_sum"), F.col(f"_{name}_n"))
-    return grouped.select(*by, *[c.alias(n) for n, c in out.items()])
+        out[name] = fraction(f"_{name}_sum", f"_{name}_n")
+    return grouped.selectExpr(*by, *as_list(out))
 
 
 def measures(
@@ -127,8 +122,7 @@ def measures(
     ``empty='zero'`` the four dashboard rates show 0 on an empty slice.
     """
     by = list(by)
-    counts = _counts(limits)
-    grouped = fact.groupBy(*by).agg(*[c.alias(n) for n, c in (counts | _sums()).items()])
+    grouped = fact.groupBy(*by).agg(*_aggregates(limits))
     pinned_sets: dict[tuple[str, ...], list[str]] = {}
     for name, pins in PINNED.items():
         hit = tuple(k for k in by if k in pins)
@@ -152,9 +146,8 @@ def measures_for_sets(
     clash = {k for k in keys for pins in PINNED.values() if k in pins}
     if clash:
         raise ValueError(f"measures pin these columns: {sorted(clash)}")
-    aggregates = [c.alias(n) for n, c in (_counts(limits) | _sums()).items()]
     grouped = fact.groupingSets([[F.col(k) for k in s] for s in sets], *keys).agg(
-        F.grouping_id(*keys).alias("grouping_id"), *aggregates
+        F.grouping_id(*keys).alias("grouping_id"), *_aggregates(limits)
     )
     return _finish(grouped, [*keys, "grouping_id"], empty)
 
@@ -179,35 +172,19 @@ def median_measures(fact: DataFrame, by: Sequence[str] = (), few_groups: bool =
 
 def texts(measured: DataFrame) -> DataFrame:
     """Adds the three text measures: match label, coverage warning, routing note."""
-    whole = lambda c: F.format_number(F.col(c), 0)
-    percent = F.concat(
-        F.regexp_replace(
-            F.format_number(
-                half_up_ratio(F.col("exact_category_matches") * 100, F.col("classified_tickets"), 2), 2
-            ),
-            ",", "",
-        ),
-        F.lit("%"),
-    )
+    match = half_up_ratio("(exact_category_matches * 100)", "classified_tickets", 2)
     # --- Fixed values: label wording and the small-sample bound ---
-    return measured.withColumns(
-        {
-            "exact_category_match_label": F.when(
-                F.col("exact_category_match_rate").isNull(), F.lit("Not available")
-            ).otherwise(F.concat(percent, F.lit(" on "), whole("classified_tickets"), F.lit(" classified sample(s)"))),
-            "ai_coverage_warning": F.when(
-                F.col("classified_tickets") < 30,
-                F.concat(
-                    F.lit("AI sample size is very small: "), whole("classified_tickets"), F.lit(" of "), whole("total_tickets"),
-                    F.lit(" tickets. Not enough to claim validated accuracy."),
-                ),
-            ),
-            "routing_context_note": F.concat(
-                F.lit("Human-review routing is a rule-engine outcome: a ticket with no AI classification is always routed to human review. "),
-                whole("unclassified_tickets"), F.lit(" of "), whole("total_tickets"), F.lit(" tickets have no AI classification."),
-            ),
-        }
-    )
+    columns = {
+        "exact_category_match_label": "CASE WHEN exact_category_match_rate IS NULL THEN 'Not available' "
+        f"ELSE concat(CAST({match} AS STRING), '% on ', format_number(classified_tickets, 0), ' classified sample(s)') END",
+        "ai_coverage_warning": "CASE WHEN classified_tickets < 30 THEN concat('AI sample size is very small: ', "
+        "format_number(classified_tickets, 0), ' of ', format_number(total_tickets, 0), "
+        "' tickets. Not enough to claim validated accuracy.') END",
+        "routing_context_note": "concat('Human-review routing is a rule-engine outcome: a ticket with no AI "
+        "classification is always routed to human review. ', format_number(unclassified_tickets, 0), ' of ', "
+        "format_number(total_tickets, 0), ' tickets have no AI classification.')",
+    }
+    return measured.withColumns({n: F.expr(e) for n, e in columns.items()})
 
 
 def slicer(

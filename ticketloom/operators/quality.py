@@ -1,7 +1,6 @@
 """Data-quality suites: every violation is a row ``(check_name, key, detail)``; empty means healthy.
 
-All row checks of one table run in one scan: a compiled OR of the conditions
-drops the sound rows, and only the rest are expanded into one row per check.
+All row checks of one table run in one scan.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from ticketloom import schemas, vocab
 from ticketloom.functions.labels import or_label
 from ticketloom.functions.numeric import money
+from ticketloom.functions.sql import any_of, listed, q, true
 from ticketloom.operators.joins import childless, orphans
 
 Tables = dict[str, DataFrame]
@@ -23,25 +23,21 @@ Tables = dict[str, DataFrame]
 
 @dataclass(frozen=True)
 class RowCheck:
-    """A condition that holds on a bad row; NULL counts as sound."""
+    """A condition that holds on a bad row, as SQL text; NULL counts as sound."""
 
     name: str
-    bad: Column
-    detail: Column | None = None
+    bad: str
+    detail: str = "NULL"
 
 
 def row_checks(df: DataFrame, key: str, checks: Sequence[RowCheck]) -> DataFrame:
-    text = lambda c: F.lit(None).cast("string") if c is None else c.cast("string")
-    entries = F.array(
-        *[F.when(c.bad, F.struct(F.lit(c.name).alias("check_name"), text(c.detail).alias("detail"))) for c in checks]
-    )
-    any_bad = reduce(lambda a, b: a | b, [F.coalesce(c.bad, F.lit(False)) for c in checks])
-    return (
-        df.where(any_bad)
-        .select(F.col(key).cast("string").alias("key"), F.explode(entries).alias("hit"))
-        .where(F.col("hit").isNotNull())
-        .select("hit.check_name", "key", "hit.detail")
+    """All checks of one table in one scan: each row yields one entry per check, and the sound ones are dropped."""
+    entries = ", ".join(
+        f"CASE WHEN {c.bad} THEN named_struct('check_name', {q(c.name)}, 'detail', CAST({c.detail} AS STRING)) END"
+        for c in checks
     )
+    hits = df.selectExpr(f"CAST({key} AS STRING) AS key", f"explode(array({entries})) AS hit")
+    return hits.where("hit IS NOT NULL").select("hit.check_name", "key", "hit.detail")
 
 
 def _finding(df: DataFrame, name: str, key: Column, detail: Column | None = None) -> DataFrame:
@@ -61,12 +57,11 @@ def duplicates(df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
 
 
 def outside_vocabulary(name: str, column: str, allowed: Sequence[str]) -> RowCheck:
-    return RowCheck(name, ~F.col(column).isin(list(allowed)), F.col(column))
+    return RowCheck(name, f"{column} NOT IN {listed(allowed)}", column)
 
 
-def before(name: str, later: str, earlier: str | Column) -> RowCheck:
-    start = F.col(earlier) if isinstance(earlier, str) else earlier
-    return RowCheck(name, F.col(later) < start, F.col(later))
+def before(name: str, later: str, earlier: str) -> RowCheck:
+    return RowCheck(name, f"{later} < {earlier}", later)
 
 
 # --- tables suite -------------------------------------------------------------------
@@ -120,7 +115,7 @@ def duplicate_values(tables: Tables) -> DataFrame:
 
 def order_totals(tables: Tables) -> DataFrame:
     """Orders whose total differs from the sum of their lines."""
-    sums = tables["order_items"].groupBy("order_id").agg(money(F.sum("line_total")).alias("computed_total"))
+    sums = tables["order_items"].groupBy("order_id").agg(F.expr(money("sum(line_total)")).alias("computed_total"))
     wrong = tables["orders"].join(sums, "order_id").where(F.col("total_amount") != F.col("computed_total"))
     detail = F.concat(F.col("total_amount").cast("string"), F.lit(" <> "), F.col("computed_total").cast("decimal(18,2)").cast("string"))
     return _finding(wrong, "order_total_mismatch", F.col("order_id"), detail)
@@ -132,9 +127,12 @@ def orders_without_items(tables: Tables) -> DataFrame:
     )
 
 
+def line_total_check(name: str = "line_total_mismatch") -> RowCheck:
+    return RowCheck(name, f"line_total <> {money('quantity * unit_price')}", "line_total")
+
+
 def line_totals(tables: Tables) -> DataFrame:
-    wrong = F.col("line_total") != money(F.col("quantity") * F.col("unit_price"))
-    return row_checks(tables["order_items"], "order_item_id", [RowCheck("line_total_mismatch", wrong, F.col("line_total"))])
+    return row_checks(tables["order_items"], "order_item_id", [line_total_check()])
 
 
 def owner_mismatch(tables: Tables) -> DataFrame:
@@ -158,7 +156,7 @@ def timestamp_checks() -> dict[str, list[RowCheck]]:
             before("first_response_before_created", "first_response_at", "created_at"),
             before("resolved_before_first_response", "resolved_at", "first_response_at"),
         ],
-        "orders": [before("delivery_before_order_date", "actual_delivery_date", F.to_date("order_date"))],
+        "orders": [before("delivery_before_order_date", "actual_delivery_date", "to_date(order_date)")],
     }
 
 
@@ -186,9 +184,6 @@ def run_row_checks(tables: Tables, *groups: dict[str, list[RowCheck]]) -> DataFr
 
 def tables_suite(tables: Tables) -> DataFrame:
     """Keys, references, required values, duplicates, totals, owners, time order, vocabularies."""
-    line = RowCheck(
-        "line_total_mismatch", F.col("line_total") != money(F.col("quantity") * F.col("unit_price")), F.col("line_total")
-    )
     return _all(
         [
             primary_keys(tables),
@@ -198,7 +193,7 @@ def tables_suite(tables: Tables) -> DataFrame:
             order_totals(tables),
             orders_without_items(tables),
             owner_mismatch(tables),
-            run_row_checks(tables, timestamp_checks(), vocabulary_checks(), {"order_items": [line]}),
+            run_row_checks(tables, timestamp_checks(), vocabulary_checks(), {"order_items": [line_total_check()]}),
         ]
     )
 
@@ -212,12 +207,15 @@ def tickets_without_order(tickets: DataFrame) -> DataFrame:
 
 
 def routing_checks() -> list[RowCheck]:
-    path, priority = F.col("decision_path"), F.col("final_priority")
     return [
         outside_vocabulary("invalid_final_priority", "final_priority", vocab.PRIORITIES),
         outside_vocabulary("invalid_decision_path", "decision_path", vocab.DECISION_PATHS),
         before("rule_decision_before_created", "rule_decision_at", "created_at"),
-        RowCheck("partial_phase4_write", path.isNotNull() != priority.isNotNull(), F.coalesce(path, priority)),
+        RowCheck(
+            "partial_phase4_write",
+            "(decision_path IS NOT NULL) <> (final_priority IS NOT NULL)",
+            "coalesce(decision_path, final_priority)",
+        ),
     ]
 
 
@@ -229,21 +227,22 @@ def routing_suite(tickets: DataFrame) -> DataFrame:
 
 
 def response_checks() -> list[RowCheck]:
-    path, status, draft = F.col("decision_path"), F.col("response_status"), F.col("response_draft")
+    drafted, human = "response_status = 'DRAFT_GENERATED'", "response_status = 'HUMAN_REVIEW_DRAFT'"
+    closed = "response_status IN ('BLOCKED', 'NOT_ELIGIBLE')"
     return [
         outside_vocabulary("invalid_response_status", "response_status", vocab.RESPONSE_STATUSES),
         outside_vocabulary("invalid_response_type", "response_type", vocab.RESPONSE_TYPES),
         before("response_generated_before_created", "response_generated_at", "created_at"),
-        RowCheck("draft_generated_missing_text", (status == "DRAFT_GENERATED") & draft.isNull()),
-        RowCheck("blocked_or_not_eligible_has_draft", status.isin("BLOCKED", "NOT_ELIGIBLE") & draft.isNotNull(), status),
-        RowCheck("response_without_phase4_decision", status.isNotNull() & path.isNull(), status),
+        RowCheck("draft_generated_missing_text", f"{drafted} AND response_draft IS NULL"),
+        RowCheck("blocked_or_not_eligible_has_draft", f"{closed} AND response_draft IS NOT NULL", "response_status"),
+        RowCheck("response_without_phase4_decision", "response_status IS NOT NULL AND decision_path IS NULL", "response_status"),
         RowCheck(
             "human_review_draft_without_phase4_human_review",
-            (status == "HUMAN_REVIEW_DRAFT") & (path != vocab.HUMAN_REVIEW),
-            path,
+            f"{human} AND decision_path <> {q(vocab.HUMAN_REVIEW)}",
+            "decision_path",
         ),
         RowCheck(
-            "draft_generated_without_phase4_automated", (status == "DRAFT_GENERATED") & (path != vocab.AUTOMATED), path
+            "draft_generated_without_phase4_automated", f"{drafted} AND decision_path <> {q(vocab.AUTOMATED)}", "decision_path"
         ),
     ]
 
@@ -254,21 +253,23 @@ def response_suite(tickets: DataFrame) -> DataFrame:
 
 def distribution(tickets: DataFrame, column: str, label: str, name: str | None = None) -> DataFrame:
     """Rows per value with a label for NULL; sort it by the label to show it."""
-    value = or_label(F.col(column), label)
+    value = F.expr(or_label(column, label))
     return tickets.groupBy(value.alias(name or column)).agg(F.count(F.lit(1)).alias("n"))
 
 
 def stored_distributions(tickets: DataFrame) -> DataFrame:
     """The four stored-column distributions and the category one, from one scan, as ``(dimension, value, n)``."""
-    entry = lambda d, c, label: F.struct(F.lit(d).alias("dimension"), or_label(F.col(c), label).alias("value"))
-    entries = F.array(
-        entry("decision_path", "decision_path", vocab.NOT_DECIDED),
-        entry("final_priority", "final_priority", vocab.NOT_DECIDED),
-        entry("response_status", "response_status", vocab.NOT_PROCESSED),
-        entry("response_type", "response_type", vocab.UNKNOWN_TYPE),
-        entry("category", "category", "(none)"),
+    labels = {
+        "decision_path": vocab.NOT_DECIDED,
+        "final_priority": vocab.NOT_DECIDED,
+        "response_status": vocab.NOT_PROCESSED,
+        "response_type": vocab.UNKNOWN_TYPE,
+        "category": "(none)",
+    }
+    entries = ", ".join(
+        f"named_struct('dimension', {q(c)}, 'value', {or_label(c, label)})" for c, label in labels.items()
     )
-    return tickets.select(F.inline(entries)).groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"))
+    return tickets.selectExpr(f"inline(array({entries}))").groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def orders_per_customer(customers: DataFrame, orders: DataFrame) -> DataFrame:
@@ -314,36 +315,28 @@ def grain(fact: DataFrame) -> DataFrame:
 
 def metric_consistency(metrics: DataFrame) -> DataFrame:
     """Partition and range checks over the one-row frame of the four metric views."""
-    f = F.col
     c, r, p = "classification", "rule_decisions", "responses"
-    outside = lambda block, *names: reduce(
-        lambda a, b: a | b, [F.coalesce(~f(f"{block}.{n}").between(0, 100), F.lit(False)) for n in names]
-    )
-    checks = [
-        ("classification_counts_do_not_partition",
-         f(f"{c}.classified_tickets") + f(f"{c}.unclassified_tickets") != f(f"{c}.total_tickets")),
-        ("rule_decisions_do_not_partition",
-         f(f"{r}.automated_decisions") + f(f"{r}.human_review_decisions") != f(f"{r}.tickets_with_rule_decision")),
-        ("response_statuses_do_not_partition",
-         f(f"{p}.drafts_generated") + f(f"{p}.human_review_drafts") + f(f"{p}.blocked_responses")
-         + f(f"{p}.not_eligible_responses") != f(f"{p}.response_processed")),
-        ("response_processed_partition_broken",
-         f(f"{p}.response_processed") + f(f"{p}.response_not_processed") != f(f"{p}.total_tickets")),
-        ("urgent_exceeds_human_review", f(f"{r}.urgent_human_review") > f(f"{r}.human_review_decisions")),
-        ("matches_exceed_classified", f(f"{c}.exact_category_matches") > f(f"{c}.classified_tickets")),
-        ("classification_pct_out_of_range",
-         outside(c, "classification_coverage_pct", "low_confidence_rate_pct", "exact_category_match_rate_pct")),
-        ("rule_pct_out_of_range",
-         outside(r, "automated_rate_pct", "human_review_rate_pct", "urgent_human_review_rate_pct")),
-        ("response_pct_out_of_range",
-         outside(p, "response_processed_rate_pct", "draft_generation_rate_pct", "blocked_rate_pct")),
-    ]
-    entries = F.array(*[F.when(bad, F.lit(name)) for name, bad in checks])
-    return (
-        metrics.select(F.explode(entries).alias("check_name"))
-        .where(F.col("check_name").isNotNull())
-        .select("check_name", F.lit("metrics").alias("key"), F.lit(None).cast("string").alias("detail"))
-    )
+
+    def off(block: str, *names: str) -> str:
+        return any_of(true(f"{block}.{n} NOT BETWEEN 0 AND 100") for n in names)
+
+    checks = {
+        "classification_counts_do_not_partition": f"{c}.classified_tickets + {c}.unclassified_tickets <> {c}.total_tickets",
+        "rule_decisions_do_not_partition": f"{r}.automated_decisions + {r}.human_review_decisions <> {r}.tickets_with_rule_decision",
+        "response_statuses_do_not_partition": f"{p}.drafts_generated + {p}.human_review_drafts + {p}.blocked_responses "
+        f"+ {p}.not_eligible_responses <> {p}.response_processed",
+        "response_processed_partition_broken": f"{p}.response_processed + {p}.response_not_processed <> {p}.total_tickets",
+        "urgent_exceeds_human_review": f"{r}.urgent_human_review > {r}.human_review_decisions",
+        "matches_exceed_classified": f"{c}.exact_category_matches > {c}.classified_tickets",
+        "classification_pct_out_of_range": off(
+            c, "classification_coverage_pct", "low_confidence_rate_pct", "exact_category_match_rate_pct"
+        ),
+        "rule_pct_out_of_range": off(r, "automated_rate_pct", "human_review_rate_pct", "urgent_human_review_rate_pct"),
+        "response_pct_out_of_range": off(
+            p, "response_processed_rate_pct", "draft_generation_rate_pct", "blocked_rate_pct"
+        ),
+    }
+    return row_checks(metrics, "'metrics'", [RowCheck(name, bad) for name, bad in checks.items()])
 
 
 def fact_checks() -> list[RowCheck]:
@@ -352,7 +345,7 @@ def fact_checks() -> list[RowCheck]:
         "first_response_minutes", "resolution_hours", "rule_decision_hours", "response_generation_hours",
     ]
     return [
-        *[RowCheck(f"negative_{d}", F.col(d) < 0, F.col(d)) for d in durations],
+        *[RowCheck(f"negative_{d}", f"{d} < 0", d) for d in durations],
         outside_vocabulary("invalid_decision_path_in_view", "decision_path", vocab.DECISION_PATHS),
         outside_vocabulary("invalid_response_status_in_view", "response_status", vocab.RESPONSE_STATUSES),
     ]
@@ -369,37 +362,38 @@ def analytics_suite(fact: DataFrame, tickets: DataFrame, metrics: DataFrame) ->
 
 def constraint_checks(table: str, columns: Sequence[str]) -> list[RowCheck]:
     """NOT NULL, text length, vocabulary, range and consistency constraints of one table."""
-    c = F.col
-    checks = [RowCheck(f"{table}.{n}_not_null", c(n).isNull()) for n in schemas.required(table) if n in columns]
+
+    def member(name: str, column: str, allowed: Sequence[str]) -> RowCheck:
+        return outside_vocabulary(f"{table}.{name}", column, allowed)
+
+    def off(name: str, bad: str, column: str) -> RowCheck:
+        return RowCheck(f"{table}.{name}", bad, column)
+
+    checks = [RowCheck(f"{table}.{n}_not_null", f"{n} IS NULL") for n in schemas.required(table) if n in columns]
     checks += [
-        RowCheck(f"{table}.{n}_length", F.length(n) > size, F.length(n))
+        RowCheck(f"{table}.{n}_length", f"length({n}) > {size}", f"length({n})")
         for n, size in schemas.TEXT_LENGTHS[table].items()
         if n in columns
     ]
-    member = lambda name, column, allowed: outside_vocabulary(f"{table}.{name}", column, allowed)
-    if table == "customers":
-        checks.append(member("segment", "customer_segment", vocab.SEGMENTS))
-    elif table == "products":
-        checks += [
+    own = {
+        "customers": [member("segment", "customer_segment", vocab.SEGMENTS)],
+        "products": [
             member("category", "category", vocab.PRODUCT_CATEGORIES),
-            RowCheck("products.price_nonneg", c("price") < 0, c("price")),
-            RowCheck("products.stock_nonneg", c("stock_quantity") < 0, c("stock_quantity")),
-        ]
-    elif table == "orders":
-        checks += [
+            off("price_nonneg", "price < 0", "price"),
+            off("stock_nonneg", "stock_quantity < 0", "stock_quantity"),
+        ],
+        "orders": [
             member("status", "order_status", vocab.ORDER_STATUSES),
             member("payment_method", "payment_method", vocab.PAYMENT_METHODS),
-            RowCheck("orders.total_nonneg", c("total_amount") < 0, c("total_amount")),
-            before("orders.delivery_dates", "actual_delivery_date", F.to_date("order_date")),
-        ]
-    elif table == "order_items":
-        checks += [
-            RowCheck("order_items.qty_pos", c("quantity") <= 0, c("quantity")),
-            RowCheck("order_items.price_nonneg", c("unit_price") < 0, c("unit_price")),
-            RowCheck("order_items.line_total", c("line_total") != money(c("quantity") * c("unit_price")), c("line_total")),
-        ]
-    else:
-        checks += [
+            off("total_nonneg", "total_amount < 0", "total_amount"),
+            before("orders.delivery_dates", "actual_delivery_date", "to_date(order_date)"),
+        ],
+        "order_items": [
+            off("qty_pos", "quantity <= 0", "quantity"),
+            off("price_nonneg", "unit_price < 0", "unit_price"),
+            line_total_check("order_items.line_total"),
+        ],
+        "tickets": [
             member("channel", "channel", vocab.CHANNELS),
             member("category", "category", vocab.CATEGORIES),
             member("ai_predicted_category", "ai_predicted_category", vocab.CATEGORIES),
@@ -407,31 +401,31 @@ def constraint_checks(table: str, columns: Sequence[str]) -> list[RowCheck]:
             member("status", "status", vocab.TICKET_STATUSES),
             member("decision_path", "decision_path", vocab.DECISION_PATHS),
             member("resolution_type", "resolution_type", vocab.RESOLUTION_TYPES),
-            RowCheck("tickets.confidence_range", ~c("classification_confidence").between(0, 1), c("classification_confidence")),
-            RowCheck("tickets.sentiment_range", ~c("sentiment_score").between(-1, 1), c("sentiment_score")),
+            off("confidence_range", "classification_confidence NOT BETWEEN 0 AND 1", "classification_confidence"),
+            off("sentiment_range", "sentiment_score NOT BETWEEN -1 AND 1", "sentiment_score"),
             before("tickets.ts_decision", "decision_at", "created_at"),
             before("tickets.ts_first_response", "first_response_at", "created_at"),
             before("tickets.ts_resolved", "resolved_at", "created_at"),
+        ],
+    }
+    checks += own[table]
+    if "final_priority" in columns:
+        checks += [
+            member("final_priority", "final_priority", vocab.PRIORITIES),
+            before("tickets.rule_decision_ts", "rule_decision_at", "created_at"),
+        ]
+    if "response_status" in columns:
+        consistent = (
+            "(response_status = 'DRAFT_GENERATED' AND response_draft IS NOT NULL) OR response_status = 'HUMAN_REVIEW_DRAFT' "
+            "OR (response_status IN ('BLOCKED', 'NOT_ELIGIBLE') AND response_draft IS NULL) "
+            "OR (response_status IS NULL AND response_draft IS NULL)"
+        )
+        checks += [
+            member("response_status", "response_status", vocab.RESPONSE_STATUSES),
+            member("response_type", "response_type", vocab.RESPONSE_TYPES),
+            before("tickets.response_generated_ts", "response_generated_at", "created_at"),
+            RowCheck("tickets.response_draft_status_consistency", f"NOT ({consistent})", "response_status"),
         ]
-        if "final_priority" in columns:
-            checks += [
-                member("final_priority", "final_priority", vocab.PRIORITIES),
-                before("tickets.rule_decision_ts", "rule_decision_at", "created_at"),
-            ]
-        if "response_status" in columns:
-            status, draft = c("response_status"), c("response_draft")
-            consistent = (
-                ((status == "DRAFT_GENERATED") & draft.isNotNull())
-                | (status == "HUMAN_REVIEW_DRAFT")
-                | (status.isin("BLOCKED", "NOT_ELIGIBLE") & draft.isNull())
-                | (status.isNull() & draft.isNull())
-            )
-            checks += [
-                member("response_status", "response_status", vocab.RESPONSE_STATUSES),
-                member("response_type", "response_type", vocab.RESPONSE_TYPES),
-                before("tickets.response_generated_ts", "response_generated_at", "created_at"),
-                RowCheck("tickets.response_draft_status_consistency", ~consistent, status),
-            ]
     return checks
 
 

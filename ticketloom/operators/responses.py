@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom import vocab
-from ticketloom.functions import jsonfields as J
-from ticketloom.functions.labels import customer_facing, fill, kept, requires_human_review, response_type
+from ticketloom.functions.jsonfields import field, get, json_object, truthy
+from ticketloom.functions.labels import customer_facing, requires_human_review, response_type
 from ticketloom.functions.numeric import number_text
 from ticketloom.functions.safety import strip, violation_codes
-from ticketloom.operators.routing import not_in, outside
+from ticketloom.functions.sql import any_of, fill, kept, listed, q, true
+from ticketloom.operators.routing import error, not_in, outside
 from ticketloom.vocab import DEFAULTS, Thresholds
 
 # The only columns that may reach a model call.
@@ -30,96 +31,79 @@ PROMPT_COLUMNS = [
 GENERATION_COLUMNS = ["tool_input_json", "error_type"]
 
 
-def response_errors(columns: list[str]) -> Column:
+def response_errors(columns: list[str]) -> str:
     """Input checks of a response context; ``order_value`` is optional as a column."""
     checks = [
-        F.when(F.col("ticket_id").isNull(), F.lit("ticket_id: missing or not an integer")),
-        F.when(F.col("message_text").isNull(), F.lit("message_text: required")),
-        F.when(outside(F.col("classification_confidence"), 0, 1), F.lit("classification_confidence: not in [0, 1]")),
-        F.when(outside(F.col("sentiment_score"), -1, 1), F.lit("sentiment_score: not in [-1, 1]")),
-        F.when(
-            not_in(F.col("ai_predicted_category"), vocab.CATEGORIES),
-            F.concat(F.lit("ai_predicted_category: '"), F.col("ai_predicted_category"), F.lit("' is not an approved category")),
+        error("ticket_id IS NULL", "ticket_id: missing or not an integer"),
+        error("message_text IS NULL", "message_text: required"),
+        error(outside("classification_confidence", 0, 1), "classification_confidence: not in [0, 1]"),
+        error(outside("sentiment_score", -1, 1), "sentiment_score: not in [-1, 1]"),
+        error(
+            not_in("ai_predicted_category", vocab.CATEGORIES),
+            "ai_predicted_category: '{value}' is not an approved category",
+            "ai_predicted_category",
         ),
-        F.when(
-            not_in(F.col("decision_path"), vocab.DECISION_PATHS),
-            F.concat(F.lit("decision_path: '"), F.col("decision_path"), F.lit("' is not a valid decision_path")),
+        error(
+            not_in("decision_path", vocab.DECISION_PATHS),
+            "decision_path: '{value}' is not a valid decision_path",
+            "decision_path",
         ),
     ]
     if "order_value" in columns:
-        checks.append(F.when(outside(F.col("order_value"), 0, None), F.lit("order_value: below 0")))
-    return kept(*checks)
-
-
-def eligibility(limits: Thresholds = DEFAULTS) -> tuple[Column, Column]:
-    """``(outcome, reasons)``; a stored Automated decision is checked again and fails safe."""
-    path = F.col("decision_path")
-    category = F.col("ai_predicted_category")
-    confidence = F.col("classification_confidence")
-    sentiment = F.col("sentiment_score")
-    true = lambda c: F.coalesce(c, F.lit(False))
-    low = true(confidence < F.lit(limits.low_confidence))
-    no_order = true(category.isin(vocab.ORDER_DEPENDENT)) & F.col("order_id").isNull()
-    problems = [
-        (category.isNull(), F.lit(vocab.PROBLEM_NO_CLASS)),
-        (confidence.isNull(), F.lit(vocab.PROBLEM_NO_CONFIDENCE)),
-        (low, fill(vocab.PROBLEM_LOW_CONFIDENCE, confidence=number_text(confidence), limit=F.lit(str(float(limits.low_confidence))))),
-        (true(category.isin(vocab.SENSITIVE)), fill(vocab.PROBLEM_SENSITIVE, category=category)),
+        checks.append(error(outside("order_value", 0), "order_value: below 0"))
+    return kept(checks)
+
+
+def recheck_problems(limits: Thresholds = DEFAULTS) -> list[tuple[str, str]]:
+    """``(condition, text)`` of what speaks against an automated response."""
+    category, confidence, sentiment = "ai_predicted_category", "classification_confidence", "sentiment_score"
+    low = {"confidence": number_text(confidence), "limit": q(str(float(limits.low_confidence)))}
+    return [
+        (f"({category} IS NULL)", q(vocab.PROBLEM_NO_CLASS)),
+        (f"({confidence} IS NULL)", q(vocab.PROBLEM_NO_CONFIDENCE)),
+        (true(f"{confidence} < {limits.low_confidence}"), fill(vocab.PROBLEM_LOW_CONFIDENCE, **low)),
+        (true(f"{category} IN {listed(vocab.SENSITIVE)}"), fill(vocab.PROBLEM_SENSITIVE, category=category)),
         (
-            true(sentiment <= F.lit(limits.strong_negative_sentiment)),
+            true(f"{sentiment} <= {limits.strong_negative_sentiment}"),
             fill(vocab.PROBLEM_SENTIMENT, sentiment=number_text(sentiment)),
         ),
-        (no_order, fill(vocab.PROBLEM_NO_ORDER, category=category)),
+        (
+            f"({true(f'{category} IN {listed(vocab.ORDER_DEPENDENT)}')} AND order_id IS NULL)",
+            fill(vocab.PROBLEM_NO_ORDER, category=category),
+        ),
     ]
-    unsafe = problems[0][0]
-    for found, _ in problems[1:]:
-        unsafe = unsafe | found
-    outcome = (
-        F.when(path.isNull(), F.lit("no_phase4_decision"))
-        .when(path == vocab.HUMAN_REVIEW, F.lit("human_review"))
-        .when(unsafe, F.lit("human_review"))
-        .otherwise(F.lit("automated_eligible"))
-    )
-    reasons = (
-        F.when(path.isNull(), F.array(F.lit(vocab.NO_DECISION_YET)))
-        .when(path == vocab.HUMAN_REVIEW, F.array(F.lit(vocab.RESPECT_HUMAN_REVIEW)))
-        .when(unsafe, kept(F.lit(vocab.RECHECK_FAILED), *[F.when(found, text) for found, text in problems]))
-        .otherwise(
-            kept(
-                fill(vocab.OK_CLASS, category=category),
-                fill(vocab.OK_CONFIDENCE, confidence=number_text(confidence)),
-                F.when(F.col("order_id").isNotNull(), F.lit(vocab.OK_ORDER)),
-            )
-        )
-    )
-    return outcome, reasons
 
 
 def with_eligibility(context: DataFrame, limits: Thresholds = DEFAULTS, generate_internal_drafts: bool = True) -> DataFrame:
-    """Adds validity, response type, eligibility and ``needs_generation``.
+    """Adds validity, response type, eligibility with its reasons, and ``needs_generation``.
 
-    Filter on ``needs_generation`` before the model-call stage: rows that are
-    not eligible, or whose internal drafts are switched off, cost no call.
+    A stored Automated decision is checked again and fails safe. Filter on
+    ``needs_generation`` before the model-call stage: rows that are not
+    eligible, or whose internal drafts are switched off, cost no call.
     """
-    outcome, reasons = eligibility(limits)
-    valid = F.size("validation_errors") == 0
+    problems = recheck_problems(limits)
+    unsafe = any_of(found for found, _ in problems)
+    human = f"decision_path = {q(vocab.HUMAN_REVIEW)}"
+    sound = [
+        fill(vocab.OK_CLASS, category="ai_predicted_category"),
+        fill(vocab.OK_CONFIDENCE, confidence=number_text("classification_confidence")),
+        f"CASE WHEN order_id IS NOT NULL THEN {q(vocab.OK_ORDER)} END",
+    ]
+    found = kept([q(vocab.RECHECK_FAILED), *[f"CASE WHEN {c} THEN {t} END" for c, t in problems]])
+    valid = "size(validation_errors) = 0"
+    columns = {
+        "response_type": f"CASE WHEN {valid} THEN {response_type('ai_predicted_category')} END",
+        "eligibility": f"CASE WHEN NOT {valid} THEN NULL WHEN decision_path IS NULL THEN 'no_phase4_decision' "
+        f"WHEN {human} OR {unsafe} THEN 'human_review' ELSE 'automated_eligible' END",
+        "eligibility_reasons": f"CASE WHEN NOT {valid} THEN NULL "
+        f"WHEN decision_path IS NULL THEN array({q(vocab.NO_DECISION_YET)}) "
+        f"WHEN {human} THEN array({q(vocab.RESPECT_HUMAN_REVIEW)}) WHEN {unsafe} THEN {found} ELSE {kept(sound)} END",
+    }
+    wanted = ["automated_eligible", "human_review"] if generate_internal_drafts else ["automated_eligible"]
     return (
-        context.withColumn("validation_errors", response_errors(context.columns))
-        .withColumns(
-            {
-                "response_type": F.when(valid, response_type(F.col("ai_predicted_category"))),
-                "eligibility": F.when(valid, outcome),
-                "eligibility_reasons": F.when(valid, reasons),
-            }
-        )
-        .withColumn(
-            "needs_generation",
-            F.coalesce(
-                (F.col("eligibility") == "automated_eligible")
-                | ((F.col("eligibility") == "human_review") & F.lit(generate_internal_drafts)),
-                F.lit(False),
-            ),
-        )
+        context.withColumn("validation_errors", F.expr(response_errors(context.columns)))
+        .withColumns({n: F.expr(e) for n, e in columns.items()})
+        .withColumn("needs_generation", F.expr(true(f"eligibility IN {listed(wanted)}")))
     )
 
 
@@ -130,33 +114,28 @@ def generation_outcome(generated: DataFrame) -> DataFrame:
     ``draft_text`` is present only for a clean draft: a text that fails the
     scan is dropped here, and only the codes travel on.
     """
-    document = F.col("_document")
-    as_array = F.try_variant_get(document, "$.missing_information", "array<string>")
-    read = (
-        generated.withColumn("_document", J.json_object(F.col("tool_input_json")))
-        .withColumn(
-            "_draft",
-            F.when(
-                F.col("needs_generation") & F.col("error_type").isNull() & J.truthy(document, "can_generate") & J.truthy(document, "draft_text"),
-                strip(J.text_of(document, "draft_text")),
-            ),
-        )
-        .withColumn("safety_codes", F.coalesce(violation_codes(F.col("_draft")), F.array().cast("array<string>")))
-    )
+    needed = "needs_generation AND error_type IS NULL"
     failure = (
-        F.when(~F.col("needs_generation"), None)
-        .when(F.col("error_type").isNotNull(), F.col("error_type"))
-        .when(document.isNull() | J.kind(document, "can_generate").isNull(), F.lit("malformed_response"))
-        .when(~J.truthy(document, "can_generate"), F.lit("model_declined"))
-        .when(F.coalesce(F.col("_draft"), F.lit("")) == "", F.lit("empty_draft"))
-        .when(F.size("safety_codes") > 0, F.lit("safety_violation"))
-    )
-    return (
-        read.withColumn("failure", failure)
-        .withColumn("missing_information", F.when(F.col("failure") == "model_declined", as_array))
-        .withColumn("draft_text", F.when(F.col("needs_generation") & F.col("failure").isNull(), F.col("_draft")))
-        .drop("_document", "_draft")
+        "CASE WHEN NOT needs_generation THEN NULL WHEN error_type IS NOT NULL THEN error_type "
+        "WHEN _document IS NULL OR _flag.kind IS NULL THEN 'malformed_response' "
+        f"WHEN NOT {truthy('_flag')} THEN 'model_declined' WHEN coalesce(_draft, '') = '' THEN 'empty_draft' "
+        "WHEN size(safety_codes) > 0 THEN 'safety_violation' END"
     )
+    steps = [
+        {"_document": f"CASE WHEN {needed} THEN {json_object('tool_input_json')} END"},
+        {"_flag": field("_document", "can_generate"), "_text": field("_document", "draft_text")},
+        {"_draft": f"CASE WHEN {truthy('_flag')} AND {truthy('_text')} THEN {strip('_text.text')} END"},
+        {"safety_codes": violation_codes("_draft")},
+        {"failure": failure},
+        {
+            "missing_information": "CASE WHEN failure = 'model_declined' "
+            f"THEN {get('_document', 'missing_information', 'array<string>')} END",
+            "draft_text": "CASE WHEN needs_generation AND failure IS NULL THEN _draft END",
+        },
+    ]
+    for step in steps:
+        generated = generated.withColumns({n: F.expr(e) for n, e in step.items()})
+    return generated.drop("_document", "_flag", "_text", "_draft")
 
 
 def decide_responses(
@@ -181,75 +160,59 @@ def decide_responses(
     else:
         empty = F.lit(None).cast("string")
         rows = eligible.withColumns(
-            {"failure": empty, "draft_text": empty, "safety_codes": F.array().cast("array<string>"),
-             "missing_information": F.lit(None).cast("array<string>")}
+            {"failure": empty, "draft_text": empty}
         )
-    outcome = F.col("eligibility")
-    internal = outcome == "human_review"
-    auto = outcome == "automated_eligible"
-    succeeded = F.lit(has_generator) & F.col("failure").isNull()
-    status = (
-        F.when(outcome.isNull() | (outcome == "no_phase4_decision"), F.lit("NOT_ELIGIBLE"))
-        .when(internal, F.lit("HUMAN_REVIEW_DRAFT"))
-        .when(succeeded, F.lit("DRAFT_GENERATED"))
-        .otherwise(F.lit("BLOCKED"))
-    )
-    draft = F.when(F.col("needs_generation") & succeeded, F.col("draft_text"))
+    succeeded = "failure IS NULL" if has_generator else "false"
+    internal, auto = "eligibility = 'human_review'", "eligibility = 'automated_eligible'"
     if has_generator:
-        missing = F.coalesce(F.nullif(F.array_join("missing_information", ", "), F.lit("")), F.lit("unspecified"))
+        codes, missing = "array_join(safety_codes, ', ')", "coalesce(nullif(array_join(missing_information, ', '), ''), 'unspecified')"
         note = (
-            F.when(
-                internal & F.lit(generate_internal_drafts),
-                F.when(succeeded, F.lit(vocab.INTERNAL_DRAFT_OK)).otherwise(
-                    fill(vocab.INTERNAL_DRAFT_FAILED, failure=F.col("failure"))
-                ),
-            )
-            .when(auto & succeeded, F.lit(vocab.AUTOMATED_OK))
-            .when(
-                auto & (F.col("failure") == "safety_violation"),
-                fill(vocab.AUTOMATED_UNSAFE, codes=F.array_join("safety_codes", ", ")),
-            )
-            .when(auto & (F.col("failure") == "model_declined"), fill(vocab.AUTOMATED_DECLINED, missing=missing))
-            .when(auto, fill(vocab.AUTOMATED_FAILED, failure=F.col("failure")))
+            f"CASE WHEN {internal} AND NOT needs_generation THEN NULL "
+            f"WHEN {internal} AND {succeeded} THEN {q(vocab.INTERNAL_DRAFT_OK)} "
+            f"WHEN {internal} THEN {fill(vocab.INTERNAL_DRAFT_FAILED, failure='failure')} "
+            f"WHEN {auto} AND {succeeded} THEN {q(vocab.AUTOMATED_OK)} "
+            f"WHEN {auto} AND failure = 'safety_violation' THEN {fill(vocab.AUTOMATED_UNSAFE, codes=codes)} "
+            f"WHEN {auto} AND failure = 'model_declined' THEN {fill(vocab.AUTOMATED_DECLINED, missing=missing)} "
+            f"WHEN {auto} THEN {fill(vocab.AUTOMATED_FAILED, failure='failure')} END"
         )
     else:
-        note = F.when(internal, F.lit(vocab.INTERNAL_DRAFT_SKIPPED)).when(auto, F.lit(vocab.AUTOMATED_SKIPPED))
-    rationale = F.when(
-        outcome.isNull(),
-        F.array(F.concat(F.lit(vocab.RESPONSE_FALLBACK_REASON), F.array_join("validation_errors", "; "))),
-    ).otherwise(F.concat(F.col("eligibility_reasons"), kept(note)))
-    return rows.withColumns(
-        {
-            "response_status": status,
-            "response_draft": draft,
-            "rationale": rationale,
-            "is_fallback": outcome.isNull(),
-            "customer_facing": customer_facing(status),
-            "requires_human_review": requires_human_review(status),
-        }
-    ).drop("draft_text")
+        note = f"CASE WHEN {internal} THEN {q(vocab.INTERNAL_DRAFT_SKIPPED)} WHEN {auto} THEN {q(vocab.AUTOMATED_SKIPPED)} END"
+    fallback = f"array(concat({q(vocab.RESPONSE_FALLBACK_REASON)}, array_join(validation_errors, '; ')))"
+    first = {
+        "response_status": "CASE WHEN eligibility IS NULL OR eligibility = 'no_phase4_decision' THEN 'NOT_ELIGIBLE' "
+        f"WHEN {internal} THEN 'HUMAN_REVIEW_DRAFT' WHEN {succeeded} THEN 'DRAFT_GENERATED' ELSE 'BLOCKED' END",
+        "response_draft": f"CASE WHEN needs_generation AND {succeeded} THEN draft_text END",
+        "rationale": f"CASE WHEN eligibility IS NULL THEN {fallback} ELSE concat(eligibility_reasons, {kept([note])}) END",
+        "is_fallback": "eligibility IS NULL",
+    }
+    flags = {
+        "customer_facing": customer_facing("response_status"),
+        "requires_human_review": requires_human_review("response_status"),
+    }
+    decided = rows.withColumns({n: F.expr(e) for n, e in first.items()})
+    return decided.withColumns({n: F.expr(e) for n, e in flags.items()}).drop("draft_text")
 
 
 def response_violations(decided: DataFrame) -> DataFrame:
     """Rows that break the result invariants: ``(ticket_id, violation)``; empty when sound."""
-    status, draft = F.col("response_status"), F.col("response_draft")
-    has_text = F.coalesce(draft, F.lit("")) != ""
-    known = F.coalesce(status.isin(vocab.RESPONSE_STATUSES), F.lit(False))
+    has_text = "coalesce(response_draft, '') <> ''"
+    known = true(f"response_status IN {listed(vocab.RESPONSE_STATUSES)}")
+    flags = (
+        f"customer_facing <=> {customer_facing('response_status')} "
+        f"AND requires_human_review <=> {requires_human_review('response_status')}"
+    )
     broken = kept(
-        F.when(~known, F.lit("response_status not approved")),
-        F.when(not_in(F.col("response_type"), vocab.RESPONSE_TYPES), F.lit("response_type not approved")),
-        F.when(
-            known
-            & (
-                ~F.col("customer_facing").eqNullSafe(customer_facing(status))
-                | ~F.col("requires_human_review").eqNullSafe(requires_human_review(status))
+        [
+            error(f"NOT {known}", "response_status not approved"),
+            error(not_in("response_type", vocab.RESPONSE_TYPES), "response_type not approved"),
+            error(f"{known} AND NOT ({flags})", "flags do not match response_status"),
+            error(f"response_status = 'DRAFT_GENERATED' AND NOT {has_text}", "DRAFT_GENERATED without response_draft"),
+            error(
+                f"response_status IN ('BLOCKED', 'NOT_ELIGIBLE') AND {has_text}", "response_draft on a status without draft"
             ),
-            F.lit("flags do not match response_status"),
-        ),
-        F.when((status == "DRAFT_GENERATED") & ~has_text, F.lit("DRAFT_GENERATED without response_draft")),
-        F.when(status.isin("BLOCKED", "NOT_ELIGIBLE") & has_text, F.lit("response_draft on a status without draft")),
+        ]
     )
-    return decided.select("ticket_id", F.explode(broken).alias("violation"))
+    return decided.selectExpr("ticket_id", f"explode({broken}) AS violation")
 
 
 def prompt_context(eligible: DataFrame) -> DataFrame:
@@ -257,39 +220,33 @@ def prompt_context(eligible: DataFrame) -> DataFrame:
     return eligible.select("ticket_id", *PROMPT_COLUMNS)
 
 
-def response_prompt() -> Column:
+def response_prompt() -> str:
     """User prompt text over the prompt columns."""
 
-    def shown(name: str, empty: str) -> Column:
-        return F.coalesce(F.nullif(F.col(name).cast("string"), F.lit("")), F.lit(empty))
+    def shown(label: str, value: str, empty: str) -> str:
+        return f"concat({q(label)}, coalesce(nullif({value}, ''), {q(empty)}))"
 
-    linked = F.col("order_id").isNotNull()
     # --- Fixed values: prompt wording ---
-    return F.concat_ws(
-        "\n",
-        F.concat(F.lit('Customer message:\n"""\n'), F.col("message_text"), F.lit('\n"""')),
-        F.lit(""),
-        F.concat(F.lit("Predicted category: "), shown("ai_predicted_category", "unknown")),
-        F.concat(F.lit("Sentiment score (-1 to 1): "), F.coalesce(number_text(F.col("sentiment_score")), F.lit("None"))),
-        F.concat(F.lit("Priority: "), shown("final_priority", "unknown")),
-        F.concat(F.lit("Customer segment: "), shown("customer_segment", "unknown")),
-        F.concat(F.lit("Response purpose type: "), shown("response_type", "unknown")),
-        F.when(
-            linked,
-            F.concat(
-                F.lit("Linked order: order_status="), F.coalesce(F.col("order_status"), F.lit("None")),
-                F.lit(", expected_delivery_date="), F.coalesce(F.col("expected_delivery_date").cast("string"), F.lit("None")),
-                F.lit(", actual_delivery_date="), F.coalesce(F.col("actual_delivery_date").cast("string"), F.lit("None")),
-            ),
-        ).otherwise(F.lit("No order is linked to this ticket.")),
-        F.when(
-            linked & (F.coalesce(F.col("product_names"), F.lit("")) != ""),
-            F.concat(F.lit("Products in this order: "), F.col("product_names")),
-        ),
-    )
+    order = [
+        shown("Linked order: order_status=", "order_status", "None"),
+        shown(", expected_delivery_date=", "CAST(expected_delivery_date AS STRING)", "None"),
+        shown(", actual_delivery_date=", "CAST(actual_delivery_date AS STRING)", "None"),
+    ]
+    lines = [
+        fill('Customer message:\n"""\n{message}\n"""', message="message_text"),
+        "''",
+        shown("Predicted category: ", "ai_predicted_category", "unknown"),
+        shown("Sentiment score (-1 to 1): ", number_text("sentiment_score"), "None"),
+        shown("Priority: ", "final_priority", "unknown"),
+        shown("Customer segment: ", "customer_segment", "unknown"),
+        shown("Response purpose type: ", "response_type", "unknown"),
+        f"CASE WHEN order_id IS NULL THEN 'No order is linked to this ticket.' ELSE concat({', '.join(order)}) END",
+        "CASE WHEN order_id IS NOT NULL AND product_names <> '' THEN concat('Products in this order: ', product_names) END",
+    ]
+    return f"concat_ws('\\n', {', '.join(lines)})"
 
 
 def response_updates(decided: DataFrame, run_at: Column) -> DataFrame:
-    return decided.where(F.col("ticket_id").isNotNull()).select(
+    return decided.where("ticket_id IS NOT NULL").select(
         "ticket_id", "response_status", "response_type", "response_draft", run_at.alias("response_generated_at")
     )

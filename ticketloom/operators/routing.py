@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom import vocab
-from ticketloom.functions.labels import fill, kept, lookup, priority_of, priority_score, recommended_action
+from ticketloom.functions.labels import priority_of, priority_score, recommended_action
 from ticketloom.functions.numeric import number_text
+from ticketloom.functions.sql import any_of, fill, kept, listed, lookup, q, true
 from ticketloom.vocab import DEFAULTS, RULE_TEXT, Thresholds
 
 DECISION_COLUMNS = [
@@ -25,118 +27,109 @@ DECISION_COLUMNS = [
 
 @dataclass(frozen=True)
 class Rule:
-    """One rule: when it fires, its texts, and what firing implies."""
+    """One rule as SQL text: when it fires, its detail texts, and what firing implies."""
 
     name: str
-    fired: Column
-    fired_text: Column
-    quiet_text: Column
-    floor: Column | None = None
+    fired: str
+    fired_text: str
+    quiet_text: str
+    floor: str | None = None
     forces_review: bool = False
     conflict: bool = False
 
 
-def outside(value: Column, low: float, high: float | None) -> Column:
+def outside(column: str, low: float, high: float | None = None) -> str:
     """Out of range or NaN; NULL passes."""
-    bad = F.isnan(value.cast("double")) | (value < F.lit(low))
-    if high is not None:
-        bad = bad | (value > F.lit(high))
-    return F.coalesce(bad, F.lit(False))
+    above = "" if high is None else f" OR {column} > {high}"
+    return f"coalesce(isnan(CAST({column} AS DOUBLE)) OR {column} < {low}{above}, false)"
 
 
-def not_in(value: Column, allowed: list[str]) -> Column:
-    return F.coalesce(~value.isin(allowed), F.lit(False))
+def not_in(column: str, allowed: list[str]) -> str:
+    return f"coalesce({column} NOT IN {listed(allowed)}, false)"
 
 
-def routing_errors(
-    category: Column, confidence: Column, sentiment: Column, value: Column, segment: Column, ticket_id: Column
-) -> Column:
+def error(condition: str, message: str, column: str | None = None) -> str:
+    return f"CASE WHEN {condition} THEN {fill(message, value=column) if column else q(message)} END"
+
+
+def routing_errors() -> str:
     """Messages of the input checks that fail; an empty array for a valid row."""
     return kept(
-        F.when(ticket_id.isNull(), F.lit("ticket_id: missing or not an integer")),
-        F.when(outside(confidence, 0, 1), F.lit("classification_confidence: not in [0, 1]")),
-        F.when(outside(sentiment, -1, 1), F.lit("sentiment_score: not in [-1, 1]")),
-        F.when(outside(value, 0, None), F.lit("order_value: below 0")),
-        F.when(not_in(category, vocab.CATEGORIES), F.concat(F.lit("ai_predicted_category: '"), category, F.lit("' is not an approved category"))),
-        F.when(not_in(segment, vocab.SEGMENTS), F.concat(F.lit("customer_segment: '"), segment, F.lit("' is not a known customer segment"))),
+        [
+            error("ticket_id IS NULL", "ticket_id: missing or not an integer"),
+            error(outside("classification_confidence", 0, 1), "classification_confidence: not in [0, 1]"),
+            error(outside("sentiment_score", -1, 1), "sentiment_score: not in [-1, 1]"),
+            error(outside("order_value", 0), "order_value: below 0"),
+            error(
+                not_in("ai_predicted_category", vocab.CATEGORIES),
+                "ai_predicted_category: '{value}' is not an approved category",
+                "ai_predicted_category",
+            ),
+            error(
+                not_in("customer_segment", vocab.SEGMENTS),
+                "customer_segment: '{value}' is not a known customer segment",
+                "customer_segment",
+            ),
+        ]
     )
 
 
 def rules(limits: Thresholds = DEFAULTS) -> list[Rule]:
     """The nine rules in their fixed order, over the routing context columns."""
-    category = F.col("ai_predicted_category")
-    confidence = F.col("classification_confidence")
-    sentiment = F.col("sentiment_score")
-    value = F.col("order_value")
-    true = lambda c: F.coalesce(c, F.lit(False))
-
-    def rule(name: str, fired: Column, fired_text: Column | None = None, quiet_text: Column | None = None, **implies) -> Rule:
+    category, confidence, sentiment = "ai_predicted_category", "classification_confidence", "sentiment_score"
+    words = {
+        "category": category,
+        "sentiment": number_text(sentiment),
+        "confidence": number_text(confidence),
+        "value": number_text("order_value"),
+    }
+
+    def rule(name: str, fired: str, limit: Decimal = Decimal(0), **more) -> Rule:
         hot, quiet = RULE_TEXT[name]
-        words = {
-            "category": category,
-            "base": lookup(category, vocab.BASE_PRIORITY),
-            "sentiment": number_text(sentiment),
-            "confidence": number_text(confidence),
-            "value": number_text(value),
-            "limit": F.lit(str(float(implies.pop("limit", 0)))),
-        }
-        hot_text = fill(hot, **words) if fired_text is None else fired_text
-        return Rule(name, fired, hot_text, F.lit(quiet) if quiet_text is None else quiet_text, **implies)
-
-    upset = true(sentiment <= F.lit(limits.strong_negative_sentiment))
+        texts = {"fired_text": "", "quiet_text": q(quiet)} | {k: more.pop(k) for k in list(more) if k.endswith("_text")}
+        if not texts["fired_text"]:
+            texts["fired_text"] = fill(hot, **words, limit=q(str(float(limit))))
+        return Rule(name, fired, **texts, **more)
+
     mapped, unmapped = RULE_TEXT["base_category_priority"]
-    base = lookup(category, vocab.BASE_PRIORITY)
-    high = F.lit(2)
+    base = f"coalesce({lookup(category, vocab.BASE_PRIORITY)}, 'Medium')"
+    upset = true(f"{sentiment} <= {limits.strong_negative_sentiment}")
+    vip = true(f"order_value >= {limits.high_value_order} AND customer_segment = 'VIP'")
+    unsure = f"({category} IS NOT NULL AND ({confidence} IS NULL OR {confidence} < {limits.low_confidence}))"
+    low_text = fill(RULE_TEXT["low_confidence"][0], **words, limit=q(str(float(limits.low_confidence))))
+    no_order = f"({true(f'{category} IN {listed(vocab.ORDER_DEPENDENT)}')} AND order_id IS NULL)"
+    glad = limits.conflict_positive_sentiment
     return [
         rule(
             "base_category_priority",
-            F.lit(True),
-            F.when(category.isNull(), F.lit(unmapped)).otherwise(fill(mapped, category=category, base=F.coalesce(base, F.lit("Medium")))),
-            F.lit(unmapped),
-            floor=F.coalesce(priority_score(base), F.lit(1)),
-        ),
-        rule("strong_negative_sentiment_priority", upset, limit=limits.strong_negative_sentiment, floor=high),
-        rule(
-            "high_value_vip_order_priority",
-            true((value >= F.lit(limits.high_value_order)) & (F.col("customer_segment") == "VIP")),
-            limit=limits.high_value_order,
-            floor=high,
+            "true",
+            fired_text=f"CASE WHEN {category} IS NULL THEN {q(unmapped)} ELSE {fill(mapped, category=category, base=base)} END",
+            floor=priority_score(base),
         ),
-        rule("missing_classification", category.isNull(), forces_review=True),
+        rule("strong_negative_sentiment_priority", upset, limits.strong_negative_sentiment, floor="2"),
+        rule("high_value_vip_order_priority", vip, limits.high_value_order, floor="2"),
+        rule("missing_classification", f"({category} IS NULL)", forces_review=True),
         rule(
             "low_confidence",
-            category.isNotNull() & (confidence.isNull() | true(confidence < F.lit(limits.low_confidence))),
-            F.when(confidence.isNull(), F.lit(vocab.NO_CONFIDENCE_RECORDED)).otherwise(
-                fill(RULE_TEXT["low_confidence"][0], confidence=number_text(confidence), limit=F.lit(str(float(limits.low_confidence))))
-            ),
-            F.when(category.isNull(), F.lit(vocab.NO_CATEGORY_TO_ASSESS)).otherwise(F.lit(RULE_TEXT["low_confidence"][1])),
+            unsure,
+            fired_text=f"CASE WHEN {confidence} IS NULL THEN {q(vocab.NO_CONFIDENCE_RECORDED)} ELSE {low_text} END",
+            quiet_text=f"CASE WHEN {category} IS NULL THEN {q(vocab.NO_CATEGORY_TO_ASSESS)} "
+            f"ELSE {q(RULE_TEXT['low_confidence'][1])} END",
             forces_review=True,
         ),
-        rule("sensitive_category", true(category.isin(vocab.SENSITIVE)), forces_review=True),
-        rule("strong_negative_sentiment_review", upset, limit=limits.strong_negative_sentiment, forces_review=True),
-        rule(
-            "missing_order_context",
-            true(category.isin(vocab.ORDER_DEPENDENT)) & F.col("order_id").isNull(),
-            forces_review=True,
-            conflict=True,
-        ),
+        rule("sensitive_category", true(f"{category} IN {listed(vocab.SENSITIVE)}"), forces_review=True),
+        rule("strong_negative_sentiment_review", upset, limits.strong_negative_sentiment, forces_review=True),
+        rule("missing_order_context", no_order, forces_review=True, conflict=True),
         rule(
             "sentiment_category_conflict",
-            true((category == "Complaint") & (sentiment > F.lit(limits.conflict_positive_sentiment))),
-            limit=limits.conflict_positive_sentiment,
+            true(f"{category} = 'Complaint' AND {sentiment} > {glad}"),
+            glad,
             forces_review=True,
             conflict=True,
         ),
     ]
 
 
-def _any(conditions: list[Column]) -> Column:
-    found = F.lit(False)
-    for c in conditions:
-        found = found | c
-    return found
-
-
 def route_tickets(context: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
     """Context rows plus the decision columns; never shuffles, never drops a row.
 
@@ -144,35 +137,25 @@ def route_tickets(context: DataFrame, limits: Thresholds = DEFAULTS) -> DataFram
     ``fallback_invalid_input``. It never fails open to Automated.
     """
     nine = rules(limits)
-    errors = routing_errors(
-        F.col("ai_predicted_category"),
-        F.col("classification_confidence"),
-        F.col("sentiment_score"),
-        F.col("order_value"),
-        F.col("customer_segment"),
-        F.col("ticket_id"),
+    invalid = "size(validation_errors) > 0"
+    floors = ", ".join(f"CASE WHEN {r.fired} THEN {r.floor} ELSE -1 END" for r in nine if r.floor)
+    review = any_of(r.fired for r in nine if r.forces_review)
+    reason = f"array(concat({q(vocab.RULE_FALLBACK_REASON)}, array_join(validation_errors, '; ')))"
+    columns = {
+        "is_fallback": invalid,
+        "final_priority": f"CASE WHEN {invalid} THEN 'Medium' ELSE {priority_of(f'greatest({floors})')} END",
+        "decision_path": f"CASE WHEN {invalid} OR {review} THEN {q(vocab.HUMAN_REVIEW)} ELSE {q(vocab.AUTOMATED)} END",
+        "triggered_rules": f"CASE WHEN {invalid} THEN array({q(vocab.FALLBACK_RULE)}) "
+        f"ELSE {kept(f'CASE WHEN {r.fired} THEN {q(r.name)} END' for r in nine)} END",
+        "reasons": f"CASE WHEN {invalid} THEN {reason} "
+        f"ELSE {kept(f'CASE WHEN {r.fired} THEN {r.fired_text} END' for r in nine)} END",
+        "conflicting_signals": f"NOT {invalid} AND {any_of(r.fired for r in nine if r.conflict)}",
+    }
+    return (
+        context.withColumn("validation_errors", F.expr(routing_errors()))
+        .withColumns({n: F.expr(e) for n, e in columns.items()})
+        .withColumn("recommended_action", F.expr(recommended_action("decision_path", "final_priority")))
     )
-    floors = [F.when(r.fired, r.floor).otherwise(F.lit(-1)) for r in nine if r.floor is not None]
-    invalid = F.size(F.col("validation_errors")) > 0
-    decided = context.withColumn("validation_errors", errors).withColumns(
-        {
-            "is_fallback": invalid,
-            "final_priority": F.when(invalid, F.lit("Medium")).otherwise(priority_of(F.greatest(*floors))),
-            "decision_path": F.when(
-                invalid | _any([r.fired for r in nine if r.forces_review]), F.lit(vocab.HUMAN_REVIEW)
-            ).otherwise(F.lit(vocab.AUTOMATED)),
-            "triggered_rules": F.when(invalid, F.array(F.lit(vocab.FALLBACK_RULE))).otherwise(
-                kept(*[F.when(r.fired, F.lit(r.name)) for r in nine])
-            ),
-            "reasons": F.when(
-                invalid,
-                F.array(F.concat(F.lit(vocab.RULE_FALLBACK_REASON), F.array_join("validation_errors", "; "))),
-            ).otherwise(kept(*[F.when(r.fired, r.fired_text) for r in nine])),
-            "conflicting_signals": ~invalid & _any([r.fired for r in nine if r.conflict]),
-        }
-    )
-    action = recommended_action(F.col("decision_path"), F.col("final_priority"))
-    return decided.withColumn("recommended_action", action)
 
 
 def rule_outcomes(context: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
@@ -180,33 +163,19 @@ def rule_outcomes(context: DataFrame, limits: Thresholds = DEFAULTS) -> DataFram
 
     Rows that fail the input checks have no outcomes: no rule looked at them.
     """
-    outcomes = [
-        F.struct(
-            F.lit(i).alias("rule_no"),
-            F.lit(r.name).alias("rule_name"),
-            r.fired.alias("triggered"),
-            F.when(r.fired, r.fired_text).otherwise(r.quiet_text).alias("detail"),
-            (F.when(r.fired, priority_of(r.floor)) if r.floor is not None else F.lit(None).cast("string")).alias("priority_floor"),
-            (r.fired & F.lit(r.forces_review)).alias("forces_human_review"),
-            (r.fired & F.lit(r.conflict)).alias("is_conflict_signal"),
-        )
+    outcomes = ", ".join(
+        f"named_struct('rule_no', {i}, 'rule_name', {q(r.name)}, 'triggered', {r.fired}, "
+        f"'detail', CASE WHEN {r.fired} THEN {r.fired_text} ELSE {r.quiet_text} END, "
+        f"'priority_floor', {f'CASE WHEN {r.fired} THEN {priority_of(r.floor)} END' if r.floor else 'CAST(NULL AS STRING)'}, "
+        f"'forces_human_review', {r.fired} AND {str(r.forces_review).lower()}, "
+        f"'is_conflict_signal', {r.fired} AND {str(r.conflict).lower()})"
         for i, r in enumerate(rules(limits), 1)
-    ]
-    valid = F.size(
-        routing_errors(
-            F.col("ai_predicted_category"),
-            F.col("classification_confidence"),
-            F.col("sentiment_score"),
-            F.col("order_value"),
-            F.col("customer_segment"),
-            F.col("ticket_id"),
-        )
-    ) == 0
-    return context.where(valid).select("ticket_id", F.inline(F.array(*outcomes)))
+    )
+    return context.where(f"size({routing_errors()}) = 0").selectExpr("ticket_id", f"inline(array({outcomes}))")
 
 
 def decision_updates(decided: DataFrame, run_at: Column) -> DataFrame:
     """Update rows for the write-back; rows without an id match no ticket and stay out."""
-    return decided.where(F.col("ticket_id").isNotNull()).select(
+    return decided.where("ticket_id IS NOT NULL").select(
         "ticket_id", "final_priority", "decision_path", run_at.alias("rule_decision_at")
     )

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.functions.labels import not_available
 from ticketloom.functions.numeric import half_up_ratio, pct
+from ticketloom.functions.sql import q
 from ticketloom.operators.medians import exact_median
 from ticketloom.operators.quality import grain
 from ticketloom.operators.views import STATUS_COLUMNS
@@ -19,9 +20,9 @@ MEDIAN_TOLERANCE = Decimal("0.02")
 SUM_TOLERANCE = Decimal("0.05")
 
 
-def agree(a: Column, b: Column, tolerance: Decimal) -> Column:
+def agree(a: str, b: str, tolerance: Decimal) -> str:
     """Within the tolerance; two NULLs agree, NULL and a number do not."""
-    return F.coalesce(F.abs(a - b) <= F.lit(tolerance), a.isNull() & b.isNull())
+    return f"coalesce(abs({a} - {b}) <= {tolerance}, {a} IS NULL AND {b} IS NULL)"
 
 
 def fact_summary(fact: DataFrame) -> DataFrame:
@@ -29,12 +30,65 @@ def fact_summary(fact: DataFrame) -> DataFrame:
     counts = fact.agg(
         F.count("first_response_minutes").alias("n_first_response"), F.count("resolution_hours").alias("n_resolved")
     )
-    grained = grain(fact).select(F.struct("n", "d"))
-    row = counts.withColumn("_grain", grained.scalar())
+    extra = {"_grain": grain(fact).select(F.struct("n", "d")).scalar()}
     for name, column in (("median_first_response", "first_response_minutes"), ("median_resolution", "resolution_hours")):
-        middle = exact_median(fact, F.col(column) * 100).select(half_up_ratio(F.col("median_twice"), F.lit(200), 3))
-        row = row.withColumn(name, middle.scalar())
-    return row.select("_grain.n", "_grain.d", "n_first_response", "n_resolved", "median_first_response", "median_resolution")
+        middle = exact_median(fact, F.col(column) * 100)
+        extra[name] = middle.selectExpr(half_up_ratio("median_twice", "200", 3)).scalar()
+    return counts.withColumns(extra).select(
+        "_grain.n", "_grain.d", "n_first_response", "n_resolved", "median_first_response", "median_resolution"
+    )
+
+
+def metric_checks(percentages: list[str]) -> list[tuple[str, str, str]]:
+    """``(check, condition of failure, detail)`` over the columns c, r, p, o (the views) and s (the fact summary)."""
+
+    def rate(name: str, stated: str, num: str, den: str) -> tuple[str, str, str]:
+        return name, f"NOT {agree(stated, pct(num, den), PCT_TOLERANCE)}", q(f"{name} disagrees with its counts")
+
+    decided, processed = "r.tickets_with_rule_decision", "p.response_processed"
+    status_sum = "(" + " + ".join(f"p.{n}" for n, _ in STATUS_COLUMNS.values()) + ")"
+    checks = [
+        ("ticket_grain", "s.n <> s.d", "concat(s.n, ' fact rows, ', s.d, ' distinct tickets')"),
+        ("ticket_grain_vs_total", "s.n <> c.total_tickets", "concat(s.n, ' fact rows, total_tickets ', c.total_tickets)"),
+        ("classification_counts", "c.classified_tickets + c.unclassified_tickets <> c.total_tickets",
+         "'classified + unclassified <> total_tickets'"),
+        rate("classification_coverage_pct", "c.classification_coverage_pct", "c.classified_tickets", "c.total_tickets"),
+        rate("low_confidence_rate_pct", "c.low_confidence_rate_pct", "c.low_confidence_tickets", "c.confidence_available"),
+        rate("exact_category_match_rate_pct", "c.exact_category_match_rate_pct", "c.exact_category_matches", "c.classified_tickets"),
+        ("exact_category_matches", "c.exact_category_matches > c.classified_tickets", "'more matches than classified tickets'"),
+        ("rule_decision_counts", f"r.automated_decisions + r.human_review_decisions <> {decided}",
+         "'automated + human review <> decided'"),
+        rate("automated_rate_pct", "r.automated_rate_pct", "r.automated_decisions", decided),
+        rate("human_review_rate_pct", "r.human_review_rate_pct", "r.human_review_decisions", decided),
+        rate("urgent_human_review_rate_pct", "r.urgent_human_review_rate_pct", "r.urgent_human_review", decided),
+        ("urgent_human_review", "r.urgent_human_review > r.human_review_decisions", "'more urgent reviews than reviews'"),
+        ("decision_rates_sum", f"abs(r.automated_rate_pct + r.human_review_rate_pct - 100) > {SUM_TOLERANCE}",
+         "'automated_rate_pct + human_review_rate_pct <> 100'"),
+        ("response_status_counts", f"{status_sum} <> {processed}",
+         f"concat('statuses sum to ', {status_sum}, ', processed is ', {processed})"),
+        ("response_processed_partition", f"{processed} + p.response_not_processed <> p.total_tickets",
+         "'processed + not processed <> total_tickets'"),
+        rate("response_processed_rate_pct", "p.response_processed_rate_pct", processed, "p.total_tickets"),
+        *[rate(share, f"p.{share}", f"p.{count}", processed) for count, share in STATUS_COLUMNS.values()],
+        *[
+            (name, f"NOT {agree(f'o.{name}', f's.{median}', MEDIAN_TOLERANCE)}", q(f"{name} disagrees with the fact rows"))
+            for name, median in (
+                ("median_first_response_minutes", "median_first_response"),
+                ("median_resolution_hours", "median_resolution"),
+            )
+        ],
+        ("first_response_count", "o.tickets_with_first_response <> s.n_first_response",
+         "'tickets_with_first_response disagrees with the fact rows'"),
+        ("resolved_count", "o.resolved_tickets <> s.n_resolved", "'resolved_tickets disagrees with the fact rows'"),
+    ]
+    short = {"classification": "c", "rule_decisions": "r", "responses": "p"}
+    for path in percentages:
+        block, name = path.split(".")
+        value = f"{short[block]}.{name}"
+        checks.append((path, f"{value} < 0 OR {value} > 100", f"concat('percentage out of range: ', {value})"))
+    for name in ("avg_first_response_minutes", "median_first_response_minutes", "avg_resolution_hours", "median_resolution_hours"):
+        checks.append((f"operational.{name}", f"o.{name} < 0", f"concat('negative duration: ', o.{name})"))
+    return checks
 
 
 def check_metrics(metrics: DataFrame, summary: DataFrame) -> DataFrame:
@@ -43,67 +97,21 @@ def check_metrics(metrics: DataFrame, summary: DataFrame) -> DataFrame:
     ``metrics`` is the one-row frame of the four views, ``summary`` that of
     ``fact_summary``.
     """
-    row = metrics.withColumn("s", summary.select(F.struct("*")).scalar())
-    c = lambda n: F.col(f"classification.{n}")
-    r = lambda n: F.col(f"rule_decisions.{n}")
-    p = lambda n: F.col(f"responses.{n}")
-    o = lambda n: F.col(f"operational.{n}")
-    s = lambda n: F.col(f"s.{n}")
-    text = lambda v: v.cast("string")
-    found: list[tuple[str, Column, Column]] = []
-
-    def check(name: str, bad: Column, *detail: Column | str) -> None:
-        parts = [F.lit(d) if isinstance(d, str) else text(d) for d in detail]
-        found.append((name, bad, F.concat(*parts)))
-
-    def rate(name: str, stated: Column, num: Column, den: Column) -> None:
-        check(name, ~agree(stated, pct(num, den), PCT_TOLERANCE), name, " disagrees with its counts")
-
-    check("ticket_grain", s("n") != s("d"), s("n"), " fact rows, ", s("d"), " distinct tickets")
-    check("ticket_grain_vs_total", s("n") != c("total_tickets"), s("n"), " fact rows, total_tickets ", c("total_tickets"))
-    check("classification_counts", c("classified_tickets") + c("unclassified_tickets") != c("total_tickets"),
-          "classified + unclassified <> total_tickets")
-    rate("classification_coverage_pct", c("classification_coverage_pct"), c("classified_tickets"), c("total_tickets"))
-    rate("low_confidence_rate_pct", c("low_confidence_rate_pct"), c("low_confidence_tickets"), c("confidence_available"))
-    rate("exact_category_match_rate_pct", c("exact_category_match_rate_pct"), c("exact_category_matches"), c("classified_tickets"))
-    check("exact_category_matches", c("exact_category_matches") > c("classified_tickets"), "more matches than classified tickets")
-    decided = r("tickets_with_rule_decision")
-    check("rule_decision_counts", r("automated_decisions") + r("human_review_decisions") != decided,
-          "automated + human review <> decided")
-    rate("automated_rate_pct", r("automated_rate_pct"), r("automated_decisions"), decided)
-    rate("human_review_rate_pct", r("human_review_rate_pct"), r("human_review_decisions"), decided)
-    rate("urgent_human_review_rate_pct", r("urgent_human_review_rate_pct"), r("urgent_human_review"), decided)
-    check("urgent_human_review", r("urgent_human_review") > r("human_review_decisions"), "more urgent reviews than reviews")
-    check("decision_rates_sum",
-          F.abs(r("automated_rate_pct") + r("human_review_rate_pct") - F.lit(100)) > F.lit(SUM_TOLERANCE),
-          "automated_rate_pct + human_review_rate_pct <> 100")
-    processed = p("response_processed")
-    status_sum = sum((p(n) for n, _ in STATUS_COLUMNS.values()), F.lit(0))
-    check("response_status_counts", status_sum != processed, "statuses sum to ", status_sum, ", processed is ", processed)
-    check("response_processed_partition", processed + p("response_not_processed") != p("total_tickets"),
-          "processed + not processed <> total_tickets")
-    rate("response_processed_rate_pct", p("response_processed_rate_pct"), processed, p("total_tickets"))
-    for count, share in STATUS_COLUMNS.values():
-        rate(share, p(share), p(count), processed)
-    for name, median in (("median_first_response_minutes", "median_first_response"), ("median_resolution_hours", "median_resolution")):
-        check(name, ~agree(o(name), s(median), MEDIAN_TOLERANCE), name, " disagrees with the fact rows")
-    check("first_response_count", o("tickets_with_first_response") != s("n_first_response"), "tickets_with_first_response disagrees with the fact rows")
-    check("resolved_count", o("resolved_tickets") != s("n_resolved"), "resolved_tickets disagrees with the fact rows")
-    for block in ("classification", "rule_decisions", "responses"):
-        for field in metrics.schema[block].dataType.fieldNames():
-            if field.endswith("_pct"):
-                value = F.col(f"{block}.{field}")
-                check(f"{block}.{field}", (value < 0) | (value > 100), "percentage out of range: ", value)
-    for field in ("avg_first_response_minutes", "median_first_response_minutes", "avg_resolution_hours", "median_resolution_hours"):
-        check(f"operational.{field}", o(field) < 0, "negative duration: ", o(field))
-    entries = F.array(
-        *[F.when(bad, F.struct(F.lit(name).alias("check"), detail.alias("detail"))) for name, bad, detail in found]
+    row = metrics.withColumn("s", summary.select(F.struct("*")).scalar()).selectExpr(
+        "classification AS c", "rule_decisions AS r", "responses AS p", "operational AS o", "s"
     )
-    return (
-        row.select(F.explode(entries).alias("issue"))
-        .where(F.col("issue").isNotNull())
-        .select(F.lit("ERROR").alias("severity"), "issue.check", "issue.detail")
+    percentages = [
+        f"{block}.{f}"
+        for block in ("classification", "rule_decisions", "responses")
+        for f in metrics.schema[block].dataType.fieldNames()
+        if f.endswith("_pct")
+    ]
+    entries = ", ".join(
+        f"CASE WHEN {bad} THEN named_struct('check', {q(name)}, 'detail', {detail}) END"
+        for name, bad, detail in metric_checks(percentages)
     )
+    issues = row.selectExpr(f"explode(array({entries})) AS issue").where("issue IS NOT NULL")
+    return issues.select(F.lit("ERROR").alias("severity"), "issue.check", "issue.detail")
 
 
 # (block, metric) pairs shown in the summary.
@@ -133,15 +141,9 @@ SUMMARY = [
 
 def summarize(metrics: DataFrame) -> DataFrame:
     """``(block, metric, value, shown)``: NULL metrics are shown as NOT AVAILABLE, never as 0."""
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(block).alias("block"),
-                F.lit(metric).alias("metric"),
-                F.col(f"{block}.{metric}").cast("double").alias("value"),
-                not_available(F.col(f"{block}.{metric}")).alias("shown"),
-            )
-            for block, metric in SUMMARY
-        ]
+    entries = ", ".join(
+        f"named_struct('block', {q(block)}, 'metric', {q(metric)}, 'value', CAST({block}.{metric} AS DOUBLE), "
+        f"'shown', {not_available(f'{block}.{metric}')})"
+        for block, metric in SUMMARY
     )
-    return metrics.select(F.inline(entries))
+    return metrics.selectExpr(f"inline(array({entries}))")

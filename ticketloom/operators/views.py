@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketloom import vocab
@@ -19,6 +19,7 @@ from ticketloom.functions.numeric import (
     micros_between,
     pct,
 )
+from ticketloom.functions.sql import q
 from ticketloom.operators.joins import lookup_join
 from ticketloom.operators.medians import exact_median
 from ticketloom.vocab import DEFAULTS, Thresholds
@@ -85,51 +86,51 @@ def ticket_fact(tickets: DataFrame, customers: DataFrame, orders: DataFrame) ->
         "expected_delivery_date",
         "actual_delivery_date",
         F.datediff("actual_delivery_date", "expected_delivery_date").alias("delivery_delay_days"),
-        *[duration(micros_between(start, end), unit).alias(name) for name, start, end, unit in DURATIONS],
-        priority_score(F.col("final_priority")).alias("final_priority_score"),
-        recommended_action(F.col("decision_path"), F.col("final_priority")).alias("recommended_action"),
+        *[F.expr(duration(micros_between(start, end), unit)).alias(name) for name, start, end, unit in DURATIONS],
+        F.expr(priority_score("final_priority")).alias("final_priority_score"),
+        F.expr(recommended_action("decision_path", "final_priority")).alias("recommended_action"),
     )
 
 
-Reader = Callable[[str], Column]
+Reader = Callable[[str], str]
 
 
 @dataclass(frozen=True)
 class MetricView:
-    """A one-row view: named aggregates, and its columns over their results.
+    """A one-row view: named aggregates, and its columns over their results, as SQL text.
 
     The two parts are apart so that several views can share one scan.
     """
 
-    aggregates: dict[str, Column]
-    columns: Callable[[Reader], dict[str, Column]]
+    aggregates: dict[str, str]
+    columns: Callable[[Reader], dict[str, str]]
     medians: dict[str, tuple[str, int]] = field(default_factory=dict)
 
 
 def classification_view(limits: Thresholds = DEFAULTS) -> MetricView:
-    predicted, confidence = F.col("ai_predicted_category"), F.col("classification_confidence")
+    confidence = "classification_confidence"
     return MetricView(
         {
-            "total": F.count(F.lit(1)),
-            "classified": F.count(predicted),
-            "confident": F.count(confidence),
-            "low": F.count_if(confidence < F.lit(limits.low_confidence)),
-            "mills": exact_sum(confidence * 1000),
-            "least": F.min(confidence),
-            "most": F.max(confidence),
-            "matches": F.count_if(predicted == F.col("category")),
+            "total": "count(1)",
+            "classified": "count(ai_predicted_category)",
+            "confident": f"count({confidence})",
+            "low": f"count_if({confidence} < {limits.low_confidence})",
+            "mills": exact_sum(f"{confidence} * 1000"),
+            "least": f"min({confidence})",
+            "most": f"max({confidence})",
+            "matches": "count_if(ai_predicted_category = category)",
         },
         lambda c: {
             "total_tickets": c("total"),
             "classified_tickets": c("classified"),
-            "unclassified_tickets": c("total") - c("classified"),
+            "unclassified_tickets": f"{c('total')} - {c('classified')}",
             "classification_coverage_pct": pct(c("classified"), c("total")),
             "confidence_available": c("confident"),
             "low_confidence_tickets": c("low"),
             "low_confidence_rate_pct": pct(c("low"), c("confident")),
-            "average_confidence": half_up_ratio(c("mills"), c("confident") * 1000, 4),
-            "minimum_confidence": F.round(c("least"), 4),
-            "maximum_confidence": F.round(c("most"), 4),
+            "average_confidence": half_up_ratio(c("mills"), f"({c('confident')} * 1000)", 4),
+            "minimum_confidence": f"round({c('least')}, 4)",
+            "maximum_confidence": f"round({c('most')}, 4)",
             "exact_category_matches": c("matches"),
             "exact_category_match_rate_pct": pct(c("matches"), c("classified")),
         },
@@ -137,19 +138,18 @@ def classification_view(limits: Thresholds = DEFAULTS) -> MetricView:
 
 
 def rule_decision_view() -> MetricView:
-    path, priority = F.col("decision_path"), F.col("final_priority")
-    score = priority_score(priority)
-    human = path == vocab.HUMAN_REVIEW
+    human = f"decision_path = {q(vocab.HUMAN_REVIEW)}"
+    score = priority_score("final_priority")
     return MetricView(
         {
-            "total": F.count(F.lit(1)),
-            "decided": F.count(path),
-            "automated": F.count_if(path == vocab.AUTOMATED),
-            "human": F.count_if(human),
-            "urgent": F.count_if(human & priority.isin("High", "Urgent")),
-            "prioritised": F.count(priority),
-            "score_sum": F.sum(score),
-            "scored": F.count(score),
+            "total": "count(1)",
+            "decided": "count(decision_path)",
+            "automated": f"count_if(decision_path = {q(vocab.AUTOMATED)})",
+            "human": f"count_if({human})",
+            "urgent": f"count_if({human} AND final_priority IN ('High', 'Urgent'))",
+            "prioritised": "count(final_priority)",
+            "score_sum": f"sum({score})",
+            "scored": f"count({score})",
         },
         lambda c: {
             "total_tickets": c("total"),
@@ -176,14 +176,13 @@ STATUS_COLUMNS = {
 
 
 def response_view() -> MetricView:
-    status = F.col("response_status")
     return MetricView(
-        {"total": F.count(F.lit(1)), "processed": F.count(status)}
-        | {value: F.count_if(status == value) for value in STATUS_COLUMNS},
+        {"total": "count(1)", "processed": "count(response_status)"}
+        | {value: f"count_if(response_status = {q(value)})" for value in STATUS_COLUMNS},
         lambda c: {
             "total_tickets": c("total"),
             "response_processed": c("processed"),
-            "response_not_processed": c("total") - c("processed"),
+            "response_not_processed": f"{c('total')} - {c('processed')}",
         }
         | {n: c(value) for value, (n, _) in STATUS_COLUMNS.items()}
         | {"response_processed_rate_pct": pct(c("processed"), c("total"))}
@@ -202,16 +201,16 @@ LATENCIES = [
 
 
 def operational_view() -> MetricView:
-    aggregates = {"total": F.count(F.lit(1))}
+    aggregates = {"total": "count(1)"}
     for end, *_ in LATENCIES:
-        aggregates[f"n_{end}"] = F.count(end)
+        aggregates[f"n_{end}"] = f"count({end})"
         aggregates[f"sum_{end}"] = exact_sum(micros_between("created_at", end))
 
-    def columns(c: Reader) -> dict[str, Column]:
+    def columns(c: Reader) -> dict[str, str]:
         out = {"total_tickets": c("total")}
         for end, n, average, median, unit in LATENCIES:
             out[n] = c(f"n_{end}")
-            out[average] = half_up_ratio(c(f"sum_{end}"), c(f"n_{end}").cast("decimal(18,0)") * F.lit(unit), 2)
+            out[average] = half_up_ratio(c(f"sum_{end}"), f"(CAST({c(f'n_{end}')} AS DECIMAL(18,0)) * {unit})", 2)
             if median:
                 out[median] = c(median)
         return out
@@ -225,24 +224,20 @@ def evaluate_views(tickets: DataFrame, views: dict[str, MetricView]) -> DataFram
     Exact medians take their own passes over two timestamp columns.
     """
     row = tickets.agg(
-        *[a.alias(f"{view}_{name}") for view, v in views.items() for name, a in v.aggregates.items()]
+        *[F.expr(a).alias(f"{view}_{name}") for view, v in views.items() for name, a in v.aggregates.items()]
     )
+    medians = {}
     for view, v in views.items():
         for name, (end, unit) in v.medians.items():
-            middle = exact_median(tickets, micros_between("created_at", end)).select(
-                half_up_ratio(F.col("median_twice"), F.lit(2 * unit), 2)
-            )
-            row = row.withColumn(f"{view}_{name}", middle.scalar())
-
-    def reader(view: str) -> Reader:
-        return lambda name: F.col(f"{view}_{name}")
-
-    return row.select(
-        *[
-            F.struct(*[c.alias(n) for n, c in v.columns(reader(view)).items()]).alias(view)
-            for view, v in views.items()
-        ]
-    )
+            middle = exact_median(tickets, F.expr(micros_between("created_at", end)))
+            medians[f"{view}_{name}"] = middle.selectExpr(half_up_ratio("median_twice", str(2 * unit), 2)).scalar()
+    if medians:
+        row = row.withColumns(medians)
+    structs = []
+    for view, v in views.items():
+        fields = ", ".join(f"{q(n)}, {e}" for n, e in v.columns(lambda name: f"{view}_{name}").items())
+        structs.append(f"named_struct({fields}) AS {view}")
+    return row.selectExpr(*structs)
 
 
 def _one(tickets: DataFrame, view: MetricView) -> DataFrame:

@@ -7,12 +7,13 @@ so the model is deterministic, and it grows with the tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketloom import vocab
 from ticketloom.operators.responses import decide_responses
 from ticketloom.operators.routing import route_tickets
+from ticketloom.session import shared_folder
 
 
 def _pick(selector: str, values: list[str]) -> str:
@@ -259,6 +260,10 @@ def replace(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.selectExpr(*[f"{_spark_sql(columns[c])} AS {c}" if c in columns else c for c in df.columns])
 
 
+# Folders of the stored stages, by application, directory and stage.
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
 class Model:
     """The tables over one test-data directory; everything is lazy."""
 
@@ -321,16 +326,26 @@ class Model:
         """Full ticket rows with their decisions side by side."""
         return route_tickets(self._joined().drop("decision_path"))
 
+    def _stored(self, name: str, build) -> DataFrame:
+        """A stage's result as a stored table, written once per application in the shared folder."""
+        key = (self.spark.sparkContext.applicationId, self.directory, name)
+        if key not in _STORED:
+            folder = shared_folder(self.spark, name)
+            build().write.parquet(folder)
+            _STORED[key] = folder
+        return self.spark.read.parquet(_STORED[key])
+
+    def _decide(self) -> DataFrame:
+        done = F.expr(DECIDED)
+        return self.routed().select(
+            *[c for c in TICKETS if c != "decision_path"],
+            *[F.when(done, F.col(c)).alias(c) for c in ("final_priority", "decision_path")],
+            F.when(done, F.expr(RULE_DECISION_AT)).alias("rule_decision_at"),
+        )
+
     def decided_tickets(self) -> DataFrame:
         """Tickets as stored after routing: some are not decided yet."""
-        done = F.expr(DECIDED)
-        return self.routed().withColumns(
-            {
-                "final_priority": F.when(done, F.col("final_priority")),
-                "decision_path": F.when(done, F.col("decision_path")),
-                "rule_decision_at": F.when(done, F.expr(RULE_DECISION_AT)),
-            }
-        ).drop("validation_errors", "triggered_rules", "reasons", "conflicting_signals", "is_fallback", "recommended_action")
+        return self._stored("decided-tickets", self._decide)
 
     def responded(self) -> DataFrame:
         """Stored-decision rows with the response decision side by side, drafts from the planted generations."""
@@ -339,15 +354,19 @@ class Model:
         )
         return decide_responses(context, generations=context)
 
+    def _respond(self) -> DataFrame:
+        done = F.expr(PROCESSED)
+        return self.responded().select(
+            *TICKETS,
+            "final_priority",
+            "rule_decision_at",
+            *[F.when(done, F.col(c)).alias(c) for c in ("response_status", "response_type", "response_draft")],
+            F.when(done, F.expr(RESPONSE_AT)).alias("response_generated_at"),
+        )
+
     def stored_tickets(self) -> DataFrame:
         """Tickets as stored after all stages: some are not processed yet."""
-        done = F.expr(PROCESSED)
-        decided = self.responded()
-        columns: dict[str, Column] = {c: F.col(c) for c in TICKETS}
-        columns |= {c: F.col(c) for c in ("final_priority", "rule_decision_at")}
-        columns |= {c: F.when(done, F.col(c)).alias(c) for c in ("response_status", "response_type", "response_draft")}
-        columns["response_generated_at"] = F.when(done, F.expr(RESPONSE_AT)).alias("response_generated_at")
-        return decided.select(*columns.values())
+        return self._stored("stored-tickets", self._respond)
 
     def broken_stored_tickets(self) -> DataFrame:
         return replace(self.stored_tickets(), BROKEN_STORED)
