@@ -58,6 +58,17 @@ def fill(template: str, **values: str) -> str:
     return f"concat({', '.join(parts)})"
 
 
+def settled(columns: Mapping[str, str]) -> str:
+    """Computed columns as a generator of one row.
+
+    A filter on a plain computed column is pushed below the projection with
+    the whole expression copied in; nested ones grow exponentially. It stays
+    above a generator and reads the value. Only for columns that decide, since
+    a generator computes all of them.
+    """
+    return "inline(array(named_struct(" + ", ".join(f"{q(n)}, {e}" for n, e in columns.items()) + ")))"
+
+
 def as_list(columns: Mapping[str, str]) -> list[str]:
     """``{name: expression}`` as arguments of ``selectExpr``."""
     return [f"{e} AS {n}" for n, e in columns.items()]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketloom import vocab
 from ticketloom.functions.jsonfields import field, json_object, lenient_boolean, lenient_double, lenient_long
-from ticketloom.functions.sql import fill, listed, true
+from ticketloom.functions.sql import fill, listed, settled, true
 
 
 def classification_prompt(message: str) -> str:
@@ -68,13 +68,13 @@ def validate_classifications(outputs: DataFrame) -> DataFrame:
         {"_document": json_object("tool_input_json")},
         {f"_{name}": field("_document", name) for name in FIELDS},
         typed,
-        {"error_type": error},
-        result,
     ]
     rows = outputs
     for step in steps:
         rows = rows.withColumns({n: F.expr(e) for n, e in step.items()})
-    return rows.drop("_document", *[f"_{name}" for name in FIELDS], *typed)
+    rows = rows.selectExpr("*", settled({"_error": error})).withColumn("error_type", F.col("_error"))
+    rows = rows.withColumns({n: F.expr(e) for n, e in result.items()})
+    return rows.drop("_document", "_error", *[f"_{name}" for name in FIELDS], *typed)
 
 
 def classification_updates(validated: DataFrame, run_at: Column) -> DataFrame:

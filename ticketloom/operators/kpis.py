@@ -12,7 +12,7 @@ from ticketloom import vocab
 from ticketloom.functions.labels import confidence_bucket
 from ticketloom.functions.numeric import MICROS_PER_HOUR, exact_sum, half_up_ratio, micros_between, pct
 from ticketloom.functions.sql import q
-from ticketloom.operators.medians import exact_median, exact_quantiles
+from ticketloom.operators.medians import HUNDREDTHS, exact_medians, exact_quantiles
 from ticketloom.vocab import DEFAULTS, Thresholds
 
 MONTH = "trunc(to_date(created_at), 'month')"
@@ -115,7 +115,7 @@ def service_quality(fact: DataFrame, sla_hours: int) -> DataFrame:
 def order_value_percentiles(orders: DataFrame) -> DataFrame:
     """p50, p75, p90, p95 and maximum of the order totals, exact to the interpolated cent."""
     shares = {"p50": (1, 2), "p75": (3, 4), "p90": (9, 10), "p95": (19, 20)}
-    found = exact_quantiles(orders, F.col("total_amount") * 100, shares)
+    found = exact_quantiles(orders, "total_amount * 100", shares, levels=HUNDREDTHS)
     most = orders.agg(F.max("total_amount").cast("double")).scalar()
     return found.select(F.col("n").alias("orders"), *[(F.col(p) / 100).alias(p) for p in shares], most.alias("max_value"))
 
@@ -149,11 +149,10 @@ def monthly_medians(fact: DataFrame) -> DataFrame:
     """Exact median first response and resolution per creation month."""
     monthly = fact.withColumn("month", F.expr(MONTH))
     result = summarise(monthly, {"month": "month"}, {"tickets": "count(1)"})
-    for column in ("first_response_minutes", "resolution_hours"):
-        middle = exact_median(monthly, F.col(column) * 100, ["month"], few_groups=True)
-        half = middle.selectExpr("month AS _month", f"median_twice / 200D AS median_{column}")
-        result = result.join(half, F.col("month") == F.col("_month"), "left").drop("_month")
-    return result
+    names = {f"median_{c}": f"{c} * 100" for c in ("first_response_minutes", "resolution_hours")}
+    middles = exact_medians(monthly, names, ["month"], few_groups=True, levels=HUNDREDTHS)
+    halves = middles.selectExpr("month", *[f"{n} / 200D AS {n}" for n in names])
+    return result.join(halves, "month", "left")
 
 
 def mean_duration(fact: DataFrame, column: str, by: str) -> DataFrame:

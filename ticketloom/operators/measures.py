@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from ticketloom import vocab
 from ticketloom.functions.numeric import fraction, half_up_ratio
 from ticketloom.functions.sql import as_list, q
-from ticketloom.operators.medians import exact_median
+from ticketloom.operators.medians import HUNDREDTHS, exact_medians
 from ticketloom.vocab import DEFAULTS, Thresholds
 
 # Base counts and the columns each one pins: a pinned column's own filter is
@@ -153,21 +152,16 @@ def measures_for_sets(
 
 
 def median_measures(fact: DataFrame, by: Sequence[str] = (), few_groups: bool = False) -> DataFrame:
-    """Exact medians of the 2-decimal durations per slice; NULL where none."""
+    """Ticket count and exact medians of the 2-decimal durations per slice; NULL where none."""
     by = list(by)
-    frames = []
-    for name, column in MEDIANS:
-        middle = exact_median(fact, F.col(column) * 100, by, few_groups=few_groups)
-        frames.append(middle.select(*by, (F.col("median_twice") / F.lit(200.0)).alias(name)))
-    if not by:
-        base = fact.agg(F.count(F.lit(1)).alias("total_tickets"))
-        return reduce(lambda row, f: row.withColumn(f.columns[0], f.scalar()), frames, base)
+    values = {name: f"{column} * 100" for name, column in MEDIANS}
+    middles = exact_medians(fact, values, by, few_groups=few_groups, levels=HUNDREDTHS)
+    halves = middles.selectExpr(*[f"{k} AS _of_{k}" for k in by], *[f"{n} / 200D AS {n}" for n in values])
     slices = fact.groupBy(*by).agg(F.count(F.lit(1)).alias("total_tickets"))
-    for (name, _), frame in zip(MEDIANS, frames):
-        right = frame.select(*[F.col(k).alias(f"_{k}") for k in by], name)
-        on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by])
-        slices = slices.join(right, on, "left").drop(*[f"_{k}" for k in by])
-    return slices
+    if not by:
+        return slices.withColumn("_m", halves.select(F.struct("*")).scalar()).select("total_tickets", "_m.*")
+    same = " AND ".join(f"{k} <=> _of_{k}" for k in by)
+    return slices.join(halves, F.expr(same), "left").drop(*[f"_of_{k}" for k in by])
 
 
 def texts(measured: DataFrame) -> DataFrame:

@@ -2,100 +2,110 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Bit positions at which the value is cut: each level narrows the search to
-# the bins that hold the wanted ranks. A histogram has at most 2**20 bins per
-# group for values below 2**52 (142 years in microseconds).
-LEVELS = (32, 12, 0)
+from ticketloom.functions.sql import any_of, as_list, q
+
+# Bit positions at which a value is cut: each level narrows the search to the
+# bins that hold the wanted ranks. With MICROS a histogram has at most 2**20
+# bins per group for values below 2**52 (142 years); with HUNDREDTHS at most
+# 2**16 for values below 2**32 (81 years in hundredths of a minute, or prices
+# below 42 million in cents). Larger values stay exact, with more bins.
+MICROS = (32, 12, 0)
+HUNDREDTHS = (16, 0)
 
 Share = tuple[int, int]
 
 
-def _ranks(share: Share) -> tuple[Column, Column]:
+def _ranks(share: Share) -> tuple[str, str]:
     """Zero-based ranks of the two values that the share lies between."""
     num, den = share
-    return (
-        F.expr(f"({num} * (_total - 1)) div {den}"),
-        F.expr(f"({num} * (_total - 1) + {den - 1}) div {den}"),
-    )
+    return f"(({num} * (_total - 1)) div {den})", f"(({num} * (_total - 1) + {den - 1}) div {den})"
 
 
 def ranked_values(
     df: DataFrame,
-    value: Column,
+    values: Mapping[str, str],
     shares: Sequence[Share],
     by: Sequence[str] = (),
     *,
     few_groups: bool = False,
-    levels: Sequence[int] = LEVELS,
+    levels: Sequence[int] = MICROS,
 ) -> DataFrame:
-    """``(*by, n, low_0, high_0, low_1, high_1, ...)`` of a bigint value, NULLs ignored.
+    """``(*by, measure, n, low_0, high_0, low_1, high_1, ...)`` of bigint values, NULLs ignored.
 
-    For each share (a fraction such as ``(9, 10)``) the two values that an
-    interpolated quantile lies between. A built-in percentile keeps every
+    ``values`` names the measures; all are found in the same passes. For each
+    share (a fraction such as ``(9, 10)``) the result holds the two values that
+    an interpolated quantile lies between. A built-in percentile keeps every
     distinct value of a group in one task; here each level is a histogram with
     map-side counting, and only the bins around the wanted ranks go on.
     ``few_groups`` states that the keys are bounded vocabularies (or absent):
-    then the picked bins, at most two per group and share, are broadcast and
-    the facts are not shuffled at all.
+    then the picked bins, at most two per group, measure and share, are
+    broadcast and the facts are not shuffled at all.
     """
-    by = list(by)
+    keys = [*by, "measure"]
+    entries = ", ".join(f"named_struct('measure', {q(n)}, '_v', CAST({e} AS BIGINT))" for n, e in values.items())
+    rows = df.selectExpr(*by, f"inline(array({entries}))").where("_v IS NOT NULL")
     wanted = [_ranks(s) for s in shares]
-    rows = df.select(*by, value.cast("bigint").alias("_v")).where(F.col("_v").isNotNull())
-    base, end = F.col("_base"), F.col("_base") + F.col("_n")
-    holds = F.lit(False)
-    for low, high in wanted:
-        holds = holds | ((base <= high) & (end > low))
+    holds = any_of(f"(_base <= {high} AND _base + _n > {low})" for low, high in wanted)
     picked, above = None, None
     for level in levels:
-        bin_of = F.shiftright(F.col("_v"), level)
         if picked is None:
-            counts = rows.groupBy(*by, bin_of.alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
-            counts = counts.withColumn("_total", F.sum("_n").over(Window.partitionBy(*by)))
-            counts = counts.withColumn("_base", F.lit(0).cast("bigint"))
-            scope = by
+            counts = rows.groupBy(*keys, F.expr(f"shiftright(_v, {level})").alias("_bin")).agg(F.expr("count(1)").alias("_n"))
+            whole = Window.partitionBy(*keys)
+            counts = counts.withColumns({"_total": F.sum("_n").over(whole), "_base": F.expr("0L")})
+            scope = keys
         else:
             inside = F.broadcast(picked) if few_groups or not by else picked
-            left = rows.withColumn("_outer", F.shiftright("_v", above))
-            right = inside.select(*[F.col(k).alias(f"_by_{k}") for k in by], F.col("_outer").alias("_hit"), "_base", "_total")
-            on = F.col("_outer") == F.col("_hit")
-            for k in by:
-                on = on & F.col(k).eqNullSafe(F.col(f"_by_{k}"))
+            left = rows.selectExpr("*", f"shiftright(_v, {above}) AS _outer")
+            right = inside.selectExpr(*[f"{k} AS _of_{k}" for k in keys], "_outer AS _hit", "_base", "_total")
+            same = " AND ".join(f"{k} <=> _of_{k}" for k in keys)
             counts = (
-                left.join(right, on)
-                .groupBy(*by, "_outer", "_base", "_total", bin_of.alias("_bin"))
-                .agg(F.count(F.lit(1)).alias("_n"))
+                left.join(right, F.expr(f"_outer = _hit AND {same}"))
+                .groupBy(*keys, "_outer", "_base", "_total", F.expr(f"shiftright(_v, {level})").alias("_bin"))
+                .agg(F.expr("count(1)").alias("_n"))
             )
-            scope = [*by, "_outer"]
+            scope = [*keys, "_outer"]
         running = Window.partitionBy(*scope).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
         counts = counts.withColumn("_base", F.col("_base") + F.coalesce(F.sum("_n").over(running), F.lit(0)))
-        picked = counts.where(holds).select(*by, F.col("_bin").alias("_outer"), "_base", "_n", "_total")
+        picked = counts.where(holds).selectExpr(*keys, "_bin AS _outer", "_base", "_n", "_total")
         above = level
-    at = lambda rank: F.max(F.when((base <= rank) & (end > rank), F.col("_outer")))
-    values = []
-    for i, (low, high) in enumerate(wanted):
-        values += [at(low).alias(f"low_{i}"), at(high).alias(f"high_{i}")]
-    return picked.groupBy(*by).agg(F.max("_total").alias("n"), *values)
 
+    def at(rank: str) -> str:
+        return f"max(CASE WHEN _base <= {rank} AND _base + _n > {rank} THEN _outer END)"
 
-def exact_median(df: DataFrame, value: Column, by: Sequence[str] = (), *, few_groups: bool = False) -> DataFrame:
-    """``(*by, n, median_twice)``: the sum of the two middle values, to be halved at the caller's precision."""
-    found = ranked_values(df, value, [(1, 2)], by, few_groups=few_groups)
-    return found.select(*by, "n", (F.col("low_0") + F.col("high_0")).alias("median_twice"))
+    found = {"n": "max(_total)"}
+    for i, (low, high) in enumerate(wanted):
+        found |= {f"low_{i}": at(low), f"high_{i}": at(high)}
+    return picked.groupBy(*keys).agg(*[F.expr(e).alias(n) for n, e in found.items()])
 
 
-def exact_quantiles(
-    df: DataFrame, value: Column, shares: dict[str, Share], by: Sequence[str] = (), *, few_groups: bool = False
+def exact_medians(
+    df: DataFrame,
+    values: Mapping[str, str],
+    by: Sequence[str] = (),
+    *,
+    few_groups: bool = False,
+    levels: Sequence[int] = MICROS,
 ) -> DataFrame:
-    """``(*by, n, *names)``: interpolated quantiles as doubles, in units of the value."""
-    found = ranked_values(df, value, list(shares.values()), by, few_groups=few_groups)
-    out = []
+    """``(*by, *names)``: per measure the sum of the two middle values, to be halved at the caller's precision.
+
+    Without ``by`` one row, also for no values at all.
+    """
+    found = ranked_values(df, values, [(1, 2)], by, few_groups=few_groups, levels=levels)
+    return found.groupBy(*by).agg(
+        *[F.expr(f"max(CASE WHEN measure = {q(n)} THEN low_0 + high_0 END)").alias(n) for n in values]
+    )
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: Mapping[str, Share], *, levels: Sequence[int] = MICROS) -> DataFrame:
+    """``(n, *names)``: interpolated quantiles of all rows as doubles, in units of the value."""
+    found = ranked_values(df, {"value": value}, list(shares.values()), levels=levels)
+    columns = {}
     for i, (name, (num, den)) in enumerate(shares.items()):
-        low, high = F.col(f"low_{i}"), F.col(f"high_{i}")
-        part = ((F.lit(num) * (F.col("n") - 1)) % den).cast("double") / F.lit(float(den))
-        out.append((low + (high - low) * part).alias(name))
-    return found.select(*by, "n", *out)
+        part = f"CAST(({num} * (n - 1)) % {den} AS DOUBLE) / {den}D"
+        columns[name] = f"low_{i} + (high_{i} - low_{i}) * ({part})"
+    return found.selectExpr("n", *as_list(columns))

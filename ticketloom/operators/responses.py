@@ -10,7 +10,7 @@ from ticketloom.functions.jsonfields import field, get, json_object, truthy
 from ticketloom.functions.labels import customer_facing, requires_human_review, response_type
 from ticketloom.functions.numeric import number_text
 from ticketloom.functions.safety import strip, violation_codes
-from ticketloom.functions.sql import any_of, fill, kept, listed, q, true
+from ticketloom.functions.sql import any_of, fill, kept, listed, q, settled, true
 from ticketloom.operators.routing import error, not_in, outside
 from ticketloom.vocab import DEFAULTS, Thresholds
 
@@ -91,10 +91,12 @@ def with_eligibility(context: DataFrame, limits: Thresholds = DEFAULTS, generate
     ]
     found = kept([q(vocab.RECHECK_FAILED), *[f"CASE WHEN {c} THEN {t} END" for c, t in problems]])
     valid = "size(validation_errors) = 0"
+    outcome = (
+        f"CASE WHEN NOT {valid} THEN NULL WHEN decision_path IS NULL THEN 'no_phase4_decision' "
+        f"WHEN {human} OR {unsafe} THEN 'human_review' ELSE 'automated_eligible' END"
+    )
     columns = {
         "response_type": f"CASE WHEN {valid} THEN {response_type('ai_predicted_category')} END",
-        "eligibility": f"CASE WHEN NOT {valid} THEN NULL WHEN decision_path IS NULL THEN 'no_phase4_decision' "
-        f"WHEN {human} OR {unsafe} THEN 'human_review' ELSE 'automated_eligible' END",
         "eligibility_reasons": f"CASE WHEN NOT {valid} THEN NULL "
         f"WHEN decision_path IS NULL THEN array({q(vocab.NO_DECISION_YET)}) "
         f"WHEN {human} THEN array({q(vocab.RESPECT_HUMAN_REVIEW)}) WHEN {unsafe} THEN {found} ELSE {kept(sound)} END",
@@ -102,6 +104,7 @@ def with_eligibility(context: DataFrame, limits: Thresholds = DEFAULTS, generate
     wanted = ["automated_eligible", "human_review"] if generate_internal_drafts else ["automated_eligible"]
     return (
         context.withColumn("validation_errors", F.expr(response_errors(context.columns)))
+        .selectExpr("*", settled({"eligibility": outcome}))
         .withColumns({n: F.expr(e) for n, e in columns.items()})
         .withColumn("needs_generation", F.expr(true(f"eligibility IN {listed(wanted)}")))
     )
@@ -126,15 +129,15 @@ def generation_outcome(generated: DataFrame) -> DataFrame:
         {"_flag": field("_document", "can_generate"), "_text": field("_document", "draft_text")},
         {"_draft": f"CASE WHEN {truthy('_flag')} AND {truthy('_text')} THEN {strip('_text.text')} END"},
         {"safety_codes": violation_codes("_draft")},
-        {"failure": failure},
-        {
-            "missing_information": "CASE WHEN failure = 'model_declined' "
-            f"THEN {get('_document', 'missing_information', 'array<string>')} END",
-            "draft_text": "CASE WHEN needs_generation AND failure IS NULL THEN _draft END",
-        },
     ]
+    texts = {
+        "missing_information": "CASE WHEN failure = 'model_declined' "
+        f"THEN {get('_document', 'missing_information', 'array<string>')} END",
+        "draft_text": "CASE WHEN needs_generation AND failure IS NULL THEN _draft END",
+    }
     for step in steps:
         generated = generated.withColumns({n: F.expr(e) for n, e in step.items()})
+    generated = generated.selectExpr("*", settled({"failure": failure})).withColumns({n: F.expr(e) for n, e in texts.items()})
     return generated.drop("_document", "_flag", "_text", "_draft")
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ticketloom.functions.labels import not_available
 from ticketloom.functions.numeric import half_up_ratio, pct
-from ticketloom.functions.sql import q
-from ticketloom.operators.medians import exact_median
+from ticketloom.functions.sql import as_list, q
+from ticketloom.operators.medians import HUNDREDTHS, exact_medians
 from ticketloom.operators.quality import grain
 from ticketloom.operators.views import STATUS_COLUMNS
 
@@ -30,13 +30,14 @@ def fact_summary(fact: DataFrame) -> DataFrame:
     counts = fact.agg(
         F.count("first_response_minutes").alias("n_first_response"), F.count("resolution_hours").alias("n_resolved")
     )
-    extra = {"_grain": grain(fact).select(F.struct("n", "d")).scalar()}
-    for name, column in (("median_first_response", "first_response_minutes"), ("median_resolution", "resolution_hours")):
-        middle = exact_median(fact, F.col(column) * 100)
-        extra[name] = middle.selectExpr(half_up_ratio("median_twice", "200", 3)).scalar()
-    return counts.withColumns(extra).select(
-        "_grain.n", "_grain.d", "n_first_response", "n_resolved", "median_first_response", "median_resolution"
-    )
+    values = {"median_first_response": "first_response_minutes * 100", "median_resolution": "resolution_hours * 100"}
+    middles = exact_medians(fact, values, levels=HUNDREDTHS)
+    halves = as_list({n: half_up_ratio(n, "200", 3) for n in values})
+    extra = {
+        "_grain": grain(fact).select(F.struct("n", "d")).scalar(),
+        "_m": middles.selectExpr(*halves).select(F.struct("*")).scalar(),
+    }
+    return counts.withColumns(extra).select("_grain.*", "n_first_response", "n_resolved", "_m.*")
 
 
 def metric_checks(percentages: list[str]) -> list[tuple[str, str, str]]:

@@ -19,9 +19,9 @@ from ticketloom.functions.numeric import (
     micros_between,
     pct,
 )
-from ticketloom.functions.sql import q
+from ticketloom.functions.sql import as_list, q
 from ticketloom.operators.joins import lookup_join
-from ticketloom.operators.medians import exact_median
+from ticketloom.operators.medians import exact_medians
 from ticketloom.vocab import DEFAULTS, Thresholds
 
 VIEW_NAMES = [
@@ -226,13 +226,11 @@ def evaluate_views(tickets: DataFrame, views: dict[str, MetricView]) -> DataFram
     row = tickets.agg(
         *[F.expr(a).alias(f"{view}_{name}") for view, v in views.items() for name, a in v.aggregates.items()]
     )
-    medians = {}
-    for view, v in views.items():
-        for name, (end, unit) in v.medians.items():
-            middle = exact_median(tickets, F.expr(micros_between("created_at", end)))
-            medians[f"{view}_{name}"] = middle.selectExpr(half_up_ratio("median_twice", str(2 * unit), 2)).scalar()
+    medians = {f"{view}_{name}": spec for view, v in views.items() for name, spec in v.medians.items()}
     if medians:
-        row = row.withColumns(medians)
+        middles = exact_medians(tickets, {n: micros_between("created_at", end) for n, (end, _) in medians.items()})
+        halves = as_list({n: half_up_ratio(n, str(2 * unit), 2) for n, (_, unit) in medians.items()})
+        row = row.withColumn("_m", middles.selectExpr(*halves).select(F.struct("*")).scalar()).select("*", "_m.*")
     structs = []
     for view, v in views.items():
         fields = ", ".join(f"{q(n)}, {e}" for n, e in v.columns(lambda name: f"{view}_{name}").items())
