@@ -67,18 +67,10 @@ def number_text(value: str) -> str:
     """A number as Python prints a float: ``0.9``, ``450.0``, ``12345678.0``, ``1e-05``."""
     d = f"CAST({value} AS DOUBLE)"
     text = f"CAST({d} AS STRING)"
-    plain = (
-        f"regexp_replace(regexp_replace(CAST(CAST({text} AS DECIMAL(38,18)) AS STRING), "
-        r"'(\\.\\d*?)0+$', '$1'), '\\.$', '.0')"
-    )
-    exponent = f"CAST(split_part({text}, 'E', 2) AS INT)"
-    digits = f"CAST(abs({exponent}) AS STRING)"
-    scientific = (
-        rf"concat(regexp_replace(split_part({text}, 'E', 1), '\\.0$', ''), "
-        f"CASE WHEN {exponent} < 0 THEN 'e-' ELSE 'e+' END, lpad({digits}, greatest(2, length({digits})), '0'))"
-    )
+    digits = f"trim(TRAILING '0' FROM CAST(CAST({text} AS DECIMAL(38,18)) AS STRING))"
+    exponent = f"regexp_replace(regexp_replace(replace({text}, '.0E', 'E'), 'E(\\\\d)', 'E+$1'), 'E([+-])(\\\\d)$', 'E$10$2')"
     return (
-        f"CASE WHEN {d} = 0 OR (abs({d}) >= 1e-3 AND abs({d}) < 1e7) THEN {text} "
-        f"WHEN abs({d}) >= 1e-4 AND abs({d}) < 1e16 THEN {plain} "
-        f"WHEN contains({text}, 'E') THEN {scientific} ELSE {text} END"
+        f"CASE WHEN NOT contains({text}, 'E') THEN {text} "
+        f"WHEN abs({d}) >= 1e-4 AND abs({d}) < 1e16 THEN regexp_replace({digits}, '[.]$', '.0') "
+        f"ELSE replace({exponent}, 'E', 'e') END"
     )

@@ -28,22 +28,32 @@ def any_of(conditions: Iterable[str]) -> str:
     return "(" + " OR ".join(conditions) + ")"
 
 
-def lookup(key: str, table: Mapping[str, object]) -> str:
-    """Value of a small literal table; NULL where the key is absent."""
+def lookup(key: str, table: Mapping[object, object], default: str = "NULL") -> str:
+    """Value of a small literal table, the default where the key is absent."""
     shown = lambda v: q(v) if isinstance(v, str) else str(v)
     cases = " ".join(f"WHEN {shown(k)} THEN {shown(v)}" for k, v in table.items())
-    return f"CASE {key} {cases} END"
+    return f"CASE {key} {cases} ELSE {default} END"
 
 
 def kept(texts: Iterable[str]) -> str:
     """Array of the non-NULL texts, in order.
 
     ``array_remove`` compiles into whole-stage code, unlike ``filter`` and
-    ``array_compact``.
+    ``array_compact``; right for short entries such as names and codes.
     """
     return "array_remove(array(" + ", ".join(f"coalesce({t}, '')" for t in texts) + "), '')"
 
 
+def kept_long(texts: Iterable[str]) -> str:
+    """The same for many composed texts.
+
+    Their code would make one method too large for the JVM to optimise, so
+    here ``filter`` is the better choice: it takes this projection, and only
+    this one, out of whole-stage code.
+    """
+    return "filter(array(" + ", ".join(texts) + "), t -> t IS NOT NULL)"
+
+
 def fill(template: str, **values: str) -> str:
     """A text template with its ``{name}`` places filled by expressions."""
     parts, rest = [], template

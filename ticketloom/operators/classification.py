@@ -67,12 +67,11 @@ def validate_classifications(outputs: DataFrame) -> DataFrame:
     steps = [
         {"_document": json_object("tool_input_json")},
         {f"_{name}": field("_document", name) for name in FIELDS},
-        typed,
     ]
     rows = outputs
     for step in steps:
         rows = rows.withColumns({n: F.expr(e) for n, e in step.items()})
-    rows = rows.selectExpr("*", settled({"_error": error})).withColumn("error_type", F.col("_error"))
+    rows = rows.selectExpr("*", settled(typed)).selectExpr("*", settled({"_error": error})).withColumn("error_type", F.col("_error"))
     rows = rows.withColumns({n: F.expr(e) for n, e in result.items()})
     return rows.drop("_document", "_error", *[f"_{name}" for name in FIELDS], *typed)
 

@@ -9,9 +9,9 @@ from ticketloom import vocab
 from ticketloom.functions.jsonfields import field, get, json_object, truthy
 from ticketloom.functions.labels import customer_facing, requires_human_review, response_type
 from ticketloom.functions.numeric import number_text
-from ticketloom.functions.safety import strip, violation_codes
-from ticketloom.functions.sql import any_of, fill, kept, listed, q, settled, true
-from ticketloom.operators.routing import error, not_in, outside
+from ticketloom.functions.safety import lowered, strip, violation_codes
+from ticketloom.functions.sql import any_of, fill, kept, kept_long, listed, q, settled, true
+from ticketloom.operators.routing import bits, error, errors, failed, has, not_in, outside
 from ticketloom.vocab import DEFAULTS, Thresholds
 
 # The only columns that may reach a model call.
@@ -31,33 +31,37 @@ PROMPT_COLUMNS = [
 GENERATION_COLUMNS = ["tool_input_json", "error_type"]
 
 
-def response_errors(columns: list[str]) -> str:
+def response_checks(columns: list[str]) -> list[tuple[str, str, str]]:
     """Input checks of a response context; ``order_value`` is optional as a column."""
     checks = [
-        error("ticket_id IS NULL", "ticket_id: missing or not an integer"),
-        error("message_text IS NULL", "message_text: required"),
-        error(outside("classification_confidence", 0, 1), "classification_confidence: not in [0, 1]"),
-        error(outside("sentiment_score", -1, 1), "sentiment_score: not in [-1, 1]"),
-        error(
+        ("ticket_id IS NULL", "ticket_id: missing or not an integer", ""),
+        ("message_text IS NULL", "message_text: required", ""),
+        (outside("classification_confidence", 0, 1), "classification_confidence: not in [0, 1]", ""),
+        (outside("sentiment_score", -1, 1), "sentiment_score: not in [-1, 1]", ""),
+        (
             not_in("ai_predicted_category", vocab.CATEGORIES),
             "ai_predicted_category: '{value}' is not an approved category",
             "ai_predicted_category",
         ),
-        error(
+        (
             not_in("decision_path", vocab.DECISION_PATHS),
             "decision_path: '{value}' is not a valid decision_path",
             "decision_path",
         ),
     ]
     if "order_value" in columns:
-        checks.append(error(outside("order_value", 0), "order_value: below 0"))
-    return kept(checks)
+        checks.append((outside("order_value", 0), "order_value: below 0", ""))
+    return checks
 
 
-def recheck_problems(limits: Thresholds = DEFAULTS) -> list[tuple[str, str]]:
-    """``(condition, text)`` of what speaks against an automated response."""
+def recheck_problems(limits: Thresholds = DEFAULTS, **words: str) -> list[tuple[str, str]]:
+    """``(condition, text)`` of what speaks against an automated response.
+
+    ``words`` names columns that hold the confidence and the sentiment as text.
+    """
+    words = {"confidence": "NULL", "sentiment": "NULL"} | words
     category, confidence, sentiment = "ai_predicted_category", "classification_confidence", "sentiment_score"
-    low = {"confidence": number_text(confidence), "limit": q(str(float(limits.low_confidence)))}
+    low = {"confidence": words["confidence"], "limit": q(str(float(limits.low_confidence)))}
     return [
         (f"({category} IS NULL)", q(vocab.PROBLEM_NO_CLASS)),
         (f"({confidence} IS NULL)", q(vocab.PROBLEM_NO_CONFIDENCE)),
@@ -65,7 +69,7 @@ def recheck_problems(limits: Thresholds = DEFAULTS) -> list[tuple[str, str]]:
         (true(f"{category} IN {listed(vocab.SENSITIVE)}"), fill(vocab.PROBLEM_SENSITIVE, category=category)),
         (
             true(f"{sentiment} <= {limits.strong_negative_sentiment}"),
-            fill(vocab.PROBLEM_SENTIMENT, sentiment=number_text(sentiment)),
+            fill(vocab.PROBLEM_SENTIMENT, sentiment=words["sentiment"]),
         ),
         (
             f"({true(f'{category} IN {listed(vocab.ORDER_DEPENDENT)}')} AND order_id IS NULL)",
@@ -81,33 +85,43 @@ def with_eligibility(context: DataFrame, limits: Thresholds = DEFAULTS, generate
     ``needs_generation`` before the model-call stage: rows that are not
     eligible, or whose internal drafts are switched off, cost no call.
     """
-    problems = recheck_problems(limits)
-    unsafe = any_of(found for found, _ in problems)
+    checks = response_checks(context.columns)
+    problems = recheck_problems(limits, confidence="_confidence", sentiment="_sentiment")
     human = f"decision_path = {q(vocab.HUMAN_REVIEW)}"
+    outcome = (
+        f"CASE WHEN {failed(checks)} THEN NULL WHEN decision_path IS NULL THEN 'no_phase4_decision' "
+        f"WHEN {human} OR {any_of(c for c, _ in recheck_problems(limits))} THEN 'human_review' ELSE 'automated_eligible' END"
+    )
+    automated = "eligibility IS NOT NULL AND decision_path = " + q(vocab.AUTOMATED)
+    found = kept_long([q(vocab.RECHECK_FAILED), *[f"CASE WHEN {has('_problems', i)} THEN {t} END" for i, (_, t) in enumerate(problems)]])
     sound = [
         fill(vocab.OK_CLASS, category="ai_predicted_category"),
-        fill(vocab.OK_CONFIDENCE, confidence=number_text("classification_confidence")),
+        fill(vocab.OK_CONFIDENCE, confidence="_confidence"),
         f"CASE WHEN order_id IS NOT NULL THEN {q(vocab.OK_ORDER)} END",
     ]
-    found = kept([q(vocab.RECHECK_FAILED), *[f"CASE WHEN {c} THEN {t} END" for c, t in problems]])
-    valid = "size(validation_errors) = 0"
-    outcome = (
-        f"CASE WHEN NOT {valid} THEN NULL WHEN decision_path IS NULL THEN 'no_phase4_decision' "
-        f"WHEN {human} OR {unsafe} THEN 'human_review' ELSE 'automated_eligible' END"
-    )
-    columns = {
-        "response_type": f"CASE WHEN {valid} THEN {response_type('ai_predicted_category')} END",
-        "eligibility_reasons": f"CASE WHEN NOT {valid} THEN NULL "
-        f"WHEN decision_path IS NULL THEN array({q(vocab.NO_DECISION_YET)}) "
-        f"WHEN {human} THEN array({q(vocab.RESPECT_HUMAN_REVIEW)}) WHEN {unsafe} THEN {found} ELSE {kept(sound)} END",
-    }
     wanted = ["automated_eligible", "human_review"] if generate_internal_drafts else ["automated_eligible"]
-    return (
-        context.withColumn("validation_errors", F.expr(response_errors(context.columns)))
-        .selectExpr("*", settled({"eligibility": outcome}))
-        .withColumns({n: F.expr(e) for n, e in columns.items()})
-        .withColumn("needs_generation", F.expr(true(f"eligibility IN {listed(wanted)}")))
-    )
+    steps = [
+        {
+            "response_type": f"CASE WHEN eligibility IS NOT NULL THEN {response_type('ai_predicted_category')} END",
+            "needs_generation": true(f"eligibility IN {listed(wanted)}"),
+        },
+        {
+            "validation_errors": f"CASE WHEN eligibility IS NULL THEN {errors(checks)} ELSE CAST(array() AS ARRAY<STRING>) END",
+            "_problems": f"CASE WHEN {automated} THEN {bits([c for c, _ in problems])} ELSE 0 END",
+            "_confidence": f"CASE WHEN {automated} THEN {number_text('classification_confidence')} END",
+            "_sentiment": f"CASE WHEN {automated} THEN {number_text('sentiment_score')} END",
+        },
+        {
+            "eligibility_reasons": "CASE WHEN eligibility IS NULL THEN NULL "
+            f"WHEN decision_path IS NULL THEN array({q(vocab.NO_DECISION_YET)}) "
+            f"WHEN {human} THEN array({q(vocab.RESPECT_HUMAN_REVIEW)}) "
+            f"WHEN _problems <> 0 THEN {found} ELSE {kept_long(sound)} END",
+        },
+    ]
+    rows = context.selectExpr("*", settled({"eligibility": outcome}))
+    for step in steps:
+        rows = rows.withColumns({n: F.expr(e) for n, e in step.items()})
+    return rows.drop("_problems", "_confidence", "_sentiment")
 
 
 def generation_outcome(generated: DataFrame) -> DataFrame:
@@ -128,7 +142,8 @@ def generation_outcome(generated: DataFrame) -> DataFrame:
         {"_document": f"CASE WHEN {needed} THEN {json_object('tool_input_json')} END"},
         {"_flag": field("_document", "can_generate"), "_text": field("_document", "draft_text")},
         {"_draft": f"CASE WHEN {truthy('_flag')} AND {truthy('_text')} THEN {strip('_text.text')} END"},
-        {"safety_codes": violation_codes("_draft")},
+        {"_lowered": lowered("_draft")},
+        {"safety_codes": violation_codes("_draft", "_lowered")},
     ]
     texts = {
         "missing_information": "CASE WHEN failure = 'model_declined' "
@@ -138,7 +153,7 @@ def generation_outcome(generated: DataFrame) -> DataFrame:
     for step in steps:
         generated = generated.withColumns({n: F.expr(e) for n, e in step.items()})
     generated = generated.selectExpr("*", settled({"failure": failure})).withColumns({n: F.expr(e) for n, e in texts.items()})
-    return generated.drop("_document", "_flag", "_text", "_draft")
+    return generated.drop("_document", "_flag", "_text", "_draft", "_lowered")
 
 
 def decide_responses(
@@ -185,7 +200,7 @@ def decide_responses(
         "response_status": "CASE WHEN eligibility IS NULL OR eligibility = 'no_phase4_decision' THEN 'NOT_ELIGIBLE' "
         f"WHEN {internal} THEN 'HUMAN_REVIEW_DRAFT' WHEN {succeeded} THEN 'DRAFT_GENERATED' ELSE 'BLOCKED' END",
         "response_draft": f"CASE WHEN needs_generation AND {succeeded} THEN draft_text END",
-        "rationale": f"CASE WHEN eligibility IS NULL THEN {fallback} ELSE concat(eligibility_reasons, {kept([note])}) END",
+        "rationale": f"CASE WHEN eligibility IS NULL THEN {fallback} ELSE concat(eligibility_reasons, {kept_long([note])}) END",
         "is_fallback": "eligibility IS NULL",
     }
     flags = {

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom import vocab
-from ticketloom.functions.labels import priority_of, priority_score, recommended_action
+from ticketloom.functions.labels import priority_of, recommended_action
 from ticketloom.functions.numeric import number_text
-from ticketloom.functions.sql import any_of, fill, kept, listed, lookup, q, true
+from ticketloom.functions.sql import any_of, fill, kept, kept_long, listed, lookup, q, settled, true
 from ticketloom.vocab import DEFAULTS, RULE_TEXT, Thresholds
 
 DECISION_COLUMNS = [
@@ -25,6 +25,9 @@ DECISION_COLUMNS = [
 ]
 
 
+HIGH = str(vocab.PRIORITIES.index("High"))
+
+
 @dataclass(frozen=True)
 class Rule:
     """One rule as SQL text: when it fires, its detail texts, and what firing implies."""
@@ -48,41 +51,46 @@ def not_in(column: str, allowed: list[str]) -> str:
     return f"coalesce({column} NOT IN {listed(allowed)}, false)"
 
 
-def error(condition: str, message: str, column: str | None = None) -> str:
+def error(condition: str, message: str, column: str = "") -> str:
     return f"CASE WHEN {condition} THEN {fill(message, value=column) if column else q(message)} END"
 
 
-def routing_errors() -> str:
-    """Messages of the input checks that fail; an empty array for a valid row."""
-    return kept(
-        [
-            error("ticket_id IS NULL", "ticket_id: missing or not an integer"),
-            error(outside("classification_confidence", 0, 1), "classification_confidence: not in [0, 1]"),
-            error(outside("sentiment_score", -1, 1), "sentiment_score: not in [-1, 1]"),
-            error(outside("order_value", 0), "order_value: below 0"),
-            error(
-                not_in("ai_predicted_category", vocab.CATEGORIES),
-                "ai_predicted_category: '{value}' is not an approved category",
-                "ai_predicted_category",
-            ),
-            error(
-                not_in("customer_segment", vocab.SEGMENTS),
-                "customer_segment: '{value}' is not a known customer segment",
-                "customer_segment",
-            ),
-        ]
-    )
+ROUTING_CHECKS = [
+    ("ticket_id IS NULL", "ticket_id: missing or not an integer", ""),
+    (outside("classification_confidence", 0, 1), "classification_confidence: not in [0, 1]", ""),
+    (outside("sentiment_score", -1, 1), "sentiment_score: not in [-1, 1]", ""),
+    (outside("order_value", 0), "order_value: below 0", ""),
+    (
+        not_in("ai_predicted_category", vocab.CATEGORIES),
+        "ai_predicted_category: '{value}' is not an approved category",
+        "ai_predicted_category",
+    ),
+    (
+        not_in("customer_segment", vocab.SEGMENTS),
+        "customer_segment: '{value}' is not a known customer segment",
+        "customer_segment",
+    ),
+]
+
+
+def failed(checks: list[tuple[str, str, str]]) -> str:
+    """Whether any input check fails."""
+    return any_of(condition for condition, _, _ in checks)
+
 
+def errors(checks: list[tuple[str, str, str]]) -> str:
+    """Messages of the input checks that fail."""
+    return kept_long(error(*check) for check in checks)
 
-def rules(limits: Thresholds = DEFAULTS) -> list[Rule]:
-    """The nine rules in their fixed order, over the routing context columns."""
+
+def rules(limits: Thresholds = DEFAULTS, **words: str) -> list[Rule]:
+    """The nine rules in their fixed order, over the routing context columns.
+
+    ``words`` names columns that hold the sentiment, confidence and order
+    value as text, for the detail texts.
+    """
     category, confidence, sentiment = "ai_predicted_category", "classification_confidence", "sentiment_score"
-    words = {
-        "category": category,
-        "sentiment": number_text(sentiment),
-        "confidence": number_text(confidence),
-        "value": number_text("order_value"),
-    }
+    words = {"category": category, "sentiment": "NULL", "confidence": "NULL", "value": "NULL"} | words
 
     def rule(name: str, fired: str, limit: Decimal = Decimal(0), **more) -> Rule:
         hot, quiet = RULE_TEXT[name]
@@ -104,10 +112,10 @@ def rules(limits: Thresholds = DEFAULTS) -> list[Rule]:
             "base_category_priority",
             "true",
             fired_text=f"CASE WHEN {category} IS NULL THEN {q(unmapped)} ELSE {fill(mapped, category=category, base=base)} END",
-            floor=priority_score(base),
+            floor=lookup(category, {c: vocab.PRIORITIES.index(p) for c, p in vocab.BASE_PRIORITY.items()}, "1"),
         ),
-        rule("strong_negative_sentiment_priority", upset, limits.strong_negative_sentiment, floor="2"),
-        rule("high_value_vip_order_priority", vip, limits.high_value_order, floor="2"),
+        rule("strong_negative_sentiment_priority", upset, limits.strong_negative_sentiment, floor=HIGH),
+        rule("high_value_vip_order_priority", vip, limits.high_value_order, floor=HIGH),
         rule("missing_classification", f"({category} IS NULL)", forces_review=True),
         rule(
             "low_confidence",
@@ -130,32 +138,59 @@ def rules(limits: Thresholds = DEFAULTS) -> list[Rule]:
     ]
 
 
+def bits(conditions: list[str]) -> str:
+    """Bit mask of the conditions, the first one lowest."""
+    return " + ".join(f"CASE WHEN {c} THEN {1 << i} ELSE 0 END" for i, c in enumerate(conditions))
+
+
+def has(mask: str, *numbers: int) -> str:
+    """Whether the mask has any of the bits."""
+    return f"{mask} & {sum(1 << i for i in numbers)} <> 0"
+
+
 def route_tickets(context: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
     """Context rows plus the decision columns; never shuffles, never drops a row.
 
     An invalid row gets the safe fallback: human review, Medium, no rules but
     ``fallback_invalid_input``. It never fails open to Automated.
+
+    The fired rules travel as one bit mask (0 for an invalid row, since the
+    base rule fires on every valid one); decision, names and texts each follow
+    from it in a small projection of their own. One big projection would
+    compile to a method beyond the size that the JVM optimises.
     """
     nine = rules(limits)
-    invalid = "size(validation_errors) > 0"
-    floors = ", ".join(f"CASE WHEN {r.fired} THEN {r.floor} ELSE -1 END" for r in nine if r.floor)
-    review = any_of(r.fired for r in nine if r.forces_review)
-    reason = f"array(concat({q(vocab.RULE_FALLBACK_REASON)}, array_join(validation_errors, '; ')))"
-    columns = {
-        "is_fallback": invalid,
-        "final_priority": f"CASE WHEN {invalid} THEN 'Medium' ELSE {priority_of(f'greatest({floors})')} END",
-        "decision_path": f"CASE WHEN {invalid} OR {review} THEN {q(vocab.HUMAN_REVIEW)} ELSE {q(vocab.AUTOMATED)} END",
-        "triggered_rules": f"CASE WHEN {invalid} THEN array({q(vocab.FALLBACK_RULE)}) "
-        f"ELSE {kept(f'CASE WHEN {r.fired} THEN {q(r.name)} END' for r in nine)} END",
-        "reasons": f"CASE WHEN {invalid} THEN {reason} "
-        f"ELSE {kept(f'CASE WHEN {r.fired} THEN {r.fired_text} END' for r in nine)} END",
-        "conflicting_signals": f"NOT {invalid} AND {any_of(r.fired for r in nine if r.conflict)}",
+    at = {r.name: i for i, r in enumerate(nine)}
+    review = [i for i, r in enumerate(nine) if r.forces_review]
+    conflict = [i for i, r in enumerate(nine) if r.conflict]
+    raised = [i for i, r in enumerate(nine) if r.floor == HIGH]
+    base = next(r.floor for r in nine if r.name == "base_category_priority")
+    mask = f"CASE WHEN {failed(ROUTING_CHECKS)} THEN 0 ELSE {bits([r.fired for r in nine])} END"
+    score = f"greatest(_base_floor, CASE WHEN {has('_fired', *raised)} THEN {HIGH} ELSE 0 END)"
+    decision = {
+        "is_fallback": "_fired = 0",
+        "final_priority": f"CASE WHEN _fired = 0 THEN 'Medium' ELSE {priority_of(score)} END",
+        "decision_path": f"CASE WHEN _fired = 0 OR {has('_fired', *review)} THEN {q(vocab.HUMAN_REVIEW)} "
+        f"ELSE {q(vocab.AUTOMATED)} END",
+        "conflicting_signals": has("_fired", *conflict),
+        "triggered_rules": f"CASE WHEN _fired = 0 THEN array({q(vocab.FALLBACK_RULE)}) "
+        f"ELSE {kept(f'CASE WHEN {has("_fired", i)} THEN {q(r.name)} END' for i, r in enumerate(nine))} END",
     }
-    return (
-        context.withColumn("validation_errors", F.expr(routing_errors()))
-        .withColumns({n: F.expr(e) for n, e in columns.items()})
-        .withColumn("recommended_action", F.expr(recommended_action("decision_path", "final_priority")))
-    )
+    upset, clash = at["strong_negative_sentiment_review"], at["sentiment_category_conflict"]
+    words = {
+        "validation_errors": f"CASE WHEN _fired = 0 THEN {errors(ROUTING_CHECKS)} ELSE CAST(array() AS ARRAY<STRING>) END",
+        "_sentiment": f"CASE WHEN {has('_fired', upset, clash)} THEN {number_text('sentiment_score')} END",
+        "_confidence": f"CASE WHEN {has('_fired', at['low_confidence'])} THEN {number_text('classification_confidence')} END",
+        "_value": f"CASE WHEN {has('_fired', at['high_value_vip_order_priority'])} THEN {number_text('order_value')} END",
+    }
+    worded = rules(limits, sentiment="_sentiment", confidence="_confidence", value="_value")
+    texts = kept_long(f"CASE WHEN {has('_fired', i)} THEN {r.fired_text} END" for i, r in enumerate(worded))
+    reason = f"array(concat({q(vocab.RULE_FALLBACK_REASON)}, array_join(validation_errors, '; ')))"
+    decided = context.selectExpr("*", settled({"_fired": mask, "_base_floor": base}))
+    for step in (decision, words, {"reasons": f"CASE WHEN _fired = 0 THEN {reason} ELSE {texts} END"}):
+        decided = decided.withColumns({n: F.expr(e) for n, e in step.items()})
+    action = F.expr(recommended_action("decision_path", "final_priority"))
+    return decided.withColumn("recommended_action", action).drop("_fired", "_base_floor", "_sentiment", "_confidence", "_value")
 
 
 def rule_outcomes(context: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
@@ -164,14 +199,29 @@ def rule_outcomes(context: DataFrame, limits: Thresholds = DEFAULTS) -> DataFram
     Rows that fail the input checks have no outcomes: no rule looked at them.
     """
     outcomes = ", ".join(
-        f"named_struct('rule_no', {i}, 'rule_name', {q(r.name)}, 'triggered', {r.fired}, "
-        f"'detail', CASE WHEN {r.fired} THEN {r.fired_text} ELSE {r.quiet_text} END, "
-        f"'priority_floor', {f'CASE WHEN {r.fired} THEN {priority_of(r.floor)} END' if r.floor else 'CAST(NULL AS STRING)'}, "
-        f"'forces_human_review', {r.fired} AND {str(r.forces_review).lower()}, "
-        f"'is_conflict_signal', {r.fired} AND {str(r.conflict).lower()})"
-        for i, r in enumerate(rules(limits), 1)
+        f"named_struct('rule_no', {i}, 'rule_name', {q(r.name)}, 'triggered', {has('_fired', i - 1)}, "
+        f"'detail', CASE WHEN {has('_fired', i - 1)} THEN {r.fired_text} ELSE {r.quiet_text} END, "
+        f"'priority_floor', {_floor_text(r, i - 1)}, "
+        f"'forces_human_review', {has('_fired', i - 1)} AND {str(r.forces_review).lower()}, "
+        f"'is_conflict_signal', {has('_fired', i - 1)} AND {str(r.conflict).lower()})"
+        for i, r in enumerate(rules(limits, sentiment="_sentiment", confidence="_confidence", value="_value"), 1)
     )
-    return context.where(f"size({routing_errors()}) = 0").selectExpr("ticket_id", f"inline(array({outcomes}))")
+    nine = rules(limits)
+    base = next(r.floor for r in nine if r.name == "base_category_priority")
+    numbers = {"_sentiment": "sentiment_score", "_confidence": "classification_confidence", "_value": "order_value"}
+    return (
+        context.where(f"NOT {failed(ROUTING_CHECKS)}")
+        .selectExpr("*", settled({"_fired": bits([r.fired for r in nine]), "_base_floor": base}))
+        .withColumns({n: F.expr(number_text(c)) for n, c in numbers.items()})
+        .selectExpr("ticket_id", f"inline(array({outcomes}))")
+    )
+
+
+def _floor_text(rule: Rule, bit: int) -> str:
+    if rule.floor is None:
+        return "CAST(NULL AS STRING)"
+    label = priority_of("_base_floor") if rule.name == "base_category_priority" else q(vocab.PRIORITIES[int(rule.floor)])
+    return f"CASE WHEN {has('_fired', bit)} THEN {label} END"
 
 
 def decision_updates(decided: DataFrame, run_at: Column) -> DataFrame:

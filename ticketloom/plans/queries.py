@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticketloom.functions import labels, numeric, safety
+from ticketloom.functions import labels, numeric
 from ticketloom.operators import classification, evaluation, kpis, measures, quality, responses, routing, selfcheck, views
 from ticketloom.operators.joins import owner_gate, product_names
+from ticketloom.operators.scanning import scan_codes, scan_texts
 from ticketloom.plans.testmodel import BROKEN_CONTEXTS, CLASSIFIER_OUTPUTS, DRAFT_TEXT, GENERATIONS, Model, derive
 from ticketloom.sources import audit, picks, snapshots, tables
 from ticketloom.streaming.route import route_events_once
@@ -207,14 +208,12 @@ def planted_documents(m: Model) -> DataFrame:
 
 @query
 def safety_scan(m: Model) -> DataFrame:
-    hits = planted_documents(m).select("doc_id", F.expr(f"inline({safety.violations('text')})"))
-    return hits.select("doc_id", "pattern_no", "code", "matched")
+    return scan_texts(planted_documents(m), "text", ["doc_id"])
 
 
 @query
 def safety_by_code(m: Model) -> DataFrame:
-    codes = planted_documents(m).select(F.expr(f"explode({safety.violation_codes('text')})").alias("code"))
-    return codes.groupBy("code").agg(F.count(F.lit(1)).alias("documents"))
+    return scan_codes(planted_documents(m), "text").groupBy("code").agg(F.count(F.lit(1)).alias("documents"))
 
 
 @query
