@@ -41,55 +41,58 @@ DURATIONS = [
 ]
 
 
-def ticket_fact(tickets: DataFrame, customers: DataFrame, orders: DataFrame) -> DataFrame:
+TICKET_PART = {
+    "ticket_id": "ticket_id",
+    "created_at": "created_at",
+    "first_response_at": "first_response_at",
+    "resolved_at": "resolved_at",
+    "channel": "channel",
+    "ground_truth_category": "category",
+    "ai_predicted_category": "ai_predicted_category",
+    "classification_confidence": "classification_confidence",
+    "original_priority": "priority",
+    "final_priority": "final_priority",
+    "status": "status",
+    "decision_path": "decision_path",
+    "resolution_type": "resolution_type",
+    "sentiment_score": "sentiment_score",
+    "decision_at": "decision_at",
+    "rule_decision_at": "rule_decision_at",
+    "response_status": "response_status",
+    "response_type": "response_type",
+    "response_generated_at": "response_generated_at",
+}
+CUSTOMER_PART = {"customer_segment": "customer_segment", "country": "country", "customer_is_active": "is_active"}
+ORDER_PART = {
+    "order_status": "order_status",
+    "order_total_amount": "total_amount",
+    "payment_method": "payment_method",
+    "order_date": "order_date",
+    "expected_delivery_date": "expected_delivery_date",
+    "actual_delivery_date": "actual_delivery_date",
+}
+
+
+def ticket_fact(tickets: DataFrame, customers: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     """One row per ticket with its customer and order: 36 columns.
 
     Tickets without a customer drop out; order lines are not joined, so the
     grain holds. Derived columns are lazy: a query pays only for what it reads.
+    Spark cannot know that the left join to orders keeps every row as it is,
+    so a report that reads no order column passes no orders: the fact then
+    lacks the seven order columns, and the shuffle by order is saved.
     """
-    people = customers.select(
-        "customer_id", "customer_segment", "country", F.col("is_active").alias("customer_is_active")
-    )
-    bought = orders.select(
-        "order_id", "order_status", F.col("total_amount").alias("order_total_amount"), "payment_method", "order_date",
-        "expected_delivery_date", "actual_delivery_date",
-    )
-    joined = lookup_join(tickets.join(people, "customer_id"), bought, "order_id", "ticket_id")
-    return joined.select(
-        "ticket_id",
-        "created_at",
-        "first_response_at",
-        "resolved_at",
-        "channel",
-        F.col("category").alias("ground_truth_category"),
-        "ai_predicted_category",
-        "classification_confidence",
-        F.col("priority").alias("original_priority"),
-        "final_priority",
-        "status",
-        "decision_path",
-        "resolution_type",
-        "sentiment_score",
-        "decision_at",
-        "rule_decision_at",
-        "response_status",
-        "response_type",
-        "response_generated_at",
-        "customer_segment",
-        "country",
-        "customer_is_active",
-        "order_id",
-        "order_status",
-        "order_total_amount",
-        "payment_method",
-        "order_date",
-        "expected_delivery_date",
-        "actual_delivery_date",
-        F.datediff("actual_delivery_date", "expected_delivery_date").alias("delivery_delay_days"),
-        *[F.expr(duration(micros_between(start, end), unit)).alias(name) for name, start, end, unit in DURATIONS],
-        F.expr(priority_score("final_priority")).alias("final_priority_score"),
-        F.expr(recommended_action("decision_path", "final_priority")).alias("recommended_action"),
-    )
+    people = customers.selectExpr("customer_id", *as_list(CUSTOMER_PART))
+    joined = tickets.join(people, "customer_id")
+    columns = TICKET_PART | {n: n for n in CUSTOMER_PART} | {"order_id": "order_id"}
+    if orders is not None:
+        joined = lookup_join(joined, orders.selectExpr("order_id", *as_list(ORDER_PART)), "order_id", "ticket_id")
+        columns |= {n: n for n in ORDER_PART}
+        columns["delivery_delay_days"] = "datediff(actual_delivery_date, expected_delivery_date)"
+    columns |= {name: duration(micros_between(start, end), unit) for name, start, end, unit in DURATIONS}
+    columns["final_priority_score"] = priority_score("final_priority")
+    columns["recommended_action"] = recommended_action("decision_path", "final_priority")
+    return joined.selectExpr(*as_list(columns))
 
 
 Reader = Callable[[str], str]

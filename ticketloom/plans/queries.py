@@ -49,11 +49,11 @@ def rules_context(m: Model) -> DataFrame:
     return picks.rules_context(m.tickets, m.customers, m.orders)
 
 
-def fact(m: Model) -> DataFrame:
-    return views.ticket_fact(m.stored_tickets(), m.customers, m.orders)
+def fact(m: Model, orders: bool = False) -> DataFrame:
+    return views.ticket_fact(m.stored_tickets(), m.customers, m.orders if orders else None)
 
 
-def early_fact(m: Model) -> DataFrame:
+def early_fact(m: Model, orders: bool = False) -> DataFrame:
     """Fact over tickets before routing; for queries that read no decision."""
     empty = {
         c: F.lit(None).cast(t)
@@ -62,7 +62,7 @@ def early_fact(m: Model) -> DataFrame:
             "response_type": "string", "response_draft": "string", "response_generated_at": "timestamp_ntz",
         }.items()
     }
-    return views.ticket_fact(m.tickets.withColumns(empty), m.customers, m.orders)
+    return views.ticket_fact(m.tickets.withColumns(empty), m.customers, m.orders if orders else None)
 
 
 def generations(m: Model) -> DataFrame:
@@ -367,7 +367,7 @@ def confusion_labels(m: Model) -> DataFrame:
 
 @query
 def ticket_fact(m: Model) -> DataFrame:
-    return fact(m)
+    return fact(m, orders=True)
 
 
 @query
@@ -591,13 +591,13 @@ def dq_metric_consistency(m: Model) -> DataFrame:
 @query
 def dq_metric_selfcheck(m: Model) -> DataFrame:
     stored = m.stored_tickets()
-    return selfcheck.check_metrics(views.all_metrics(stored), selfcheck.fact_summary(fact(m)))
+    return selfcheck.check_metrics(views.all_metrics(stored), selfcheck.fact_summary(fact(m, orders=True)))
 
 
 @query
 def dq_metric_selfcheck_broken(m: Model) -> DataFrame:
     """Metrics of one state checked against the fact of another: the differences show."""
-    summary = selfcheck.fact_summary(early_fact(m).where(F.col("channel") != "Phone"))
+    summary = selfcheck.fact_summary(early_fact(m, orders=True).where(F.col("channel") != "Phone"))
     return selfcheck.check_metrics(views.all_metrics(m.broken_stored_tickets()), summary)
 
 
@@ -792,6 +792,6 @@ def kpi_resolution_by_category(m: Model) -> DataFrame:
 
 @query
 def kpi_value_against_resolution(m: Model) -> DataFrame:
-    return kpis.value_against_resolution(early_fact(m))
+    return kpis.value_against_resolution(early_fact(m, orders=True))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ticketloom import vocab
 from ticketloom.operators.responses import decide_responses
@@ -263,6 +264,9 @@ def replace(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 # Folders of the stored stages, by application, directory and stage.
 _STORED: dict[tuple[str, str, str], str] = {}
 
+# Schemas by path, so that each file's footer is read once.
+_SCHEMAS: dict[str, StructType] = {}
+
 
 class Model:
     """The tables over one test-data directory; everything is lazy."""
@@ -271,7 +275,10 @@ class Model:
         self.spark, self.directory = spark, directory
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        path = f"{self.directory}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     @property
     def customers(self) -> DataFrame:
