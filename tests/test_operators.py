@@ -29,6 +29,18 @@ def test_rounding_is_half_away_from_zero(spark, n, d, places, expected):
     assert got == expected
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_durations_do_not_depend_on_the_session_zone(spark, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        row = spark.range(1).selectExpr(
+            "TIMESTAMP_NTZ'2024-03-10 01:30:00.000001' AS a", "TIMESTAMP_NTZ'2024-03-10 03:30:00.000003' AS b", "CAST(NULL AS TIMESTAMP_NTZ) AS c"
+        ).selectExpr(numeric.micros_between("a", "b"), numeric.micros_between("b", "a"), numeric.micros_between("a", "c")).first()
+        assert tuple(row) == (7_200_000_002, -7_200_000_002, None)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_lookup_join_keeps_rows_and_spreads_null_keys(spark):
     rows = [(i, None if i % 3 == 0 else 7 if i % 3 == 1 else i) for i in range(3000)]
     facts = spark.createDataFrame(rows, "id bigint, k bigint")

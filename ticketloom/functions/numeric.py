@@ -43,7 +43,13 @@ def exact_sum(value: str) -> str:
 
 
 def micros_between(start: str, end: str) -> str:
-    return f"timestampdiff(MICROSECOND, {start}, {end})"
+    """Microseconds from start to end, as bigint.
+
+    By the interval between the two: ``timestampdiff`` would read timestamps
+    without zone in the session's zone and shift them where its clock changes.
+    """
+    seconds = f"CAST(CAST({end} - {start} AS INTERVAL SECOND) AS DECIMAL(18,6))"
+    return f"CAST({seconds} * 1000000 AS BIGINT)"
 
 
 def duration_hundredths(micros: str, unit_micros: int) -> str:
