@@ -45,3 +45,35 @@ def column(name: str) -> Column:
 def utf8(text: Column) -> Column:
     """The UTF-8 bytes of a text; null: none."""
     return F.coalesce(text.cast("string"), F.lit("")).cast("binary")
+
+
+def row_key(id_column: str, text_column: str) -> list[Column]:
+    """What a row is joined back by: its id and a digest of its text, so rows that repeat an id stay apart."""
+    return [column(id_column).alias("_id"), F.xxhash64(utf8(column(text_column))).alias("_digest")]
+
+
+def same_row(a: DataFrame, b: DataFrame) -> Column:
+    """Join condition on the row key; a null id equals a null id."""
+    return a["_id"].eqNullSafe(b["_id"]) & (a["_digest"] == b["_digest"])
+
+
+def sized(df: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
+    """A stored table, marked for broadcast if its text columns' measured bytes stay within ``most_bytes``.
+
+    A larger one is left as it is, and Spark joins it by shuffling.
+    """
+    weights = [
+        F.coalesce(F.octet_length(column(c).cast("string")), F.lit(0)) if t in ("string", "binary") or t.startswith(("array", "struct")) else F.lit(8)
+        for c, t in df.dtypes
+    ]
+    total = df.agg(F.sum(sum(weights, F.lit(16)).cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if total <= most_bytes else df
+
+
+def materialized(df: DataFrame, **values: Column) -> DataFrame:
+    """The rows with computed columns that later expressions read instead of computing them again.
+
+    Projections are merged by the optimizer, which would put a costly expression
+    into every place, lambdas included, that names it; a generator of one row stays.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in values.items()]))))
