@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,6 @@ TABLE_CHARS = 8 << 20
 SLICE_CHARS = 4 << 20
 
 
-@lru_cache(maxsize=2)
 def processor(model_path: str) -> sentencepiece.SentencePieceProcessor:
     """The model; refused unless its pieces cannot cross a white-space marker and its text is taken as it is."""
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.llm import decontam, pieces, pii, shards, simhash
+from ticketloom.llm import decontam, langid, pieces, pii, quality, shards, simhash
 from ticketloom.llm.common import utf8
 
+QUALITY_CUT = 0.3
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -69,3 +70,22 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = pii.base_spans(F.col("spans"))
     counts = [F.size(pii.base_spans(F.col("spans"), kind)).cast("bigint").alias(f"n_{kind}") for kind in pii.BASE]
     return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+@registered
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    net = langid.fit(docs)
+    found = langid.with_language(docs.select("doc_id", "text"), net)
+    return found.select("doc_id", quality.in_fold("doc_id", 2, 4).alias("held_out"), "lang_pred", "score")
+
+
+@registered
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.with_score(docs, model)
+    return scored.select(
+        "doc_id", quality.in_fold("doc_id").alias("held_out"), "score",
+        F.when(F.col("score") >= QUALITY_CUT, 1).otherwise(0).alias("predicted"),
+    )
