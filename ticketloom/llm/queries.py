@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.llm import decontam, langid, pieces, pii, quality, shards, simhash
+from ticketloom.llm import debruijn, decontam, langid, pieces, pii, quality, shards, simhash
 from ticketloom.llm.common import utf8
 
 QUALITY_CUT = 0.3
@@ -89,3 +89,9 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", quality.in_fold("doc_id").alias("held_out"), "score",
         F.when(F.col("score") >= QUALITY_CUT, 1).otherwise(0).alias("predicted"),
     )
+
+
+@registered
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = debruijn.without_repeats(documents(spark, sf_dir), width=20)
+    return cleaned.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
