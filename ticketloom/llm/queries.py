@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.llm import debruijn, decontam, langid, pieces, pii, quality, shards, simhash
+from ticketloom.llm import debruijn, decontam, langid, pieces, pii, quality, shards, simhash, suffixes
 from ticketloom.llm.common import utf8
 
 QUALITY_CUT = 0.3
@@ -95,3 +95,11 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = debruijn.without_repeats(documents(spark, sf_dir), width=20)
     return cleaned.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@registered
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffixes.without_copies(documents(spark, sf_dir), width=200)
+    return cleaned.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
