@@ -145,7 +145,7 @@ def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     data = utf8(column(text_column))
     return docs.select(
         F.coalesce(column(id_column).cast("bigint"), F.lit(W.LEAST_ID)).alias("_id"),
-        F.pmod(F.xxhash64(data), F.lit(1 << 24)).alias("_digest"), data.alias("_data"),
+        F.xxhash64(data).bitwiseAND(F.lit((1 << 24) - 1)).alias("_digest"), data.alias("_data"),
     )
 
 
