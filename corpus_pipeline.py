@@ -7,16 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.llm import pieces, queries, simhash
-from ticketloom.llm.common import stored
+from ticketloom.llm import decontam, pieces, pii, quality, queries, simhash
+from ticketloom.llm.common import column, free_name, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _own(docs: DataFrame) -> list:
+    return [column(c) for c in docs.columns]
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier rejects go."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    score = free_name(docs, "score")
+    return quality.with_score(docs, model, into=score).where(F.col(score) >= queries.QUALITY_CUT).select(_own(docs))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest id."""
     found = simhash.near_duplicates(docs, "doc_id", "text", shingle=3, distance=2, keep=tuple(docs.columns))
-    return found.where("first").select(docs.columns)
+    return found.where("first").select(_own(docs))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where("n_hit = 0").select(_own(docs))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; its personal data is replaced by kinds in brackets, and n_chars follows the new text."""
+    clean = pii.redacted(pii.personal_data(docs))
+    return clean.select([F.length("text").cast(t).alias(c) if c == "n_chars" else column(c) for c, t in docs.dtypes])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +49,11 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("simhash near-dedup", near_duplicates),
-    ("sentencepiece", tokens),
+    ("quality classifier", good_quality),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontaminated),
+    ("PII", without_personal_data),
+    ("SentencePiece", tokens),
 ]
 
 #: SQL has no zstandard, XXH64 bits or piece merges.

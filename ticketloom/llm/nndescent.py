@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ticketloom.llm.common import column, stored
 from ticketloom.llm.components import components
 
-TABLES = 3
+TABLES = 6
 CELL = 48
 LINKS = "u bigint, v bigint, sim double"
 
