@@ -1,0 +1,213 @@
+"""Each operator against its plain version on odd texts; columns with clashing names, nulls, ties and empty tables included."""
+
+import zlib
+
+import numpy as np
+import pytest
+
+from brute import (
+    base_spans, contamination as plain_contamination, odd_texts, simhash as plain_simhash, smallest_reachable,
+    without_byte_windows, without_word_windows,
+)
+from ticketloom.llm import boosting, components, debruijn, decontam, langid, nndescent, pieces, pii, quality, queries, shards, simhash, suffixes
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, shard int, n_words int, _id int, key string"
+
+
+@pytest.fixture(scope="module")
+def texts():
+    made = odd_texts()
+    return {(i * 37) % 1009: t for i, t in enumerate(made)}
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(k, t, "en" if k % 2 else None, None, None, 0.5, "s", 1, 2, 3, "k") for k, t in texts.items()]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    links = [(i, i + 1) for i in range(40, 80)] + [(7, i) for i in range(100, 130)] + [(5, 5)]
+    got = dict(components.components(spark.createDataFrame(links, "a long, b long")).collect())
+    nodes = {n for link in links for n in link} - {5}
+    assert got == {n: c for n, c in smallest_reachable(nodes, [x for x in links if x != (5, 5)]).items()}
+
+
+def test_simhash(docs, texts, empty):
+    got = {r.id: r for r in simhash.near_duplicates(docs, "doc_id", "text", keep=("lang",)).collect()}
+    prints = {k: plain_simhash(t) for k, t in texts.items()}
+    assert {k: r.fingerprint % (1 << 64) for k, r in got.items()} == prints
+    links = [(a, b) for a in texts for b in texts if a < b and (prints[a] ^ prints[b]).bit_count() <= 2]
+    assert {k: r.component_id for k, r in got.items()} == smallest_reachable(texts, links)
+    assert all(r.first == (k == r.component_id) for k, r in got.items())
+    assert simhash.near_duplicates(empty, "doc_id", "text").count() == 0
+
+
+def test_simhash_repeated_and_null_ids(spark):
+    rows = [(4, "a b c d"), (4, "a b c d"), (None, "a b c d"), (None, None), (9, "")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "i long, t string"), "i", "t").collect()
+    assert sorted((r.id is None, r.id or 0, r.component_id, r.first) for r in got) == [
+        (False, 4, 4, False), (False, 4, 4, True), (False, 9, 9, True), (True, 0, 4, False), (True, 0, 9, False),
+    ]
+
+
+def test_large_block_groups_find_every_link():
+    rng = np.random.default_rng(2)
+    values = np.unique(rng.integers(0, 1 << 14, 3000, dtype=np.uint64))
+    label = simhash.linked_within(values, 2)
+    near = np.bitwise_count(values[:, None] ^ values[None, :]) <= 2
+    want = smallest_reachable(range(len(values)), list(zip(*np.nonzero(np.triu(near, 1)), strict=True)))
+    assert label.tolist() == [want[i] for i in range(len(values))]
+
+
+def test_words_and_bytes_without_repeats(docs, texts, empty, monkeypatch):
+    got = {r.id: (r.n_words, r.n_removed, r.kept) for r in debruijn.without_repeats(docs).collect()}
+    assert got == without_word_windows(texts)
+    want = without_byte_windows(texts)
+    for together in (4096, 3):
+        monkeypatch.setattr(suffixes, "SORTED_TOGETHER", together)
+        made = suffixes.without_copies(docs).collect()
+        assert {r.id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in made} == want
+    assert debruijn.without_repeats(empty).count() == 0
+    assert suffixes.without_copies(empty).count() == 0
+
+
+def test_wholly_equal_rows_are_one_document(spark):
+    line = " ".join(f"w{i}" for i in range(90))
+    df = spark.createDataFrame([(1, line), (1, line), (None, line)], "doc_id long, text string")
+    assert sorted((r.id or 0, r.n_removed) for r in debruijn.without_repeats(df).collect()) == [(0, 0), (1, 90), (1, 90)]
+    once = spark.createDataFrame([(1, line), (1, line)], "doc_id long, text string")
+    assert [r.n_removed for r in suffixes.without_copies(once).collect()] == [0, 0]
+
+
+def test_decontamination(spark, docs, texts, empty):
+    items = [(1, texts[37]), (10, "THE é a"), (2, None), (3, "!!"), (10, "THE é a"), (5, " ".join(f"w{i}" for i in range(8)))]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.hit_items) for r in decontam.contamination(docs, table).collect()}
+    assert got == {k: plain_contamination(t, items) for k, t in texts.items()}
+    assert any(n for _, n, _ in got.values())
+    assert decontam.contamination(empty, table).count() == 0
+    none = decontam.contamination(docs, table.limit(0))
+    assert none.where("n_hit > 0").count() == 0 and none.count() == len(texts)
+
+
+def test_personal_data(docs, texts, empty):
+    found = pii.personal_data(docs)
+    rows = found.collect()
+    for r in rows:
+        assert [(s.start, s.no, s.end, s.kind) for s in r.spans if s.base] == base_spans(texts[r.doc_id])
+    for r in pii.redacted(found).collect():
+        spans, at, parts = next(x.spans for x in rows if x.doc_id == r.doc_id), 0, []
+        for head in [s for s in spans if s.head]:
+            parts += [texts[r.doc_id][at : head.start], f"[{head.kind.upper()}]"]
+            at = head.run_end
+        assert r.text == (texts[r.doc_id] if not spans else "".join(parts) + texts[r.doc_id][at:])
+    assert pii.personal_data(empty).count() == 0
+
+
+def test_secret_is_added_and_version_is_not(spark):
+    rows = [(i, f'see token = "{i:06d}ab12cd34ef56ab12cd34ef56" now') for i in range(60)] + [(100, "plain words only")]
+    got = {r.doc_id: [s.kind for s in r.spans] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("secret" in got[i] or "hex_token" in got[i] for i in range(60)) and got[100] == []
+
+
+def test_boosting_learns_and_its_sql_agrees(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 2))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    model = boosting.fit(x, y)
+    p = model.probability(x)
+    assert ((p > 0.5) == y).mean() > 0.95
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in x], "a double, b double")
+    assert np.allclose([r.p for r in df.selectExpr(f"{model.sql(['a', 'b'])} AS p").collect()], p, atol=1e-6)
+    assert boosting.fit(np.zeros((0, 2)), np.zeros(0)).probability(np.zeros((1, 2)))[0] == 0.5
+
+
+def test_shards(docs, texts, empty):
+    rows = shards.shuffle_into_shards(docs, "doc_id", "text", shards=5, bucket_bytes=2000).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for k in range(5):
+        assert sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows)))
+    more = {r.doc_id: r.shard for r in shards.shuffle_into_shards(docs, "doc_id", "text", shards=6).collect()}
+    assert all(more[r.doc_id] == r.grown_shard and r.grown_shard in (r.shard, 5) for r in rows)
+    assert all(r.size == len((r.text or "").encode()) + 1 and r.lang == ("en" if r.doc_id % 2 else None) for r in rows)
+    assert [r.doc_id for r in sorted(rows, key=lambda r: (r.shard, r.slot))] != sorted(texts)
+    assert shards.shuffle_into_shards(empty, "doc_id", "text").count() == 0
+
+
+def test_written_shards(spark, docs, texts, tmp_path):
+    shards.write_shards(shards.shuffle_into_shards(docs, "doc_id", "text", shards=3), f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").select("doc_id", "shard").distinct().count() == len(texts)
+
+
+def test_pieces_are_the_library_s(spark, empty):
+    model = pieces.processor(queries.piece_model())
+    odd = ["", None, " ", "  a", "a  ", "▁a b▁▁c ", "\n\n x", "日本 語𝔘\x00", "a\tb <s> <0x0A> </s>", "x" * 5000 + "   " + "é" * 300]
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").withColumnRenamed("doc_id", "ids2")
+    for r in pieces.with_pieces(df, "text", queries.piece_model()).collect():
+        assert list(r.ids) == model.encode(r.text or "") and r.decoded == model.decode(model.encode(r.text or ""))
+    assert pieces.with_pieces(empty, "text", queries.piece_model()).count() == 0
+
+
+def test_network_gradients_match_differences():
+    net = langid.initial(["x", "y", "z"], hidden=4)
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    rng = np.random.default_rng(3)
+    seq, lang = rng.integers(97, 101, (5, 6)).astype(np.uint8), rng.integers(0, 3, 5)
+    _, g = langid.gradients(net, seq, lang)
+    for name in net.w:
+        at = tuple(int(rng.integers(0, n)) for n in net.w[name].shape) if not name.startswith("x") else (98, 5)
+        kept, step = net.w[name][at], 1e-5
+        losses = []
+        for d in (step, -step):
+            net.w[name][at] = kept + d
+            losses.append(langid.gradients(net, seq, lang)[0])
+        net.w[name][at] = kept
+        assert abs((losses[0] - losses[1]) / (2 * step) - g[name][at]) < 1e-6
+
+
+def test_language(spark, empty):
+    words = {"aa": "lala mala kala nala", "bb": "zorg torg borg dorg"}
+    rows = [(i, words["aa" if i % 2 else "bb"] * (1 + i % 3), "aa" if i % 2 else "bb") for i in range(200)]
+    df = spark.createDataFrame([*rows, (900, None, "aa"), (901, "12 !?", None), (902, "", None), (None, "mala", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.with_language(df, langid.fit(df)).collect()}
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
+    assert np.mean([got[i].lang_pred == lang for i, _, lang in held]) > 0.95
+    assert [(got[i].lang_pred, got[i].score) for i in (900, 901, 902)] == [("und", 0.0)] * 3
+    assert langid.with_language(empty, langid.fit(empty)).count() == 0
+    assert {r.lang_pred for r in langid.with_language(df, langid.fit(empty)).collect()} == {"und"}
+
+
+def test_quality(spark, small, empty):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    model = quality.fit(docs, labels)
+    rows = quality.with_score(docs, model).join(labels, "doc_id").collect()
+    scores = {c: [r.score for r in rows if r.quality == c] for c in (0, 1)}
+    assert np.median(scores[1]) > np.median(scores[0]) and all(0 <= s <= 1 for c in scores.values() for s in c)
+    assert quality.with_score(empty, quality.fit(empty, labels.limit(0))).count() == 0
+    nothing = quality.fit(docs, labels.limit(0))
+    assert {r.score for r in quality.with_score(docs, nothing).collect()} == {0.5}
+
+
+def test_embeddings(spark):
+    rng, vectors = np.random.default_rng(1), []
+    for _ in range(25):
+        c = rng.normal(size=16)
+        vectors += [(c + rng.normal(size=16) * rng.choice([0, 0.05, 0.12, 0.2])).tolist() for _ in range(rng.integers(1, 30))]
+    n = len(vectors)
+    odd = [None, [], [0.0] * 16, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [None] + [1.0] * 15, [1.0, 2.0]]
+    df = spark.createDataFrame(list(enumerate([*vectors, *odd])), "vec_id long, embedding array<double>")
+    got = {r.id: r for r in nndescent.near_duplicates(df).collect()}
+    x = nndescent.unit(np.array(vectors))
+    near = x @ x.T >= 0.95
+    want = smallest_reachable(range(n + len(odd)), list(zip(*np.nonzero(np.triu(near, 1)), strict=True)))
+    assert {k: r.component_id for k, r in got.items()} == want
+    assert [got[i].n_links for i in range(n)] == (near.sum(axis=1) - 1).tolist()
+    assert all(got[n + i].n_links == 0 and got[n + i].kept for i in range(len(odd)))
+    assert nndescent.near_duplicates(df.limit(0)).count() == 0

@@ -1,0 +1,35 @@
+"""The registered queries against their statements, and the pipeline against plain versions of its stages."""
+
+import pytest
+from brute import contamination, simhash, smallest_reachable
+from compare import difference, open_tables
+
+import corpus_pipeline
+from ticketloom.llm import oracle, pieces, queries
+
+
+@pytest.mark.parametrize("name", sorted(oracle.STATEMENTS))
+def test_statement(spark, small, name):
+    assert difference(queries.QUERIES[name](spark, small), open_tables(small), oracle.STATEMENTS[name]) is None
+
+
+def test_all_ten_are_registered():
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+
+
+def test_pipeline(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    good = stages["quality classifier"](spark, docs, small)
+    kept = {r.doc_id for r in queries.op9_quality_classifier(spark, small).where("predicted = 1").collect()}
+    texts = {r.doc_id: r.text for r in good.collect()}
+    assert set(texts) == kept and good.columns == docs.columns
+    prints = {k: simhash(t) for k, t in texts.items()}
+    links = [(a, b) for a in texts for b in texts if a < b and (prints[a] ^ prints[b]).bit_count() <= 2]
+    first = {k for k, c in smallest_reachable(texts, links).items() if k == c}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    clean = {k for k in first if not contamination(texts[k], items)[1]}
+    out = corpus_pipeline.run(spark, small).collect()
+    assert {r.doc_id for r in out} == clean and len(out) == len(clean)
+    model = pieces.processor(queries.piece_model())
+    assert all(r.n_tokens == len(r.ids) and model.encode(r.decoded) == list(r.ids) for r in out)

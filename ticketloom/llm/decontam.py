@@ -94,8 +94,10 @@ def contamination(
     )
     candidates = starts.groupBy("_id", "_digest").agg(F.collect_set("c").alias("candidates"))
 
-    keyed = docs.select(*[column(c) for c in own], *keys)
-    joined = keyed.join(candidates, same_row(keyed, candidates), "left").select(*[keyed[f"`{c}`"] for c in own], "candidates")
+    held = [f"_own_{i}" for i in range(len(own))]
+    keyed = docs.select(*[column(c).alias(h) for c, h in zip(own, held, strict=True)], text.alias("_text"), *keys)
+    joined = keyed.join(candidates, same_row(keyed, candidates), "left").select(*held, "_text", "candidates")
+    text = F.col("_text")
     some = F.col("candidates").isNotNull()
     read = materialized(joined, _words=F.when(some, exact_words(text)).otherwise(folded_words(text)))
     inside = F.filter(
@@ -107,7 +109,7 @@ def contamination(
     lead = (F.col("_words")[0] == "").cast("int")
     positions = F.flatten(F.transform("_inside", lambda c: F.sequence(c["start"], c["start"] + c["len"] - 1)))
     return read.select(
-        *[column(c) for c in own],
+        *[F.col(h).alias(c) for c, h in zip(own, held, strict=True)],
         _count(F.col("_words")).alias("n_words"),
         F.coalesce(F.size(F.array_distinct(positions)), F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce(F.sort_array(F.array_distinct(F.flatten(F.transform("_inside", lambda c: c["items"])))), F.expr("cast(array() as array<string>)")).alias("hit_items"),

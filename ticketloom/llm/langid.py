@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketloom.llm.common import column
+from ticketloom.llm.common import column, free_name
 from ticketloom.llm.quality import in_fold
 
 WORD_BYTES = 24
@@ -181,6 +181,8 @@ def identify(table: WordTable, texts: list[str | None]) -> tuple[list[str], list
     Positions of one text depend on each other, so the mean of their
     log-probabilities counts as that of a few independent ones.
     """
+    if not table.net.langs:
+        return [UNKNOWN] * len(texts), [0.0] * len(texts)
     if len(table.index) > TABLE_WORDS:
         table.clear()
     words = [words_of((t or "").encode("utf-8", "replace")) for t in texts]
@@ -188,7 +190,7 @@ def identify(table: WordTable, texts: list[str | None]) -> tuple[list[str], list
     place, k = table.index.__getitem__, len(table.net.langs)
     langs, scores = [], []
     for t, own in zip(texts, words, strict=True):
-        if not k or not own or not any(map(str.isalpha, t or "")):
+        if not own or not any(map(str.isalpha, t or "")):
             langs.append(UNKNOWN)
             scores.append(0.0)
             continue
@@ -253,5 +255,6 @@ def with_language(df: DataFrame, net: Network, text_column: str = "text", lang:
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
 
     others = [column(c) for c in df.columns if c.lower() not in (lang.lower(), score.lower())]
-    made = df.select(*others, predicted(column(text_column).cast("string")).alias("_found"))
-    return made.select(*others, F.col("_found.lang").alias(lang), F.col("_found.score").alias(score))
+    held = free_name(df, "_found")
+    made = df.select(*others, predicted(column(text_column).cast("string")).alias(held))
+    return made.select(*others, F.col(f"{held}.lang").alias(lang), F.col(f"{held}.score").alias(score))

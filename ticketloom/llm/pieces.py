@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketloom.llm.common import column
+from ticketloom.llm.common import column, free_name
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -130,5 +130,6 @@ def with_pieces(df: DataFrame, text_column: str, model_path: str, ids: str = "id
             yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     others = [column(c) for c in df.columns if c.lower() not in (ids.lower(), decoded.lower())]
-    made = df.select(*others, pieces(column(text_column).cast("string")).alias("_pieces"))
-    return made.select(*others, F.col("_pieces.ids").alias(ids), F.col("_pieces.decoded").alias(decoded))
+    held = free_name(df, "_pieces")
+    made = df.select(*others, pieces(column(text_column).cast("string")).alias(held))
+    return made.select(*others, F.col(f"{held}.ids").alias(ids), F.col(f"{held}.decoded").alias(decoded))
