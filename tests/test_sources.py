@@ -70,7 +70,31 @@ def test_publish_and_failed_reload(spark, tmp_path):
     snapshots.reload_tables(spark, {"tickets": tickets(spark)}, base, "a", lambda s: s["tickets"].where("false"))
     with pytest.raises(ValueError):
         snapshots.reload_tables(spark, {"tickets": tickets(spark).limit(1)}, base, "b", reject)
-    assert snapshots.read_current(spark, f"{base}/tickets").count() == 2
+    assert snapshots.read_tables(spark, base, ["tickets"])["tickets"].count() == 2
+
+
+def test_a_taken_version_is_refused(spark, tmp_path):
+    root = str(tmp_path / "t")
+    snapshots.publish(tickets(spark), root, "v1", config_live=True, live=True)
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        snapshots.publish(snapshots.read_current(spark, root).limit(1), root, "v1", config_live=True, live=True)
+    assert snapshots.read_current(spark, root).count() == 2
+
+
+def test_reload_that_dies_between_tables_changes_none(spark, tmp_path):
+    base = str(tmp_path / "r")
+    both = {"a": tickets(spark), "b": tickets(spark)}
+    snapshots.reload_tables(spark, both, base, "v1")
+    snapshots.stage_snapshot(tickets(spark), f"{base}/b", "v2")  # makes the second table's stage fail
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        snapshots.reload_tables(spark, {n: t.limit(1) for n, t in both.items()}, base, "v2")
+    assert {n: t.count() for n, t in snapshots.read_tables(spark, base, ["a", "b"]).items()} == {"a": 2, "b": 2}
+
+
+def test_repeated_updates_add_no_rows(spark):
+    updates = spark.createDataFrame([(1, "Human Review"), (1, "Automated"), (1, None)], "ticket_id long, decision_path string")
+    got = snapshots.apply_overlay(tickets(spark), updates, ["decision_path"], at()).collect()
+    assert len(got) == 2 and [r.decision_path for r in got if r.ticket_id == 1] == ["Human Review"]
 
 
 def test_audit_file_has_no_text(spark, tmp_path, small):

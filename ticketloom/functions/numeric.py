@@ -73,7 +73,7 @@ def number_text(value: str) -> str:
     """A number as Python prints a float: ``0.9``, ``450.0``, ``12345678.0``, ``1e-05``."""
     d = f"CAST({value} AS DOUBLE)"
     text = f"CAST({d} AS STRING)"
-    digits = f"trim(TRAILING '0' FROM CAST(CAST({text} AS DECIMAL(38,18)) AS STRING))"
+    digits = f"trim(TRAILING '0' FROM CAST(CAST({text} AS DECIMAL(38,21)) AS STRING))"
     exponent = f"regexp_replace(regexp_replace(replace({text}, '.0E', 'E'), 'E(\\\\d)', 'E+$1'), 'E([+-])(\\\\d)$', 'E$10$2')"
     return (
         f"CASE WHEN NOT contains({text}, 'E') THEN {text} "

@@ -31,12 +31,13 @@ class RowCheck:
 
 
 def row_checks(df: DataFrame, key: str, checks: Sequence[RowCheck]) -> DataFrame:
-    """All checks of one table in one scan: each row yields one entry per check, and the sound ones are dropped."""
+    """All checks of one table in one scan: rows that fail none are dropped first, the others yield an entry per failed check."""
     entries = ", ".join(
         f"CASE WHEN {c.bad} THEN named_struct('check_name', {q(c.name)}, 'detail', CAST({c.detail} AS STRING)) END"
         for c in checks
     )
-    hits = df.selectExpr(f"CAST({key} AS STRING) AS key", f"explode(array({entries})) AS hit")
+    failing = df.where(" OR ".join(f"({c.bad})" for c in checks))
+    hits = failing.selectExpr(f"CAST({key} AS STRING) AS key", f"explode(array({entries})) AS hit")
     return hits.where("hit IS NOT NULL").select("hit.check_name", "key", "hit.detail")
 
 

@@ -109,9 +109,10 @@ def publish_run(
     run: Run, tickets: DataFrame, root: str, version: str, log: str, run_date: str, *, config_live: bool, live: bool
 ) -> DataFrame:
     """Write the audit events, and the updated tickets if both live flags say so."""
-    audit.write_events(run.events(not snapshots.is_live(config_live, live)), log, run_date)
     updated = snapshots.apply_overlay(tickets, run.updates, run.owned, run.run_at)
-    return snapshots.publish(updated, root, version, config_live=config_live, live=live)
+    published = snapshots.publish(updated, root, version, config_live=config_live, live=live)
+    audit.write_events(run.events(not snapshots.is_live(config_live, live)), log, run_date)
+    return published
 
 
 def stored_rules_report(tickets: DataFrame) -> DataFrame:

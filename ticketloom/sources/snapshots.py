@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,16 +20,16 @@ MANIFEST = "_current"
 def apply_overlay(tickets: DataFrame, updates: DataFrame, owned: Sequence[str], updated_at: Column) -> DataFrame:
     """Tickets with the owned columns taken from the matching update row.
 
-    ``updates`` is ``(ticket_id, *owned)`` with one row per ticket. Every
-    other column keeps its value, but ``updated_at``, which is set on matched
-    rows. An update may set a column to NULL.
+    ``updates`` is ``(ticket_id, *owned)``. Every other column keeps its value,
+    but ``updated_at``, which is set on matched rows. An update may set a
+    column to NULL. Rows are never added: of several updates for one ticket the
+    greatest by the owned columns in order applies (NULL is the least).
     """
     extra = set(updates.columns) - {"ticket_id", *owned}
     if extra:
         raise ValueError(f"columns not owned by this write-back: {sorted(extra)}")
-    marked = updates.select(
-        "ticket_id", *[F.col(c).alias(f"_new_{c}") for c in owned], F.lit(True).alias("_matched")
-    )
+    one = updates.groupBy("ticket_id").agg(F.max(F.struct(*owned)).alias("_new"))
+    marked = one.select("ticket_id", *[F.col(f"_new.{c}").alias(f"_new_{c}") for c in owned], F.lit(True).alias("_matched"))
     matched = F.col("_matched").isNotNull()
     joined = tickets.join(marked, "ticket_id", "left")
     columns = []
@@ -60,19 +61,47 @@ def publish(df: DataFrame, root: str, version: str, *, config_live: bool, live:
 
 
 def stage_snapshot(df: DataFrame, root: str, version: str) -> DataFrame:
-    """Write the snapshot without making it current, e.g. to run the checks on it."""
-    df.write.mode("overwrite").parquet(f"{root}/snapshot={version}")
+    """Write the snapshot without making it current, e.g. to run the checks on it. A version that is there is refused, never replaced."""
+    df.write.mode("errorifexists").parquet(f"{root}/snapshot={version}")
     return df.sparkSession.read.parquet(f"{root}/snapshot={version}")
 
 
+def set_current(spark: SparkSession, root: str, version: str) -> None:
+    """Add a manifest entry with the next number. Earlier entries stay, so readers and a crash find the old or the new one."""
+    latest = _latest(spark, root)
+    entry = spark.createDataFrame([(latest[0] + 1 if latest else 1, version)], "number long, version string")
+    entry.coalesce(1).write.mode("append").json(f"{root}/{MANIFEST}")
+
+
+def _latest(spark: SparkSession, root: str) -> tuple[int, str] | None:
+    try:
+        entries = spark.read.schema("number long, version string").json(f"{root}/{MANIFEST}")
+    except AnalysisException:  # no manifest yet
+        return None
+    row = entries.orderBy(F.col("number").desc(), F.col("version").desc()).first()
+    return (row["number"], row["version"]) if row else None
+
+
+def current_version(spark: SparkSession, root: str) -> str:
+    latest = _latest(spark, root)
+    if latest is None:
+        raise ValueError(f"no snapshot is current under {root}")
+    return latest[1]
+
+
 def make_current(spark: SparkSession, root: str, version: str) -> DataFrame:
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{root}/{MANIFEST}")
+    set_current(spark, root, version)
     return read_current(spark, root)
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.schema("version string").json(f"{root}/{MANIFEST}").first()["version"]
-    return spark.read.parquet(f"{root}/snapshot={version}")
+    return spark.read.parquet(f"{root}/snapshot={current_version(spark, root)}")
+
+
+def read_tables(spark: SparkSession, root: str, names: Sequence[str]) -> dict[str, DataFrame]:
+    """The reloaded tables, all at the one version that the root's manifest names."""
+    version = current_version(spark, root)
+    return {name: spark.read.parquet(f"{root}/{name}/snapshot={version}") for name in names}
 
 
 def reload_tables(
@@ -85,9 +114,11 @@ def reload_tables(
     """Full reload of all tables, all or nothing, safe to repeat.
 
     Every table is staged first. ``check`` gets the staged tables and returns
-    a frame of violations; if it has any row, no table becomes current.
+    a frame of violations; if it has any row, no table becomes current. One
+    manifest entry then switches all tables at once; see ``read_tables``.
     """
     staged = {name: stage_snapshot(df, f"{root}/{name}", version) for name, df in tables.items()}
     if check is not None and not check(staged).isEmpty():
         raise ValueError("the staged tables violate the checks; the current snapshot is unchanged")
-    return {name: make_current(spark, f"{root}/{name}", version) for name in tables}
+    set_current(spark, root, version)
+    return read_tables(spark, root, list(tables))
