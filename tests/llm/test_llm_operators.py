@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from brute import (
+from llm_brute import (
     base_spans, contamination as plain_contamination, odd_texts, simhash as plain_simhash, smallest_reachable,
     without_byte_windows, without_word_windows,
 )

@@ -1,7 +1,7 @@
 """The registered queries against their statements, and the pipeline against plain versions of its stages."""
 
 import pytest
-from brute import contamination, simhash, smallest_reachable
+from llm_brute import contamination, simhash, smallest_reachable
 from compare import difference, open_tables
 
 import corpus_pipeline
