@@ -27,6 +27,14 @@ def test_csv_reads_with_types_and_empty_as_null(spark, tmp_path):
     assert [f.dataType for f in frame.schema] == [f.dataType for f in schemas.CUSTOMERS]
 
 
+def test_csv_field_with_a_line_break(spark, tmp_path):
+    (tmp_path / "customers.csv").write_text(
+        "customer_id,first_name,last_name,email,phone,signup_date,customer_segment,country,is_active\n"
+        '1,Ann,"O\nNeil",a@x.org,,2024-01-02,VIP,Chad,True\n'
+    )
+    assert tables.read_csv(spark, str(tmp_path / "customers.csv"), "customers", line_breaks=True).first().last_name == "O\nNeil"
+
+
 def test_csv_fails_on_a_bad_row(spark, tmp_path):
     (tmp_path / "products.csv").write_text("product_id,product_name,category,sku,price,stock_quantity,is_active\nx,a,b,c,1.5,2,True\n")
     with pytest.raises(Exception):

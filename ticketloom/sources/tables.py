@@ -9,14 +9,22 @@ from pyspark.sql import types as T
 from ticketloom.schemas import KEYS, TABLES
 
 
-def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
+#: Tables with free text, whose quoted fields may hold line breaks.
+TEXT_TABLES = ("tickets",)
+
+
+def read_csv(spark: SparkSession, path: str, table: str, *, line_breaks: bool | None = None) -> DataFrame:
     """One CSV (or a directory of them) with header; fails on malformed rows.
 
-    An empty field is NULL; a quoted empty string reads as NULL too.
+    An empty field is NULL; a quoted empty string reads as NULL too. With
+    ``line_breaks`` (by default for tables with free text) quoted fields may
+    span lines; a file is then read by one task, so large data comes in many files.
     """
+    if line_breaks is None:
+        line_breaks = table in TEXT_TABLES
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in TABLES[table].fields])
     return spark.read.schema(schema).csv(
-        path, header=True, nullValue="", mode="FAILFAST", enforceSchema=False, quote='"', escape='"', multiLine=False
+        path, header=True, nullValue="", mode="FAILFAST", enforceSchema=False, quote='"', escape='"', multiLine=line_breaks
     )
 
 
