@@ -211,3 +211,27 @@ def test_embeddings(spark):
     assert [got[i].n_links for i in range(n)] == (near.sum(axis=1) - 1).tolist()
     assert all(got[n + i].n_links == 0 and got[n + i].kept for i in range(len(odd)))
     assert nndescent.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_links_counted_over_many_blocks(spark):
+    rng = np.random.default_rng(4)
+    path = [[np.cos(a), np.sin(a)] for a in np.sort(rng.uniform(0, 2.4, 60))] + [[1.0, rng.normal() * 0.01] for _ in range(40)]
+    rows = [(0, i, list(map(float, v)), 1 + i % 3) for i, v in enumerate(path)] + [(1, 100 + i, [0.0, 1.0 + i], 2) for i in range(9)]
+    members = spark.createDataFrame(rows, "component long, node long, vec array<double>, weight long")
+    got = dict(nndescent.link_counts(members, 0.95, block=7).collect())
+    x, part, weight = nndescent.unit(np.array([r[2] for r in rows])), np.array([r[0] for r in rows]), np.array([r[3] for r in rows])
+    near = (x @ x.T >= 0.95) & (part[:, None] == part[None, :]) & ~np.eye(len(rows), dtype=bool)
+    assert got == {r[1]: int(n) for r, n in zip(rows, near @ weight, strict=True)}
+
+
+def test_capital_sigma_is_found_whatever_follows(spark):
+    docs = spark.createDataFrame([(1, "x ΑΣ'Β y"), (2, "ΑΣ Β")], "doc_id long, text string")
+    items = spark.createDataFrame([("s", "ΑΣ Β")], "item_id string, text string")
+    assert {r.doc_id: r.n_hit for r in decontam.contamination(docs, items).collect()} == {1: 2, 2: 2}
+
+
+def test_documents_that_share_an_id_teach_once(spark):
+    rows = [(i % 3, "good words here " * 40 if i % 3 else "zzq 19 zzq ") for i in range(200)]
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (2, 1), (None, 1), (3, None)], "doc_id long, quality int")
+    model = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert len(model.good) + len(model.bad) < 3 * quality.TRAINING_BYTES

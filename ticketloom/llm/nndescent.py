@@ -144,8 +144,8 @@ def link_counts(members: DataFrame, cosine: float, block: int = 512) -> DataFram
 
     Saturated lists are enlarged to the whole component here. Members within
     half the threshold angle of its centre are linked with each other for sure,
-    so they are counted by one sum; pairs with others are compared by blocks of
-    members, and only counts leave a block.
+    so they are counted by one sum; only pairs with a member outside that core
+    are compared, by blocks of members, and only counts leave a block.
     """
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     parts = members.select("component", F.posexplode("vec").alias("i", "x"), length.alias("length"))
@@ -157,16 +157,20 @@ def link_counts(members: DataFrame, cosine: float, block: int = 512) -> DataFram
     placed = members.join(centre, "component").select("component", "node", "vec", "weight", F.coalesce(dot / size >= half, F.lit(False)).alias("core"))
     placed = stored(placed, "nn-members")
     sums = placed.groupBy("component").agg(
-        F.sum(F.when(F.col("core"), F.col("weight")).otherwise(0)).alias("core_rows"), F.count(F.lit(1)).alias("size"),
-        F.max(~F.col("core")).alias("mixed"),
-    )
+        F.sum(F.when(F.col("core"), F.col("weight")).otherwise(0)).alias("core_rows"),
+        F.ceil(F.count_if(~F.col("core")) / block).cast("int").alias("outer"),
+        F.ceil(F.count_if("core") / block).cast("int").alias("inner"),
+    )
     known = placed.join(sums, "component")
     sure = known.where("core").select("node", (F.col("core_rows") - F.col("weight")).alias("n"))
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    spread = known.where("mixed").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    # Blocks 0 to outer - 1 hold the members outside the core, which meet all blocks; those inside meet the outer blocks alone.
+    own = F.when(F.col("core"), F.col("outer") + F.pmod(F.xxhash64("node"), F.greatest("inner", F.lit(1)))).otherwise(
+        F.pmod(F.xxhash64("node"), F.greatest("outer", F.lit(1)))
+    ).cast("int")
+    met = F.when(F.col("core"), F.col("outer")).otherwise(F.col("outer") + F.col("inner"))
+    spread = known.where("outer > 0").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), met - 1)))
     paired = spread.groupBy("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(
-        F.collect_list(F.struct("node", "vec", "weight", "core", "own")).alias("members")
+        F.collect_list(F.struct("node", "vec", "weight", "own")).alias("members")
     )
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,9 +179,7 @@ def link_counts(members: DataFrame, cosine: float, block: int = 512) -> DataFram
             firsts, seconds = batch.column("i").to_pylist(), batch.column("j").to_pylist()
             for (members_, x), first, second in zip(groups_of(batch, "members"), firsts, seconds, strict=True):
                 node, weight = members_.field("node").to_numpy(), members_.field("weight").to_numpy()
-                core, home = members_.field("core").to_numpy(zero_copy_only=False), members_.field("own").to_numpy()
-                linked = x @ x.T >= cosine
-                linked &= ~(core[:, None] & core[None, :])
+                home, linked = members_.field("own").to_numpy(), x @ x.T >= cosine
                 if first != second:
                     linked &= home[:, None] != home[None, :]
                 np.fill_diagonal(linked, False)

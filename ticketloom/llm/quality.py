@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketloom.llm.common import column, utf8
+from ticketloom.llm.common import column, stored, utf8
 
 PIECE = 1024
 LEVEL = 3
@@ -100,22 +100,33 @@ def fit(
     """Dictionaries and calibration from at most ``sample_rows`` labelled rows outside fold 0, those with the lowest id hash.
 
     One half of the sample builds the dictionaries (4 KB of a text), the other
-    (64 KB of a text) calibrates. Null labels, ids and texts teach nothing. No
-    labelled rows: every text scores one half.
+    (64 KB of a text) calibrates; it is compressed where it lies, and only its
+    features come to the driver. Null labels, ids and texts teach nothing, and
+    documents that share an id teach once, by the least text. No labelled rows:
+    every text scores one half.
     """
     known = labels.select(column(id_column).alias("_id"), column(label_column).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1)")
-    known = known.where(~in_fold("_id"))
+    known = known.where(~in_fold("_id")).distinct()
     order = F.xxhash64(F.lit("quality"), F.col("_id").cast("string"))
     share = min(1.0, 1.5 * sample_rows / max(1, known.count()))
     chosen = known.where(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).withColumn("_order", order)
     chosen = chosen.orderBy("_order", "_id", "_y").limit(sample_rows)
     texts = docs.select(column(id_column).alias("_id"), F.substring(utf8(column(text_column)), 1, SAMPLE_BYTES).alias("_text"))
-    rows = texts.join(F.broadcast(chosen), "_id").select("_order", "_y", "_text").limit(2 * sample_rows).collect()
-    rows = sorted((r for r in rows if r["_text"]), key=lambda r: (r["_order"], r["_y"], bytes(r["_text"])))[:sample_rows]
-    built, held = rows[0::2], rows[1::2]
+    found = texts.where(F.octet_length("_text") > 0).join(F.broadcast(chosen), "_id")
+    sample = stored(found.groupBy("_order", "_id", "_y").agg(F.min("_text").alias("_text")), "quality-sample")
+    building = F.shiftright("_order", 20).bitwiseAND(F.lit(1)) == 0
+    built = sample.where(building).select("_order", "_y", F.substring("_text", 1, TRAINING_BYTES).alias("_text")).collect()
+    built.sort(key=lambda r: (r["_order"], r["_y"], bytes(r["_text"])))
     good, bad = (build_dictionary([bytes(r["_text"]) for r in built if r["_y"] == c]) for c in (1, 0))
-    sizes = Compressors(good, bad)
-    x = np.array([sizes.features(bytes(r["_text"])) for r in held]).reshape(-1, 3)
+
+    @F.arrow_udf("array<double>")
+    def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        sizes = Compressors(good, bad)
+        for batch in batches:
+            yield pa.array([sizes.features(t.as_py()) for t in batch], pa.list_(pa.float64()))
+
+    held = sorted(sample.where(~building).select("_order", "_y", features("_text").alias("x")).collect())
+    x = np.array([r["x"] for r in held]).reshape(-1, 3)
     return Model(good, bad, *calibrate(x, np.array([r["_y"] for r in held], dtype=float)))
 
 
