@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ticketloom import vocab
 from ticketloom.functions import numeric
 from ticketloom.operators import classification, evaluation, measures, quality, selfcheck, views
-from ticketloom.operators.joins import childless, lookup_join, owner_gate, product_names
+from ticketloom.operators.joins import childless, lookup_join, orphans, owner_gate, product_names
 from ticketloom.operators.medians import HUNDREDTHS, exact_medians, exact_quantiles
 from ticketloom.plans.testmodel import Model
 
@@ -65,6 +65,9 @@ def test_owner_gate_and_orphans(spark):
     orders = spark.createDataFrame([(10, 5), (11, 6)], "order_id bigint, customer_id bigint")
     assert {r.ticket_id: r.accepted for r in owner_gate(tickets, orders).collect()} == {1: True, 2: False, 3: True, 4: False}
     assert [r.order_id for r in childless(orders, tickets, "order_id").collect()] == []
+    assert sorted(r.ticket_id for r in orphans(tickets, orders, "order_id").collect()) == [3, 4]
+    assert [r.ticket_id for r in orphans(tickets, orders, "order_id", null_is_orphan=False).collect()] == [4]
+    assert orphans(tickets, orders, "order_id").columns == tickets.columns
 
 
 def test_product_names_are_distinct_and_sorted(spark):
@@ -79,13 +82,12 @@ def test_medians_against_brute_force(spark):
     rows = [(rng.choice(["a", "b", None]), rng.randint(-(10**13), 10**13) if i % 3 else 42, rng.randint(0, 9)) for i in range(2001)]
     rows += [("one", 5, None), ("none", None, None)]
     frame = spark.createDataFrame(rows, "g string, x bigint, y bigint")
-    for few in (True, False):
-        got = {r.g: (r.x2, r.y2) for r in exact_medians(frame, {"x2": "x", "y2": "y"}, ["g"], few_groups=few).collect()}
-        for group in ("a", "b", None, "one"):
-            for i, column in enumerate((1, 2)):
-                values = [r[column] for r in rows if r[0] == group and r[column] is not None]
-                assert got[group][i] == (2 * statistics.median(values) if values else None)
-        assert "none" not in got
+    got = {r.g: (r.x2, r.y2) for r in exact_medians(frame, {"x2": "x", "y2": "y"}, ["g"]).collect()}
+    for group in ("a", "b", None, "one"):
+        for i, column in enumerate((1, 2)):
+            values = [r[column] for r in rows if r[0] == group and r[column] is not None]
+            assert got[group][i] == (2 * statistics.median(values) if values else None)
+    assert "none" not in got
     empty = exact_medians(frame.where("false"), {"x2": "x"}).collect()
     assert [tuple(r) for r in empty] == [(None,)]
 
@@ -99,6 +101,8 @@ def test_quantiles_against_brute_force(spark):
     row = exact_quantiles(frame, "x", shares, levels=HUNDREDTHS).first()
     for name, (n, d) in shares.items():
         assert row[name] == pytest.approx(float(np.percentile(values, 100 * n / d)))
+    nothing = exact_quantiles(frame.where("false"), "x", shares, levels=HUNDREDTHS).collect()
+    assert [tuple(r) for r in nothing] == [(0, None, None, None, None)]
 
 
 CLASSIFIER = [

@@ -28,8 +28,11 @@ def lookup_join(facts: DataFrame, parents: DataFrame, key: str, row_id: str | No
 def orphans(children: DataFrame, parents: DataFrame, key: str, null_is_orphan: bool = True) -> DataFrame:
     """Child rows whose key is not among the parents; NULL keys only on request."""
     if not null_is_orphan:
-        children = children.where(F.col(key).isNotNull())
-    return children.join(parents.select(key), key, "left_anti")
+        return children.where(F.col(key).isNotNull()).join(parents.select(key), key, "left_anti")
+    # As in lookup_join: rows without a key spread by a hash of the whole row and match nothing.
+    left = children.withColumn("_spread", F.coalesce(children[key].cast("bigint"), F.xxhash64(*children.columns)))
+    right = parents.select(F.col(key).alias("_parent_key"))
+    return left.join(right, (F.col("_spread") == F.col("_parent_key")) & F.col(key).isNotNull(), "left_anti").drop("_spread")
 
 
 def childless(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:

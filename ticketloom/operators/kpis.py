@@ -150,7 +150,7 @@ def monthly_medians(fact: DataFrame) -> DataFrame:
     monthly = fact.withColumn("month", F.expr(MONTH))
     result = summarise(monthly, {"month": "month"}, {"tickets": "count(1)"})
     names = {f"median_{c}": f"{c} * 100" for c in ("first_response_minutes", "resolution_hours")}
-    middles = exact_medians(monthly, names, ["month"], few_groups=True, levels=HUNDREDTHS)
+    middles = exact_medians(monthly, names, ["month"], levels=HUNDREDTHS)
     halves = middles.selectExpr("month", *[f"{n} / 200D AS {n}" for n in names])
     return result.join(halves, "month", "left")
 

@@ -151,11 +151,11 @@ def measures_for_sets(
     return _finish(grouped, [*keys, "grouping_id"], empty)
 
 
-def median_measures(fact: DataFrame, by: Sequence[str] = (), few_groups: bool = False) -> DataFrame:
+def median_measures(fact: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Ticket count and exact medians of the 2-decimal durations per slice; NULL where none."""
     by = list(by)
     values = {name: f"{column} * 100" for name, column in MEDIANS}
-    middles = exact_medians(fact, values, by, few_groups=few_groups, levels=HUNDREDTHS)
+    middles = exact_medians(fact, values, by, levels=HUNDREDTHS)
     halves = middles.selectExpr(*[f"{k} AS _of_{k}" for k in by], *[f"{n} / 200D AS {n}" for n in values])
     slices = fact.groupBy(*by).agg(F.count(F.lit(1)).alias("total_tickets"))
     if not by:
@@ -210,7 +210,12 @@ def date_range(fact: DataFrame) -> DataFrame:
 
 def date_dimension(fact: DataFrame) -> DataFrame:
     """One row per calendar day from the first to the last creation date."""
-    days = date_range(fact).select(F.explode(F.sequence("first_date", "last_date")).alias("date"))
+    return calendar(date_range(fact))
+
+
+def calendar(span: DataFrame) -> DataFrame:
+    """The days of one row ``first_date, last_date`` with their parts."""
+    days = span.select(F.explode(F.sequence("first_date", "last_date")).alias("date"))
     d = F.col("date")
     return days.select(
         "date",
@@ -228,4 +233,5 @@ def date_dimension(fact: DataFrame) -> DataFrame:
 def daily_volume(fact: DataFrame) -> DataFrame:
     """Tickets per calendar day, days without tickets included."""
     per_day = fact.groupBy(F.to_date("created_at").alias("date")).agg(F.count(F.lit(1)).alias("tickets"))
-    return date_dimension(fact).join(per_day, "date", "left").withColumn("tickets", F.coalesce("tickets", F.lit(0)))
+    span = per_day.agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"))  # the shuffle of the counts serves both
+    return calendar(span).join(per_day, "date", "left").withColumn("tickets", F.coalesce("tickets", F.lit(0)))

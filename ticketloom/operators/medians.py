@@ -32,7 +32,6 @@ def ranked_values(
     shares: Sequence[Share],
     by: Sequence[str] = (),
     *,
-    few_groups: bool = False,
     levels: Sequence[int] = MICROS,
 ) -> DataFrame:
     """``(*by, measure, n, low_0, high_0, low_1, high_1, ...)`` of bigint values, NULLs ignored.
@@ -42,31 +41,36 @@ def ranked_values(
     an interpolated quantile lies between. A built-in percentile keeps every
     distinct value of a group in one task; here each level is a histogram with
     map-side counting, and only the bins around the wanted ranks go on.
-    ``few_groups`` states that the keys are bounded vocabularies (or absent):
-    then the picked bins, at most two per group, measure and share, are
-    broadcast and the facts are not shuffled at all.
+    With ``by`` the rows are counted once per group and value, map-side first,
+    and all levels read the shuffle of these counts; so however hot a group is,
+    a bin holds one row a distinct value. Without ``by`` the picked bins, at
+    most two per measure and share, are broadcast and nothing is shuffled but
+    histograms.
     """
     keys = [*by, "measure"]
     entries = ", ".join(f"named_struct('measure', {q(n)}, '_v', CAST({e} AS BIGINT))" for n, e in values.items())
     rows = df.selectExpr(*by, f"inline(array({entries}))").where("_v IS NOT NULL")
+    once = F.expr("count(1)")
+    if by:
+        rows, once = rows.groupBy(*keys, "_v").agg(once.alias("_rows")), F.sum("_rows")
     wanted = [_ranks(s) for s in shares]
     holds = any_of(f"(_base <= {high} AND _base + _n > {low})" for low, high in wanted)
     picked, above = None, None
     for level in levels:
         if picked is None:
-            counts = rows.groupBy(*keys, F.expr(f"shiftright(_v, {level})").alias("_bin")).agg(F.expr("count(1)").alias("_n"))
+            counts = rows.groupBy(*keys, F.expr(f"shiftright(_v, {level})").alias("_bin")).agg(once.alias("_n"))
             whole = Window.partitionBy(*keys)
             counts = counts.withColumns({"_total": F.sum("_n").over(whole), "_base": F.expr("0L")})
             scope = keys
         else:
-            inside = F.broadcast(picked) if few_groups or not by else picked
+            inside = picked if by else F.broadcast(picked)
             left = rows.selectExpr("*", f"shiftright(_v, {above}) AS _outer")
             right = inside.selectExpr(*[f"{k} AS _of_{k}" for k in keys], "_outer AS _hit", "_base", "_total")
             same = " AND ".join(f"{k} <=> _of_{k}" for k in keys)
             counts = (
                 left.join(right, F.expr(f"_outer = _hit AND {same}"))
                 .groupBy(*keys, "_outer", "_base", "_total", F.expr(f"shiftright(_v, {level})").alias("_bin"))
-                .agg(F.expr("count(1)").alias("_n"))
+                .agg(once.alias("_n"))
             )
             scope = [*keys, "_outer"]
         running = Window.partitionBy(*scope).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -88,24 +92,25 @@ def exact_medians(
     values: Mapping[str, str],
     by: Sequence[str] = (),
     *,
-    few_groups: bool = False,
     levels: Sequence[int] = MICROS,
 ) -> DataFrame:
     """``(*by, *names)``: per measure the sum of the two middle values, to be halved at the caller's precision.
 
     Without ``by`` one row, also for no values at all.
     """
-    found = ranked_values(df, values, [(1, 2)], by, few_groups=few_groups, levels=levels)
+    found = ranked_values(df, values, [(1, 2)], by, levels=levels)
     return found.groupBy(*by).agg(
         *[F.expr(f"max(CASE WHEN measure = {q(n)} THEN low_0 + high_0 END)").alias(n) for n in values]
     )
 
 
 def exact_quantiles(df: DataFrame, value: str, shares: Mapping[str, Share], *, levels: Sequence[int] = MICROS) -> DataFrame:
-    """``(n, *names)``: interpolated quantiles of all rows as doubles, in units of the value."""
+    """``(n, *names)``: interpolated quantiles of all rows as doubles, in units of the value. No values: 0 and NULLs."""
     found = ranked_values(df, {"value": value}, list(shares.values()), levels=levels)
     columns = {}
     for i, (name, (num, den)) in enumerate(shares.items()):
         part = f"CAST(({num} * (n - 1)) % {den} AS DOUBLE) / {den}D"
         columns[name] = f"low_{i} + (high_{i} - low_{i}) * ({part})"
-    return found.selectExpr("n", *as_list(columns))
+    bounds = {c: F.max(c).alias(c) for c in found.columns if c not in ("measure", "n")}
+    one = found.agg(F.coalesce(F.max("n"), F.lit(0)).cast("bigint").alias("n"), *bounds.values())
+    return one.selectExpr("n", *as_list(columns))

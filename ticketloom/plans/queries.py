@@ -457,7 +457,7 @@ def measures_sliced(m: Model) -> DataFrame:
 
 @query
 def medians_by_channel(m: Model) -> DataFrame:
-    return measures.median_measures(early_fact(m), ["channel"], few_groups=True)
+    return measures.median_measures(early_fact(m), ["channel"])
 
 
 @query

@@ -75,9 +75,8 @@ def response_context(
         F.col("actual_delivery_date").cast("string").alias("actual_delivery_date"),
     ]
     rows = _with_parents(narrow, customers, orders, columns, "response_status", only_unprocessed, limit)
-    if limit is not None:
-        # Few tickets: read the names of their orders only.
-        items = items.join(rows.select("order_id").where(F.col("order_id").isNotNull()).distinct(), "order_id", "left_semi")
+    # Names of the picked tickets' orders only.
+    items = items.join(rows.select("order_id").where(F.col("order_id").isNotNull()).distinct(), "order_id", "left_semi")
     rows = lookup_join(rows, product_names(items, products), "order_id", "ticket_id")
     return rows.select(
         "ticket_id", "message_text", "ai_predicted_category", "classification_confidence", "sentiment_score",
