@@ -234,7 +234,14 @@ SQL["response_prompts"] = (
 # --- classification ---
 SQL["classification_prompts"] = (
     f"SELECT conv_id, turn, concat('Customer support message:', {NL}, '\"\"\"', {NL}, text, {NL}, '\"\"\"') AS prompt "
-    "FROM conversations WHERE role = 'user'"
+    "FROM conversations"
+)
+SQL["ticket_prompts"] = (
+    f"SELECT ticket_id, concat('Customer support message:', {NL}, '\"\"\"', {NL}, message_text, {NL}, '\"\"\"') AS prompt FROM ({PICK})"
+)
+SQL["model_calls"] = (
+    "SELECT ticket_id, CASE WHEN length(prompt) % 5 = 0 THEN 'rate_limit' END AS error_type, length(prompt) AS input_tokens, "
+    f"'length' AS model FROM ({SQL['ticket_prompts']})"
 )
 J = lambda f: f"json_extract_string(doc, '$.{f}')"
 JT = lambda f: f"json_type(doc, '$.{f}')"
@@ -422,7 +429,8 @@ SQL["delivery_delay"] = (
 )
 SQL["duration_columns"] = (
     f"SELECT ticket_id, {ratio(US['first'], str(MINUTE), 2)} AS first_response_minutes, {ratio(US['resolution'], str(HOUR), 2)} "
-    f"AS resolution_hours, {ratio('epoch_us(decision_at) - epoch_us(created_at)', str(HOUR), 2)} AS decision_hours FROM fx_tickets"
+    f"AS resolution_hours, {ratio('epoch_us(decision_at) - epoch_us(created_at)', str(HOUR), 2)} AS decision_hours, "
+    f"{ratio(US['rule'], str(HOUR), 2)} AS rule_decision_hours, {ratio(US['response'], str(HOUR), 2)} AS response_generation_hours FROM stored"
 )
 
 # --- measures ---
@@ -538,6 +546,14 @@ def median_slices(source: str, by: str) -> str:
 
 SQL["medians_by_channel"] = median_slices("early_fact", "channel")
 SQL["medians_by_customer_segment_and_country"] = median_slices("early_fact", "customer_segment, country")
+MIDDLES = "total_tickets, median_first_response_minutes, median_resolution_hours FROM"
+DATED = "(SELECT *, CAST(created_at AS DATE) AS created_date FROM early_fact)"
+SQL["medians_grouping_sets"] = (
+    f"SELECT created_date, channel, CAST(0 AS BIGINT) AS grouping_id, {MIDDLES} ({median_slices(DATED, 'created_date, channel')}) "
+    f"UNION ALL SELECT CAST(NULL AS DATE), channel, CAST(2 AS BIGINT), {MIDDLES} ({median_slices('early_fact', 'channel')}) "
+    "UNION ALL SELECT CAST(NULL AS DATE), CAST(NULL AS VARCHAR), CAST(3 AS BIGINT), (SELECT count(*) FROM early_fact), "
+    f"({middle(H_FIRST, 'early_fact')}) / 200.0, ({middle(H_RES, 'early_fact')}) / 200.0"
+)
 for _name, _column, _blank in (
     ("chart_decision_path", "decision_path", True), ("chart_original_priority", "original_priority", True),
     ("chart_predicted_category", CAT, False), ("chart_final_priority", "final_priority", True),
@@ -718,7 +734,7 @@ SQL["dq_view_grain"] = (
     "FROM (SELECT (SELECT count(*) FROM seen) AS a, (SELECT count(*) FROM broken_tickets) AS b) WHERE a <> b"
 )
 TWO = "printf('%.2f', {0})"
-SQL["dq_fact_rows"] = f"WITH bf AS ({fact_sql('broken_stored')}) " + union(
+FACT_ROWS = union(
     *[
         finding(f"negative_{d}", "ticket_id", TWO.format(d), f"bf WHERE {d} < 0")
         for d in ("first_response_minutes", "resolution_hours", "rule_decision_hours", "response_generation_hours")
@@ -726,12 +742,13 @@ SQL["dq_fact_rows"] = f"WITH bf AS ({fact_sql('broken_stored')}) " + union(
     foreign("invalid_decision_path_in_view", "bf", "ticket_id", "decision_path", V.DECISION_PATHS),
     foreign("invalid_response_status_in_view", "bf", "ticket_id", "response_status", V.RESPONSE_STATUSES),
 )
+SQL["dq_fact_rows"] = f"WITH bf AS ({fact_sql('broken_stored')}) {FACT_ROWS}"
 PCTS = {
     "classification": ["classification_coverage_pct", "low_confidence_rate_pct", "exact_category_match_rate_pct"],
     "rule": ["automated_rate_pct", "human_review_rate_pct", "urgent_human_review_rate_pct"],
     "response": ["response_processed_rate_pct", "draft_generation_rate_pct", "blocked_rate_pct"],
 }
-SQL["dq_metric_consistency"] = f"WITH {BLOCKS('broken_stored')} " + union(*[
+METRIC_ROWS = union(*[
     finding(name, "'metrics'", "NULL", f"{t} WHERE {bad}")
     for name, t, bad in (
         ("classification_counts_do_not_partition", "c", "classified_tickets + unclassified_tickets <> total_tickets"),
@@ -747,6 +764,7 @@ SQL["dq_metric_consistency"] = f"WITH {BLOCKS('broken_stored')} " + union(*[
         ],
     )
 ])
+SQL["dq_metric_consistency"] = f"WITH {BLOCKS('broken_stored')} {METRIC_ROWS}"
 
 
 def selfcheck(tickets: str, fact: str) -> str:
@@ -852,6 +870,20 @@ def declared(table: str, source: str, later: bool = False) -> str:
 
 SQL["dq_constraints"] = union(*[declared(t, f"broken_{t}") for t in KEYS])
 SQL["dq_stored_constraints"] = declared("tickets", "broken_stored", later=True)
+SQL["dq_key_constraints"] = union(
+    *[repeats(f"{t}.pk", f"broken_{t} WHERE {k} IS NOT NULL", k) for t, k in KEYS.items()],
+    repeats("customers.email_unique", "broken_customers WHERE email IS NOT NULL", "email"),
+    repeats("products.sku_unique", "broken_products WHERE sku IS NOT NULL", "sku"),
+    *[
+        f"SELECT '{child}.{key}_fk', CAST(x.{KEYS[child]} AS VARCHAR), CAST(x.{key} AS VARCHAR) FROM broken_{child} x "
+        f"WHERE x.{key} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM broken_{parent} y WHERE y.{key} = x.{key})"
+        for child, parent, key in (
+            ("orders", "customers", "customer_id"), ("order_items", "orders", "order_id"), ("order_items", "products", "product_id"),
+            ("tickets", "customers", "customer_id"), ("tickets", "orders", "order_id"),
+        )
+    ],
+    f"SELECT 'tickets.order_owner', key, detail FROM ({owners('broken_')})",
+)
 SQL["dq_suite"] = (
     "SELECT check_name, count(*) AS violations FROM ("
     + union(DQ_PK, DQ_FK, DQ_NULLS, DQ_DUPES, totals("broken_"), no_items("broken_"), line_totals("broken_"), owners("broken_"), DQ_TIME, DQ_VOCAB)
@@ -880,6 +912,8 @@ SQL["overlay_decisions"] = (
     f"SELECT t.ticket_id, t.priority, r.final_priority, r.decision_path, CASE WHEN r.ticket_id IS NOT NULL THEN {RUN_AT} END AS rule_decision_at, "
     f"CASE WHEN r.ticket_id IS NOT NULL THEN {RUN_AT} ELSE t.updated_at END AS updated_at FROM fx_tickets t LEFT JOIN broken_routed r ON t.ticket_id = r.ticket_id"
 )
+SQL["rules_run_updates"] = f"SELECT ticket_id, final_priority, decision_path, {RUN_AT} AS rule_decision_at FROM routed"
+SQL["redacted_turns"] = "SELECT conv_id, turn, 'key [REDACTED] ' || text || ' [REDACTED]' AS text FROM conversations"
 SQL["overlay_responses"] = (
     "SELECT ticket_id, decision_path, d_status AS response_status, r_type AS response_type, d_draft AS response_draft, "
     f"{RUN_AT} AS response_generated_at, {RUN_AT} AS updated_at FROM responded"

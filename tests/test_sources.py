@@ -187,6 +187,11 @@ def test_whole_runs(spark, small, tmp_path):
     total = live.count()
     assert answered.summary.first().tickets_processed == total
     assert answered.evaluation.first().draft_generation_success_rate > 0
+    kept = runs.run_rules(before, m.customers, m.orders, run_at=at(), stage=str(tmp_path / "decided"))
+    assert kept.updates.exceptAll(dry.updates).isEmpty() and kept.decided.count() == undecided
+    for _ in range(2):  # a repeated dry run replaces its own events
+        runs.publish_run(kept, before, str(tmp_path / "t"), "v9", str(tmp_path / "dry"), "2024-06-01", config_live=True, live=False)
+        assert spark.read.json(str(tmp_path / "dry")).where("run_id = 'v9-dry' AND dry_run").count() == undecided
     none = runs.run_responses(live, **parts, run_at=at(), limit=5)
     assert none.decided.count() == 5 and none.evaluation.first().draft_generation_attempted == 0
     after = runs.publish_run(answered, live, str(tmp_path / "t"), "v2", str(tmp_path / "log"), "2024-06-01", config_live=True, live=True)

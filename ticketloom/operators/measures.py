@@ -164,6 +164,24 @@ def median_measures(fact: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return slices.join(halves, F.expr(same), "left").drop(*[f"_of_{k}" for k in by])
 
 
+def median_measures_for_sets(fact: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
+    """``median_measures`` under several slicer sets at once, with ``grouping_id`` as in ``measures_for_sets``.
+
+    Facts are read once: each row goes on once a set, with NULL for the keys
+    outside it, and is counted per slice and value before anything is shuffled.
+    """
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+
+    def entry(chosen: Sequence[str]) -> str:
+        absent = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in chosen)
+        parts = [f"{q(k)}, {k if k in chosen else f'CAST(NULL AS {fact.schema[k].dataType.simpleString()})'}" for k in keys]
+        return f"named_struct({', '.join([*parts, f"'grouping_id', {absent}L"])})"
+
+    durations = [column for _, column in MEDIANS]
+    spread = fact.selectExpr(*durations, f"inline(array({', '.join(entry(s) for s in sets)}))")
+    return median_measures(spread, [*keys, "grouping_id"])
+
+
 def texts(measured: DataFrame) -> DataFrame:
     """Adds the three text measures: match label, coverage warning, routing note."""
     match = half_up_ratio("(exact_category_matches * 100)", "classified_tickets", 2)

@@ -16,6 +16,7 @@ from ticketloom import schemas, vocab
 from ticketloom.functions.labels import or_label
 from ticketloom.functions.numeric import money
 from ticketloom.functions.sql import any_of, listed, q, true
+from ticketloom.operators import views
 from ticketloom.operators.joins import childless, orphans
 
 Tables = dict[str, DataFrame]
@@ -252,10 +253,14 @@ def response_suite(tickets: DataFrame) -> DataFrame:
     return row_checks(tickets, "ticket_id", response_checks())
 
 
-def distribution(tickets: DataFrame, column: str, label: str, name: str | None = None) -> DataFrame:
-    """Rows per value with a label for NULL; sort it by the label to show it."""
-    value = F.expr(or_label(column, label))
-    return tickets.groupBy(value.alias(name or column)).agg(F.count(F.lit(1)).alias("n"))
+def distribution(
+    tickets: DataFrame, column: str, label: str, name: str | None = None, order: str | None = None
+) -> DataFrame:
+    """Rows per value with a label for NULL; ``order`` is None, 'label', or 'count' (largest first, ties by label)."""
+    shown = name or column
+    counts = tickets.groupBy(F.expr(or_label(column, label)).alias(shown)).agg(F.count(F.lit(1)).alias("n"))
+    keys = {None: [], "label": [F.col(shown)], "count": [F.desc("n"), F.col(shown)]}[order]
+    return counts.orderBy(*keys) if keys else counts
 
 
 def stored_distributions(tickets: DataFrame) -> DataFrame:
@@ -430,8 +435,31 @@ def constraint_checks(table: str, columns: Sequence[str]) -> list[RowCheck]:
     return checks
 
 
+def key_constraints(tables: Tables) -> DataFrame:
+    """Primary key, UNIQUE, foreign key and owner constraints. As in SQL, NULL breaks none of them."""
+    unique = [(t, k, "pk") for t, k in schemas.KEYS.items()]
+    unique += [("customers", "email", "email_unique"), ("products", "sku", "sku_unique")]
+    links = [
+        ("orders", "customers", "customer_id"),
+        ("order_items", "orders", "order_id"),
+        ("order_items", "products", "product_id"),
+        ("tickets", "customers", "customer_id"),
+        ("tickets", "orders", "order_id"),
+    ]
+    repeated = [duplicates(tables[t].where(F.col(c).isNotNull()), f"{t}.{name}", [c]) for t, c, name in unique]
+    dangling = [
+        _finding(
+            orphans(tables[child], tables[parent], key, null_is_orphan=False),
+            f"{child}.{key}_fk", F.col(schemas.KEYS[child]), F.col(key),
+        )
+        for child, parent, key in links
+    ]
+    foreign_owner = owner_mismatch(tables).withColumn("check_name", F.lit("tickets.order_owner"))
+    return _all([*repeated, *dangling, foreign_owner])
+
+
 def constraints_suite(tables: Tables) -> DataFrame:
-    """All declared constraints, one scan per table, plus key and owner constraints."""
+    """The declared constraints that one row can break, one scan per table; ``key_constraints`` has those between rows."""
     frames = [
         row_checks(df, schemas.KEYS[t], constraint_checks(t, df.columns)) for t, df in tables.items()
     ]
@@ -439,11 +467,17 @@ def constraints_suite(tables: Tables) -> DataFrame:
 
 
 def run_checks(tables: Tables, suite: str) -> DataFrame:
-    """Violations of one suite by name: tables, routing, responses, constraints."""
+    """Violations of one suite by name: tables, routing, responses, analytics, constraints."""
+
+    def analytics() -> DataFrame:
+        fact = views.ticket_fact(tables["tickets"], tables["customers"], tables["orders"])
+        return analytics_suite(fact, tables["tickets"], views.all_metrics(tables["tickets"]))
+
     suites = {
         "tables": lambda: tables_suite(tables),
         "routing": lambda: routing_suite(tables["tickets"]),
         "responses": lambda: response_suite(tables["tickets"]),
-        "constraints": lambda: constraints_suite(tables),
+        "analytics": analytics,
+        "constraints": lambda: constraints_suite(tables).unionByName(key_constraints(tables)),
     }
     return suites[suite]()

@@ -18,7 +18,8 @@ from ticketloom.operators import classification, evaluation, kpis, measures, qua
 from ticketloom.operators.joins import owner_gate, product_names
 from ticketloom.operators.scanning import scan_codes, scan_texts
 from ticketloom.plans.testmodel import BROKEN_CONTEXTS, CLASSIFIER_OUTPUTS, DRAFT_TEXT, GENERATIONS, Model, derive
-from ticketloom.sources import audit, picks, snapshots, tables
+from ticketloom.plans import runs
+from ticketloom.sources import audit, picks, scoring, snapshots, tables
 from ticketloom.streaming.route import route_events_once
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -310,11 +311,34 @@ def response_prompts(m: Model) -> DataFrame:
 
 @query
 def classification_prompts(m: Model) -> DataFrame:
-    """Prompts over the user turns of the conversations."""
-    turns = m.raw("conversations").where(F.col("role") == "user")
+    """Prompts over all turns of the conversations."""
+    turns = m.raw("conversations")
     return turns.select("conv_id", "turn", F.expr(classification.classification_prompt("text")).alias("prompt"))
 
 
+@query
+def ticket_prompts(m: Model) -> DataFrame:
+    """Prompts of the unclassified tickets."""
+    pending = picks.unclassified(m.tickets)
+    return pending.select("ticket_id", F.expr(classification.classification_prompt("message_text")).alias("prompt"))
+
+
+@query
+def model_calls(m: Model) -> DataFrame:
+    """The model-call stage with a scorer that counts characters and fails on every fifth length."""
+
+    def make_scorer():
+        def score(prompts):
+            return [
+                {"input_tokens": len(p), "model": "length", "error_type": None if len(p) % 5 else "rate_limit"} for p in prompts
+            ]
+
+        return score
+
+    scored = scoring.score_batches(ticket_prompts(m), make_scorer)
+    return scored.select("ticket_id", "error_type", "input_tokens", "model")
+
+
 @query
 def classification_validation(m: Model) -> DataFrame:
     return classified(m).select(
@@ -417,8 +441,10 @@ def duration_columns(m: Model) -> DataFrame:
         ("first_response_minutes", "first_response_at", numeric.MICROS_PER_MINUTE),
         ("resolution_hours", "resolved_at", numeric.MICROS_PER_HOUR),
         ("decision_hours", "decision_at", numeric.MICROS_PER_HOUR),
+        ("rule_decision_hours", "rule_decision_at", numeric.MICROS_PER_HOUR),
+        ("response_generation_hours", "response_generated_at", numeric.MICROS_PER_HOUR),
     ]
-    return m.tickets.select(
+    return m.stored_tickets().select(
         "ticket_id",
         *[F.expr(numeric.duration(numeric.micros_between("created_at", end), unit)).alias(n) for n, end, unit in spans],
     )
@@ -465,6 +491,12 @@ def medians_by_customer_segment_and_country(m: Model) -> DataFrame:
     return measures.median_measures(early_fact(m), ["customer_segment", "country"])
 
 
+@query
+def medians_grouping_sets(m: Model) -> DataFrame:
+    dated = measures.created_date(early_fact(m))
+    return measures.median_measures_for_sets(dated, [["created_date", "channel"], ["channel"], []])
+
+
 def _chart(name: str, column: str, keep_blank: bool = True) -> None:
     QUERIES[name] = lambda spark, directory: flat(measures.chart(fact(Model(spark, directory)), column, keep_blank))
 
@@ -601,6 +633,11 @@ def dq_metric_selfcheck_broken(m: Model) -> DataFrame:
     return selfcheck.check_metrics(views.all_metrics(m.broken_stored_tickets()), summary)
 
 
+@query
+def dq_key_constraints(m: Model) -> DataFrame:
+    return quality.key_constraints(m.broken_tables)
+
+
 @query
 def dq_constraints(m: Model) -> DataFrame:
     return quality.constraints_suite(m.broken_tables)
@@ -674,6 +711,20 @@ def write_gate_rejects(m: Model) -> DataFrame:
     return gated.where(~F.col("accepted")).groupBy("channel").agg(F.count(F.lit(1)).alias("rejected"))
 
 
+@query
+def rules_run_updates(m: Model) -> DataFrame:
+    """The rows that a whole routing run writes back."""
+    run_at = F.lit("2024-06-01 12:00:00").cast("timestamp_ntz")
+    return runs.run_rules(m.tickets, m.customers, m.orders, run_at=run_at).updates
+
+
+@query
+def redacted_turns(m: Model) -> DataFrame:
+    """Conversation texts with two planted secrets taken out."""
+    text = audit.redact(F.concat(F.lit("key sk-1 "), F.col("text"), F.lit(" pass.*word")), ["sk-1", "pass.*word"])
+    return m.raw("conversations").select("conv_id", "turn", text.alias("text"))
+
+
 @query
 def audit_routing(m: Model) -> DataFrame:
     return audit.routing_events(routing.route_tickets(broken_contexts(m)), dry_run=True).drop("reasons")

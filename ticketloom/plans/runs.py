@@ -33,10 +33,11 @@ class Run:
 
 def run_rules(
     tickets: DataFrame, customers: DataFrame, orders: DataFrame, *, run_at: Column, limit: int | None = None,
-    only_undecided: bool = True, limits: Thresholds = DEFAULTS,
+    only_undecided: bool = True, limits: Thresholds = DEFAULTS, stage: str | None = None,
 ) -> Run:
-    """Route the pending tickets."""
+    """Route the pending tickets. ``stage`` (a new path in the shared folder) keeps the decisions for all that reads them."""
     decided = routing.route_tickets(picks.rules_context(tickets, customers, orders, limit, only_undecided), limits)
+    decided = _kept(decided, stage)
     return Run(
         decided,
         routing.decision_updates(decided, run_at),
@@ -48,22 +49,30 @@ def run_rules(
     )
 
 
+def _kept(frame: DataFrame, stage: str | None) -> DataFrame:
+    """The frame as it is, or written to ``stage`` and read from there, so that it is computed once."""
+    if stage is None:
+        return frame
+    frame.write.mode("errorifexists").parquet(stage)
+    return frame.sparkSession.read.parquet(stage)
+
+
 def _scored(frame: DataFrame, make_scorer: Callable[[], scoring.Scorer], carry: list[str], scratch: str) -> DataFrame:
     """The model calls, written out: a second action must not call the model again."""
-    scoring.score_batches(frame, make_scorer, carry).write.mode("errorifexists").parquet(scratch)
-    return frame.sparkSession.read.parquet(scratch)
+    return _kept(scoring.score_batches(frame, make_scorer, carry), scratch)
 
 
 def run_responses(
     tickets: DataFrame, customers: DataFrame, orders: DataFrame, items: DataFrame, products: DataFrame, *, run_at: Column,
     make_scorer: Callable[[], scoring.Scorer] | None = None, scratch: str | None = None, limit: int | None = None,
-    generate_internal_drafts: bool = True, limits: Thresholds = DEFAULTS,
+    generate_internal_drafts: bool = True, limits: Thresholds = DEFAULTS, stage: str | None = None,
 ) -> Run:
     """Decide responses for the unprocessed tickets.
 
     Without a scorer eligibility and status are real and no draft is made.
     With one, only the rows that need a draft are sent to it, and ``scratch``
-    (a new path in the shared folder) keeps the answers.
+    (a new path in the shared folder) keeps the answers. ``stage`` keeps the
+    decisions, see ``run_rules``.
     """
     context = picks.response_context(tickets, customers, orders, items, products, limit)
     generations = None
@@ -73,7 +82,7 @@ def run_responses(
         eligible = responses.with_eligibility(context, limits, generate_internal_drafts).where("needs_generation")
         prompts = eligible.withColumn("prompt", F.expr(responses.response_prompt()))
         generations = _scored(prompts, make_scorer, [], scratch)
-    decided = responses.decide_responses(context, generations, limits, generate_internal_drafts)
+    decided = _kept(responses.decide_responses(context, generations, limits, generate_internal_drafts), stage)
     return Run(
         decided,
         responses.response_updates(decided, run_at),
@@ -108,10 +117,11 @@ def run_classify(
 def publish_run(
     run: Run, tickets: DataFrame, root: str, version: str, log: str, run_date: str, *, config_live: bool, live: bool
 ) -> DataFrame:
-    """Write the audit events, and the updated tickets if both live flags say so."""
+    """Write the updated tickets if both live flags say so, then the audit events of this run in a folder of their own."""
+    wet = snapshots.is_live(config_live, live)
     updated = snapshots.apply_overlay(tickets, run.updates, run.owned, run.run_at)
     published = snapshots.publish(updated, root, version, config_live=config_live, live=live)
-    audit.write_events(run.events(not snapshots.is_live(config_live, live)), log, run_date)
+    audit.write_events(run.events(not wet), log, run_date, run_id=version if wet else f"{version}-dry")
     return published
 
 

@@ -98,8 +98,12 @@ def classification_events(validated: DataFrame, dry_run: bool, secrets: list[str
     )
 
 
-def write_events(events: DataFrame, path: str, run_date: str, fmt: str = "json") -> None:
-    """Append one run's events, laid out by event and run date."""
-    allowed(events).withColumn("run_date", F.lit(run_date)).write.mode("append").partitionBy("event", "run_date").format(
-        fmt
-    ).save(path)
+def write_events(events: DataFrame, path: str, run_date: str, fmt: str = "json", run_id: str | None = None) -> None:
+    """Write one run's events, laid out by event and run date.
+
+    With ``run_id`` they go to a folder of that run, which a repeated run
+    replaces, so that no decision is logged twice. Without it they are appended.
+    """
+    folder, mode = (path, "append") if run_id is None else (f"{path}/run_id={run_id}", "overwrite")
+    dated = allowed(events).withColumn("run_date", F.lit(run_date))
+    dated.write.mode(mode).partitionBy("event", "run_date").format(fmt).save(folder)
