@@ -235,3 +235,17 @@ def test_documents_that_share_an_id_teach_once(spark):
     labels = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (2, 1), (None, 1), (3, None)], "doc_id long, quality int")
     model = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
     assert len(model.good) + len(model.bad) < 3 * quality.TRAINING_BYTES
+
+
+def test_full_lists_do_not_part_linked_groups(spark):
+    """Two groups of near copies that fill each other's lists, cosine about 0.96 between them, among many groups that pass the audit."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x)
+    near = lambda c: (unit(c) + rng.normal(size=32) * 0.002).tolist()
+    vectors = [near(c) for c in rng.normal(size=(200, 32)) for _ in range(5)]
+    a, b = unit(rng.normal(size=32)), rng.normal(size=32)
+    b = 0.96 * a + np.sqrt(1 - 0.96**2) * unit(b - (b @ a) * a)
+    vectors += [near(c) for c in (a, b) for _ in range(12)]
+    got = {r.id: r for r in nndescent.near_duplicates(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")).collect()}
+    assert {(got[i].component_id, got[i].n_links) for i in range(1000, 1024)} == {(1000, 23)}
+    assert all(got[i].component_id == i // 5 * 5 for i in range(1000))

@@ -16,7 +16,7 @@ from ticketloom.llm.components import components
 
 TABLES = 6
 CELL = 48
-LINKS = "u bigint, v bigint, sim double"
+FOUND = "u bigint, v bigint, sim double, link boolean"
 
 
 def usable(vector: Column) -> Column:
@@ -43,17 +43,38 @@ def groups_of(batch: pa.RecordBatch, name: str) -> Iterator[tuple[pa.StructArray
             yield flat.slice(a, b - a), unit(values[edges[a] : edges[b]].reshape(b - a, -1))
 
 
-def _links(u: list[np.ndarray], v: list[np.ndarray], sim: list[np.ndarray]) -> pa.RecordBatch:
+def stars(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links of a symmetric matrix, reduced to a star for each set of places that they connect."""
+    at = np.arange(len(near))
+    near, label = near | np.eye(len(near), dtype=bool), at
+    while True:
+        least = np.where(near, label[None, :], len(near)).min(axis=1)
+        least = least[least]
+        if (least == label).all():
+            tied = np.flatnonzero(label != at)
+            return tied, label[tied]
+        label = least
+
+
+def _found(u: list[np.ndarray], v: list[np.ndarray], sim: list[np.ndarray], link: list[np.ndarray]) -> pa.RecordBatch:
     def one(x: list[np.ndarray], kind: type) -> pa.Array:
         return pa.array(np.concatenate(x) if x else np.zeros(0, kind))
 
-    return pa.RecordBatch.from_arrays([one(u, np.int64), one(v, np.int64), one(sim, np.float64)], names=["u", "v", "sim"])
+    columns = [one(u, np.int64), one(v, np.int64), one(sim, np.float64), one(link, bool)]
+    return pa.RecordBatch.from_arrays(columns, names=["u", "v", "sim", "link"])
+
 
+def _proposed(node: np.ndarray, g: np.ndarray, i: np.ndarray, j: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows ``u, v, sim, link``: neighbours (i, j), and stars of all links near, whatever the lists have room for."""
+    a, b = stars(near)
+    u, v = np.r_[i, a], np.r_[j, b]
+    return node[u], node[v], g[u, v], np.arange(len(u)) >= len(i)
 
-def seeded(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """First neighbour lists: the nearest k inside each cell."""
+
+def seeded(batches: Iterator[pa.RecordBatch], k: int, cosine: float) -> Iterator[pa.RecordBatch]:
+    """First neighbour lists, the nearest k inside each cell; and all links inside it."""
     for batch in batches:
-        u, v, sim = [], [], []
+        rows = []
         for members, x in groups_of(batch, "members"):
             node, g = members.field("node").to_numpy(), x @ x.T
             np.fill_diagonal(g, -2)
@@ -61,36 +82,41 @@ def seeded(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
             if near < 1:
                 continue
             best = np.argpartition(-g, near - 1, axis=1)[:, :near]
-            rows = np.repeat(np.arange(len(node)), near)
-            u.append(node[rows])
-            v.append(node[best.ravel()])
-            sim.append(g[rows, best.ravel()])
-        yield _links(u, v, sim)
+            rows.append(_proposed(node, g, np.repeat(np.arange(len(node)), near), best.ravel(), g >= cosine))
+        yield _found(*([r[c] for r in rows] for c in range(4)))
 
 
-def joined_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbours of one centre compared with each other; what betters the worst entry of a list is proposed to it."""
+def joined_locally(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+    """Neighbours of one centre compared with each other: what betters the worst entry of a list is proposed to it; all links between components."""
     for batch in batches:
-        u, v, sim = [], [], []
+        rows = []
         for members, x in groups_of(batch, "members"):
-            node, worst, g = members.field("node").to_numpy(), members.field("worst").to_numpy(), x @ x.T
+            node, component, inner, outer = (members.field(c).to_numpy() for c in ("node", "component", "inner", "outer"))
+            g, same = x @ x.T, component[:, None] == component[None, :]
             np.fill_diagonal(g, -2)
-            i, j = np.nonzero(g > np.maximum(worst, -1.5)[:, None])
-            u.append(node[i])
-            v.append(node[j])
-            sim.append(g[i, j])
-        yield _links(u, v, sim)
+            worst = np.where(same, inner[:, None], outer[:, None])
+            i, j = np.nonzero(g > np.maximum(worst, -1.5))
+            rows.append(_proposed(node, g, i, j, (g >= cosine) & ~same))
+        yield _found(*([r[c] for r in rows] for c in range(4)))
+
 
+def top(proposed: DataFrame, own: DataFrame, k: int) -> DataFrame:
+    """``(u, v, sim, same)``: the k most similar neighbours of each node inside its component, and the k outside it.
 
-def top(links: DataFrame, k: int) -> DataFrame:
-    """The k most similar neighbours of each node."""
-    once = links.groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    A list full of links to its own component thus goes on to what lies beyond it.
+    """
+    once = proposed.groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    placed = once.join(own.select(F.col("node").alias("u"), F.col("component").alias("of_u")), "u", "left").join(
+        own.select(F.col("node").alias("v"), F.col("component").alias("of_v")), "v", "left"
+    )
+    same = F.coalesce(F.col("of_u") == F.col("of_v"), F.lit(False))
     best = F.slice(F.sort_array(F.collect_list(F.struct("sim", "v")), asc=False), 1, k)
-    return once.groupBy("u").agg(best.alias("best")).select("u", F.explode("best").alias("b")).select("u", "b.v", "b.sim")
+    lists = placed.groupBy("u", same.alias("same")).agg(best.alias("best")).select("u", "same", F.explode("best").alias("b"))
+    return lists.select("u", "b.v", "b.sim", "same")
 
 
-def first_lists(nodes: DataFrame, n: int, k: int, seed: int) -> DataFrame:
-    """Lists from cells of equal random-hyperplane signs, several tables of them. A crowded cell is dealt into parts of about CELL."""
+def first_lists(nodes: DataFrame, n: int, cosine: float, k: int, seed: int) -> DataFrame:
+    """Proposals and links from cells of equal random-hyperplane signs, several tables of them. A crowded cell is dealt into parts of about CELL."""
     bits = max(1, math.ceil(math.log2(max(n, 2) / CELL))) if n > CELL else 0
 
     @F.arrow_udf("array<bigint>")
@@ -107,43 +133,52 @@ def first_lists(nodes: DataFrame, n: int, k: int, seed: int) -> DataFrame:
     parts = placed.groupBy("table", "code").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("parts"))
     dealt = placed.join(parts, ["table", "code"]).withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "table", "node"), "parts"))
     cells = dealt.join(nodes.select("node", "vec"), "node").groupBy("table", "code", "part").agg(F.collect_list(F.struct("node", "vec")).alias("members"))
-    return top(cells.select("members").mapInArrow(lambda it: seeded(it, k), LINKS), k)
+    return stored(cells.select("members").mapInArrow(lambda it: seeded(it, k, cosine), FOUND), "nn-found")
 
 
-def refined(nodes: DataFrame, lists: DataFrame, k: int, seed: int) -> DataFrame:
-    """One round: around every node, its neighbours and up to k of those that list it are compared with each other."""
-    drawn = Window.partitionBy("v").orderBy(F.xxhash64(F.lit(seed), "u"))
+def refined(nodes: DataFrame, lists: DataFrame, own: DataFrame, cosine: float, k: int, seed: int) -> DataFrame:
+    """One round: around every node, its neighbours and up to k of those that list it, inside and outside its component, are compared."""
+    drawn = Window.partitionBy("v", "same").orderBy(F.xxhash64(F.lit(seed), "u"))
     back = lists.withColumn("turn", F.row_number().over(drawn)).where(F.col("turn") <= k)
     around = (
         lists.select(F.col("u").alias("centre"), F.col("v").alias("node"))
         .union(back.select(F.col("v").alias("centre"), F.col("u").alias("node")))
         .distinct()
     )
-    worst = lists.groupBy("u").agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).otherwise(-2.0).alias("worst"))
-    known = nodes.select("node", "vec").join(worst, F.col("node") == F.col("u"), "left").select("node", "vec", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
-    groups = around.join(known, "node").groupBy("centre").agg(F.collect_list(F.struct("node", "vec", "worst")).alias("members"))
-    return top(lists.union(groups.select("members").mapInArrow(joined_locally, LINKS)), k)
+
+    def worst(part: Column) -> Column:
+        return F.when(F.count_if(part) >= k, F.min(F.when(part, F.col("sim")))).otherwise(-2.0)
+
+    least = lists.groupBy(F.col("u").alias("node")).agg(worst(F.col("same")).alias("inner"), worst(~F.col("same")).alias("outer"))
+    known = nodes.select("node", "vec").join(least, "node", "left").join(own, "node", "left").select(
+        "node", "vec", F.coalesce("component", "node").alias("component"),
+        F.coalesce("inner", F.lit(-2.0)).alias("inner"), F.coalesce("outer", F.lit(-2.0)).alias("outer"),
+    )
+    members = F.collect_list(F.struct("node", "vec", "component", "inner", "outer")).alias("members")
+    groups = around.join(known, "node").groupBy("centre").agg(members)
+    return stored(groups.select("members").mapInArrow(lambda it: joined_locally(it, cosine), FOUND), "nn-found")
 
 
-def neighbour_lists(nodes: DataFrame, n: int, cosine: float, k: int, rounds: int = 4, seed: int = 5) -> DataFrame:
-    """Lists after rounds of NN-descent, until a round finds no further node with a link at the threshold."""
-    lists = stored(first_lists(nodes, n, k, seed), "nn-lists")
-    linked = F.countDistinct(F.when(F.col("sim") >= cosine, F.col("u")))
-    before = lists.agg(linked).first()[0] or 0
+def linked_components(nodes: DataFrame, n: int, cosine: float, k: int, rounds: int = 4, seed: int = 5) -> DataFrame:
+    """``(node, component)`` after rounds of NN-descent, until a round finds no further link between components."""
+    found = first_lists(nodes, n, cosine, k, seed)
+    own = stored(components(found.where("link").select("u", "v"), "nn-components"), "nn-own")
+    lists = stored(top(found.where("NOT link"), own, k), "nn-lists")
     for step in range(rounds):
-        lists = stored(refined(nodes, lists, k, seed + step + 1), "nn-lists")
-        now = lists.agg(linked).first()[0] or 0
-        if now <= before:
+        found = refined(nodes, lists, own, cosine, k, seed + step + 1)
+        links = found.where("link").select("u", "v")
+        if links.isEmpty():
             break
-        before = now
-    return lists
+        own = stored(components(own.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links), "nn-components"), "nn-own")
+        lists = stored(top(lists.select("u", "v", "sim").union(found.where("NOT link").select("u", "v", "sim")), own, k), "nn-lists")
+    return own
 
 
 def link_counts(members: DataFrame, cosine: float, block: int = 512) -> DataFrame:
     """``(node, n)``: linked rows of other vectors in the node's component. members: component, node, vec, weight.
 
-    Saturated lists are enlarged to the whole component here. Members within
-    half the threshold angle of its centre are linked with each other for sure,
+    Links are counted in the whole component, however short the lists were.
+    Members within half the threshold angle of its centre are linked with each other for sure,
     so they are counted by one sum; only pairs with a member outside that core
     are compared, by blocks of members, and only counts leave a block.
     """
@@ -235,9 +270,11 @@ def near_duplicates(
 
     Equal vectors are brought to one node with a count first. NN-descent refines
     the nodes' neighbour lists: lists start from cells of random hyperplanes,
-    and rounds compare the neighbours of each node with each other. Links at the
-    threshold give components; inside these every link is counted, however
-    short the lists are. A bounded sample is audited against brute force; below
+    and rounds compare the neighbours of each node with each other. Every
+    compared pair at the threshold is a link, also where a list has no room for
+    it; a list full of its own component keeps as many neighbours outside it,
+    and rounds go on while components merge. Inside the components every link
+    is counted. A bounded sample is audited against brute force; below
     ``least_recall`` the descent starts again with lists twice as long.
 
     n_links counts other rows whose vector has a cosine of at least ``cosine``,
@@ -258,8 +295,7 @@ def near_duplicates(
     nodes = stored(alike.withColumn("node", F.monotonically_increasing_id()), "nn-nodes")
     n = nodes.count()
     for attempt in range(attempts):
-        lists = neighbour_lists(nodes, n, cosine, k << attempt, seed=5 + 100 * attempt)
-        found = components(lists.where(F.col("sim") >= cosine).select("u", "v"), "nn-components")
+        found = linked_components(nodes, n, cosine, k << attempt, seed=5 + 100 * attempt)
         reached = recall(nodes, found, cosine, audit)
         if reached >= least_recall:
             break
