@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from llm_brute import (
     base_spans, contamination as plain_contamination, odd_texts, simhash as plain_simhash, smallest_reachable,
@@ -249,3 +250,22 @@ def test_full_lists_do_not_part_linked_groups(spark):
     got = {r.id: r for r in nndescent.near_duplicates(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")).collect()}
     assert {(got[i].component_id, got[i].n_links) for i in range(1000, 1024)} == {(1000, 23)}
     assert all(got[i].component_id == i // 5 * 5 for i in range(1000))
+
+
+def test_recall_below_the_bound_is_no_result(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i % 7)]) for i in range(60)], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError, match="recall"):
+        nndescent.near_duplicates(df, least_recall=1.01, attempts=1).count()
+
+
+def test_pairs_at_the_threshold_share_a_cell_however_many_bits(spark, monkeypatch):
+    """Cells of 8, so that 3,000 vectors need 9 bits."""
+    monkeypatch.setattr(nndescent, "CELL", 8)
+    rng = np.random.default_rng(3)
+    a, b = nndescent.unit(rng.normal(size=(1500, 48))), rng.normal(size=(1500, 48))
+    b = nndescent.unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    b = 0.951 * a + np.sqrt(1 - 0.951**2) * b
+    rows = [(i, v.tolist()) for i, v in enumerate(np.stack([a, b], axis=1).reshape(-1, 48))]
+    nodes = spark.createDataFrame(rows, "node long, vec array<double>").cache()
+    found = nndescent.first_lists(nodes, len(rows), 0.95, 3, seed=5).where("link").select(F.least("u", "v").alias("u")).distinct()
+    assert found.count() >= 0.97 * len(rows) / 2

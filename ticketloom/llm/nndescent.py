@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
 import math
-import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +16,8 @@ from ticketloom.llm.components import components
 
 TABLES = 6
 CELL = 48
+MISSED = 0.02
+FURTHER_BITS = 16
 FOUND = "u bigint, v bigint, sim double, link boolean"
 
 
@@ -115,24 +117,45 @@ def top(proposed: DataFrame, own: DataFrame, k: int) -> DataFrame:
     return lists.select("u", "b.v", "b.sim", "same")
 
 
+def tables_for(bits: int, cosine: float) -> int:
+    """How many tables leave a pair at the threshold without a common cell with a probability of at most ``MISSED``."""
+    alone = 1 - (1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi) ** bits
+    return TABLES if alone <= 0 else max(TABLES, math.ceil(math.log(MISSED) / math.log(min(alone, 1 - 1e-3))))
+
+
 def first_lists(nodes: DataFrame, n: int, cosine: float, k: int, seed: int) -> DataFrame:
-    """Proposals and links from cells of equal random-hyperplane signs, several tables of them. A crowded cell is dealt into parts of about CELL."""
+    """Proposals and links from cells of equal random-hyperplane signs, several tables of them.
+
+    A crowded cell is split by further signs; what is still crowded then, such
+    as copies, is dealt into parts of about CELL.
+    """
     bits = max(1, math.ceil(math.log2(max(n, 2) / CELL))) if n > CELL else 0
+    tables = tables_for(bits + 1, cosine) if bits else 1  # about half of the cells are crowded and split once more
 
-    @F.arrow_udf("array<bigint>")
+    @F.arrow_udf("array<struct<code: bigint, further: bigint>>")
     def codes(vectors: pa.Array) -> pa.Array:
-        out = []
+        out, planes, worth = [], {}, 1 << np.arange(bits + FURTHER_BITS, dtype=np.int64)
         for x in vectors:
             x = np.nan_to_num(np.asarray(x.as_py(), dtype=np.float64))
-            planes = np.random.default_rng((seed, len(x))).normal(size=(TABLES * bits, len(x))) if bits else np.zeros((0, len(x)))
-            sign = (planes @ x > 0).reshape(TABLES, bits)
-            out.append([len(x) << 32 | sum(1 << i for i in np.flatnonzero(s).tolist()) for s in sign])
-        return pa.array(out, pa.list_(pa.int64()))
-
-    placed = stored(nodes.select("node", F.posexplode(codes("vec")).alias("table", "code")), "nn-cells")
-    parts = placed.groupBy("table", "code").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("parts"))
-    dealt = placed.join(parts, ["table", "code"]).withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "table", "node"), "parts"))
-    cells = dealt.join(nodes.select("node", "vec"), "node").groupBy("table", "code", "part").agg(F.collect_list(F.struct("node", "vec")).alias("members"))
+            if len(x) not in planes:
+                planes[len(x)] = np.random.default_rng((seed, len(x))).normal(size=(tables * len(worth), len(x)))
+            sign = (planes[len(x)] @ x > 0).reshape(tables, len(worth))
+            code, further = sign[:, :bits] @ worth[:bits], sign[:, bits:] @ worth[:FURTHER_BITS]
+            out.append([{"code": len(x) << 32 | int(c), "further": int(f)} for c, f in zip(code, further, strict=True)])
+        return pa.array(out, pa.list_(pa.struct([("code", pa.int64()), ("further", pa.int64())])))
+
+    def parts(keys: list[str]) -> DataFrame:
+        return placed.groupBy(keys).agg(F.ceil(F.count(F.lit(1)) / CELL).alias("parts"))
+
+    placed = nodes.select("node", F.posexplode(codes("vec")).alias("table", "c")).select("node", "table", "c.code", "c.further")
+    placed = stored(placed, "nn-cells")
+    split = F.least(F.lit(FURTHER_BITS), F.ceil(F.log2("parts"))).cast("int")
+    kept = F.expr("shiftleft(1L, split) - 1")
+    placed = placed.join(parts(["table", "code"]).select("table", "code", split.alias("split")), ["table", "code"])
+    placed = stored(placed.select("node", "table", "code", F.col("further").bitwiseAND(kept).alias("sub")), "nn-cells")
+    dealt = placed.join(parts(["table", "code", "sub"]), ["table", "code", "sub"])
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "table", "node"), "parts"))
+    cells = dealt.join(nodes.select("node", "vec"), "node").groupBy("table", "code", "sub", "part").agg(F.collect_list(F.struct("node", "vec")).alias("members"))
     return stored(cells.select("members").mapInArrow(lambda it: seeded(it, k, cosine), FOUND), "nn-found")
 
 
@@ -159,19 +182,26 @@ def refined(nodes: DataFrame, lists: DataFrame, own: DataFrame, cosine: float, k
     return stored(groups.select("members").mapInArrow(lambda it: joined_locally(it, cosine), FOUND), "nn-found")
 
 
-def linked_components(nodes: DataFrame, n: int, cosine: float, k: int, rounds: int = 4, seed: int = 5) -> DataFrame:
-    """``(node, component)`` after rounds of NN-descent, until a round finds no further link between components."""
-    found = first_lists(nodes, n, cosine, k, seed)
-    own = stored(components(found.where("link").select("u", "v"), "nn-components"), "nn-own")
+def linked_components(nodes: DataFrame, n: int, cosine: float, k: int, known: DataFrame | None = None, seed: int = 5) -> DataFrame:
+    """``(node, component)`` after rounds of NN-descent, until a round finds no further link between components.
+
+    known: components of earlier descents, which stay linked.
+    """
+
+    def merged(links: DataFrame) -> DataFrame:
+        earlier = links if own is None else links.union(own.select(F.col("node").alias("u"), F.col("component").alias("v")))
+        return stored(components(earlier, "nn-components"), "nn-own")
+
+    own, found = known, first_lists(nodes, n, cosine, k, seed)
+    own = merged(found.where("link").select("u", "v"))
     lists = stored(top(found.where("NOT link"), own, k), "nn-lists")
-    for step in range(rounds):
-        found = refined(nodes, lists, own, cosine, k, seed + step + 1)
+    for step in itertools.count(1):
+        found = refined(nodes, lists, own, cosine, k, seed + step)
         links = found.where("link").select("u", "v")
         if links.isEmpty():
-            break
-        own = stored(components(own.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links), "nn-components"), "nn-own")
+            return own
+        own = merged(links)
         lists = stored(top(lists.select("u", "v", "sim").union(found.where("NOT link").select("u", "v", "sim")), own, k), "nn-lists")
-    return own
 
 
 def link_counts(members: DataFrame, cosine: float, block: int = 512) -> DataFrame:
@@ -275,7 +305,9 @@ def near_duplicates(
     it; a list full of its own component keeps as many neighbours outside it,
     and rounds go on while components merge. Inside the components every link
     is counted. A bounded sample is audited against brute force; below
-    ``least_recall`` the descent starts again with lists twice as long.
+    ``least_recall`` another descent from other hyperplanes, with lists twice as
+    long in the first ``attempts``, adds its links. An error is raised when
+    these bring no more and the recall is still below.
 
     n_links counts other rows whose vector has a cosine of at least ``cosine``,
     in double precision; component_id is the smallest id reachable; kept is
@@ -294,13 +326,15 @@ def near_duplicates(
     alike = rows.where("vec IS NOT NULL").groupBy("vec").agg(F.count(F.lit(1)).alias("weight"), F.min(order).alias("least"))
     nodes = stored(alike.withColumn("node", F.monotonically_increasing_id()), "nn-nodes")
     n = nodes.count()
-    for attempt in range(attempts):
-        found = linked_components(nodes, n, cosine, k << attempt, seed=5 + 100 * attempt)
+    found, reached = None, -1.0
+    for attempt in itertools.count():
+        before = reached
+        found = linked_components(nodes, n, cosine, k << min(attempt, attempts - 1), found, seed=5 + 100 * attempt)
         reached = recall(nodes, found, cosine, audit)
         if reached >= least_recall:
             break
-    else:
-        warnings.warn(f"recall of the sampled links is {reached:.3f}", stacklevel=2)
+        if attempt + 1 >= attempts and reached <= before:
+            raise RuntimeError(f"recall of the sampled links stays at {reached:.3f}, below {least_recall}")
     members = nodes.join(found, "node").select("component", "node", "vec", "weight")
     counts = link_counts(members, cosine)
     least = nodes.join(found, "node").groupBy("component").agg(F.min("least").alias("top"))
