@@ -269,3 +269,17 @@ def test_pairs_at_the_threshold_share_a_cell_however_many_bits(spark, monkeypatc
     nodes = spark.createDataFrame(rows, "node long, vec array<double>").cache()
     found = nndescent.first_lists(nodes, len(rows), 0.95, 3, seed=5).where("link").select(F.least("u", "v").alias("u")).distinct()
     assert found.count() >= 0.97 * len(rows) / 2
+
+
+def test_calibration_reads_whole_texts_and_length_alone_moves_no_score(spark):
+    rng = np.random.default_rng(6)
+    words = {c: [f"{c}{i:02d}" for i in range(60)] for c in "gb"}
+    made = {i: " ".join(rng.choice(words["gb"[i % 2]], 40 + 9 * (i % 5) + 60 * (i % 2))) for i in range(120)}
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in made], "doc_id long, quality int")
+    model = quality.fit(spark.createDataFrame(list(made.items()), "doc_id long, text string"), labels)
+    page = " ".join(rng.choice(words["g"], 300))[: quality.PIECE]
+    rows = quality.with_score(spark.createDataFrame([(1, page), (2, page * 400)], "doc_id long, text string"), model).collect()
+    assert abs(rows[0].score - rows[1].score) < 0.05
+    tail = [(i, "a" * 65536 + rng.bytes(32768).hex()) for i in made]
+    long = quality.fit(spark.createDataFrame(tail, "doc_id long, text string"), labels)
+    assert long.mean[1] > 0.2

@@ -17,7 +17,6 @@ PIECE = 1024
 LEVEL = 3
 DICTIONARY_BYTES = 64 << 10
 TRAINING_BYTES = 4 << 10
-SAMPLE_BYTES = 64 << 10
 FOLDS = 5
 
 
@@ -65,22 +64,22 @@ class Compressors:
             self.each.append(zstandard.ZstdCompressor(dict_data=dictionary, **plain))
 
     def features(self, data: bytes) -> list[float]:
-        """The normalised difference of the two sizes, the size without dictionary per byte, and the text's length."""
+        """The normalised difference of the two sizes, and the size without dictionary per byte; neither grows with the text."""
         pieces = _pieces(data)
         good, bad, alone = (sum(len(c.compress(p)) for p in pieces) for c in self.each)
-        return [(bad - good) / (bad + good), alone / (len(data) + 20), float(np.log(len(data) + 1))]
+        return [(bad - good) / (bad + good), alone / (len(data) + 20)]
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ridge logistic regression by damped Newton steps; the constant alone where there are no rows or one class."""
-    mean, scale = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(3), np.ones(3))
-    w = np.zeros(4)
+    mean, scale = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(2), np.ones(2))
+    w = np.zeros(3)
     share = (y.sum() + 1) / (len(y) + 2)
     w[-1] = np.log(share / (1 - share))
     if not 0 < y.sum() < len(y):
         return mean, scale, w
     a = np.c_[(x - mean) / scale, np.ones(len(x))]
-    ridge = penalty * np.eye(4)
+    ridge = penalty * np.eye(3)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         step = np.linalg.solve((a.T * (p * (1 - p))) @ a + ridge, a.T @ (y - p) - ridge @ w)
@@ -100,7 +99,7 @@ def fit(
     """Dictionaries and calibration from at most ``sample_rows`` labelled rows outside fold 0, those with the lowest id hash.
 
     One half of the sample builds the dictionaries (4 KB of a text), the other
-    (64 KB of a text) calibrates; it is compressed where it lies, and only its
+    (whole texts, as they are scored) calibrates; it is compressed where it lies, and only its
     features come to the driver. Null labels, ids and texts teach nothing, and
     documents that share an id teach once, by the least text. No labelled rows:
     every text scores one half.
@@ -111,7 +110,7 @@ def fit(
     share = min(1.0, 1.5 * sample_rows / max(1, known.count()))
     chosen = known.where(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).withColumn("_order", order)
     chosen = chosen.orderBy("_order", "_id", "_y").limit(sample_rows)
-    texts = docs.select(column(id_column).alias("_id"), F.substring(utf8(column(text_column)), 1, SAMPLE_BYTES).alias("_text"))
+    texts = docs.select(column(id_column).alias("_id"), utf8(column(text_column)).alias("_text"))
     found = texts.where(F.octet_length("_text") > 0).join(F.broadcast(chosen), "_id")
     sample = stored(found.groupBy("_order", "_id", "_y").agg(F.min("_text").alias("_text")), "quality-sample")
     building = F.shiftright("_order", 20).bitwiseAND(F.lit(1)) == 0
@@ -126,7 +125,7 @@ def fit(
             yield pa.array([sizes.features(t.as_py()) for t in batch], pa.list_(pa.float64()))
 
     held = sorted(sample.where(~building).select("_order", "_y", features("_text").alias("x")).collect())
-    x = np.array([r["x"] for r in held]).reshape(-1, 3)
+    x = np.array([r["x"] for r in held]).reshape(-1, 2)
     return Model(good, bad, *calibrate(x, np.array([r["_y"] for r in held], dtype=float)))
 
 
@@ -140,7 +139,7 @@ def with_score(df: DataFrame, model: Model, text_column: str = "text", into: str
     def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         sizes = Compressors(model.good, model.bad)
         for batch in batches:
-            x = np.array([sizes.features(t.as_py()) for t in batch]).reshape(-1, 3)
+            x = np.array([sizes.features(t.as_py()) for t in batch]).reshape(-1, 2)
             yield pa.array(probability(model, x), pa.float64())
 
     return df.withColumn(into, scores(utf8(column(text_column))))
