@@ -283,3 +283,10 @@ def test_calibration_reads_whole_texts_and_length_alone_moves_no_score(spark):
     tail = [(i, "a" * 65536 + rng.bytes(32768).hex()) for i in made]
     long = quality.fit(spark.createDataFrame(tail, "doc_id long, text string"), labels)
     assert long.mean[1] > 0.2
+
+
+def test_secrets_behind_a_keyword_need_no_digits(spark):
+    words = ["hunter2secret", "correcthorse", "open-sesame-now", "QwertyUiopAs"]
+    rows = [(i, f"the password = {words[i % 4]} is set") for i in range(80)] + [(100 + i, f"password: {'x' * 9} here 12") for i in range(80)]
+    got = {r.doc_id: [s.kind for s in r.spans] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == ["secret"] and not got[100 + i] for i in range(80))
