@@ -23,3 +23,43 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
+
+#: crc32 by its definition (reflected polynomial 0xEDB88320) over the bytes in hex; near words by what one deletion leaves.
+STATEMENTS["op11_spelling_variants"] = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY i) AS crc FROM (
+    SELECT i, list_reduce(range(0, 9), lambda c, s: CASE WHEN s = 0 THEN i WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) AS c
+    FROM (SELECT unnest(range(0, 256)) AS i))),
+raw AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS r FROM documents),
+runs AS (
+  SELECT translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run,
+    coalesce(CAST(doc_id AS VARCHAR), '') || ':' || translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS keyed
+  FROM raw WHERE length(r) >= 6),
+digits AS (SELECT run, keyed, hex(encode(keyed)) AS x, count(*) AS times FROM runs GROUP BY 1, 2),
+hashed AS (
+  SELECT run, times, xor(4294967295, list_reduce(
+    list_transform(range(0, length(x) // 2),
+      lambda i: (instr('0123456789ABCDEF', substr(x, 2 * i + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(x, 2 * i + 2, 1)) - 1),
+    lambda c, b: xor(c // 256, crc[xor(c % 256, b) + 1]), 4294967295)) AS h
+  FROM digits, crc_table),
+words AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n
+  FROM (SELECT times, CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2)
+    ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY 1 HAVING sum(times) >= 5),
+cut AS (SELECT word, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+longer AS (SELECT DISTINCT cut.word AS a, words.word AS b FROM cut JOIN words ON words.word = head || tail),
+pairs AS (
+  SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b USING (head, tail) WHERE a.word <> b.word
+  UNION SELECT a, b FROM longer UNION SELECT b, a FROM longer),
+near AS (
+  SELECT a AS word, count(*) AS n_near, arg_min(b, (-n, b)) AS top, max(n) AS top_n FROM pairs JOIN words ON words.word = pairs.b GROUP BY 1),
+forms AS (
+  SELECT word, CASE WHEN top_n >= 5 * n THEN top END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 5 * n THEN top_n END AS form_n
+  FROM words LEFT JOIN near USING (word)),
+chains AS (
+  SELECT word, word AS root, 0 AS steps FROM forms
+  UNION ALL SELECT c.word, f.form, steps + 1 FROM chains c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(root, steps) AS root FROM chains GROUP BY 1)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.llm import debruijn, decontam, langid, nndescent, pieces, pii, quality, shards, simhash, suffixes
+from ticketloom.llm import debruijn, decontam, langid, nndescent, pieces, pii, quality, shards, simhash, suffixes, variants
 from ticketloom.llm.common import utf8
 
 QUALITY_CUT = 0.3
@@ -109,3 +109,8 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = nndescent.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.95)
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+@registered
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(documents(spark, sf_dir).select("doc_id", "text"))
