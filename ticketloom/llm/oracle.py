@@ -63,3 +63,17 @@ chains AS (
 roots AS (SELECT word, arg_max(root, steps) AS root FROM chains GROUP BY 1)
 SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
 """
+
+#: Brute force. The search finds all neighbours where its least window covers the table, as at the sizes that are compared.
+STATEMENTS["op13_nearest_neighbours"] = r"""
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    sqrt(list_reduce(range(1, 65), lambda s, i: s + (q.v[i] - c.v[i]) * (q.v[i] - c.v[i]), CAST(0 AS DOUBLE))) AS score
+  FROM vectors q, vectors c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM scored
+WINDOW w AS (PARTITION BY query_id ORDER BY score, vec_id) QUALIFY rank <= 10
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.llm import debruijn, decontam, langid, nndescent, pieces, pii, quality, shards, simhash, suffixes, variants
+from ticketloom.llm import curves, debruijn, decontam, langid, nndescent, pieces, pii, quality, shards, simhash, suffixes, variants
 from ticketloom.llm.common import utf8
 
 QUALITY_CUT = 0.3
@@ -114,3 +114,10 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@registered
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    found = curves.nearest(vectors, "vec_id", "embedding", F.col("vec_id") % 100 == 0, k=10)
+    return found.withColumnRenamed("id", "vec_id")
