@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.llm import curves, debruijn, decontam, langid, nndescent, pieces, pii, quality, shards, simhash, suffixes, variants
+from ticketloom.llm import alignment, curves, debruijn, decontam, langid, nndescent, pieces, pii, quality, shards, simhash, suffixes, variants
 from ticketloom.llm.common import utf8
 
 QUALITY_CUT = 0.3
@@ -35,10 +35,14 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", F.crc32(utf8(F.col("text"))).alias("text_crc32"), "law", "shard", "slot", "grown_shard")
 
 
-def piece_model() -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
+
+
+def piece_model() -> str:
+    return tokenizer("piece_bpe_32k.model")
 
 
 @registered
@@ -116,6 +120,13 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+@registered
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = alignment.align(docs, "doc_id", "text", tokenizer("byte_bpe_50k.json"), piece_model()).documents
+    return found.withColumnRenamed("id", "doc_id")
+
+
 @registered
 def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
