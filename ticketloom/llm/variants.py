@@ -12,8 +12,8 @@ from ticketloom.llm.common import column, sized, stored
 LETTERS = "A-Za-zÀ-ÿ"
 #: Three bigrams hold two disjoint ones, and one edit spoils at most one of two disjoint bigrams.
 PREFIX = 3
-#: What one edit can do to a bigram that survives it: change of length, change of place, the side that stays as it is.
-SHIFTS = [(0, 0, "before"), (0, 0, "after"), (1, 0, "before"), (1, 1, "after"), (-1, 0, "before"), (-1, -1, "after")]
+#: Letters at either end of a word that two words share unless the edit lies there.
+END = 2
 
 
 def runs_of(docs: DataFrame, id_column: str, text_column: str, least_length: int, every: int) -> DataFrame:
@@ -77,7 +77,7 @@ def indexed(words: DataFrame) -> DataFrame:
     every = known.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("f", "gram", "at"))).alias("grams"))
     every = every.withColumn("last", F.struct(F.col("grams")[PREFIX - 1]["f"].alias("f"), F.col("grams")[PREFIX - 1]["gram"].alias("gram")))
     prefix = F.filter("grams", lambda g: F.struct(g["f"].alias("f"), g["gram"].alias("gram")) <= F.col("last"))
-    return every.select("word", "last", prefix.alias("prefix")).select("*", pivots(F.col("prefix")).alias("pivots"))
+    return every.select("word", "last", prefix.alias("prefix")).select("word", "prefix", pivots(F.col("prefix")).alias("pivots"))
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -85,34 +85,41 @@ def near_words(words: DataFrame) -> DataFrame:
 
     words: one column ``word``, distinct. Of two near words, the one whose
     prefix ends earlier in the order of grams has a pivot that the edit spares,
-    and the other has that gram in its prefix: at most one place further on,
-    with all letters on one side of it unchanged. Words meet on gram, length,
-    place and that side; each pair that meets is then compared.
+    and the other has that gram in its prefix, at most one place further on. An
+    edit before the second pivot leaves that pivot and all behind it alone, any
+    other one leaves the first pivot and all before it. Words meet on gram,
+    length, place, the text of that side and both ends; near words whose ends
+    differ were edited there, and meet on all the rest. Each pair that meets is
+    compared; a hash of what they meet on only saves room.
     """
     index = stored(indexed(words), "variants-index")
-
-    def side(of: str, at: Column) -> dict[str, Column]:
-        return {"before": F.substring(of, F.lit(1), at), "after": F.substring(of, at + 3, F.length(of))}
-
-    def met_on(gram: Column, at: Column, length: Column, which: Column, text: Column) -> list[Column]:
-        return [gram.alias("gram"), at.alias("at"), length.alias("length"), which.alias("side"), F.xxhash64(text).alias("same")]
-
-    def kept(at: Column) -> Column:
-        return F.array(*[F.struct(F.lit(s).alias("side"), t.alias("text")) for s, t in side("word", at).items()])
-
-    prefix = index.select("word", "last", F.explode("prefix").alias("g")).select("*", F.explode(kept(F.col("g.at"))).alias("k"))
-    prefix = prefix.select(
-        F.col("word").alias("near"), F.col("last").alias("near_last"),
-        *met_on(F.col("g.gram"), F.col("g.at"), F.length("word"), F.col("k.side"), F.col("k.text")),
-    )
-    shifts = F.array(*[F.struct(F.lit(l).alias("l"), F.lit(p).alias("p"), F.lit(s).alias("side")) for l, p, s in SHIFTS])
-    pivot = index.select("word", "last", F.explode("pivots").alias("g")).select("*", F.explode(shifts).alias("s"))
-    spared = F.when(F.col("s.side") == "before", side("word", F.col("g.at"))["before"]).otherwise(side("word", F.col("g.at"))["after"])
-    pivot = pivot.select(
-        "word", "last", *met_on(F.col("g.gram"), F.col("g.at") + F.col("s.p"), F.length("word") + F.col("s.l"), F.col("s.side"), spared)
-    )
-    candidates = pivot.join(prefix, ["gram", "at", "length", "side", "same"]).where("last <= near_last AND word <> near")
-    found = candidates.where(F.levenshtein("word", "near", 1) == 1).select("word", "near")
+    word, size = F.col("word"), F.length("word")
+    ends = F.concat(F.left(word, F.lit(END)), F.right(word, F.lit(END)))
+
+    def before(at: Column) -> Column:
+        return F.substring(word, F.lit(1), at)
+
+    def after(at: Column) -> Column:
+        return F.substring(word, at + 3, size)
+
+    def met(side: str, gram: Column, at: Column, length: Column, text: Column) -> Column:
+        return F.xxhash64(F.lit(side), gram, at, length, text, ends)
+
+    def cut(side: str, length: Column, kept: Column) -> Column:
+        return F.xxhash64(F.lit(side), length, F.left(word, kept) if side == "tail" else F.right(word, kept))
+
+    first, second, g = F.col("pivots")[0], F.col("pivots")[1], F.col("g")
+    pivot = index.select("word", F.explode(F.array(
+        *[met("before", first["gram"], first["at"], size + l, before(first["at"])) for l in (-1, 0, 1)],
+        *[met("after", second["gram"], second["at"] + l, size + l, after(second["at"])) for l in (-1, 0, 1)],
+        *[cut(side, size, size - END) for side in ("head", "tail")],
+    )).alias("meet"))
+    prefix = index.select("word", F.explode("prefix").alias("g")).select("word", F.explode(F.array(
+        met("before", g["gram"], g["at"], size, before(g["at"])), met("after", g["gram"], g["at"], size, after(g["at"])),
+    )).alias("meet"))
+    edges = index.select("word", F.explode(F.array(*[cut(side, size + l, size + l - END) for side in ("head", "tail") for l in (-1, 0, 1)])).alias("meet"))
+    near = prefix.union(edges).distinct().withColumnRenamed("word", "near")
+    found = pivot.join(near, "meet").where(word != F.col("near")).where(F.levenshtein("word", "near", 1) == 1).select("word", "near")
     return found.union(found.select(F.col("near").alias("word"), F.col("word").alias("near"))).distinct()
 
 
