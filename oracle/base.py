@@ -302,6 +302,21 @@ CTES: dict[str, str] = {
         "(SELECT DISTINCT order_id, product_name FROM fx_order_items JOIN fx_products USING (product_id)) GROUP BY order_id"
     ),
     "outputs": derived(M.CLASSIFIER_OUTPUTS, "fx_tickets"),
+    "gated": replaced(M.GATED, "fx_tickets"),
+    "updates": (
+        derived(M.UPDATES, f"fx_tickets WHERE {M.UPDATED}") + " UNION ALL " + derived(M.REPEATS, f"fx_tickets WHERE {M.REPEATED}")
+    ),
+    "settled": (
+        "SELECT ticket_id, count(DISTINCT concat_ws('|', final_priority, decision_path, coalesce(CAST(rule_decision_at AS VARCHAR), '-'))) AS variants, "
+        "min(final_priority) AS final_priority, min(decision_path) AS decision_path, min(rule_decision_at) AS rule_decision_at "
+        "FROM updates WHERE ticket_id IS NOT NULL GROUP BY ticket_id"
+    ),
+    "judged": (
+        "SELECT s.*, CASE WHEN variants > 1 THEN 'clashing_updates' WHEN g.ticket_id IS NULL THEN 'no_such_ticket' "
+        "WHEN g.order_id IS NULL OR EXISTS (SELECT 1 FROM fx_orders o WHERE o.order_id = g.order_id AND o.customer_id = g.customer_id) THEN NULL "
+        "WHEN EXISTS (SELECT 1 FROM fx_orders o WHERE o.order_id = g.order_id) THEN 'order_of_other_customer' ELSE 'no_such_order' END AS reason "
+        "FROM settled s LEFT JOIN gated g ON s.ticket_id = g.ticket_id"
+    ),
 }
 _ORDER = list(CTES)
 

@@ -924,6 +924,20 @@ GATE = (
 )
 SQL["write_gate"] = f"SELECT ticket_id, order_id, customer_id, accepted FROM ({GATE})"
 SQL["write_gate_rejects"] = f"SELECT channel, count(*) AS rejected FROM ({GATE}) WHERE NOT accepted GROUP BY 1"
+SQL["write_gate_reasons"] = (
+    "SELECT t.ticket_id, t.order_id, t.customer_id, CASE WHEN EXISTS (SELECT 1 FROM broken_orders o WHERE o.order_id = t.order_id) "
+    "THEN 'order_of_other_customer' ELSE 'no_such_order' END AS reason FROM broken_tickets t WHERE t.order_id IS NOT NULL AND NOT EXISTS "
+    "(SELECT 1 FROM broken_orders o WHERE o.order_id = t.order_id AND o.customer_id = t.customer_id)"
+)
+SQL["write_back_tickets"] = (
+    "SELECT g.ticket_id, g.customer_id, g.priority, j.final_priority, j.decision_path, j.rule_decision_at, "
+    f"CASE WHEN j.ticket_id IS NULL THEN g.updated_at ELSE {RUN_AT} END AS updated_at "
+    "FROM gated g LEFT JOIN judged j ON g.ticket_id = j.ticket_id AND j.reason IS NULL"
+)
+SQL["write_back_rejects"] = (
+    "SELECT ticket_id, reason FROM judged WHERE reason IS NOT NULL "
+    "UNION ALL SELECT ticket_id, 'no_ticket_id' FROM updates WHERE ticket_id IS NULL"
+)
 SQL["audit_routing"] = (
     "SELECT coalesce(ticket_id, -1) AS ticket_id, CASE WHEN is_fallback THEN 'rules_fallback' ELSE 'rules_decision' END AS event, "
     "NOT is_fallback AS success, true AS dry_run, final_priority, decision_path, triggered_rules, conflicting_signals, is_fallback FROM broken_routed"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,12 +27,18 @@ def lookup_join(facts: DataFrame, parents: DataFrame, key: str, row_id: str | No
     return joined.drop("_spread", "_parent_key")
 
 
-def orphans(children: DataFrame, parents: DataFrame, key: str, null_is_orphan: bool = True) -> DataFrame:
-    """Child rows whose key is not among the parents; NULL keys only on request."""
+def orphans(children: DataFrame, parents: DataFrame, key: str, null_is_orphan: bool = True, row_id: str | None = None) -> DataFrame:
+    """Child rows whose key is not among the parents; NULL keys only on request.
+
+    With ``row_id`` rows without a key spread by a hash of their own id, as in
+    ``lookup_join``, and match nothing. Only the columns of ``children`` that the
+    caller selected travel.
+    """
     if not null_is_orphan:
         return children.where(F.col(key).isNotNull()).join(parents.select(key), key, "left_anti")
-    # As in lookup_join: rows without a key spread by a hash of the whole row and match nothing.
-    left = children.withColumn("_spread", F.coalesce(children[key].cast("bigint"), F.xxhash64(*children.columns)))
+    if row_id is None:
+        return children.join(parents.select(key), key, "left_anti").select(*children.columns)
+    left = children.withColumn("_spread", F.coalesce(children[key].cast("bigint"), F.xxhash64(children[row_id])))
     right = parents.select(F.col(key).alias("_parent_key"))
     return left.join(right, (F.col("_spread") == F.col("_parent_key")) & F.col(key).isNotNull(), "left_anti").drop("_spread")
 
@@ -40,11 +48,40 @@ def childless(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
     return parents.join(children.select(key).distinct(), key, "left_anti")
 
 
+@dataclass(frozen=True)
+class Gated:
+    """Rows that may be written, and the others."""
+
+    accepted: DataFrame
+    quarantine: DataFrame
+
+
+def split_by_owner(tickets: DataFrame, orders: DataFrame) -> Gated:
+    """The gate in front of every write: a ticket's order, if it names one, belongs to the ticket's customer.
+
+    A semi and an anti join on both keys: an order that is there twice adds no
+    row, orders are neither aggregated nor made distinct, and adaptive execution
+    can split a hot order on the tickets' side. Tickets without an order pass
+    and take part in no join. A ticket with an order but no customer owns none.
+    """
+    owners = orders.select(F.col("order_id").alias("_order"), F.col("customer_id").alias("_owner"))
+    own = (F.col("order_id") == F.col("_order")) & (F.col("customer_id") == F.col("_owner"))
+    linked = tickets.where(F.col("order_id").isNotNull())
+    free = tickets.where(F.col("order_id").isNull())
+    return Gated(free.unionByName(linked.join(owners, own, "left_semi")), linked.join(owners, own, "left_anti"))
+
+
 def owner_gate(tickets: DataFrame, orders: DataFrame) -> DataFrame:
-    """Adds ``accepted``: the ticket has no order, or its order belongs to its customer."""
-    owners = orders.groupBy("order_id").agg(F.collect_set("customer_id").alias("_owner"))  # an order that is there twice adds no row
-    owned: Column = F.col("order_id").isNull() | F.coalesce(F.array_contains("_owner", F.col("customer_id")), F.lit(False))
-    return lookup_join(tickets, owners, "order_id", "ticket_id").withColumn("accepted", owned).drop("_owner")
+    """All tickets with ``accepted``: whether the gate lets them through."""
+    gated = split_by_owner(tickets, orders)
+    return gated.accepted.withColumn("accepted", F.lit(True)).unionByName(gated.quarantine.withColumn("accepted", F.lit(False)))
+
+
+def quarantine_reasons(quarantine: DataFrame, orders: DataFrame) -> DataFrame:
+    """Quarantined tickets with ``reason``: ``order_of_other_customer``, or ``no_such_order``."""
+    known = orders.select("order_id")
+    foreign = quarantine.join(known, "order_id", "left_semi").withColumn("reason", F.lit("order_of_other_customer"))
+    return foreign.unionByName(quarantine.join(known, "order_id", "left_anti").withColumn("reason", F.lit("no_such_order")))
 
 
 def product_names(items: DataFrame, products: DataFrame) -> DataFrame:

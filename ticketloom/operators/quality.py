@@ -31,18 +31,20 @@ class RowCheck:
     detail: str = "NULL"
 
 
-def row_checks(df: DataFrame, key: str, checks: Sequence[RowCheck], filter_first: bool = True) -> DataFrame:
-    """All checks of one table in one scan: rows that fail none are dropped first, the others yield an entry per failed check.
+def row_checks(df: DataFrame, key: str, checks: Sequence[RowCheck]) -> DataFrame:
+    """All checks of one table in one scan, an entry per failed check.
 
-    A one-row frame of long expressions does without the filter: the optimizer would copy them into it.
+    A one-row generator computes the failed checks of a row once; the explode
+    behind it reads them. A filter on the conditions would be merged with the
+    projections below it and copy their expressions for every check.
     """
     entries = ", ".join(
         f"CASE WHEN {c.bad} THEN named_struct('check_name', {q(c.name)}, 'detail', CAST({c.detail} AS STRING)) END"
         for c in checks
     )
-    failing = df.where(" OR ".join(f"({c.bad})" for c in checks)) if filter_first else df
-    hits = failing.selectExpr(f"CAST({key} AS STRING) AS key", f"explode(array({entries})) AS hit")
-    return hits.where("hit IS NOT NULL").select("hit.check_name", "key", "hit.detail")
+    failed = f"inline(array(named_struct('hits', filter(array({entries}), hit -> hit IS NOT NULL))))"
+    hits = df.selectExpr(f"CAST({key} AS STRING) AS key", failed).selectExpr("key", "explode(hits) AS hit")
+    return hits.select("hit.check_name", "key", "hit.detail")
 
 
 def _finding(df: DataFrame, name: str, key: Column, detail: Column | None = None) -> DataFrame:
@@ -76,6 +78,12 @@ def primary_keys(tables: Tables) -> DataFrame:
     return _all([duplicates(tables[t], f"{t}_pk_dupes", [k]) for t, k in schemas.KEYS.items()])
 
 
+def dangling_rows(tables: Tables, child: str, parent: str, key: str, null_is_orphan: bool) -> DataFrame:
+    """Id and key of the child rows without their parent; nothing else of the table is read."""
+    own = schemas.KEYS[child]
+    return orphans(tables[child].select(own, key), tables[parent].select(key), key, null_is_orphan, row_id=own)
+
+
 def foreign_keys(tables: Tables) -> DataFrame:
     """Orphans; tickets without an order are not orphans."""
     links = [
@@ -87,7 +95,7 @@ def foreign_keys(tables: Tables) -> DataFrame:
     ]
     return _all(
         [
-            _finding(orphans(tables[child], tables[parent], key, nulls), name, F.col(schemas.KEYS[child]), F.col(key))
+            _finding(dangling_rows(tables, child, parent, key, nulls), name, F.col(schemas.KEYS[child]), F.col(key))
             for name, child, parent, key, nulls in links
         ]
     )
@@ -345,7 +353,7 @@ def metric_consistency(metrics: DataFrame) -> DataFrame:
             p, "response_processed_rate_pct", "draft_generation_rate_pct", "blocked_rate_pct"
         ),
     }
-    return row_checks(metrics, "'metrics'", [RowCheck(name, bad) for name, bad in checks.items()], filter_first=False)
+    return row_checks(metrics, "'metrics'", [RowCheck(name, bad) for name, bad in checks.items()])
 
 
 def fact_checks() -> list[RowCheck]:
@@ -452,7 +460,7 @@ def key_constraints(tables: Tables) -> DataFrame:
     repeated = [duplicates(tables[t].where(F.col(c).isNotNull()), f"{t}.{name}", [c]) for t, c, name in unique]
     dangling = [
         _finding(
-            orphans(tables[child], tables[parent], key, null_is_orphan=False),
+            dangling_rows(tables, child, parent, key, null_is_orphan=False),
             f"{child}.{key}_fk", F.col(schemas.KEYS[child]), F.col(key),
         )
         for child, parent, key in links

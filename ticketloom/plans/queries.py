@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ticketloom import vocab
 from ticketloom.functions import labels, numeric
 from ticketloom.operators import classification, evaluation, kpis, measures, quality, responses, routing, selfcheck, views
-from ticketloom.operators.joins import owner_gate, product_names
+from ticketloom.operators.joins import owner_gate, product_names, quarantine_reasons, split_by_owner
 from ticketloom.operators.scanning import scan_codes, scan_texts
 from ticketloom.plans.testmodel import BROKEN_CONTEXTS, CLASSIFIER_OUTPUTS, DRAFT_TEXT, GENERATIONS, Model, derive
 from ticketloom.plans import runs
-from ticketloom.sources import audit, picks, scoring, snapshots, tables
+from ticketloom.session import shared_folder
+from ticketloom.sources import audit, picks, scoring, snapshots, store, tables
 from ticketloom.streaming.route import route_events_once
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -699,6 +701,32 @@ def overlay_responses(m: Model) -> DataFrame:
     return snapshots.apply_overlay(target, updates, owned, run_at).select("ticket_id", "decision_path", *owned, "updated_at")
 
 
+def _written_back(m: Model) -> tuple[DataFrame, store.WriteBack]:
+    """The tickets as a table in 64 id ranges, with some decisions written back behind the owner gate."""
+    root = shared_folder(m.spark, "ticket-store")
+    top = m.raw("events").agg(F.max("event_id")).first()[0]
+    store.create(m.gated_tickets, root, "loaded", ids_per_part=max(100, top // 64))
+    run_at = F.lit("2024-06-01 12:00:00").cast("timestamp_ntz")
+    done = store.write_back(m.spark, root, m.updates, vocab.ROUTING_COLUMNS, run_at, "decided", m.orders)
+    return store.read(m.spark, root), done
+
+
+@query
+def write_back_tickets(m: Model) -> DataFrame:
+    return _written_back(m)[0].select("ticket_id", "customer_id", "priority", *vocab.ROUTING_COLUMNS, "updated_at")
+
+
+@query
+def write_back_rejects(m: Model) -> DataFrame:
+    return _written_back(m)[1].rejected.select("ticket_id", "reason")
+
+
+@query
+def write_gate_reasons(m: Model) -> DataFrame:
+    tickets = m.broken_tables["tickets"].select("ticket_id", "order_id", "customer_id")
+    return quarantine_reasons(split_by_owner(tickets, m.broken_tables["orders"]).quarantine, m.broken_tables["orders"])
+
+
 @query
 def write_gate(m: Model) -> DataFrame:
     gated = owner_gate(m.broken_tables["tickets"], m.orders)

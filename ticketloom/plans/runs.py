@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketloom import vocab
 from ticketloom.operators import classification, evaluation, responses, routing, selfcheck, views
-from ticketloom.sources import audit, picks, scoring, snapshots
+from ticketloom.sources import audit, picks, scoring, snapshots, store
 from ticketloom.vocab import DEFAULTS, Thresholds
 
 
@@ -115,16 +115,32 @@ def run_classify(
 
 
 def publish_run(
-    run: Run, tickets: DataFrame, root: str, version: str, log: str, run_date: str, *, config_live: bool, live: bool
+    run: Run, tickets: DataFrame, root: str, version: str, log: str, run_date: str, *, config_live: bool, live: bool,
+    orders: DataFrame | None = None,
 ) -> DataFrame:
-    """Write the updated tickets if both live flags say so, then the audit events of this run in a folder of their own."""
+    """Write the updated tickets if both live flags say so, then the audit events of this run in a folder of their own.
+
+    With ``orders`` the owner gate holds: tickets linked to another customer's order stay as they are, and so do tickets whose
+    updates contradict each other.
+    """
     wet = snapshots.is_live(config_live, live)
-    updated = snapshots.apply_overlay(tickets, run.updates, run.owned, run.run_at)
+    updated = snapshots.apply_overlay(tickets, run.updates, run.owned, run.run_at, orders, clashing="leave")
     published = snapshots.publish(updated, root, version, config_live=config_live, live=live)
     audit.write_events(run.events(not wet), log, run_date, run_id=version if wet else f"{version}-dry")
     return published
 
 
+def publish_run_in_place(
+    run: Run, spark: SparkSession, root: str, version: str, log: str, run_date: str, *, config_live: bool, live: bool,
+    orders: DataFrame | None = None,
+) -> store.WriteBack | None:
+    """As ``publish_run`` on a table in id ranges: only ranges that hold an applied update are written; None in a dry run."""
+    wet = snapshots.is_live(config_live, live)
+    done = store.write_back(spark, root, run.updates, run.owned, run.run_at, version, orders) if wet else None
+    audit.write_events(run.events(not wet), log, run_date, run_id=version if wet else f"{version}-dry")
+    return done
+
+
 def stored_rules_report(tickets: DataFrame) -> DataFrame:
     return evaluation.rules_evaluation_stored(picks.routing_results(tickets))
 

@@ -232,6 +232,22 @@ BROKEN = {
         "first_response_at": "CASE WHEN ticket_id % 283 = 0 THEN created_at - INTERVAL 61 SECOND ELSE first_response_at END",
     },
 }
+# Tickets of other customers' orders, otherwise sound; and decisions to write back to some of them, with defects.
+GATED = {c: BROKEN["tickets"][c] for c in ("customer_id", "order_id")}
+UPDATED = "ticket_id % 3000 < 1000 AND ticket_id % 10 < 3"
+UPDATES = {
+    "ticket_id": "CASE WHEN ticket_id % 290 = 2 THEN -ticket_id - 1 WHEN ticket_id % 310 = 1 THEN NULL ELSE ticket_id END",
+    "final_priority": _pick("(ticket_id * 3) % 4", vocab.PRIORITIES),
+    "decision_path": "CASE WHEN ticket_id % 2 = 0 THEN 'Automated' ELSE 'Human Review' END",
+    "rule_decision_at": "created_at + INTERVAL 7 MINUTE",
+}
+# A second round of updates: some repeat the first, some contradict it.
+REPEATED = "ticket_id % 3000 < 1000 AND ticket_id % 20 = 0"
+REPEATS = {
+    **UPDATES,
+    "decision_path": "CASE WHEN ticket_id % 60 = 0 THEN 'Human Review' WHEN ticket_id % 2 = 0 THEN 'Automated' ELSE 'Human Review' END",
+    "rule_decision_at": "CASE WHEN ticket_id % 140 = 0 THEN NULL ELSE created_at + INTERVAL 7 MINUTE END",
+}
 # Violations in the columns that routing and responses store.
 BROKEN_STORED = {
     "final_priority": "CASE WHEN ticket_id % 307 = 0 THEN 'Critical' WHEN ticket_id % 311 = 0 THEN NULL ELSE final_priority END",
@@ -314,6 +330,16 @@ class Model:
     def broken_tables(self) -> dict[str, DataFrame]:
         return {name: replace(df, BROKEN[name]) for name, df in self.tables.items()}
 
+    @property
+    def gated_tickets(self) -> DataFrame:
+        later = {"final_priority": F.lit(None).cast("string"), "rule_decision_at": F.lit(None).cast("timestamp_ntz")}
+        return replace(self.tickets, GATED).withColumns(later)
+
+    @property
+    def updates(self) -> DataFrame:
+        first = derive(self.tickets.where(_spark_sql(UPDATED)), UPDATES)
+        return first.unionByName(derive(self.tickets.where(_spark_sql(REPEATED)), REPEATS))
+
     def _joined(self) -> DataFrame:
         """Tickets with the order and customer columns that routing and responses read."""
         orders = self.orders.select(

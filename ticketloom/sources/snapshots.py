@@ -9,34 +9,58 @@ names it. A run that dies half-way leaves the old snapshot current.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticketloom.operators.joins import split_by_owner
+
 MANIFEST = "_current"
 
 
-def apply_overlay(tickets: DataFrame, updates: DataFrame, owned: Sequence[str], updated_at: Column) -> DataFrame:
-    """Tickets with the owned columns taken from the matching update row.
+@dataclass(frozen=True)
+class Settled:
+    """One row ``(ticket_id, _new)`` per ticket whose updates agree, and one per ticket whose updates don't.
 
-    ``updates`` is ``(ticket_id, *owned)``. Every other column keeps its value,
-    but ``updated_at``, which is set on matched rows. An update may set a
-    column to NULL. Rows are never added: of several updates for one ticket the
-    greatest by the owned columns in order applies (NULL is the least).
+    greatest: the greatest update of every ticket, whether they agree or not.
+    """
+
+    clean: DataFrame
+    clashing: DataFrame
+    greatest: DataFrame
+
+
+def settle(updates: DataFrame, owned: Sequence[str]) -> Settled:
+    """Updates brought to one per ticket; updates that repeat each other are one, those that contradict each other go to ``clashing``.
+
+    clashing: ``(ticket_id, n, least, greatest)``, the two extremes of the owned
+    columns as JSON. Least and greatest are combined in each task before the
+    shuffle, which is the one that the join by ticket needs anyway. Updates
+    without a ticket id are neither.
     """
     extra = set(updates.columns) - {"ticket_id", *owned}
     if extra:
         raise ValueError(f"columns not owned by this write-back: {sorted(extra)}")
-    one = updates.groupBy("ticket_id").agg(F.max(F.struct(*owned)).alias("_new"))
-    marked = one.select("ticket_id", *[F.col(f"_new.{c}").alias(f"_new_{c}") for c in owned], F.lit(True).alias("_matched"))
-    matched = F.col("_matched").isNotNull()
-    joined = tickets.join(marked, "ticket_id", "left")
+    new = F.struct(*owned)
+    one = updates.where(F.col("ticket_id").isNotNull()).groupBy("ticket_id").agg(
+        F.min(new).alias("_new"), F.max(new).alias("_other"), F.count(F.lit(1)).alias("n")
+    )
+    agree = F.col("_new").eqNullSafe(F.col("_other"))
+    clashing = one.where(~agree).select("ticket_id", "n", F.to_json("_new").alias("least"), F.to_json("_other").alias("greatest"))
+    return Settled(one.where(agree).select("ticket_id", "_new"), clashing, one.select("ticket_id", F.col("_other").alias("_new")))
+
+
+def overlaid(tickets: DataFrame, settled: DataFrame, owned: Sequence[str], updated_at: Column) -> DataFrame:
+    """Tickets with the owned columns, and ``updated_at``, taken from their one settled update."""
+    matched = F.col("_new").isNotNull()
+    joined = tickets.join(settled, "ticket_id", "left")
     columns = []
     for name in tickets.columns:
         if name in owned:
             kind = tickets.schema[name].dataType
-            columns.append(F.when(matched, F.col(f"_new_{name}").cast(kind)).otherwise(F.col(name)).alias(name))
+            columns.append(F.when(matched, F.col(f"_new.{name}").cast(kind)).otherwise(F.col(name)).alias(name))
         elif name == "updated_at":
             columns.append(F.when(matched, updated_at).otherwise(F.col(name)).alias(name))
         else:
@@ -44,6 +68,27 @@ def apply_overlay(tickets: DataFrame, updates: DataFrame, owned: Sequence[str],
     return joined.select(*columns)
 
 
+def apply_overlay(
+    tickets: DataFrame, updates: DataFrame, owned: Sequence[str], updated_at: Column, orders: DataFrame | None = None, clashing: str = "greatest"
+) -> DataFrame:
+    """Tickets with the owned columns taken from the matching update row.
+
+    ``updates`` is ``(ticket_id, *owned)``. Every other column keeps its value,
+    but ``updated_at``, which is set on matched rows. An update may set a
+    column to NULL. Rows are never added. Of updates for one ticket that
+    contradict each other the ``greatest`` by the owned columns in order applies
+    (NULL is the least), or with ``leave`` none: runs use that, and ``settle``
+    and ``store.write_back`` return such updates. With ``orders`` tickets that
+    fail the owner gate stay as they are.
+    """
+    settled = settle(updates, owned)
+    chosen = {"greatest": settled.greatest, "leave": settled.clean}[clashing]
+    if orders is not None:
+        keys = tickets.select("ticket_id", "order_id", "customer_id").join(chosen.select("ticket_id"), "ticket_id", "left_semi")
+        chosen = chosen.join(split_by_owner(keys, orders).quarantine.select("ticket_id"), "ticket_id", "left_anti")
+    return overlaid(tickets, chosen, owned, updated_at)
+
+
 def is_live(config_live: bool, live: bool) -> bool:
     """A write needs both the configuration and the caller to say live."""
     return config_live and live
