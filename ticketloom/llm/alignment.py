@@ -7,6 +7,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,9 @@ BITMAP = BLOCK // 8
 #: A block also ends after so many postings; a slice of texts, and the segments that a worker remembers.
 POSTINGS = 2 << 20
 SLICE_CHARS = 1 << 20
-TABLE_SEGMENTS = 150_000
+TABLE_SEGMENTS = 300_000
+#: Segments that go through a tokenizer as one text.
+TOGETHER = 256
 BUCKET_BYTES = 8 << 20
 _CUT = re.compile(r"(?<=\S)(?= )")
 _RUN = re.compile(r"\s\s")
@@ -74,15 +77,41 @@ class Tokenizers:
             return bytes([int(_BYTE_PIECE.fullmatch(piece)[1], 16)])
         return piece.replace(MARK, " ").encode()
 
-    def encoded(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [e.ids for e in self.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)]
-        b = self.b.encode(segments, num_threads=1)
-        return a, [x if s else [self.mark] for s, x in zip(segments, b, strict=True)]
+    def encoded(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of A and how many each segment has, and the same of B."""
+        a, size_a = self._joined([" " + s for s in segments])
+        b, size_b = _flat([x if s else [self.mark] for s, x in zip(segments, self.b.encode(segments, num_threads=1), strict=True)])
+        return a, size_a, b, size_b
+
+    def _joined(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids, many segments at a call.
+
+        Segments that end in no white space may stand behind each other: each
+        begins with a space, which is where texts are cut. Others go alone.
+        """
+        open_ = [i for i, s in enumerate(segments) if s[-1].isspace()]
+        alone = set(open_)
+        order = [i for i in range(len(segments)) if i not in alone] + open_
+        runs = [order[i : i + TOGETHER] for i in range(0, len(order) - len(open_), TOGETHER)]
+        if runs:
+            runs[-1] = [i for i in runs[-1] if i not in alone]
+        found = self.a.encode_batch_fast(["".join([segments[i] for i in r]) for r in runs] + [segments[i] for i in open_], add_special_tokens=False)
+        ids = [np.array(e.ids, np.int64) for e in found]
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        length = np.fromiter((len(segments[i].encode()) for i in order), np.int64, len(order))
+        # Tokens end where segments do; only the bytes of ids that fit no byte (none here) could hide that.
+        ends = np.searchsorted(np.cumsum(self.length_a[flat]), np.cumsum(length)) + 1
+        size = np.diff(np.r_[0, ends])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        start = (ends - size)[place]
+        size = size[place]
+        return flat[np.repeat(start, size) + _within(size)], size
 
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     size = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((i for x in lists for i in x), np.int64, int(size.sum())), size
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(size.sum())), size
 
 
 def _within(size: np.ndarray) -> np.ndarray:
@@ -136,10 +165,8 @@ class SegmentTable:
         new = [s for s in segments if s not in self.index]
         if not new:
             return
-        lists_a, lists_b = self.t.encoded(new)
+        a, size_a, b, size_b = self.t.encoded(new)
         raw = [b" " + s.encode() for s in new]
-        a, size_a = _flat(lists_a)
-        b, size_b = _flat(lists_b)
         fine = _whole(a, size_a, self.t.length_a, self.t.bytes_a, raw) & _whole(b, size_b, self.t.length_b, self.t.bytes_b, raw)
         of_a, of_b = np.repeat(np.arange(len(new)), size_a), np.repeat(np.arange(len(new)), size_b)
         a, of_a, b, of_b = a[fine[of_a]], of_a[fine[of_a]], b[fine[of_b]], of_b[fine[of_b]]
