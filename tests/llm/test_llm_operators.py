@@ -290,3 +290,28 @@ def test_secrets_behind_a_keyword_need_no_digits(spark):
     rows = [(i, f"the password = {words[i % 4]} is set") for i in range(80)] + [(100 + i, f"password: {'x' * 9} here 12") for i in range(80)]
     got = {r.doc_id: [s.kind for s in r.spans] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i] == ["secret"] and not got[100 + i] for i in range(80))
+
+
+def test_values_behind_a_keyword_go_whole_and_prose_stays(spark, small):
+    said = {
+        "so the secret: internationalization of words": "so the secret: internationalization of words",
+        "token: understanding of the matter": "token: understanding of the matter",
+        "password = Ab!cd#ef9$gh": "[SECRET]",
+        "here password: p@ss!w0rd#2024x, then": "here [SECRET], then",
+        "api_key = sk_live_abcdefgh1234!rest": "[SECRET]",
+        'x "password": "two words" and token="04dbebab91ab85687d33eeaa" y': 'x "password": "two words" and [SECRET]" y',
+        "call 314-555-0123 or 014-555-0123": "call [LOCAL_PHONE] or 014-555-0123",
+        "id 219-09-9999 not 666-09-9999": "id [NATIONAL_ID] not 666-09-9999",
+    }
+    corpus = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    for base in (corpus, corpus.where("false")):
+        rows = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(said)], "doc_id long, text string")
+        got = pii.redacted(pii.personal_data(base.unionByName(rows))).where("doc_id >= 1000000000").orderBy("doc_id").collect()
+        assert [r.text for r in got] == list(said.values())
+
+
+def test_thresholds_hold_on_sentences_that_were_held_out(spark, small):
+    corpus = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    quality_of = pii.fit_model(spark, *pii.letter_levels(corpus, "text")).quality
+    assert set(quality_of) == {"secret", "hex_token", "local_phone", "national_id", "iban"}
+    assert all(precision >= 0.95 and recall >= 0.9 for precision, recall in quality_of.values()), quality_of
