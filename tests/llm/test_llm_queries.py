@@ -1,6 +1,7 @@
 """The registered queries against their statements, and the pipeline against plain versions of its stages."""
 
 import pytest
+from pyspark.sql import functions as F
 from llm_brute import contamination, simhash, smallest_reachable
 from compare import difference, open_tables
 
@@ -33,3 +34,27 @@ def test_pipeline(spark, small):
     assert {r.doc_id for r in out} == clean and len(out) == len(clean)
     model = pieces.processor(queries.piece_model())
     assert all(r.n_tokens == len(r.ids) and model.encode(r.decoded) == list(r.ids) for r in out)
+
+
+def test_pipeline_gives_back_columns_of_any_name(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    extra = ["id", "first", "fingerprint", "hits", "n_hit", "n_words", "hit_items", "spans", "score", "_text", "_id", "component_id", "ids", "a.b"]
+    odd = spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "", "en", "x", 0), (None, "a b c", None, None, 5)], docs.schema)
+    wide = docs.unionByName(odd).select("*", *[F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in extra])
+    for stage in (s for _, s in corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, wide, small)
+        assert out.columns == wide.columns and out.dtypes == wide.dtypes
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for r in rows for c in extra)
+        narrow = stage(spark, docs.unionByName(odd), small)
+        assert sorted(map(str, narrow.collect())) == sorted(str(r) for r in out.select(*docs.columns).collect())
+    last = corpus_pipeline.STAGES[-1][1](spark, wide, small).collect()
+    assert len(last) == 63 and {(r.n_tokens, r.decoded) for r in last if r.doc_id in (10**6, 10**6 + 1)} == {(0, "")}
+
+
+def test_pipeline_of_empty_documents(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, small)
+        assert out.collect() == []
+        docs = out if out.columns == docs.columns else docs
