@@ -315,3 +315,28 @@ def test_thresholds_hold_on_sentences_that_were_held_out(spark, small):
     quality_of = pii.fit_model(spark, *pii.letter_levels(corpus, "text")).quality
     assert set(quality_of) == {"secret", "hex_token", "local_phone", "national_id", "iban"}
     assert all(precision >= 0.95 and recall >= 0.9 for precision, recall in quality_of.values()), quality_of
+
+
+def test_long_words_that_every_polynomial_takes_for_equal(spark):
+    """The Thue-Morse word and its complement: their polynomial hashes modulo 2^64 agree whatever the base."""
+    morse = "".join("ab"[i.bit_count() & 1] for i in range(4096))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    lines = [" ".join([f"w{i}" for i in range(19)] + [w]) for w in (morse, other, morse)]
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.id: (r.n_words, r.n_removed) for r in debruijn.without_repeats(frame).collect()}
+    assert got == {0: (20, 0), 1: (20, 0), 2: (20, 20)}
+
+
+def test_widths_that_do_not_fit_are_refused(spark):
+    frame = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    for width in (3, 262):
+        with pytest.raises(ValueError):
+            debruijn.without_repeats(frame, width=width)
+    for width in (20, 288):
+        with pytest.raises(ValueError):
+            suffixes.without_copies(frame, width=width)
+    shared = "".join(chr(97 + (i * i * 7 + i // 9) % 26) for i in range(900))
+    texts = {1: "x" + shared + "1234", 2: "y9" + shared + "zz"}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.id: (r.n_removed, bytes(r.kept)) for r in suffixes.without_copies(rows, width=280).collect()}
+    assert got == {1: (900, b"x1234"), 2: (900, b"y9zz")}

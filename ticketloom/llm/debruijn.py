@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from ticketloom.llm import windows as W
 from ticketloom.llm.common import column, stored, utf8
 
 KMER = 6
+LONG_WORD = 256
 SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _BYTES_AT_ONCE = 2 << 20
 
@@ -24,7 +26,11 @@ def _hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]])))
     start, end = edge[0::2], edge[1::2]
     h = W.Hashes(W.TABLE[raw], W.BASES[:1])
-    return start, W.mix(h.of(start, end - start) ^ W.mix((end - start).astype(np.uint64)))
+    hashes = W.mix(h.of(start, end - start) ^ W.mix((end - start).astype(np.uint64)))
+    # A polynomial modulo 2^64 is no hash of long strings: whatever the base, some of 1,024 bytes are known to collide.
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        hashes[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]], 20)
+    return start, hashes
 
 
 def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
@@ -174,6 +180,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     are one document and get one result; rows that repeat an id alone are
     documents of one rank, where only an earlier start counts.
     """
+    W.check_width(width, KMER)
     rows = keyed(docs, id_column, text_column)
     stretches = rows.mapInArrow(lambda it: compacted(it, width), W.ROWS)
     whole = Window.partitionBy("key", "settled").orderBy("content", "id", "place")

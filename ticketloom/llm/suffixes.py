@@ -262,6 +262,7 @@ def without_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str
     Null text: no bytes. Null id: kept null. Rows that repeat id and text are one
     document; they get one result and are no copies of each other.
     """
+    W.check_width(width, KMER)
     rows = keyed(docs, id_column, text_column)
     class_rows = Window.partitionBy("key", "settled", "content").orderBy("id", "place")
     key_rows = Window.partitionBy("key", "settled").orderBy("content", "id", "place")

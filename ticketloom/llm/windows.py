@@ -99,6 +99,12 @@ def pieces(length: int, width: int, block: int = BLOCK) -> Iterator[tuple[int, i
         yield begin, min(length, begin + block + width - 1)
 
 
+def check_width(width: int, k: int) -> None:
+    """A stretch has at most width - k + 1 windows, which ``pack`` writes in 8 bits."""
+    if not k <= width < 256 + k:
+        raise ValueError(f"windows must have {k} to {255 + k} units, not {width}")
+
+
 def pack(start: np.ndarray, windows: np.ndarray, digest: np.ndarray) -> np.ndarray:
     """First window, number of windows and 24 bits of the row's digest in one number, ordered by the first window."""
     return (start.astype(np.int64) << 32) | (windows.astype(np.int64) << 24) | digest.astype(np.int64)
