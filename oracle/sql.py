@@ -884,11 +884,10 @@ SQL["dq_key_constraints"] = union(
     ],
     f"SELECT 'tickets.order_owner', key, detail FROM ({owners('broken_')})",
 )
-SQL["dq_suite"] = (
-    "SELECT check_name, count(*) AS violations FROM ("
-    + union(DQ_PK, DQ_FK, DQ_NULLS, DQ_DUPES, totals("broken_"), no_items("broken_"), line_totals("broken_"), owners("broken_"), DQ_TIME, DQ_VOCAB)
-    + ") GROUP BY 1"
+SQL["dq_suite_rows"] = union(
+    DQ_PK, DQ_FK, DQ_NULLS, DQ_DUPES, totals("broken_"), no_items("broken_"), line_totals("broken_"), owners("broken_"), DQ_TIME, DQ_VOCAB
 )
+SQL["dq_suite"] = "SELECT check_name, count(*) AS violations FROM (" + SQL["dq_suite_rows"] + ") GROUP BY 1"
 SQL["orders_per_customer"] = (
     "SELECT order_count, count(*) AS num_customers FROM (SELECT c.customer_id, count(o.order_id) AS order_count FROM fx_customers c "
     "LEFT JOIN fx_orders o ON c.customer_id = o.customer_id GROUP BY c.customer_id) GROUP BY 1"

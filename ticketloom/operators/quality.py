@@ -16,7 +16,7 @@ from ticketloom import schemas, vocab
 from ticketloom.functions.labels import or_label
 from ticketloom.functions.numeric import money
 from ticketloom.functions.sql import any_of, listed, q, true
-from ticketloom.operators import views
+from ticketloom.operators import keychecks, views
 from ticketloom.operators.joins import childless, orphans
 
 Tables = dict[str, DataFrame]
@@ -31,6 +31,11 @@ class RowCheck:
     detail: str = "NULL"
 
 
+def failed_check(c: RowCheck) -> str:
+    """``(check_name, detail)`` of a row that fails the check, else NULL, as SQL text."""
+    return f"CASE WHEN {c.bad} THEN named_struct('check_name', {q(c.name)}, 'detail', CAST({c.detail} AS STRING)) END"
+
+
 def row_checks(df: DataFrame, key: str, checks: Sequence[RowCheck]) -> DataFrame:
     """All checks of one table in one scan, an entry per failed check.
 
@@ -38,10 +43,7 @@ def row_checks(df: DataFrame, key: str, checks: Sequence[RowCheck]) -> DataFrame
     behind it reads them. A filter on the conditions would be merged with the
     projections below it and copy their expressions for every check.
     """
-    entries = ", ".join(
-        f"CASE WHEN {c.bad} THEN named_struct('check_name', {q(c.name)}, 'detail', CAST({c.detail} AS STRING)) END"
-        for c in checks
-    )
+    entries = ", ".join(failed_check(c) for c in checks)
     failed = f"inline(array(named_struct('hits', filter(array({entries}), hit -> hit IS NOT NULL))))"
     hits = df.selectExpr(f"CAST({key} AS STRING) AS key", failed).selectExpr("key", "explode(hits) AS hit")
     return hits.select("hit.check_name", "key", "hit.detail")
@@ -103,13 +105,8 @@ def foreign_keys(tables: Tables) -> DataFrame:
 
 def required_nulls(tables: Tables) -> DataFrame:
     """One row per table that has rows with a required column missing, with their count."""
-    columns = {
-        "customers": ["first_name", "last_name", "email", "signup_date", "customer_segment", "country"],
-        "orders": ["customer_id", "order_date", "order_status", "total_amount", "payment_method", "expected_delivery_date"],
-        "tickets": ["customer_id", "channel", "message_text", "category", "priority", "status", "created_at"],
-    }
     frames = []
-    for table, names in columns.items():
+    for table, names in keychecks.REQUIRED_COLUMNS.items():
         missing = reduce(lambda a, b: a | b, [F.col(n).isNull() for n in names])
         counted = tables[table].agg(F.count_if(missing).alias("_n")).where(F.col("_n") > 0)
         frames.append(_finding(counted, f"null_required_{table}", F.lit(table), F.col("_n")))
@@ -186,17 +183,29 @@ def vocabulary_checks() -> dict[str, list[RowCheck]]:
     }
 
 
-def run_row_checks(tables: Tables, *groups: dict[str, list[RowCheck]]) -> DataFrame:
-    """Several groups of row checks, one scan per table."""
+def merged_checks(*groups: dict[str, list[RowCheck]]) -> dict[str, list[RowCheck]]:
     merged: dict[str, list[RowCheck]] = {}
     for group in groups:
         for table, checks in group.items():
             merged.setdefault(table, []).extend(checks)
+    return merged
+
+
+def run_row_checks(tables: Tables, *groups: dict[str, list[RowCheck]]) -> DataFrame:
+    """Several groups of row checks, one scan per table."""
+    merged = merged_checks(*groups)
     return _all([row_checks(tables[t], schemas.KEYS[t], checks) for t, checks in merged.items()])
 
 
-def tables_suite(tables: Tables) -> DataFrame:
-    """Keys, references, required values, duplicates, totals, owners, time order, vocabularies."""
+def tables_suite(tables: Tables, stage: str | None = None) -> DataFrame:
+    """Keys, references, required values, duplicates, totals, owners, time order, vocabularies.
+
+    With ``stage``, a new path in the shared folder, each table is read twice for
+    all of them; without, lazily, by a scan and a shuffle per check.
+    """
+    if stage is not None:
+        checks = merged_checks(timestamp_checks(), vocabulary_checks(), {"order_items": [line_total_check()]})
+        return keychecks.two_read_suite(tables, stage, {t: [failed_check(c) for c in own] for t, own in checks.items()})
     return _all(
         [
             primary_keys(tables),
@@ -477,15 +486,15 @@ def constraints_suite(tables: Tables) -> DataFrame:
     return _all(frames)
 
 
-def run_checks(tables: Tables, suite: str) -> DataFrame:
-    """Violations of one suite by name: tables, routing, responses, analytics, constraints."""
+def run_checks(tables: Tables, suite: str, stage: str | None = None) -> DataFrame:
+    """Violations of one suite by name: tables, routing, responses, analytics, constraints. For ``stage`` see ``tables_suite``."""
 
     def analytics() -> DataFrame:
         fact = views.ticket_fact(tables["tickets"], tables["customers"], tables["orders"])
         return analytics_suite(fact, tables["tickets"], views.all_metrics(tables["tickets"]))
 
     suites = {
-        "tables": lambda: tables_suite(tables),
+        "tables": lambda: tables_suite(tables, stage),
         "routing": lambda: routing_suite(tables["tickets"]),
         "responses": lambda: response_suite(tables["tickets"]),
         "analytics": analytics,

@@ -652,10 +652,16 @@ def dq_stored_constraints(m: Model) -> DataFrame:
 
 @query
 def dq_suite(m: Model) -> DataFrame:
-    found = quality.run_checks(m.broken_tables, "tables")
+    found = quality.run_checks(m.broken_tables, "tables", stage=shared_folder(m.spark, "dq-suite"))
     return found.groupBy("check_name").agg(F.count(F.lit(1)).alias("violations"))
 
 
+@query
+def dq_suite_rows(m: Model) -> DataFrame:
+    """Every violation of the tables suite."""
+    return quality.run_checks(m.broken_tables, "tables", stage=shared_folder(m.spark, "dq-suite"))
+
+
 @query
 def orders_per_customer(m: Model) -> DataFrame:
     return quality.orders_per_customer(m.customers, m.orders)
