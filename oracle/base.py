@@ -317,6 +317,16 @@ CTES: dict[str, str] = {
         "WHEN EXISTS (SELECT 1 FROM fx_orders o WHERE o.order_id = g.order_id) THEN 'order_of_other_customer' ELSE 'no_such_order' END AS reason "
         "FROM settled s LEFT JOIN gated g ON s.ticket_id = g.ticket_id"
     ),
+    "rewritten": (
+        "SELECT t.ticket_id, t.category, t.created_at, t.first_response_at, t.resolved_at, "
+        + ", ".join(
+            f"CASE WHEN {p.replace('ticket_id', 't.ticket_id')} THEN {columns[c].replace('ticket_id', 't.ticket_id').replace('created_at', 't.created_at')} "
+            f"ELSE {'t.' + c if c in M.TICKETS else 'NULL'} END AS {c}"
+            for p, columns, names in ((M.PREDICTED, M.PREDICTIONS, V.CLASSIFIER_COLUMNS), (M.ANSWERED, M.ANSWERS, V.RESPONSE_COLUMNS))
+            for c in names
+        )
+        + ", j.final_priority, j.decision_path, j.rule_decision_at FROM gated t LEFT JOIN judged j ON t.ticket_id = j.ticket_id AND j.reason IS NULL"
+    ),
 }
 _ORDER = list(CTES)
 

@@ -412,12 +412,14 @@ SHOWN = {
 BLOCKS = lambda t: (
     f"c AS ({classification_block(t)}), r AS ({rules_block(t)}), p AS ({responses_block(t)}), o AS ({operational_block(t)})"
 )
-SQL["all_metrics_summary"] = f"WITH {BLOCKS('stored')} " + " UNION ALL ".join(
+SUMMARY = " UNION ALL ".join(
     f"SELECT '{block}' AS block, '{m}' AS metric, CAST({m} AS DOUBLE) AS value, coalesce(CAST(CAST({m} AS DOUBLE) AS VARCHAR), 'NOT AVAILABLE') AS shown "
     f"FROM {alias}"
     for (block, names), alias in zip(SHOWN.items(), "crpo")
     for m in names
 )
+SQL["all_metrics_summary"] = f"WITH {BLOCKS('stored')} {SUMMARY}"
+SQL["maintained_metrics"] = f"WITH {BLOCKS('rewritten')} {SUMMARY}"
 SQL["backlog"] = (
     f"SELECT count(*) AS total_tickets, count({CAT}) AS classified_tickets, count(*) - count({CAT}) AS unclassified_tickets FROM fx_tickets"
 )

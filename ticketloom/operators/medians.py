@@ -33,6 +33,7 @@ def ranked_values(
     by: Sequence[str] = (),
     *,
     levels: Sequence[int] = MICROS,
+    weight: str = "1",
 ) -> DataFrame:
     """``(*by, measure, n, low_0, high_0, low_1, high_1, ...)`` of bigint values, NULLs ignored.
 
@@ -45,12 +46,14 @@ def ranked_values(
     and all levels read the shuffle of these counts; so however hot a group is,
     a bin holds one row a distinct value. Without ``by`` the picked bins, at
     most two per measure and share, are broadcast and nothing is shuffled but
-    histograms.
+    histograms. ``weight`` is how often a row counts, as SQL text: for rows that
+    are counts of values already.
     """
     keys = [*by, "measure"]
     entries = ", ".join(f"named_struct('measure', {q(n)}, '_v', CAST({e} AS BIGINT))" for n, e in values.items())
-    rows = df.selectExpr(*by, f"inline(array({entries}))").where("_v IS NOT NULL")
-    once = F.expr("count(1)")
+    weighted = weight != "1"
+    rows = df.selectExpr(*by, *([f"{weight} AS _w"] if weighted else []), f"inline(array({entries}))").where("_v IS NOT NULL")
+    once = F.expr("sum(_w)" if weighted else "count(1)")
     if by:
         rows, once = rows.groupBy(*keys, "_v").agg(once.alias("_rows")), F.sum("_rows")
     wanted = [_ranks(s) for s in shares]
@@ -93,12 +96,13 @@ def exact_medians(
     by: Sequence[str] = (),
     *,
     levels: Sequence[int] = MICROS,
+    weight: str = "1",
 ) -> DataFrame:
     """``(*by, *names)``: per measure the sum of the two middle values, to be halved at the caller's precision.
 
     Without ``by`` one row, also for no values at all.
     """
-    found = ranked_values(df, values, [(1, 2)], by, levels=levels)
+    found = ranked_values(df, values, [(1, 2)], by, levels=levels, weight=weight)
     return found.groupBy(*by).agg(
         *[F.expr(f"max(CASE WHEN measure = {q(n)} THEN low_0 + high_0 END)").alias(n) for n in values]
     )

@@ -229,11 +229,26 @@ def evaluate_views(tickets: DataFrame, views: dict[str, MetricView]) -> DataFram
     row = tickets.agg(
         *[F.expr(a).alias(f"{view}_{name}") for view, v in views.items() for name, a in v.aggregates.items()]
     )
-    medians = {f"{view}_{name}": spec for view, v in views.items() for name, spec in v.medians.items()}
+    medians = median_columns(views)
     if medians:
         middles = exact_medians(tickets, {n: micros_between("created_at", end) for n, (end, _) in medians.items()})
-        halves = as_list({n: half_up_ratio(n, str(2 * unit), 2) for n, (_, unit) in medians.items()})
-        row = row.withColumn("_m", middles.selectExpr(*halves).select(F.struct("*")).scalar()).select("*", "_m.*")
+        row = with_medians(row, middles, medians)
+    return shown(row, views)
+
+
+def median_columns(views: dict[str, MetricView]) -> dict[str, tuple[str, int]]:
+    """End column and unit of every median, by the name it has in the row of aggregates."""
+    return {f"{view}_{name}": spec for view, v in views.items() for name, spec in v.medians.items()}
+
+
+def with_medians(row: DataFrame, middles: DataFrame, medians: dict[str, tuple[str, int]]) -> DataFrame:
+    """The row with the medians, from the sums of the two middle values."""
+    halves = as_list({n: half_up_ratio(n, str(2 * unit), 2) for n, (_, unit) in medians.items()})
+    return row.withColumn("_m", middles.selectExpr(*halves).select(F.struct("*")).scalar()).select("*", "_m.*")
+
+
+def shown(row: DataFrame, views: dict[str, MetricView]) -> DataFrame:
+    """The row of aggregates as one struct per view."""
     structs = []
     for view, v in views.items():
         fields = ", ".join(f"{q(n)}, {e}" for n, e in v.columns(lambda name: f"{view}_{name}").items())
@@ -262,17 +277,18 @@ def operational_metrics(tickets: DataFrame) -> DataFrame:
     return _one(tickets, operational_view())
 
 
+def all_views(limits: Thresholds = DEFAULTS) -> dict[str, MetricView]:
+    return {
+        "classification": classification_view(limits),
+        "rule_decisions": rule_decision_view(),
+        "responses": response_view(),
+        "operational": operational_view(),
+    }
+
+
 def all_metrics(tickets: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
     """The four metric views as four struct columns of one row."""
-    return evaluate_views(
-        tickets,
-        {
-            "classification": classification_view(limits),
-            "rule_decisions": rule_decision_view(),
-            "responses": response_view(),
-            "operational": operational_view(),
-        },
-    )
+    return evaluate_views(tickets, all_views(limits))
 
 
 def backlog(tickets: DataFrame) -> DataFrame:

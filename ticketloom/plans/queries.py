@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ticketloom import vocab
 from ticketloom.functions import labels, numeric
-from ticketloom.operators import classification, evaluation, kpis, measures, quality, responses, routing, selfcheck, views
+from ticketloom.operators import classification, evaluation, kpis, maintained, measures, quality, responses, routing, selfcheck, views
 from ticketloom.operators.joins import owner_gate, product_names, quarantine_reasons, split_by_owner
 from ticketloom.operators.scanning import scan_codes, scan_texts
 from ticketloom.plans.testmodel import BROKEN_CONTEXTS, CLASSIFIER_OUTPUTS, DRAFT_TEXT, GENERATIONS, Model, derive
@@ -727,6 +727,22 @@ def write_back_rejects(m: Model) -> DataFrame:
     return _written_back(m)[1].rejected.select("ticket_id", "reason")
 
 
+@query
+def maintained_metrics(m: Model) -> DataFrame:
+    """The metric summary after three write-backs, from the first state and the rows that each of them changed."""
+    root = shared_folder(m.spark, "ticket-store")
+    top = m.raw("events").agg(F.max("event_id")).first()[0]
+    store.create(m.gated_tickets, root, "loaded", ids_per_part=max(100, top // 64))
+    state = maintained.save(maintained.state_of(store.read(m.spark, root)), f"{root}/metrics/0")
+    run_at = F.lit("2024-06-01 12:00:00").cast("timestamp_ntz")
+    rounds = [(m.updates, vocab.ROUTING_COLUMNS, m.orders), (m.predictions, vocab.CLASSIFIER_COLUMNS, None), (m.answers, vocab.RESPONSE_COLUMNS, None)]
+    for i, (updates, owned, orders) in enumerate(rounds, 1):
+        done = store.write_back(m.spark, root, updates, owned, run_at, f"round {i}", orders)
+        difference = maintained.state_of(store.changes(m.spark, root, done))
+        state = maintained.save(maintained.merged(state, difference), f"{root}/metrics/{i}")
+    return selfcheck.summarize(maintained.metrics(state))
+
+
 @query
 def write_gate_reasons(m: Model) -> DataFrame:
     tickets = m.broken_tables["tickets"].select("ticket_id", "order_id", "customer_id")

@@ -248,6 +248,23 @@ REPEATS = {
     "decision_path": "CASE WHEN ticket_id % 60 = 0 THEN 'Human Review' WHEN ticket_id % 2 = 0 THEN 'Automated' ELSE 'Human Review' END",
     "rule_decision_at": "CASE WHEN ticket_id % 140 = 0 THEN NULL ELSE created_at + INTERVAL 7 MINUTE END",
 }
+# Predictions and responses that are written back after the decisions.
+PREDICTED = "ticket_id % 6 = 1"
+PREDICTIONS = {
+    "ticket_id": "ticket_id",
+    "ai_predicted_category": _pick("(ticket_id * 3) % 10", vocab.CATEGORIES),
+    "classification_confidence": "CAST(CASE WHEN ticket_id % 12 = 1 THEN 0.999 WHEN ticket_id % 30 = 7 THEN NULL ELSE 0.123 END AS DECIMAL(4,3))",
+    "sentiment_score": "CAST(0.25 AS DECIMAL(3,2))",
+    "decision_at": "created_at + INTERVAL 3 MINUTE",
+}
+ANSWERED = "ticket_id % 5 = 2"
+ANSWERS = {
+    "ticket_id": "ticket_id",
+    "response_status": _pick("ticket_id % 4", vocab.RESPONSE_STATUSES),
+    "response_type": _pick("ticket_id % 4", vocab.RESPONSE_TYPES[:4]),
+    "response_draft": "CAST(NULL AS VARCHAR(9))",
+    "response_generated_at": "created_at + (ticket_id % 777) * INTERVAL 1 MINUTE",
+}
 # Violations in the columns that routing and responses store.
 BROKEN_STORED = {
     "final_priority": "CASE WHEN ticket_id % 307 = 0 THEN 'Critical' WHEN ticket_id % 311 = 0 THEN NULL ELSE final_priority END",
@@ -332,7 +349,8 @@ class Model:
 
     @property
     def gated_tickets(self) -> DataFrame:
-        later = {"final_priority": F.lit(None).cast("string"), "rule_decision_at": F.lit(None).cast("timestamp_ntz")}
+        names = [c for c in vocab.ROUTING_COLUMNS + vocab.RESPONSE_COLUMNS if c != "decision_path"]
+        later = {c: F.lit(None).cast("timestamp_ntz" if c.endswith("_at") else "string") for c in names}
         return replace(self.tickets, GATED).withColumns(later)
 
     @property
@@ -340,6 +358,14 @@ class Model:
         first = derive(self.tickets.where(_spark_sql(UPDATED)), UPDATES)
         return first.unionByName(derive(self.tickets.where(_spark_sql(REPEATED)), REPEATS))
 
+    @property
+    def predictions(self) -> DataFrame:
+        return derive(self.tickets.where(_spark_sql(PREDICTED)), PREDICTIONS)
+
+    @property
+    def answers(self) -> DataFrame:
+        return derive(self.tickets.where(_spark_sql(ANSWERED)), ANSWERS)
+
     def _joined(self) -> DataFrame:
         """Tickets with the order and customer columns that routing and responses read."""
         orders = self.orders.select(

@@ -36,11 +36,16 @@ class Version:
 
 @dataclass(frozen=True)
 class WriteBack:
-    """version: what is current now. rewritten: the ranges that were written. rejected: updates that were not applied, and why."""
+    """version: what is current now, before: what was. rewritten: the ranges that were written.
+
+    rejected: updates that were not applied, and why. applied: the ids of the tickets that changed.
+    """
 
     version: Version
+    before: Version
     rewritten: list[int]
     rejected: DataFrame
+    applied: DataFrame
 
 
 class VersionTaken(ValueError):
@@ -188,8 +193,19 @@ def write_back(
     accepted = kept(clean.join(rejected.where("ticket_id IS NOT NULL").select("ticket_id"), "ticket_id", "left_anti"), "accepted")
     touched = sorted(r[0] for r in accepted.select(_part(before.ids_per_part)).distinct().collect())
     if not touched:
-        return WriteBack(before, [], rejected)
+        return WriteBack(before, before, [], rejected, accepted.select("ticket_id"))
     attempt, parts = _written(overlaid(read(spark, root, before, touched), accepted, owned, updated_at), root, before.ids_per_part)
     version = Version(before.number + 1, name, before.ids_per_part, before.parts | {p: attempt for p in parts})
     _switch(spark, root, version)
-    return WriteBack(version, parts, rejected)
+    return WriteBack(version, before, parts, rejected, accepted.select("ticket_id"))
+
+
+def changes(spark: SparkSession, root: str, done: WriteBack) -> DataFrame:
+    """The rows that a write-back changed, as they were with ``sign`` -1 and as they are with 1; only rewritten ranges are read."""
+    if not done.rewritten:
+        return read(spark, root, done.version, []).withColumn("sign", F.lit(1))
+    old, new = (
+        read(spark, root, v, done.rewritten).join(done.applied, "ticket_id", "left_semi").withColumn("sign", F.lit(sign))
+        for v, sign in ((done.before, -1), (done.version, 1))
+    )
+    return old.unionByName(new)
