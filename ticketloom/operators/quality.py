@@ -49,7 +49,7 @@ def row_checks(df: DataFrame, key: str, checks: Sequence[RowCheck]) -> DataFrame
     return hits.select("hit.check_name", "key", "hit.detail")
 
 
-def _finding(df: DataFrame, name: str, key: Column, detail: Column | None = None) -> DataFrame:
+def finding(df: DataFrame, name: str, key: Column, detail: Column | None = None) -> DataFrame:
     shown = F.lit(None).cast("string") if detail is None else detail.cast("string")
     return df.select(F.lit(name).alias("check_name"), key.cast("string").alias("key"), shown.alias("detail"))
 
@@ -62,7 +62,7 @@ def duplicates(df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
     """Key values that occur more than once, with their count as detail."""
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
     key = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys])
-    return _finding(counted, name, key, F.col("_n"))
+    return finding(counted, name, key, F.col("_n"))
 
 
 def outside_vocabulary(name: str, column: str, allowed: Sequence[str]) -> RowCheck:
@@ -97,7 +97,7 @@ def foreign_keys(tables: Tables) -> DataFrame:
     ]
     return _all(
         [
-            _finding(dangling_rows(tables, child, parent, key, nulls), name, F.col(schemas.KEYS[child]), F.col(key))
+            finding(dangling_rows(tables, child, parent, key, nulls), name, F.col(schemas.KEYS[child]), F.col(key))
             for name, child, parent, key, nulls in links
         ]
     )
@@ -109,7 +109,7 @@ def required_nulls(tables: Tables) -> DataFrame:
     for table, names in keychecks.REQUIRED_COLUMNS.items():
         missing = reduce(lambda a, b: a | b, [F.col(n).isNull() for n in names])
         counted = tables[table].agg(F.count_if(missing).alias("_n")).where(F.col("_n") > 0)
-        frames.append(_finding(counted, f"null_required_{table}", F.lit(table), F.col("_n")))
+        frames.append(finding(counted, f"null_required_{table}", F.lit(table), F.col("_n")))
     return _all(frames)
 
 
@@ -128,11 +128,11 @@ def order_totals(tables: Tables) -> DataFrame:
     sums = tables["order_items"].groupBy("order_id").agg(F.expr(money("sum(line_total)")).alias("computed_total"))
     wrong = tables["orders"].join(sums, "order_id").where(F.col("total_amount") != F.col("computed_total"))
     detail = F.concat(F.col("total_amount").cast("string"), F.lit(" <> "), F.col("computed_total").cast("decimal(18,2)").cast("string"))
-    return _finding(wrong, "order_total_mismatch", F.col("order_id"), detail)
+    return finding(wrong, "order_total_mismatch", F.col("order_id"), detail)
 
 
 def orders_without_items(tables: Tables) -> DataFrame:
-    return _finding(
+    return finding(
         childless(tables["orders"], tables["order_items"], "order_id"), "orders_with_no_items", F.col("order_id")
     )
 
@@ -150,7 +150,7 @@ def owner_mismatch(tables: Tables) -> DataFrame:
     tickets = tables["tickets"].where(F.col("order_id").isNotNull()).select("ticket_id", "order_id", "customer_id")
     owners = tables["orders"].select("order_id", F.col("customer_id").alias("order_customer"))
     wrong = tickets.join(owners, "order_id").where(F.col("customer_id") != F.col("order_customer"))
-    return _finding(
+    return finding(
         wrong,
         "ticket_order_customer_mismatch",
         F.col("ticket_id"),
@@ -329,7 +329,7 @@ def view_grain(fact: DataFrame, tickets: DataFrame) -> DataFrame:
     both = rows.withColumn("ticket_rows", tickets.agg(F.count(F.lit(1))).scalar())
     shown = F.concat(F.col("view_rows").cast("string"), F.lit(" <> "), F.col("ticket_rows").cast("string"))
     wrong = both.where(F.col("view_rows") != F.col("ticket_rows"))
-    return dupes.unionByName(_finding(wrong, "ticket_grain_row_count_mismatch", F.lit("vw_ticket_analytics"), shown))
+    return dupes.unionByName(finding(wrong, "ticket_grain_row_count_mismatch", F.lit("vw_ticket_analytics"), shown))
 
 
 def grain(fact: DataFrame) -> DataFrame:
@@ -468,7 +468,7 @@ def key_constraints(tables: Tables) -> DataFrame:
     ]
     repeated = [duplicates(tables[t].where(F.col(c).isNotNull()), f"{t}.{name}", [c]) for t, c, name in unique]
     dangling = [
-        _finding(
+        finding(
             dangling_rows(tables, child, parent, key, null_is_orphan=False),
             f"{child}.{key}_fk", F.col(schemas.KEYS[child]), F.col(key),
         )

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ticketloom import vocab
 from ticketloom.functions import labels, numeric
-from ticketloom.operators import classification, evaluation, kpis, maintained, measures, quality, responses, routing, selfcheck, views
+from ticketloom.operators import bitmaps, classification, evaluation, kpis, maintained, measures, quality, responses, routing, selfcheck, sketches, views
 from ticketloom.operators.joins import owner_gate, product_names, quarantine_reasons, split_by_owner
 from ticketloom.operators.scanning import scan_codes, scan_texts
 from ticketloom.plans.testmodel import BROKEN_CONTEXTS, CLASSIFIER_OUTPUTS, DRAFT_TEXT, GENERATIONS, Model, derive
@@ -56,8 +56,8 @@ def fact(m: Model, orders: bool = False) -> DataFrame:
     return views.ticket_fact(m.stored_tickets(), m.customers, m.orders if orders else None)
 
 
-def early_fact(m: Model, orders: bool = False) -> DataFrame:
-    """Fact over tickets before routing; for queries that read no decision."""
+def later_empty(tickets: DataFrame) -> DataFrame:
+    """Tickets that no later stage has handled."""
     empty = {
         c: F.lit(None).cast(t)
         for c, t in {
@@ -65,7 +65,12 @@ def early_fact(m: Model, orders: bool = False) -> DataFrame:
             "response_type": "string", "response_draft": "string", "response_generated_at": "timestamp_ntz",
         }.items()
     }
-    return views.ticket_fact(m.tickets.withColumns(empty), m.customers, m.orders if orders else None)
+    return tickets.withColumns(empty)
+
+
+def early_fact(m: Model, orders: bool = False) -> DataFrame:
+    """Fact over tickets before routing; for queries that read no decision."""
+    return views.ticket_fact(later_empty(m.tickets), m.customers, m.orders if orders else None)
 
 
 def generations(m: Model) -> DataFrame:
@@ -521,6 +526,30 @@ def date_range(m: Model) -> DataFrame:
     return measures.date_range(m.tickets)
 
 
+def _rank_of(fact: DataFrame, found: DataFrame) -> DataFrame:
+    """Per channel: whether the share of values below each approximate median is one half, but for three times the stated error."""
+    bound = 3 * sketches.rank_error()
+    names = {name: column for name, column in measures.MEDIANS}
+    joined = fact.join(found.withColumnRenamed("channel", "_channel"), F.col("channel") == F.col("_channel"))
+    checks = []
+    for name, column in names.items():
+        value, n = F.round(F.col(column) * 100).cast("bigint"), F.count(column)
+        own = F.round(F.col(name) * 100).cast("bigint")
+        below, upto = F.count_if(value < own) / n, F.count_if(value <= own) / n
+        checks.append(((below <= 0.5 + bound) & (upto >= 0.5 - bound)).alias(f"{name}_within"))
+    return joined.groupBy("channel").agg(F.max("total_tickets").alias("total_tickets"), *checks)
+
+
+@query
+def medians_from_sketches(m: Model) -> DataFrame:
+    """Medians of 14 days by channel from stored sketches of all days; their ranks are held against the tickets."""
+    whole = early_fact(m)
+    folder = shared_folder(m.spark, "daily-sketches")
+    sketches.daily_sketches(whole).write.parquet(folder)
+    days = m.spark.read.parquet(folder).where("created_date BETWEEN DATE'2024-01-05' AND DATE'2024-01-18'")
+    return _rank_of(measures.slicer(whole, "2024-01-05", "2024-01-18"), sketches.median_measures(days, ["channel"]))
+
+
 @query
 def daily_volume(m: Model) -> DataFrame:
     return measures.daily_volume(m.tickets)
@@ -611,6 +640,22 @@ def dq_view_grain(m: Model) -> DataFrame:
     return quality.view_grain(broken.join(m.customers.select("customer_id"), "customer_id"), broken)
 
 
+@query
+def dq_fact_grain(m: Model) -> DataFrame:
+    """The fact view itself, over tickets of which some ids repeat and some customers are not there."""
+    broken = m.broken_tables["tickets"]
+    return bitmaps.fact_grain(views.ticket_fact(later_empty(broken), m.customers), broken)
+
+
+@query
+def distinct_customers_from_bitmaps(m: Model) -> DataFrame:
+    """Customers per channel in a slice of days, from stored bitmaps of every day."""
+    folder = shared_folder(m.spark, "daily-bitmaps")
+    bitmaps.bitmaps(measures.created_date(m.tickets), "customer_id", ["created_date", "channel"]).write.parquet(folder)
+    days = m.spark.read.parquet(folder).where("created_date BETWEEN DATE'2024-01-05' AND DATE'2024-01-18'")
+    return bitmaps.distinct_counts(bitmaps.merged(days, ["channel"]), ["channel"]).select("channel", F.col("rows").alias("tickets"), F.col("keys").alias("customers"))
+
+
 @query
 def dq_fact_rows(m: Model) -> DataFrame:
     broken = views.ticket_fact(m.broken_stored_tickets(), m.customers, m.orders)
