@@ -303,6 +303,11 @@ CTES: dict[str, str] = {
     ),
     "outputs": derived(M.CLASSIFIER_OUTPUTS, "fx_tickets"),
     "gated": replaced(M.GATED, "fx_tickets"),
+    "gated_contexts": (
+        f"SELECT t.ticket_id, {CAT}, {CONF}, {SENT}, t.order_id, CAST(o.total_amount AS DOUBLE) AS order_value, c.customer_segment "
+        "FROM gated t JOIN fx_customers c ON t.customer_id = c.customer_id LEFT JOIN fx_orders o ON t.order_id = o.order_id"
+    ),
+    "gated_routed": routed("gated_contexts"),
     "updates": (
         derived(M.UPDATES, f"fx_tickets WHERE {M.UPDATED}") + " UNION ALL " + derived(M.REPEATS, f"fx_tickets WHERE {M.REPEATED}")
     ),

@@ -8,6 +8,7 @@ from oracle.base import (
 )
 from ticketloom import vocab as V
 from ticketloom.functions.safety import FORBIDDEN
+from ticketloom.operators.selfcheck import all_errors
 from ticketloom.plans import testmodel as M
 
 SQL: dict[str, str] = {}
@@ -280,6 +281,16 @@ SQL["classification_validation"] = (
     "CASE WHEN ok THEN CAST(conf AS DOUBLE) END AS confidence, CASE WHEN ok THEN ord END AS order_id, "
     "CASE WHEN ok THEN coalesce(men = 'true', false) END AS mentions_customer_info FROM checked"
 )
+# Of a key that is there twice the last one counts; this engine takes the first, so the answers stand here.
+SQL["classification_repeated_keys"] = (
+    "SELECT ticket_id, k IN (0, 1, 4, 5) AS success, CASE WHEN k = 2 THEN 'invalid_category' WHEN k = 3 THEN 'invalid_response_schema' "
+    "WHEN k IN (6, 7) THEN 'malformed_response' END AS error_type, CASE WHEN k IN (0, 1, 4) THEN 'Other' WHEN k = 5 THEN 'Complaint' END AS category, "
+    "CASE WHEN k IN (0, 4) THEN 'Low' WHEN k = 1 THEN 'High' WHEN k = 5 THEN 'Urgent' END AS priority, "
+    "CAST(CASE WHEN k IN (0, 4) THEN 0.1 WHEN k = 1 THEN -0.5 WHEN k = 5 THEN 0 END AS DOUBLE) AS sentiment_score, "
+    "CAST(CASE WHEN k IN (0, 4) THEN 0.5 WHEN k = 1 THEN 0.25 WHEN k = 5 THEN 1 END AS DOUBLE) AS confidence, "
+    "CAST(CASE WHEN k = 4 THEN 12 END AS BIGINT) AS order_id, CASE WHEN k IN (0, 1, 4, 5) THEN false END AS mentions_customer_info "
+    "FROM (SELECT ticket_id, ticket_id % 8 AS k FROM fx_tickets)"
+)
 SUMS = (
     f"count(*) AS tickets_attempted, {count_if('ok')} AS n_success, {count_if('NOT ok')} AS n_failed, "
     "CAST(coalesce(sum(input_tokens) FILTER (WHERE ok), 0) AS BIGINT) AS total_input_tokens, "
@@ -759,27 +770,25 @@ PCTS = {
     "rule": ["automated_rate_pct", "human_review_rate_pct", "urgent_human_review_rate_pct"],
     "response": ["response_processed_rate_pct", "draft_generation_rate_pct", "blocked_rate_pct"],
 }
-METRIC_ROWS = union(*[
-    finding(name, "'metrics'", "NULL", f"{t} WHERE {bad}")
-    for name, t, bad in (
-        ("classification_counts_do_not_partition", "c", "classified_tickets + unclassified_tickets <> total_tickets"),
-        ("rule_decisions_do_not_partition", "r", "automated_decisions + human_review_decisions <> tickets_with_rule_decision"),
-        ("response_statuses_do_not_partition", "p",
-         "drafts_generated + human_review_drafts + blocked_responses + not_eligible_responses <> response_processed"),
-        ("response_processed_partition_broken", "p", "response_processed + response_not_processed <> total_tickets"),
-        ("urgent_exceeds_human_review", "r", "urgent_human_review > human_review_decisions"),
-        ("matches_exceed_classified", "c", "exact_category_matches > classified_tickets"),
-        *[
-            (f"{name}_pct_out_of_range", t, " OR ".join(f"{p} NOT BETWEEN 0 AND 100" for p in PCTS[name]))
-            for name, t in (("classification", "c"), ("rule", "r"), ("response", "p"))
-        ],
-    )
-])
+METRIC_CONDITIONS = [
+    ("classification_counts_do_not_partition", "c", "classified_tickets + unclassified_tickets <> total_tickets"),
+    ("rule_decisions_do_not_partition", "r", "automated_decisions + human_review_decisions <> tickets_with_rule_decision"),
+    ("response_statuses_do_not_partition", "p",
+     "drafts_generated + human_review_drafts + blocked_responses + not_eligible_responses <> response_processed"),
+    ("response_processed_partition_broken", "p", "response_processed + response_not_processed <> total_tickets"),
+    ("urgent_exceeds_human_review", "r", "urgent_human_review > human_review_decisions"),
+    ("matches_exceed_classified", "c", "exact_category_matches > classified_tickets"),
+    *[
+        (f"{name}_pct_out_of_range", t, " OR ".join(f"{p} NOT BETWEEN 0 AND 100" for p in PCTS[name]))
+        for name, t in (("classification", "c"), ("rule", "r"), ("response", "p"))
+    ],
+]
+METRIC_ROWS = union(*[finding(name, "'metrics'", "NULL", f"{t} WHERE {bad}") for name, t, bad in METRIC_CONDITIONS])
 SQL["dq_metric_consistency"] = f"WITH {BLOCKS('broken_stored')} {METRIC_ROWS}"
 
 
-def selfcheck(tickets: str, fact: str) -> str:
-    """All checks of the metrics against the fact rows."""
+def selfcheck_parts() -> tuple[str, list[tuple[str, str, str]]]:
+    """The summary of the fact rows, and all checks of the metrics against it."""
     near = lambda a, b, tol: f"NOT coalesce(abs({a} - {b}) <= {tol} + 1e-9, {a} IS NULL AND {b} IS NULL)"
     summary = (
         f"s AS (SELECT count(*) AS n, count(DISTINCT ticket_id) AS d, count(first_response_minutes) AS nf, count(resolution_hours) AS nr, "
@@ -815,11 +824,57 @@ def selfcheck(tickets: str, fact: str) -> str:
         ("first_response_count", "o.tickets_with_first_response <> s.nf", lit("tickets_with_first_response disagrees with the fact rows")),
         ("resolved_count", "o.resolved_tickets <> s.nr", lit("resolved_tickets disagrees with the fact rows")),
     ]
+    return summary, checks
+
+
+def selfcheck(tickets: str, fact: str) -> str:
+    """All checks of the metrics against the fact rows."""
+    summary, checks = selfcheck_parts()
     return f"WITH f AS ({fact}), {BLOCKS(tickets)}, {summary} " + union(*[
         f"SELECT 'ERROR' AS severity, {lit(name)} AS \"check\", {detail} AS detail FROM c, r, p, o, s WHERE {bad}" for name, bad, detail in checks
     ])
 
 
+def planted_errors(tickets: str, fact: str) -> str:
+    """Every check over the sound metrics and over metrics moved by each planted error."""
+    summary, checks = selfcheck_parts()
+    shares = [f"{block}.{c}" for block, rows in SHARES.items() for c in rows]
+    short = {"classification": "c", "rule_decisions": "r", "responses": "p"}
+    checks = [(name, bad) for name, bad, _ in checks]
+    checks += [(share, "{0} < 0 OR {0} > 100".format(f"{short[share.split('.')[0]]}.{share.split('.')[1]}")) for share in shares]
+    checks += [
+        (f"operational.{c}", f"o.{c} < 0")
+        for c in ("avg_first_response_minutes", "median_first_response_minutes", "avg_resolution_hours", "median_resolution_hours")
+    ]
+    errors = all_errors(shares)
+    moved = []
+    for block in "crpos":
+        by_field: dict[str, dict[str, float]] = {}
+        for name, paths in errors.items():
+            for path, delta in paths.items():
+                if path[0] == block:
+                    by_field.setdefault(path[2:], {})[name] = delta
+        changed = ", ".join(
+            f"{field} + CASE planted " + " ".join(f"WHEN {lit(n)} THEN {d:.1f}" for n, d in own.items()) + f" ELSE 0 END AS {field}"
+            for field, own in by_field.items()
+        )
+        moved.append(f"m{block} AS (SELECT planted, {block}.* REPLACE ({changed}) FROM {block}, planted)")
+    names = ", ".join(lit(n) for n in ["none", *errors])
+    together = "mc c JOIN mr r USING (planted) JOIN mp p USING (planted) JOIN mo o USING (planted) JOIN ms s USING (planted)"
+    fired = ", ".join(f"CASE WHEN {bad} THEN {lit(name)} END" for name, bad in checks)
+    return (
+        f"WITH f AS ({fact}), {BLOCKS(tickets)}, {summary}, planted AS (SELECT unnest([{names}]) AS planted), {', '.join(moved)} "
+        f"SELECT planted, fired FROM (SELECT planted, unnest([{fired}]) AS fired FROM {together}) WHERE fired IS NOT NULL UNION ALL "
+        + union(*[f"SELECT planted, {lit(name)} FROM m{t} WHERE {bad}" for name, t, bad in METRIC_CONDITIONS])
+    )
+
+
+SHARES = {
+    "classification": ["classification_coverage_pct", "low_confidence_rate_pct", "exact_category_match_rate_pct"],
+    "rule_decisions": ["automated_rate_pct", "human_review_rate_pct", "urgent_human_review_rate_pct"],
+    "responses": ["response_processed_rate_pct", *[share for _, share in STATUS.values()]],
+}
+SQL["dq_checks_fire"] = planted_errors("stored", "SELECT * FROM fact")
 SQL["dq_metric_selfcheck"] = selfcheck("stored", "SELECT * FROM fact")
 SQL["dq_metric_selfcheck_broken"] = selfcheck("broken_stored", "SELECT * FROM early_fact WHERE channel <> 'Phone'")
 
@@ -880,6 +935,10 @@ def declared(table: str, source: str, later: bool = False) -> str:
 
 
 SQL["dq_constraints"] = union(*[declared(t, f"broken_{t}") for t in KEYS])
+SQL["load_counts"] = union(
+    *[f"SELECT '{t}' AS table_name, 'rows' AS counted, count(*) AS n FROM broken_{t}" for t in KEYS],
+    f"SELECT split_part(check_name, '.', 1), check_name, count(*) FROM ({SQL['dq_constraints']}) GROUP BY ALL",
+)
 SQL["dq_stored_constraints"] = declared("tickets", "broken_stored", later=True)
 SQL["dq_key_constraints"] = union(
     *[repeats(f"{t}.pk", f"broken_{t} WHERE {k} IS NOT NULL", k) for t, k in KEYS.items()],
@@ -962,6 +1021,23 @@ SQL["audit_classification"] = (
     "CASE WHEN ok THEN coalesce(input_tokens, 0) END AS input_tokens, CASE WHEN ok THEN output_tokens END AS output_tokens, true AS dry_run FROM checked"
 )
 SQL["stream_route"] = f"SELECT {DECISION} FROM routed"
+WEEK = "least((day(created_at) - 1) // 8, 3)"
+IS_LATE = f"({WEEK} = 0 AND ticket_id % 70 = 1)"
+SQL["stream_intake"] = (
+    f"WITH sent AS (SELECT ticket_id, created_at, CASE WHEN {IS_LATE} THEN 3 ELSE {WEEK} END AS batch FROM gated UNION ALL "
+    f"SELECT ticket_id, created_at, {WEEK} + 1 FROM gated WHERE NOT {IS_LATE} AND {WEEK} < 3 AND ticket_id % 50 = 0), "
+    "marks AS (SELECT b.batch, (SELECT max(created_at) - INTERVAL 2 DAY FROM sent s WHERE s.batch < b.batch) AS mark FROM (SELECT DISTINCT batch FROM sent) b), "
+    "judged_ AS (SELECT s.*, mark IS NOT NULL AND created_at < mark AS late FROM sent s JOIN marks USING (batch)), "
+    "first_ AS (SELECT ticket_id, min(batch) AS batch FROM judged_ WHERE NOT late GROUP BY 1), "
+    "known AS (SELECT f.ticket_id, f.batch, r.decision_path, g.order_id IS NULL OR EXISTS (SELECT 1 FROM fx_orders o "
+    "WHERE o.order_id = g.order_id AND o.customer_id = g.customer_id) AS passes FROM first_ f JOIN gated g ON f.ticket_id = g.ticket_id "
+    "JOIN gated_routed r ON f.ticket_id = r.ticket_id) "
+    "SELECT ticket_id, 'late' AS outcome, CAST(NULL AS VARCHAR) AS decision_path FROM judged_ WHERE late "
+    "UNION ALL SELECT ticket_id, 'written', decision_path FROM known WHERE passes "
+    "UNION ALL SELECT batch, concat_ws(' ', 'batch', count(*), count(*) FILTER (WHERE late), count(*) FILTER (WHERE NOT late) "
+    "- (SELECT count(*) FROM first_ f WHERE f.batch = j.batch), (SELECT count(*) FROM known k WHERE k.batch = j.batch)), NULL "
+    "FROM judged_ j GROUP BY batch"
+)
 
 # --- KPIs ---
 SQL["kpi_volume"] = (

@@ -231,3 +231,33 @@ def test_missing_views(spark, small):
 def test_vocabularies_are_closed():
     assert set(vocab.RESPONSE_TYPE_OF) == set(vocab.CATEGORIES) == set(vocab.BASE_PRIORITY)
     assert set(vocab.RESPONSE_TYPE_OF.values()) == set(vocab.RESPONSE_TYPES)
+
+
+def test_every_metric_check_fires_on_its_own_error_and_on_no_sound_row(spark, small):
+    m = Model(spark, small)
+    metrics = views.all_metrics(m.stored_tickets())
+    summary = selfcheck.fact_summary(views.ticket_fact(m.stored_tickets(), m.customers, m.orders))
+    found = [(r.planted, r.fired) for r in selfcheck.planted_errors(metrics, summary).collect()]
+    shares = selfcheck.percentages(metrics)
+    names = {n for n, _, _ in selfcheck.metric_checks(shares)} | {c.name for c in quality.consistency_checks()}
+    assert len(names) == 39 + 9 and set(selfcheck.all_errors(shares)) == names
+    assert all((n, n) in found for n in names) and all(p != "none" for p, _ in found)
+
+
+@pytest.mark.parametrize("text,kept", [
+    ('{"a":1,"a":"two"}', "two"), ('{"a":1,"b":2,"a":null}', None), ('{"a":{"a":1},"a":[1,2]}', "[1,2]"), ('{"a":1,"a":2.50}', "2.5"), ('{"a":3,"a":true}', "true"),
+])
+def test_of_a_repeated_key_the_last_counts(spark, text, kept):
+    from ticketloom.functions import jsonfields
+
+    frame = spark.createDataFrame([(text,)], "t string").selectExpr(f"{jsonfields.json_object('t')} AS d")
+    assert frame.selectExpr(jsonfields.get("d", "a", "string")).first()[0] == kept
+    assert frame.selectExpr("d IS NULL").first()[0] is False
+
+
+@pytest.mark.parametrize("text", ['{"a":1,"a":2', '{"a":1,"a":2} {"a":3}', '{"a":1,"a":2},{"a":3}', '{"a":NaN,"a":2}', '[{"a":1,"a":2}]', "{}x"])
+def test_broken_texts_with_repeated_keys_stay_broken(spark, text):
+    from ticketloom.functions import jsonfields
+
+    frame = spark.createDataFrame([(text,)], "t string")
+    assert frame.selectExpr(f"{jsonfields.json_object('t')} IS NULL").first()[0] is True

@@ -230,3 +230,27 @@ def test_stream_takes_new_files_once(spark, small, tmp_path):
     assert spark.read.parquet(out).count() == events.count() == spark.read.parquet(out).select("ticket_id").distinct().count()
 
 
+
+
+def test_load_counts_in_the_pass_that_writes_and_can_be_repeated(spark, small, tmp_path):
+    from ticketloom.operators import quality
+
+    m, root = Model(spark, small), str(tmp_path / "load")
+    sound = {"customers": m.customers, "products": m.products}
+    checks = {t: quality.constraint_checks(t, df.columns) for t, df in sound.items()}
+    loaded = snapshots.load_checked(spark, sound, root, "a", checks)
+    assert loaded.counts["customers"]["rows"] == m.customers.count() and loaded.failures() == {}
+    broken = {t: m.broken_tables[t] for t in sound}
+    with pytest.raises(snapshots.LoadRefused) as refused:
+        snapshots.load_checked(spark, broken, root, "b", checks)
+    want = {r.check_name: r["count"] for r in quality.constraints_suite(broken).groupBy("check_name").count().collect()}
+    assert {n: k for own in refused.value.failures.values() for n, k in own.items()} == want
+    assert snapshots.current_version(spark, root) == "a" and not (tmp_path / "load" / "customers" / "snapshot=b").exists()
+    snapshots.stage_snapshot(m.customers.limit(1), f"{root}/customers", "b")  # what an attempt that died left
+    again = snapshots.load_checked(spark, sound, root, "b", checks, between=lambda t: quality.duplicates(t["customers"], "dupes", ["customer_id"]))
+    assert again.tables["customers"].count() == m.customers.count() and snapshots.current_version(spark, root) == "b"
+    with pytest.raises(snapshots.LoadRefused):
+        snapshots.load_checked(spark, sound, root, "c", checks, between=lambda t: quality.duplicates(t["customers"], "segments", ["customer_segment"]))
+    with pytest.raises(ValueError):
+        snapshots.load_checked(spark, sound, root, "a", checks)
+    assert snapshots.current_version(spark, root) == "b"

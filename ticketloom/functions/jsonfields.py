@@ -10,8 +10,17 @@ OPENS_OBJECT = r"^\s*\{"
 
 
 def json_object(text: str) -> str:
-    """The parsed JSON object; NULL for NULL, blank, broken JSON or any other JSON kind."""
-    return f"CASE WHEN rlike({text}, {q(OPENS_OBJECT)}) THEN try_parse_json({text}) END"
+    """The parsed JSON object; NULL for NULL, blank, broken JSON or any other JSON kind.
+
+    Of a key that is there more than once in the object the last one counts. The
+    parser refuses such objects; they are read entry by entry and written again
+    without the earlier ones. No session setting is touched. Repeated keys inside a field's own value are refused.
+    """
+    entries = f"map_entries(from_json({text}, 'MAP<STRING, VARIANT>'))"
+    last = "filter(es, (e, i) -> NOT exists(slice(es, i + 2, size(es)), later -> later.key = e.key))"
+    again = f"to_json(transform(array({entries}), es -> map_from_entries({last}))[0])"
+    whole = f"json_array_length(concat('[', {text}, ']')) = 1"  # the parsers stop at the end of the object and let text behind it pass
+    return f"CASE WHEN rlike({text}, {q(OPENS_OBJECT)}) AND {whole} THEN coalesce(try_parse_json({text}), try_parse_json({again})) END"
 
 
 def get(document: str, field: str, kind: str) -> str:

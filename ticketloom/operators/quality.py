@@ -339,8 +339,8 @@ def grain(fact: DataFrame) -> DataFrame:
     )
 
 
-def metric_consistency(metrics: DataFrame) -> DataFrame:
-    """Partition and range checks over the one-row frame of the four metric views."""
+def consistency_checks() -> list[RowCheck]:
+    """Partition and range checks over the blocks of the metric views."""
     c, r, p = "classification", "rule_decisions", "responses"
 
     def off(block: str, *names: str) -> str:
@@ -362,7 +362,12 @@ def metric_consistency(metrics: DataFrame) -> DataFrame:
             p, "response_processed_rate_pct", "draft_generation_rate_pct", "blocked_rate_pct"
         ),
     }
-    return row_checks(metrics, "'metrics'", [RowCheck(name, bad) for name, bad in checks.items()])
+    return [RowCheck(name, bad) for name, bad in checks.items()]
+
+
+def metric_consistency(metrics: DataFrame) -> DataFrame:
+    """Partition and range checks over the one-row frame of the four metric views."""
+    return row_checks(metrics, "'metrics'", consistency_checks())
 
 
 def fact_checks() -> list[RowCheck]:

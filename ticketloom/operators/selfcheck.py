@@ -11,7 +11,7 @@ from ticketloom.functions.labels import not_available
 from ticketloom.functions.numeric import half_up_ratio, pct
 from ticketloom.functions.sql import as_list, q
 from ticketloom.operators.medians import HUNDREDTHS, exact_medians
-from ticketloom.operators.quality import grain
+from ticketloom.operators.quality import consistency_checks, grain, row_checks
 from ticketloom.operators.views import STATUS_COLUMNS
 
 # --- Fixed values: tolerances ---
@@ -20,6 +20,9 @@ MEDIAN_TOLERANCE = Decimal("0.02")
 SUM_TOLERANCE = Decimal("0.05")
 
 
+BLOCKS = ["classification AS c", "rule_decisions AS r", "responses AS p", "operational AS o"]
+
+
 def agree(a: str, b: str, tolerance: Decimal) -> str:
     """Within the tolerance; two NULLs agree, NULL and a number do not."""
     return f"coalesce(abs({a} - {b}) <= {tolerance}, {a} IS NULL AND {b} IS NULL)"
@@ -98,21 +101,92 @@ def check_metrics(metrics: DataFrame, summary: DataFrame) -> DataFrame:
     ``metrics`` is the one-row frame of the four views, ``summary`` that of
     ``fact_summary``.
     """
-    row = metrics.withColumn("s", summary.select(F.struct("*")).scalar()).selectExpr(
-        "classification AS c", "rule_decisions AS r", "responses AS p", "operational AS o", "s"
+    row = metrics.withColumn("s", summary.select(F.struct("*")).scalar()).selectExpr(*BLOCKS, "s")
+    entries = ", ".join(
+        f"CASE WHEN {bad} THEN named_struct('check', {q(name)}, 'detail', {detail}) END"
+        for name, bad, detail in metric_checks(percentages(metrics))
     )
-    percentages = [
+    issues = row.selectExpr(f"explode(array({entries})) AS issue").where("issue IS NOT NULL")
+    return issues.select(F.lit("ERROR").alias("severity"), "issue.check", "issue.detail")
+
+
+def percentages(metrics: DataFrame) -> list[str]:
+    """The percentage columns as ``block.column``."""
+    return [
         f"{block}.{f}"
         for block in ("classification", "rule_decisions", "responses")
         for f in metrics.schema[block].dataType.fieldNames()
         if f.endswith("_pct")
     ]
-    entries = ", ".join(
-        f"CASE WHEN {bad} THEN named_struct('check', {q(name)}, 'detail', {detail}) END"
-        for name, bad, detail in metric_checks(percentages)
-    )
-    issues = row.selectExpr(f"explode(array({entries})) AS issue").where("issue IS NOT NULL")
-    return issues.select(F.lit("ERROR").alias("severity"), "issue.check", "issue.detail")
+
+
+# --- Errors that break one check each: how far fields are moved, by ``block.field`` ------
+MANY = 1_000_000
+ERRORS: dict[str, dict[str, float]] = {
+    "ticket_grain": {"s.d": -1},
+    "ticket_grain_vs_total": {"s.n": 1, "s.d": 1},
+    "classification_counts": {"c.unclassified_tickets": 1},
+    "exact_category_matches": {"c.exact_category_matches": MANY},
+    "rule_decision_counts": {"r.automated_decisions": MANY},
+    "urgent_human_review": {"r.urgent_human_review": MANY},
+    "decision_rates_sum": {"r.human_review_rate_pct": -0.5},
+    "response_status_counts": {"p.blocked_responses": MANY},
+    "response_processed_partition": {"p.response_not_processed": 1},
+    "median_first_response_minutes": {"o.median_first_response_minutes": 1},
+    "median_resolution_hours": {"o.median_resolution_hours": 1},
+    "first_response_count": {"o.tickets_with_first_response": 1},
+    "resolved_count": {"o.resolved_tickets": 1},
+    "classification_counts_do_not_partition": {"c.unclassified_tickets": -1},
+    "rule_decisions_do_not_partition": {"r.human_review_decisions": 1},
+    "response_statuses_do_not_partition": {"p.drafts_generated": 1},
+    "response_processed_partition_broken": {"p.response_processed": -1},
+    "urgent_exceeds_human_review": {"r.human_review_decisions": -MANY},
+    "matches_exceed_classified": {"c.classified_tickets": -MANY},
+    "classification_pct_out_of_range": {"c.low_confidence_rate_pct": -200},
+    "rule_pct_out_of_range": {"r.urgent_human_review_rate_pct": 200},
+    "response_pct_out_of_range": {"p.blocked_rate_pct": -200},
+}
+
+
+def all_errors(shares: list[str]) -> dict[str, dict[str, float]]:
+    """An error for every check: the ones above, each stated rate off by a half, each percentage and duration out of range."""
+    short = {"classification": "c", "rule_decisions": "r", "responses": "p"}
+    errors = dict(ERRORS)
+    for share in shares:
+        block, name = share.split(".")
+        errors.setdefault(name, {f"{short[block]}.{name}": -0.5})
+        errors[share] = {f"{short[block]}.{name}": 200}
+    for name, _, _ in metric_checks(shares):
+        if name.startswith("operational."):
+            errors[name] = {name.replace("operational.", "o."): -1e9}
+    return errors
+
+
+def planted_errors(metrics: DataFrame, summary: DataFrame) -> DataFrame:
+    """``(planted, fired)``: which checks fire on a row of metrics with one error, for an error per check and for none.
+
+    Sound metrics have no row with ``planted`` 'none', and every check has one in
+    which it is both planted and fired. One row of metrics is moved in as many
+    ways as there are checks, and all checks look at all of them.
+    """
+    shares = percentages(metrics)
+    errors = {"none": {}} | all_errors(shares)
+    moved = ", ".join(f"named_struct('planted', {q(n)}, 'by', map({', '.join(f'{q(p)}, {d}D' for p, d in e.items()) or q('none') + ', 0D'}))" for n, e in errors.items())
+    row = metrics.withColumn("s", summary.select(F.struct("*")).scalar()).selectExpr(*BLOCKS, "s", f"inline(array({moved}))")
+    blocks = []
+    for block in ("c", "r", "p", "o", "s"):
+        fields = ", ".join(
+            f"{q(f.name)}, CAST({block}.{f.name} + coalesce(by[{q(f'{block}.{f.name}')}], 0D) AS {f.dataType.simpleString()})"
+            for f in row.schema[block].dataType.fields
+        )
+        blocks.append(f"named_struct({fields}) AS {block}")
+    # The generator keeps the optimizer from copying the moved blocks into every check.
+    packed = row.selectExpr("planted", f"inline(array(named_struct({', '.join(f'{q(b[-1])}, {b[:-5]}' for b in blocks)})))")
+    fired = ", ".join(f"CASE WHEN {bad} THEN {q(name)} END" for name, bad, _ in metric_checks(shares))
+    by_selfcheck = packed.selectExpr("planted", f"explode(filter(array({fired}), x -> x IS NOT NULL)) AS fired")
+    named = packed.selectExpr("planted", "c AS classification", "r AS rule_decisions", "p AS responses")
+    by_suite = row_checks(named, "planted", consistency_checks()).select(F.col("key").alias("planted"), F.col("check_name").alias("fired"))
+    return by_selfcheck.unionByName(by_suite)
 
 
 # (block, metric) pairs shown in the summary.

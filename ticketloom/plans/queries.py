@@ -7,6 +7,7 @@ arrays as joined text.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +19,12 @@ from ticketloom.functions import labels, numeric
 from ticketloom.operators import bitmaps, classification, evaluation, kpis, maintained, measures, quality, responses, routing, selfcheck, sketches, views
 from ticketloom.operators.joins import owner_gate, product_names, quarantine_reasons, split_by_owner
 from ticketloom.operators.scanning import scan_codes, scan_texts
-from ticketloom.plans.testmodel import BROKEN_CONTEXTS, CLASSIFIER_OUTPUTS, DRAFT_TEXT, GENERATIONS, Model, derive
+from ticketloom.plans.testmodel import BROKEN_CONTEXTS, CLASSIFIER_OUTPUTS, DRAFT_TEXT, GENERATIONS, REPEATED_KEYS, Model, derive
 from ticketloom.plans import runs
 from ticketloom.session import shared_folder
 from ticketloom.sources import audit, picks, scoring, snapshots, store, tables
-from ticketloom.streaming.route import route_events_once
+from ticketloom.streaming.intake import ledger, start_intake
+from ticketloom.streaming.route import start_routing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -354,6 +356,12 @@ def classification_validation(m: Model) -> DataFrame:
     )
 
 
+@query
+def classification_repeated_keys(m: Model) -> DataFrame:
+    checked = classification.validate_classifications(derive(m.tickets, REPEATED_KEYS))
+    return checked.select("ticket_id", "success", "error_type", "category", "priority", "sentiment_score", "confidence", "order_id", "mentions_customer_info")
+
+
 @query
 def classify_batch_summary(m: Model) -> DataFrame:
     return evaluation.classify_summary(classified(m))
@@ -680,6 +688,23 @@ def dq_metric_selfcheck_broken(m: Model) -> DataFrame:
     return selfcheck.check_metrics(views.all_metrics(m.broken_stored_tickets()), summary)
 
 
+@query
+def dq_checks_fire(m: Model) -> DataFrame:
+    """``(planted, fired)``: every check on a row of metrics that breaks it, all of them on the sound row."""
+    stored = m.stored_tickets()
+    return selfcheck.planted_errors(views.all_metrics(stored), selfcheck.fact_summary(fact(m, orders=True)))
+
+
+@query
+def load_counts(m: Model) -> DataFrame:
+    """Rows and broken constraints of the broken tables, counted by the writes that stage them."""
+    broken = m.broken_tables
+    checks = {t: quality.constraint_checks(t, df.columns) for t, df in broken.items()}
+    staged = snapshots.stage_checked(broken, shared_folder(m.spark, "load"), "loaded", checks)
+    rows = [(table, name, n) for table, counts in staged.counts.items() for name, n in counts.items() if n]
+    return m.spark.createDataFrame(rows, "table_name string, counted string, n bigint")
+
+
 @query
 def dq_key_constraints(m: Model) -> DataFrame:
     return quality.key_constraints(m.broken_tables)
@@ -835,7 +860,43 @@ def audit_classification(m: Model) -> DataFrame:
     return audit.classification_events(classified(m), dry_run=True).drop("latency_ms", "error_message")
 
 
-QUERIES["stream_route"] = lambda spark, directory: flat(route_events_once(spark, directory))
+@query
+def stream_route(m: Model) -> DataFrame:
+    """The tickets routed as a stream; equals the batch result."""
+    schema = m.raw("events").schema
+    events = m.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(m.directory)
+    folder = shared_folder(m.spark, "stream-route")
+    start_routing(m.tickets_from(events), m.customers, m.orders, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return m.spark.read.parquet(f"{folder}/out")
+
+
+def _arrivals(m: Model) -> DataFrame:
+    """What arrives in which batch: all tickets by week, some of them again in the next week, some three weeks late."""
+    sent = m.gated_tickets.withColumn("sent_at", F.col("created_at"))
+    week = F.least(F.floor((F.day("created_at") - 1) / 8), F.lit(3)).cast("int")
+    late = (week == 0) & (F.col("ticket_id") % 70 == 1)
+    first = sent.withColumn("batch", F.when(late, 3).otherwise(week))
+    again = sent.where(~late & (week < 3) & (F.col("ticket_id") % 50 == 0)).withColumn("batch", week + 1)
+    return first.unionByName(again)
+
+
+@query
+def stream_intake(m: Model) -> DataFrame:
+    """Four batches with repeats and late tickets, decided and written back; what became of each ticket that was sent."""
+    folder = shared_folder(m.spark, "stream-intake")
+    store.create(m.gated_tickets, f"{folder}/table", "loaded", ids_per_part=max(100, m.raw("events").agg(F.max("event_id")).first()[0] // 64))
+    arrivals = _arrivals(m)
+    schema = arrivals.drop("batch").schema
+    for batch in range(4):
+        arrivals.where(F.col("batch") == batch).drop("batch").write.mode("append").parquet(f"{folder}/sent")
+        start_intake(
+            m.spark.readStream.schema(schema).parquet(f"{folder}/sent"), m.customers, m.orders, f"{folder}/intake", f"{folder}/checkpoint",
+            delay="2 DAY", table=f"{folder}/table", run_at=datetime(2024, 6, 1, 12),
+        ).awaitTermination()
+    late = m.spark.read.schema(schema).parquet(f"{folder}/intake/late/*").selectExpr("ticket_id", "'late' AS outcome", "CAST(NULL AS STRING) AS decision_path")
+    stored = store.read(m.spark, f"{folder}/table").where("decision_path IS NOT NULL").selectExpr("ticket_id", "'written' AS outcome", "decision_path")
+    counts = ledger(m.spark, f"{folder}/intake").selectExpr("batch_id AS ticket_id", "inline(array(named_struct('outcome', concat_ws(' ', 'batch', arrived, late, repeated, decided), 'decision_path', CAST(NULL AS STRING))))")
+    return late.unionByName(stored).unionByName(counts)
 
 
 # --- KPIs ------------------------------------------------------------------------------------------------

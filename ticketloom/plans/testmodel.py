@@ -176,6 +176,18 @@ CLASSIFIER_OUTPUTS = {
     "input_tokens": "CASE WHEN ticket_id % 83 = 0 THEN NULL ELSE 200 + ticket_id % 50 END",
     "output_tokens": "20 + ticket_id % 7",
 }
+# Classifier outputs in which keys are there twice: the last one counts.
+_TWICE = [
+    '{"category":"Spam","category":"Other","priority":"Low","sentiment_score":0.1,"confidence":0.5}',
+    '{"category":"Other","priority":"Low","priority":"High","sentiment_score":5,"sentiment_score":-0.5,"confidence":0.25}',
+    '{"category":"Other","category":"Spam","priority":"Low","sentiment_score":0.1,"confidence":0.5}',
+    '{"category":"Other","priority":"Low","sentiment_score":0.1,"confidence":0.5,"confidence":null}',
+    '{"order_id":3,"category":"Other","priority":"Low","sentiment_score":0.1,"confidence":0.5,"order_id":12}',
+    '{"note":1,"note":{"a":[1,2]},"category":"Complaint","priority":"Urgent","sentiment_score":0,"confidence":1}',
+    '{"category":"Other","category":"Other","priority":"Low"',
+    '{"category":"Other","category":"Other","priority":"Low","sentiment_score":0.1,"confidence":0.5} {"x":1}',
+]
+REPEATED_KEYS = {"ticket_id": "ticket_id", "error_type": "CAST(NULL AS VARCHAR(9))", "tool_input_json": _pick("ticket_id % 8", _TWICE)}
 # Routing contexts with defects in some of them.
 BROKEN_CONTEXTS = {
     "ticket_id": "CASE WHEN ticket_id % 601 = 0 THEN NULL ELSE ticket_id END",

@@ -8,14 +8,15 @@ names it. A run that dies half-way leaves the old snapshot current.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ticketloom.operators.joins import split_by_owner
+from ticketloom.operators.quality import RowCheck
 
 MANIFEST = "_current"
 
@@ -149,6 +150,83 @@ def read_tables(spark: SparkSession, root: str, names: Sequence[str]) -> dict[st
     return {name: spark.read.parquet(f"{root}/{name}/snapshot={version}") for name in names}
 
 
+@dataclass(frozen=True)
+class Staged:
+    """tables: what was written. counts: per table ``rows`` and, by name, how many rows fail each check."""
+
+    tables: dict[str, DataFrame]
+    counts: dict[str, dict[str, int]]
+
+    def failures(self) -> dict[str, dict[str, int]]:
+        return {t: bad for t, c in self.counts.items() if (bad := {n: k for n, k in c.items() if k and n != "rows"})}
+
+
+class LoadRefused(ValueError):
+    """Rows that fail checks; nothing became current and nothing stays staged."""
+
+    def __init__(self, failures: dict[str, dict[str, int]]):
+        super().__init__(f"the staged tables violate the checks; the current snapshot is unchanged: {failures}")
+        self.failures = failures
+
+
+def stage_checked(
+    tables: dict[str, DataFrame], root: str, version: str, checks: Mapping[str, Sequence[RowCheck]], *, over: bool = False
+) -> Staged:
+    """Write every table and count its rows and failed row checks in the same pass, by metrics observed on the write.
+
+    ``over`` replaces what an earlier attempt at this version left.
+    """
+    staged, counts = {}, {}
+    for name, df in tables.items():
+        seen = Observation(f"load {name}")
+        failed = [F.count_if(F.coalesce(F.expr(c.bad), F.lit(False))).alias(c.name) for c in checks.get(name, ())]
+        path = f"{root}/{name}/snapshot={version}"
+        mode = "overwrite" if over else "errorifexists"
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), *failed).write.mode(mode).parquet(path)
+        staged[name], counts[name] = df.sparkSession.read.parquet(path), dict(seen.get)
+    return Staged(staged, counts)
+
+
+def _remove(spark: SparkSession, paths: Sequence[str]) -> None:
+    for p in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(p)
+        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+def _made(spark: SparkSession, root: str, version: str) -> bool:
+    """Whether the version was ever current."""
+    try:
+        entries = spark.read.schema("number long, version string").json(f"{root}/{MANIFEST}")
+    except AnalysisException:  # no manifest yet
+        return False
+    return not entries.where(F.col("version") == version).isEmpty()
+
+
+def load_checked(
+    spark: SparkSession, tables: dict[str, DataFrame], root: str, version: str, checks: Mapping[str, Sequence[RowCheck]],
+    between: Callable[[dict[str, DataFrame]], DataFrame] | None = None,
+) -> Staged:
+    """Full reload, all or nothing, that can be repeated after a refusal or a crash.
+
+    Each table is read once: the write that stages it also counts its rows and
+    failed row checks. ``between`` may check the staged tables against each
+    other. If anything fails, what was staged is removed and ``LoadRefused``
+    tells the counts; the same version can then be loaded again. A version that
+    was current is never written over.
+    """
+    if _made(spark, root, version):
+        raise ValueError(f"version {version} is there already")
+    staged = stage_checked(tables, root, version, checks, over=True)
+    failures = staged.failures()
+    if not failures and between is not None and not (found := between(staged.tables)).isEmpty():
+        failures = {"between tables": {r["check_name"]: r["count"] for r in found.groupBy("check_name").count().collect()}}
+    if failures:
+        _remove(spark, [f"{root}/{name}/snapshot={version}" for name in tables])
+        raise LoadRefused(failures)
+    set_current(spark, root, version)
+    return Staged(read_tables(spark, root, list(tables)), staged.counts)
+
+
 def reload_tables(
     spark: SparkSession,
     tables: dict[str, DataFrame],
@@ -156,7 +234,7 @@ def reload_tables(
     version: str,
     check: Callable[[dict[str, DataFrame]], DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
-    """Full reload of all tables, all or nothing, safe to repeat.
+    """Full reload of all tables, all or nothing. ``load_checked`` can be repeated under the same version.
 
     Every table is staged first. ``check`` gets the staged tables and returns
     a frame of violations; if it has any row, no table becomes current. One

@@ -49,7 +49,11 @@ class WriteBack:
 
 
 class VersionTaken(ValueError):
-    """Another writer made a version from the same state, or the name is there already."""
+    """Another writer made a version from the same state, or there is a table already."""
+
+
+class NameTaken(VersionTaken):
+    """A version of that name is there already."""
 
 
 def _part(ids_per_part: int) -> Column:
@@ -162,7 +166,7 @@ def write_back(
     if before is None:
         raise ValueError(f"there is no table under {root}")
     if name in _versions(spark, root).values():
-        raise VersionTaken(f"{root} has a version {name}")
+        raise NameTaken(f"{root} has a version {name}")
     work = f"{root}/work/{uuid.uuid4().hex}"
 
     def kept(frame: DataFrame, purpose: str) -> DataFrame:
