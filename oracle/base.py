@@ -283,6 +283,11 @@ CTES: dict[str, str] = {
         f"{M.RULE_DECISION_AT.replace('ticket_id', 't.ticket_id')} END AS rule_decision_at "
         "FROM fx_tickets t JOIN routed r ON t.ticket_id = r.ticket_id"
     ),
+    "broken_answers": replaced(M.BROKEN_ANSWERS, "decided"),
+    "adding_up": (
+        f"SELECT * EXCLUDE (line_sum) REPLACE ({M.ADDED_UP} AS total_amount) FROM (SELECT o.*, s.line_sum FROM fx_orders o LEFT JOIN "
+        "(SELECT order_id, sum(line_total) AS line_sum FROM fx_order_items GROUP BY order_id) s ON o.order_id = s.order_id)"
+    ),
     "generations": derived(M.GENERATIONS, "fx_tickets"),
     "decided_generated": "SELECT d.*, g.error_type, g.tool_input_json FROM decided d JOIN generations g ON d.ticket_id = g.ticket_id",
     "responded": responded("decided_generated"),

@@ -144,6 +144,20 @@ ANSWER = (
 )
 SQL["response_decisions"] = ANSWER + "responded"
 SQL["response_decisions_no_generator"] = ANSWER + f"({responded('decided', generator=False)})"
+ANSWER_ERRORS = [
+    ("ticket_id IS NULL", lit("ticket_id: missing or not an integer")), ("message_text IS NULL", lit("message_text: required")),
+    (f"{CONF} NOT BETWEEN 0 AND 1", lit("classification_confidence: not in [0, 1]")),
+    (f"{SENT} NOT BETWEEN -1 AND 1", lit("sentiment_score: not in [-1, 1]")),
+    (f"{CAT} NOT IN {one_of(V.CATEGORIES)}", lit("ai_predicted_category: '") + f" || {CAT} || " + lit("' is not an approved category")),
+    (f"decision_path NOT IN {one_of(V.DECISION_PATHS)}", lit("decision_path: '") + " || decision_path || " + lit("' is not a valid decision_path")),
+]
+SQL["response_fallback"] = (
+    "SELECT coalesce(ticket_id, -1) AS ticket_id, CASE WHEN n_errors > 0 THEN 'NOT_ELIGIBLE' ELSE d_status END AS response_status, "
+    "n_errors > 0 AS is_fallback, n_errors = 0 AND customer_facing AS customer_facing, n_errors = 0 AND requires_human_review AS requires_human_review, "
+    "n_errors, CASE WHEN n_errors > 0 THEN " + lit("Input validation failed, defaulted to safe NOT_ELIGIBLE fallback: ") + " || problems END AS reason FROM ("
+    "SELECT *, CAST(" + " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for c, _ in ANSWER_ERRORS) + " AS BIGINT) AS n_errors, concat_ws('; ', "
+    + ", ".join(f"CASE WHEN {c} THEN {t} END" for c, t in ANSWER_ERRORS) + f") AS problems FROM ({responded('broken_answers', generator=False)}))"
+)
 SQL["response_decisions_no_internal"] = ANSWER + f"({responded('decided_generated', internal=False)})"
 KNOWN = f"response_status IN {one_of(V.RESPONSE_STATUSES)}"
 FLAGS_OFF = (
@@ -430,6 +444,7 @@ SUMMARY = " UNION ALL ".join(
     for m in names
 )
 SQL["all_metrics_summary"] = f"WITH {BLOCKS('stored')} {SUMMARY}"
+SQL["metrics_of_undecided"] = f"WITH undecided AS (SELECT * FROM stored WHERE decision_path IS NULL), {BLOCKS('undecided')} {SUMMARY}"
 SQL["maintained_metrics"] = f"WITH {BLOCKS('rewritten')} {SUMMARY}"
 SQL["backlog"] = (
     f"SELECT count(*) AS total_tickets, count({CAT}) AS classified_tickets, count(*) - count({CAT}) AS unclassified_tickets FROM fx_tickets"
@@ -517,6 +532,14 @@ TEXTS = (
     "concat('Human-review routing is a rule-engine outcome: a ticket with no AI classification is always routed to human review. ', "
     f"{whole('total_tickets - classified_tickets')}, ' of ', {whole('total_tickets')}, ' tickets have no AI classification.') AS routing_context_note"
 )
+SQL["measures_small_slices"] = (
+    "SELECT created_date, channel, customer_segment, total_tickets, classified_tickets, exact_category_match_label, ai_coverage_warning FROM ("
+    + measured(
+        f"SELECT CAST(created_at AS DATE) AS created_date, channel, customer_segment, {BASE} FROM fact GROUP BY ALL", TEXTS,
+        keys="created_date, channel, customer_segment, ",
+    )
+    + ")"
+)
 SQL["measures_overall"] = measured(f"SELECT {BASE} FROM fact", TEXTS)
 SQL["measures_by_channel"] = measured(f"SELECT channel, {BASE} FROM fact GROUP BY channel", TEXTS, keys="channel, ")
 PATH_PINNED = ["tickets_with_rule_decision", "automated_decisions", "human_review_decisions"]
@@ -676,6 +699,7 @@ def owners(prefix: str) -> str:
 
 
 SQL["dq_order_totals"] = totals("fx_")
+SQL["dq_order_totals_mostly_sound"] = totals("fx_").replace("fx_orders", "adding_up")
 SQL["dq_orders_without_items"] = no_items("fx_")
 SQL["dq_line_totals"] = line_totals("fx_")
 SQL["dq_owner_mismatch"] = owners("broken_")
@@ -874,6 +898,12 @@ SHARES = {
     "rule_decisions": ["automated_rate_pct", "human_review_rate_pct", "urgent_human_review_rate_pct"],
     "responses": ["response_processed_rate_pct", *[share for _, share in STATUS.values()]],
 }
+SQL["dq_analytics"] = (
+    f"WITH bf AS ({fact_sql('broken_stored')}), {BLOCKS('broken_stored')} {FACT_ROWS} UNION ALL {METRIC_ROWS} UNION ALL "
+    + repeats("ticket_grain_duplicates", "bf", "ticket_id")
+    + " UNION ALL SELECT 'ticket_grain_row_count_mismatch', 'vw_ticket_analytics', CAST(a AS VARCHAR) || ' <> ' || CAST(b AS VARCHAR) "
+    "FROM (SELECT (SELECT count(*) FROM bf) AS a, (SELECT count(*) FROM broken_stored) AS b) WHERE a <> b"
+)
 SQL["dq_checks_fire"] = planted_errors("stored", "SELECT * FROM fact")
 SQL["dq_metric_selfcheck"] = selfcheck("stored", "SELECT * FROM fact")
 SQL["dq_metric_selfcheck_broken"] = selfcheck("broken_stored", "SELECT * FROM early_fact WHERE channel <> 'Phone'")
@@ -966,6 +996,11 @@ SQL["top_products"] = (
     "SELECT product_name, CAST(sum(quantity) AS BIGINT) AS units_sold FROM fx_order_items JOIN fx_products USING (product_id) "
     "GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"
 )
+SQL["category_ranking"] = (
+    "WITH d AS (SELECT coalesce(category, '(none)') AS category, count(*) AS n FROM fx_tickets GROUP BY 1) "
+    "SELECT 'count' AS ordered_by, category, n, row_number() OVER (ORDER BY n DESC, category) AS place FROM d "
+    "UNION ALL SELECT 'label', category, n, row_number() OVER (ORDER BY category) FROM d"
+)
 SQL["category_distribution"] = "SELECT coalesce(category, '(none)') AS category, count(*) AS n FROM fx_tickets GROUP BY 1"
 
 # --- write-back, gate, audit, stream ---
@@ -981,6 +1016,24 @@ SQL["overlay_decisions"] = (
     f"SELECT t.ticket_id, t.priority, r.final_priority, r.decision_path, CASE WHEN r.ticket_id IS NOT NULL THEN {RUN_AT} END AS rule_decision_at, "
     f"CASE WHEN r.ticket_id IS NOT NULL THEN {RUN_AT} ELSE t.updated_at END AS updated_at FROM fx_tickets t LEFT JOIN broken_routed r ON t.ticket_id = r.ticket_id"
 )
+SQL["responses_run_updates"] = (
+    f"SELECT ticket_id, d_status AS response_status, r_type AS response_type, d_draft AS response_draft, {RUN_AT} AS response_generated_at "
+    f"FROM ({responded('decided', generator=False)})"
+)
+CALLED = (
+    "SELECT ticket_id, n, CASE n % 3 WHEN 0 THEN 'Complaint' WHEN 1 THEN 'Other' ELSE 'Spam' END AS cat_ "
+    f"FROM (SELECT ticket_id, length(prompt) AS n FROM ({SQL['ticket_prompts']}))"
+)
+SQL["classify_run"] = (
+    f"WITH called AS ({CALLED}) SELECT ticket_id, cat_ AS result, (n % 5 - 2) / 4.0 AS number FROM called WHERE n % 7 <> 0 AND cat_ <> 'Spam' "
+    "UNION ALL SELECT NULL, 'timeout', CAST(count(*) AS DOUBLE) FROM called WHERE n % 7 = 0 HAVING count(*) > 0 "
+    "UNION ALL SELECT NULL, 'invalid_category', CAST(count(*) AS DOUBLE) FROM called WHERE n % 7 <> 0 AND cat_ = 'Spam' HAVING count(*) > 0"
+)
+SQL["run_summary_json"] = SQL["rules_batch_summary"]
+SQL["view_export"] = (
+    "SELECT ticket_id, channel, decision_path, CAST(resolution_hours AS DOUBLE) AS resolution_hours, "
+    "CAST(order_total_amount AS DOUBLE) AS order_total_amount, resolved_at, delivery_delay_days, recommended_action FROM fact"
+)
 SQL["rules_run_updates"] = f"SELECT ticket_id, final_priority, decision_path, {RUN_AT} AS rule_decision_at FROM routed"
 SQL["redacted_turns"] = "SELECT conv_id, turn, 'key [REDACTED] ' || text || ' [REDACTED]' AS text FROM conversations"
 SQL["overlay_responses"] = (

@@ -16,17 +16,18 @@ def decide(spark, *rows):
     return {r.ticket_id: r for r in route_tickets(frame).collect()}
 
 
-def test_six_tickets(spark):
+def test_paths_and_priorities(spark):
+    """One ticket per way a decision can come about; the values are this test's own."""
     got = decide(
         spark,
-        (1, "Order Status Inquiry", 0.95, 0.1, 10),
-        (2, "Product Question", 0.9, 0.0),
-        (3, "Refund Request", 0.5, 0.0),
-        (4, "Account Problem", 0.9, 0.0),
-        (5, "Payment Problem", 0.9, 0.0),
-        (6, "Complaint", 0.9, -0.9),
+        (21, "Order Status Inquiry", 0.81, 0.45, 700),
+        (22, "Product Question", 0.99, -0.2),
+        (23, "Refund Request", 0.31, 0.05, 701),
+        (24, "Account Problem", 0.77, 0.6),
+        (25, "Payment Problem", 0.88, -0.65, 702),
+        (26, "Complaint", 0.93, -0.85, 703),
     )
-    assert [(got[i].decision_path, got[i].final_priority) for i in range(1, 7)] == [
+    assert [(got[i].decision_path, got[i].final_priority) for i in range(21, 27)] == [
         ("Automated", "Low"),
         ("Automated", "Low"),
         ("Human Review", "Medium"),
@@ -34,14 +35,14 @@ def test_six_tickets(spark):
         ("Human Review", "High"),
         ("Human Review", "Urgent"),
     ]
-    assert got[3].conflicting_signals and not got[4].conflicting_signals
-    assert got[6].triggered_rules == [
+    assert not got[21].conflicting_signals and "strong_negative_sentiment_review" not in got[25].triggered_rules
+    assert got[26].triggered_rules == [
         "base_category_priority",
         "strong_negative_sentiment_priority",
         "sensitive_category",
         "strong_negative_sentiment_review",
     ]
-    assert got[6].reasons[1] == "sentiment_score=-0.9 <= -0.7: raising priority floor to High."
+    assert got[26].reasons[1] == "sentiment_score=-0.85 <= -0.7: raising priority floor to High."
 
 
 def test_edges(spark):

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketloom import schemas, vocab
@@ -283,6 +283,13 @@ def distribution(
     return counts.orderBy(*keys) if keys else counts
 
 
+def placed(counts: DataFrame, order: str = "count") -> DataFrame:
+    """The rows of a distribution with ``place``, from 1: by 'count' (largest first, ties by label) or by 'label'."""
+    label = counts.columns[0]
+    keys = {"count": [F.desc("n"), F.col(label)], "label": [F.col(label)]}[order]
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(*keys)))  # one row per value of a vocabulary
+
+
 def stored_distributions(tickets: DataFrame) -> DataFrame:
     """The four stored-column distributions and the category one, from one scan, as ``(dimension, value, n)``."""
     labels = {

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ticketloom import vocab
 from ticketloom.functions.labels import priority_score, recommended_action
@@ -319,10 +320,24 @@ def missing_views(spark: SparkSession, expected: list[str] = VIEW_NAMES) -> list
     return [name for name in expected if not spark.catalog.tableExists(name)]
 
 
+#: The writer's own format would cut times to milliseconds.
+CSV = {"header": "true", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX", "escape": '"'}
+
+
+def write_csv(frame: DataFrame, path: str) -> None:
+    """A view as CSV with header; files are written in parallel, times keep their microseconds."""
+    frame.write.mode("overwrite").options(**CSV).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What ``write_csv`` wrote, with the types of the view."""
+    return spark.read.options(**CSV).schema(schema).csv(path)
+
+
 def export_views(spark: SparkSession, directory: str) -> None:
-    """CSV with header, one directory per view; files are written in parallel."""
+    """CSV with header, one directory per view."""
     for name in VIEW_NAMES:
-        spark.table(name).write.mode("overwrite").option("header", True).csv(f"{directory}/{name}")
+        write_csv(spark.table(name), f"{directory}/{name}")
 
 
 def import_views(spark: SparkSession, casts: dict[str, str] | None = None) -> dict[str, DataFrame]:

@@ -19,7 +19,7 @@ from ticketloom.functions import labels, numeric
 from ticketloom.operators import bitmaps, classification, evaluation, kpis, maintained, measures, quality, responses, routing, selfcheck, sketches, views
 from ticketloom.operators.joins import owner_gate, product_names, quarantine_reasons, split_by_owner
 from ticketloom.operators.scanning import scan_codes, scan_texts
-from ticketloom.plans.testmodel import BROKEN_CONTEXTS, CLASSIFIER_OUTPUTS, DRAFT_TEXT, GENERATIONS, REPEATED_KEYS, Model, derive
+from ticketloom.plans.testmodel import BROKEN_CONTEXTS, CLASSIFIER_OUTPUTS, DRAFT_TEXT, BROKEN_ANSWERS, GENERATIONS, REPEATED_KEYS, Model, derive, replace
 from ticketloom.plans import runs
 from ticketloom.session import shared_folder
 from ticketloom.sources import audit, picks, scoring, snapshots, store, tables
@@ -259,6 +259,72 @@ def response_decisions_no_generator(m: Model) -> DataFrame:
     return response_columns(responses.decide_responses(m.decided_tickets()))
 
 
+@query
+def response_fallback(m: Model) -> DataFrame:
+    """Responses to contexts of which some are broken."""
+    decided = responses.decide_responses(replace(m.decided_tickets(), BROKEN_ANSWERS))
+    return decided.select(
+        F.coalesce("ticket_id", F.lit(-1)).alias("ticket_id"), "response_status", "is_fallback", "customer_facing", "requires_human_review",
+        F.size("validation_errors").alias("n_errors"), F.when(F.col("is_fallback"), F.array_join("rationale", " | ")).alias("reason"),
+    )
+
+
+@query
+def responses_run_updates(m: Model) -> DataFrame:
+    """The rows that a whole response run without a generator writes back."""
+    run_at = F.lit("2024-06-01 12:00:00").cast("timestamp_ntz")
+    pending = m.decided_tickets().withColumn("response_status", F.lit(None).cast("string"))
+    return runs.run_responses(pending, m.customers, m.orders, m.order_items, m.products, run_at=run_at).updates
+
+
+def _by_length() -> Callable[[], scoring.Scorer]:
+    """A scorer that classifies by the length of the prompt, and fails on some lengths."""
+
+    def make() -> scoring.Scorer:
+        import json
+
+        names = ["Complaint", "Other", "Spam"]
+
+        def score(prompts):
+            for p in prompts:
+                n = len(p)
+                answer = {"category": names[n % 3], "priority": "Low", "sentiment_score": (n % 5 - 2) / 4, "confidence": n % 4 / 4}
+                yield {"error_type": "timeout"} if n % 7 == 0 else {"tool_input_json": json.dumps(answer), "input_tokens": n, "output_tokens": 9}
+
+        return score
+
+    return make
+
+
+@query
+def classify_run(m: Model) -> DataFrame:
+    """A whole classification run of the pending tickets: its update rows, and its failures by type."""
+    run_at = F.lit("2024-06-01 12:00:00").cast("timestamp_ntz")
+    run = runs.run_classify(m.tickets, run_at=run_at, make_scorer=_by_length(), scratch=shared_folder(m.spark, "classify-run"))
+    failed = run.evaluation.select(
+        F.lit(None).cast("bigint").alias("ticket_id"), F.col("error_type").alias("result"), F.col("n").cast("double").alias("number")
+    )
+    return run.updates.select("ticket_id", F.col("ai_predicted_category").alias("result"), F.col("sentiment_score").cast("double").alias("number")).unionByName(failed)
+
+
+@query
+def run_summary_json(m: Model) -> DataFrame:
+    """Fields of a routing run's summary, read back from its JSON text."""
+    summary = evaluation.rules_summary(routing.route_tickets(broken_contexts(m)))
+    text = evaluation.as_json(summary)
+    return text.selectExpr(*[f"CAST(get_json_object(summary, '$.{c}') AS {t}) AS {c}" for c, t in summary.dtypes])
+
+
+@query
+def view_export(m: Model) -> DataFrame:
+    """The fact view written as CSV and read back with its types."""
+    whole = fact(m, orders=True)
+    folder = shared_folder(m.spark, "view-export")
+    views.write_csv(whole, folder)
+    back = views.read_csv(m.spark, folder, whole.schema)
+    return back.select("ticket_id", "channel", "decision_path", "resolution_hours", "order_total_amount", "resolved_at", "delivery_delay_days", "recommended_action")
+
+
 @query
 def response_decisions_no_internal(m: Model) -> DataFrame:
     return response_columns(responses.decide_responses(m.decided_tickets(), generations(m), generate_internal_drafts=False))
@@ -478,6 +544,19 @@ def measures_by_channel(m: Model) -> DataFrame:
     return measures.texts(measures.measures(fact(m), ["channel"]))
 
 
+@query
+def measures_small_slices(m: Model) -> DataFrame:
+    """Slices so small that the coverage warning shows on most of them."""
+    sliced = measures.texts(measures.measures(measures.created_date(fact(m)), ["created_date", "channel", "customer_segment"]))
+    return sliced.select("created_date", "channel", "customer_segment", "total_tickets", "classified_tickets", "exact_category_match_label", "ai_coverage_warning")
+
+
+@query
+def metrics_of_undecided(m: Model) -> DataFrame:
+    """Tickets that no rule has decided: their rule metrics are not available, the others are."""
+    return selfcheck.summarize(views.all_metrics(m.stored_tickets().where("decision_path IS NULL")))
+
+
 @query
 def measures_path_override(m: Model) -> DataFrame:
     """Slices by path and priority: pinned counts ignore the columns they pin."""
@@ -596,6 +675,11 @@ def dq_order_totals(m: Model) -> DataFrame:
     return quality.order_totals(m.tables)
 
 
+@query
+def dq_order_totals_mostly_sound(m: Model) -> DataFrame:
+    return quality.order_totals(m.adding_up)
+
+
 @query
 def dq_orders_without_items(m: Model) -> DataFrame:
     return quality.orders_without_items(m.tables)
@@ -688,6 +772,12 @@ def dq_metric_selfcheck_broken(m: Model) -> DataFrame:
     return selfcheck.check_metrics(views.all_metrics(m.broken_stored_tickets()), summary)
 
 
+@query
+def dq_analytics(m: Model) -> DataFrame:
+    """The analytics suite over broken tickets: grain of the fact view, its rows, and the metrics."""
+    return quality.run_checks(m.tables | {"tickets": m.broken_stored_tickets()}, "analytics")
+
+
 @query
 def dq_checks_fire(m: Model) -> DataFrame:
     """``(planted, fired)``: every check on a row of metrics that breaks it, all of them on the sound row."""
@@ -742,6 +832,13 @@ def top_products(m: Model) -> DataFrame:
     return quality.top_products(m.order_items, m.products)
 
 
+@query
+def category_ranking(m: Model) -> DataFrame:
+    """Categories in the order in which they are shown: by count, and by name."""
+    places = [quality.placed(quality.distribution(m.tickets, "category", "(none)"), order) for order in ("count", "label")]
+    return places[0].select(F.lit("count").alias("ordered_by"), "*").unionByName(places[1].select(F.lit("label").alias("ordered_by"), "*"))
+
+
 @query
 def category_distribution(m: Model) -> DataFrame:
     return quality.distribution(m.tickets, "category", "(none)")

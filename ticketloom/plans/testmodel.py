@@ -198,6 +198,17 @@ BROKEN_CONTEXTS = {
     "order_value": "CASE WHEN ticket_id % 113 = 0 THEN CAST(-1 AS DOUBLE) ELSE order_value END",
     "customer_segment": "CASE WHEN ticket_id % 127 = 0 THEN 'Gold' ELSE customer_segment END",
 }
+# Response contexts with defects in some of them.
+BROKEN_ANSWERS = {
+    "ticket_id": "CASE WHEN ticket_id % 601 = 0 THEN NULL ELSE ticket_id END",
+    "message_text": "CASE WHEN ticket_id % 97 = 0 THEN NULL ELSE message_text END",
+    "ai_predicted_category": "CASE WHEN ticket_id % 101 = 0 THEN 'Spam' ELSE ai_predicted_category END",
+    "classification_confidence": "CAST(CASE WHEN ticket_id % 103 = 0 THEN 1.5 ELSE classification_confidence END AS DECIMAL(4,3))",
+    "sentiment_score": "CAST(CASE WHEN ticket_id % 107 = 0 THEN -1.5 ELSE sentiment_score END AS DECIMAL(3,2))",
+    "decision_path": "CASE WHEN ticket_id % 113 = 0 THEN 'Maybe' ELSE decision_path END",
+}
+# Most orders add up: totals are the sums of the lines, but for a few.
+ADDED_UP = "CAST(CASE WHEN order_id % 97 = 0 THEN line_sum + 1 WHEN order_id % 89 = 0 THEN line_sum - 0.01 ELSE coalesce(line_sum, total_amount) END AS DECIMAL(14,2))"
 # Tables with violations: (column, expression) replaced in a copy of the sound table.
 BROKEN = {
     "customers": {
@@ -370,6 +381,13 @@ class Model:
         first = derive(self.tickets.where(_spark_sql(UPDATED)), UPDATES)
         return first.unionByName(derive(self.tickets.where(_spark_sql(REPEATED)), REPEATS))
 
+    @property
+    def adding_up(self) -> dict[str, DataFrame]:
+        """The tables with orders of which most have the total of their lines."""
+        sums = self.order_items.groupBy(F.col("order_id").alias("_order")).agg(F.sum("line_total").alias("line_sum"))
+        joined = self.orders.join(sums, F.col("order_id") == F.col("_order"), "left")
+        return self.tables | {"orders": joined.withColumn("total_amount", F.expr(ADDED_UP)).drop("_order", "line_sum")}
+
     @property
     def predictions(self) -> DataFrame:
         return derive(self.tickets.where(_spark_sql(PREDICTED)), PREDICTIONS)
