@@ -340,3 +340,21 @@ def test_widths_that_do_not_fit_are_refused(spark):
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.id: (r.n_removed, bytes(r.kept)) for r in suffixes.without_copies(rows, width=280).collect()}
     assert got == {1: (900, b"x1234"), 2: (900, b"y9zz")}
+
+
+def test_long_runs_are_read_with_their_neighbours_and_every_byte_counts_once():
+    for text in ("日本語テキスト" * 40, "ab🙂" * 50, "x" * 23, "x" * 24, "y" * 500, "é" * 12 + "z"):
+        run = b" " + text.encode()
+        parts = langid.words_of(text.encode())
+        assert b"".join(p[a:b] for p, a, b in parts) == run
+        assert all(p[a:b].decode() and p.decode() for p, a, b in parts)  # cut between characters
+        inner = parts[1:-1]
+        assert all(a > 0 and b < len(p) and len(p) <= langid.WORD_BYTES + 2 * langid.CONTEXT_BYTES + 8 for p, a, b in inner)
+
+
+def test_training_words_come_from_the_whole_text(spark):
+    rows = [(i, " ".join([f"{'ab'[i % 2]}{'cd'[i % 2]}"] * 3000 + ["ef" * 3, "gh" * 3][i % 2 : i % 2 + 1] * 3000), "xy"[i % 2]) for i in range(40)]
+    drawn = spark.createDataFrame(rows, "doc_id long, text string, lang string").select(langid.drawn_words("text", 200).alias("w")).collect()
+    for r in drawn:
+        late = sum(len(w) == 6 for w in r.w.split(" "))
+        assert len(r.w.split(" ")) == 200 and 60 < late < 140

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.llm.common import column, free_name
@@ -18,7 +18,7 @@ HIDDEN = 16
 UNKNOWN = "und"
 TABLE_WORDS = 300_000
 SLICE_CHARS = 4 << 20
-TRAINING_CHARS = 2000
+CONTEXT_BYTES = 8
 #: Bytes that count toward a document: ASCII letters and all parts of other characters.
 LETTER = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
 
@@ -104,12 +104,43 @@ def gradients(net: Network, seq: np.ndarray, lang: np.ndarray) -> tuple[float, d
     return loss, g
 
 
-def words_of(data: bytes) -> list[bytes]:
-    """The words of a text, split at ASCII white space; longer ones in runs of WORD_BYTES, so no byte is left out."""
-    words = data.split()
-    if max(map(len, words), default=0) <= WORD_BYTES:
-        return words
-    return [w[i : i + WORD_BYTES] for w in words for i in range(0, len(w), WORD_BYTES)]
+#: What the network reads at once, and which of its positions count: a word behind a space, or a stretch of a longer run.
+Reading = tuple[bytes, int, int]
+
+
+def stretches(run: bytes) -> list[Reading]:
+    """A run of more than WORD_BYTES in stretches that end between characters, each read with some bytes of its neighbours.
+
+    Every byte counts in one stretch; the states do not start anew at its edge.
+    """
+
+    def edge(i: int) -> int:
+        while 0 < i < len(run) and run[i] & 0xC0 == 0x80:
+            i -= 1
+        return i
+
+    out, at = [], 0
+    while at < len(run):
+        end = edge(min(len(run), at + WORD_BYTES)) if at + WORD_BYTES < len(run) else len(run)
+        end = end if end > at else min(len(run), at + WORD_BYTES)
+        begin, upto = edge(max(0, at - CONTEXT_BYTES)), edge(min(len(run), end + CONTEXT_BYTES))
+        upto = max(upto, end)
+        out.append((run[begin:upto], at - begin, end - begin))
+        at = end
+    return out
+
+
+def words_of(data: bytes) -> list[Reading]:
+    """The words of a text, split at ASCII white space, each with one white space before it, so that every position has a label.
+
+    """
+    out: list[Reading] = []
+    for w in data.split():
+        if len(w) < WORD_BYTES:
+            out.append((b" " + w, 0, len(w) + 1))
+        else:
+            out.extend(stretches(b" " + w))
+    return out
 
 
 def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -124,7 +155,7 @@ def train(texts: list[tuple[str, bytes]], steps: int = 500, batch: int = 512, ra
     """Adam over batches of words of one length; a word's bytes all carry its document's language."""
     langs = sorted({lang for lang, _ in texts})
     net = initial(langs, seed=seed)
-    pairs = [(w, langs.index(lang)) for lang, data in texts for w in words_of(data) if LETTER[np.frombuffer(w, np.uint8)].any()]
+    pairs = [(w, langs.index(lang)) for lang, data in texts for w, _, _ in words_of(data) if LETTER[np.frombuffer(w, np.uint8)].any()]
     if len(langs) < 2 or not pairs:
         return net
     lang = np.array([k for _, k in pairs])
@@ -155,18 +186,20 @@ class WordTable:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index: dict[Reading, int] = {}
         self.rows = np.zeros((0, 2 * len(self.net.langs) + 1))
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: set[Reading]) -> None:
         new = [w for w in words if w not in self.index]
         k = len(self.net.langs)
         made = np.zeros((len(new), 2 * k + 1))
-        for at, seq in by_length(new):
+        begin, end = (np.array([w[i] for w in new], np.int64) for i in (1, 2))
+        for at, seq in by_length([w for w, _, _ in new]):
+            place = np.arange(seq.shape[1])[:, None]
             for i in range(0, len(at), 4096):
-                part = seq[i : i + 4096]
+                part, own = seq[i : i + 4096], at[i : i + 4096]
                 p = position_probabilities(self.net, part)
-                keep = LETTER[part].T[:, :, None]
+                keep = (LETTER[part].T & (place >= begin[own]) & (place < end[own]))[:, :, None]
                 made[at[i : i + 4096], :k] = (np.log(np.maximum(p, 1e-9)) * keep).sum(axis=0)
                 made[at[i : i + 4096], k : 2 * k] = (p * keep).sum(axis=0)
                 made[at[i : i + 4096], 2 * k] = keep.sum(axis=(0, 2))
@@ -204,11 +237,19 @@ def identify(table: WordTable, texts: list[str | None]) -> tuple[list[str], list
     return langs, scores
 
 
-def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", fold: int = 2, folds: int = 4, sample_rows: int = 300) -> Network:
-    """A network from at most about ``sample_rows`` texts of each language outside the held-out fold (2,000 characters of each).
+def drawn_words(text: str, most: int) -> Column:
+    """Up to ``most`` words of the whole text, those with the lowest hash of word and place, joined by spaces."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    ordered = F.array_sort(F.transform(words, lambda w, i: F.struct(F.xxhash64(w, i).alias("h"), w.alias("w"))))
+    return F.array_join(F.transform(F.slice(ordered, 1, most), lambda x: x["w"]), " ")
 
-    The rows with the lowest id hash are taken; the driver gets one count per
-    language and the sample. No labelled text: no languages, and every text is ``und``.
+
+def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", fold: int = 2, folds: int = 4, sample_rows: int = 300, sample_words: int = 300) -> Network:
+    """A network from at most about ``sample_rows`` texts of each language outside the held-out fold.
+
+    The rows with the lowest id hash are taken, and ``sample_words`` words of
+    each, drawn from the whole text by a hash; the driver gets one count per
+    language and these words. No labelled text: no languages, and every text is ``und``.
     """
     known = docs.where(column(lang_column).isNotNull() & column(text_column).isNotNull() & ~in_fold(id_column, fold, folds))
     known = known.select(column(id_column).cast("string").alias("id"), column(lang_column).cast("string").alias("lang"), column(text_column).cast("string").alias("text"))
@@ -219,7 +260,7 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, int(min(1.0, 1.2 * sample_rows / n) * (1 << 20)) + 1).otherwise(share)
     order = F.pmod(F.xxhash64(F.lit("langid"), F.coalesce("id", F.lit(""))), F.lit(1 << 20))
-    chosen = known.where(order < share).select("lang", order.alias("at"), F.left("text", F.lit(TRAINING_CHARS)).alias("text"))
+    chosen = known.where(order < share).select("lang", order.alias("at"), drawn_words("text", sample_words).alias("text"))
     rows = sorted(chosen.limit(2 * sample_rows * len(counts)).collect(), key=lambda r: (r["lang"], r["at"], r["text"]))
     taken: dict[str, int] = {}
     texts = []
@@ -233,6 +274,9 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
 def with_language(df: DataFrame, net: Network, text_column: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """The rows with predicted language and its probability. Columns named like the results are replaced.
 
+    Null, empty and letterless texts: ``und``, 0. Ties go to the language that
+    sorts first. Whole texts of any length are read, slice by slice; rows that repeat get the same answer.
+
     A word's positions depend on the word's bytes alone, so each distinct word of
     a slice of texts runs through the network once.
     """

@@ -16,7 +16,6 @@ from ticketloom.llm.common import column, stored, utf8
 PIECE = 1024
 LEVEL = 3
 DICTIONARY_BYTES = 64 << 10
-TRAINING_BYTES = 4 << 10
 FOLDS = 5
 
 
@@ -42,7 +41,7 @@ def _pieces(data: bytes) -> list[bytes]:
 
 def build_dictionary(texts: list[bytes]) -> bytes:
     """A trained dictionary; where the texts are too few to train one, their ends as plain content."""
-    pieces = [p for t in texts for p in _pieces(t[:TRAINING_BYTES])]
+    pieces = [p for t in texts for p in _pieces(t)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
     except zstandard.ZstdError:
@@ -94,11 +93,12 @@ def probability(model: Model, x: np.ndarray) -> np.ndarray:
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-    label_column: str = "quality", sample_rows: int = 6000,
+    label_column: str = "quality", sample_rows: int = 6000, piece_bytes: int = 4 << 10,
 ) -> Model:
     """Dictionaries and calibration from at most ``sample_rows`` labelled rows outside fold 0, those with the lowest id hash.
 
-    One half of the sample builds the dictionaries (4 KB of a text), the other
+    One half of the sample builds the dictionaries (of each text ``piece_bytes``
+    from a drawn place), the other
     (whole texts, as they are scored) calibrates; it is compressed where it lies, and only its
     features come to the driver. Null labels, ids and texts teach nothing, and
     documents that share an id teach once, by the least text. No labelled rows:
@@ -114,7 +114,9 @@ def fit(
     found = texts.where(F.octet_length("_text") > 0).join(F.broadcast(chosen), "_id")
     sample = stored(found.groupBy("_order", "_id", "_y").agg(F.min("_text").alias("_text")), "quality-sample")
     building = F.shiftright("_order", 20).bitwiseAND(F.lit(1)) == 0
-    built = sample.where(building).select("_order", "_y", F.substring("_text", 1, TRAINING_BYTES).alias("_text")).collect()
+    room = F.greatest(F.octet_length("_text") - piece_bytes + 1, F.lit(1))
+    drawn = F.substring("_text", F.pmod(F.xxhash64(F.lit("piece"), "_id"), room).cast("int") + 1, F.lit(piece_bytes))
+    built = sample.where(building).select("_order", "_y", drawn.alias("_text")).collect()
     built.sort(key=lambda r: (r["_order"], r["_y"], bytes(r["_text"])))
     good, bad = (build_dictionary([bytes(r["_text"]) for r in built if r["_y"] == c]) for c in (1, 0))
 
