@@ -321,7 +321,7 @@ _STORED: dict[tuple[str, str, str], str] = {}
 
 
 class Model:
-    """The tables over one test-data directory; everything is lazy."""
+    """The tables over one test-data directory. All are lazy but the stored stages, which are written when first asked for."""
 
     def __init__(self, spark: SparkSession, directory: str):
         self.spark, self.directory = spark, directory

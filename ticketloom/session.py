@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,9 +27,11 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tic
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``; only where that is unset, as in tests, it is set to a temporary folder."""
+    """A fresh path under ``spark.checkpoint.dir``; only where that is unset in local mode, as in tests, it is set to a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="ticketloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
