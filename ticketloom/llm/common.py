@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,14 @@ from pyspark.sql import functions as F
 
 
 def workspace(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; set here only where it is unset, as in tests."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where it is unset in local mode, as in tests.
+
+    On a cluster it must be set: a folder of the driver's machine is not there for the executors.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="ticketloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -26,7 +32,16 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     """
     path = f"{workspace(df.sparkSession)}/{purpose}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def forget(table: DataFrame) -> None:
+    """Remove a table that ``stored`` made, once nothing reads it any more; rounds of a loop need only the last one."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketloom.llm.common import stored
+from ticketloom.llm.common import forget, stored
 
 
 def _toward_minimum(links: DataFrame, *, larger: bool) -> DataFrame:
@@ -43,7 +43,8 @@ def components(links: DataFrame, purpose: str = "components") -> DataFrame:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
-        before = state
+        before, last = state, now
         now = stored(_toward_minimum(_toward_minimum(now, larger=True), larger=False), purpose)
+        forget(last)
     members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

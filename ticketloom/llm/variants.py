@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketloom.llm.common import column, sized, stored
+from ticketloom.llm.common import column, forget, sized, stored
 
 LETTERS = "A-Za-zÀ-ÿ"
 #: Three bigrams hold two disjoint ones, and one edit spoils at most one of two disjoint bigrams.
@@ -135,7 +135,9 @@ def followed(links: DataFrame) -> DataFrame:
         further = now.select(F.col("word").alias("root"), F.col("root").alias("further"))
         if now.join(further, "root", "left_semi").isEmpty():
             return now
+        last = now
         now = stored(now.join(further, "root", "left").select("word", F.coalesce("further", "root").alias("root")), "variants-roots")
+        forget(last)
 
 
 def variant_groups(words: DataFrame, ratio: int = 5) -> DataFrame:
