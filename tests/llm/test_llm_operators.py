@@ -358,3 +358,41 @@ def test_training_words_come_from_the_whole_text(spark):
     for r in drawn:
         late = sum(len(w) == 6 for w in r.w.split(" "))
         assert len(r.w.split(" ")) == 200 and 60 < late < 140
+
+
+def test_order_of_shards_goes_by_the_seed_not_by_the_input(docs):
+    def order(frame, **more):
+        rows = shards.shuffle_into_shards(frame, "doc_id", "text", shards=3, bucket_bytes=3000, **more).collect()
+        return [r.doc_id for r in sorted(rows, key=lambda r: (r.shard, r.slot))]
+
+    first = order(docs)
+    assert order(docs.repartition(7)) == first == order(docs.orderBy(F.desc("doc_id")).coalesce(1))
+    assert order(docs, seed=8) != first and sorted(order(docs, seed=8)) == sorted(first)
+
+
+def test_rows_that_repeat_spread_over_the_buckets(spark):
+    rows = [(5, "same text " * 50)] * 600 + [(i, f"text {i}") for i in range(100)] + [(None, None)] * 3
+    frame = spark.createDataFrame(rows, "i long, t string")
+    got = shards.shuffle_into_shards(frame, "i", "t", shards=2, bucket_bytes=20_000).collect()
+    assert sorted((r.i is None, r.i or 0) for r in got) == sorted((r[0] is None, r[0] or 0) for r in rows)
+    for k in (0, 1):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+    hot = next(r.shard for r in got if r.i == 5)
+    slots = [r.slot for r in got if r.shard == hot and r.i != 5]
+    assert max(slots) - min(slots) > 300  # the others lie among the copies
+
+
+def test_query_of_shards_against_the_law_in_sql(spark, small):
+    documents = spark.read.parquet(f"{small}/documents.parquet")
+    documents.createOrReplaceTempView("law_docs")
+    law = spark.sql(
+        "SELECT doc_id, max_by(i, struct(h, i)) FILTER (WHERE i < 8) AS shard, max_by(i, struct(h, i)) AS grown FROM (SELECT doc_id, i, "
+        "xxhash64(7, i, CAST(doc_id AS STRING)) AS h FROM (SELECT DISTINCT doc_id FROM law_docs) CROSS JOIN (SELECT CAST(id AS INT) AS i FROM range(9))) GROUP BY 1"
+    )
+    want = {r.doc_id: (r.shard, r.grown) for r in law.collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in documents.collect()}
+    got = queries.op7_sharding(spark, small).collect()
+    assert {r.doc_id: (r.shard, r.grown_shard) for r in got} == want
+    assert all(r.size == len(texts[r.doc_id]) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id]) and r.law == "key" for r in got)
+    for k in range(8):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
