@@ -79,17 +79,20 @@ def _entry(space: int, id_: str, text: str, role: str, amount: str = "NULL", who
     )
 
 
-def _keys_of(table: str) -> list[str]:
-    """The keys that a row of the table owns or refers to, as SQL text; references without a key are left out."""
+def _keys_of(table: str, listed: bool = False) -> list[str]:
+    """The keys that a row of the table owns or refers to, as SQL text; references without a key are left out.
+
+    listed: only keys for which rows have to be listed, which are references and the orders themselves.
+    """
     made = []
-    for own in (o for o in OWNED if o.table == table):
+    for own in (o for o in OWNED if o.table == table and (o.space == ORDER or not listed)):
         amount, who = ("total_amount", "customer_id") if own.space == ORDER else ("NULL", "NULL")
         made.append(_entry(own.space, own.id, own.text, "own", amount, who))
     for r in (r for r in REFERENCES if r.table == table):
         amount = "line_total" if (table, r.space) == ("order_items", ORDER) else "NULL"
         who = "customer_id" if (table, r.space) == ("tickets", ORDER) else "NULL"
         made.append(f"IF({r.column} IS NULL, NULL, {_entry(r.space, r.column, 'NULL', table, amount, who)})")
-    if table in REQUIRED_COLUMNS:
+    if table in REQUIRED_COLUMNS and not listed:
         missing = " OR ".join(f"{c} IS NULL" for c in REQUIRED_COLUMNS[table])
         made.append(f"IF({missing}, {_entry(REQUIRED, 'NULL', q(table), 'own')}, NULL)")
     return made
@@ -105,27 +108,25 @@ def problem_keys(tables: Tables) -> DataFrame:
     Counts, sums and extremes are combined in each task, so a hot key sends one
     row a task. Missing keys are one key.
     """
-    entries = _union(
-        [tables[t].selectExpr(f"inline(filter(array({', '.join(_keys_of(t))}), e -> e IS NOT NULL))") for t in schemas.KEYS]
-    )
+    # A filter behind the generator, not a lambda in it: lambdas are interpreted row by row.
+    entries = _union([tables[t].selectExpr(f"inline(array({', '.join(_keys_of(t))}))").where("role IS NOT NULL") for t in schemas.KEYS])
     own, line, ticket = F.col("role") == "own", F.col("role") == "order_items", F.col("role") == "tickets"
     counted = entries.groupBy("space", "id", "text").agg(
-        F.count_if(own).alias("owned"), F.count_if(~own).alias("referred"),
+        F.count(F.lit(1)).alias("n"), F.count_if(own).alias("owned"),
         F.count_if(line).alias("lines"), F.sum(F.when(line, F.col("amount"))).alias("line_sum"),
-        F.min(F.when(own, F.col("amount"))).alias("least_total"), F.max(F.when(own, F.col("amount"))).alias("greatest_total"),
-        F.min(F.when(own, F.col("who"))).alias("least_owner"), F.max(F.when(own, F.col("who"))).alias("greatest_owner"),
+        F.max(F.when(own, F.col("amount"))).alias("total"), F.max(F.when(own, F.col("who"))).alias("owner"),
         F.min(F.when(ticket, F.col("who"))).alias("least_asker"), F.max(F.when(ticket, F.col("who"))).alias("greatest_asker"),
     )
     counted = counted.withColumn("computed_total", F.expr(money("line_sum")))
     is_order = F.col("space") == ORDER
     wrong = {
         "repeated": F.when(F.col("space") == REQUIRED, F.col("owned") > 0).otherwise(F.col("owned") > 1),
-        "dangling": (F.col("owned") == 0) & (F.col("referred") > 0),
+        "dangling": F.col("owned") == 0,
         "no_lines": is_order & (F.col("owned") > 0) & (F.col("lines") == 0),
-        "off_total": is_order & (F.col("owned") > 0) & (F.col("lines") > 0)
-        & ((F.col("least_total") != F.col("computed_total")) | (F.col("greatest_total") != F.col("computed_total"))),
-        "other_owner": is_order & (F.col("owned") > 0)
-        & (F.least("least_owner", "least_asker") != F.greatest("greatest_owner", "greatest_asker")),
+        # Of an order that is there more than once the rows are compared one by one, in the second read.
+        "off_total": is_order & (F.col("lines") > 0) & ((F.col("owned") > 1) | (F.col("total") != F.col("computed_total"))),
+        "other_owner": is_order & F.col("least_asker").isNotNull()
+        & ((F.col("owned") > 1) | (F.col("least_asker") != F.col("owner")) | (F.col("greatest_asker") != F.col("owner"))),
     }
     flagged = counted.select("space", "id", "text", "owned", "lines", "computed_total", *[F.coalesce(c, F.lit(False)).alias(n) for n, c in wrong.items()])
     return flagged.where(" OR ".join(wrong))
@@ -138,26 +139,31 @@ def touching(tables: Tables, problems: DataFrame, row_findings: dict[str, list[s
     """
     frames = []
     for table, key in schemas.KEYS.items():
-        found = [f"named_struct('check_name', f.check_name, 'detail', f.detail, 'e', CAST(NULL AS {ENTRY}))"]
         own = [
             f"IF({r.column} IS NULL, named_struct('check_name', {q(r.check)}, 'detail', CAST(NULL AS STRING)), NULL)"
             for r in REFERENCES if r.table == table and r.null_is_orphan
         ]
-        alone = ", ".join(own + row_findings.get(table, []))
-        none = "CAST(array() AS array<struct<check_name:string,detail:string>>)"
-        shown = f"transform(filter({f'array({alone})' if alone else none}, f -> f IS NOT NULL), f -> {found[0]})"
-        keys = [k for k in _keys_of(table) if f"'space', {REQUIRED}," not in k]
-        keyed = f"transform(filter(array({', '.join(keys)}), e -> e IS NOT NULL), e -> named_struct('check_name', CAST(NULL AS STRING), 'detail', CAST(NULL AS STRING), 'e', e))"
-        frames.append(tables[table].selectExpr(f"{q(table)} AS table_name", f"{key} AS row_id", f"inline(concat({shown}, {keyed}))"))
+        finding = "CAST({} AS struct<check_name:string,detail:string>)"
+        alone = [f"named_struct('f', {finding.format(f)}, 'e', CAST(NULL AS {ENTRY}))" for f in own + row_findings.get(table, [])]
+        keyed = [f"named_struct('f', {finding.format('NULL')}, 'e', {e})" for e in _keys_of(table, listed=True)]
+        if not alone + keyed:
+            continue
+        rows = tables[table].selectExpr(f"{q(table)} AS table_name", f"{key} AS row_id", f"inline(array({', '.join(alone + keyed)}))")
+        frames.append(rows.where("f IS NOT NULL OR e IS NOT NULL").selectExpr("table_name", "row_id", "f.*", "e"))
     rows = _union(frames).selectExpr(
         "table_name", "row_id", "check_name", "detail", "e.*",
         # Findings need no key: they spread by the row's own id and match nothing.
         "CASE WHEN e IS NULL THEN xxhash64(table_name, row_id) ELSE xxhash64(e.space, e.id, e.text) END AS meet",
     )
-    keys = problems.selectExpr("xxhash64(space, id, text) AS meet", "struct(*) AS p")
+    told = "struct(space, id, text, dangling, no_lines, off_total, other_owner, computed_total) AS p"
+    keys = problems.where("dangling OR no_lines OR off_total OR other_owner").selectExpr("xxhash64(space, id, text) AS meet", told)
     same = (F.col("space") == F.col("p.space")) & F.col("id").eqNullSafe(F.col("p.id")) & F.col("text").eqNullSafe(F.col("p.text"))
     joined = rows.join(keys.withColumnRenamed("meet", "p_meet"), (F.col("meet") == F.col("p_meet")) & same, "left")
-    return joined.where("check_name IS NOT NULL OR p IS NOT NULL").drop("meet", "p_meet")
+    concerned = (
+        "(role <> 'own' AND p.dangling) OR (role = 'own' AND (p.no_lines OR p.other_owner OR (p.off_total AND amount <> p.computed_total))) "
+        "OR (role = 'tickets' AND p.other_owner)"
+    )
+    return joined.where(f"check_name IS NOT NULL OR {concerned}").drop("meet", "p_meet")
 
 
 def findings(problems: DataFrame, touched: DataFrame) -> DataFrame:
