@@ -345,7 +345,7 @@ def test_widths_that_do_not_fit_are_refused(spark):
 def test_long_runs_are_read_with_their_neighbours_and_every_byte_counts_once():
     for text in ("日本語テキスト" * 40, "ab🙂" * 50, "x" * 23, "x" * 24, "y" * 500, "é" * 12 + "z"):
         run = b" " + text.encode()
-        parts = langid.words_of(text.encode())
+        parts = [langid.reading(w) for w in langid.words_of(text.encode())]
         assert b"".join(p[a:b] for p, a, b in parts) == run
         assert all(p[a:b].decode() and p.decode() for p, a, b in parts)  # cut between characters
         inner = parts[1:-1]

@@ -130,17 +130,17 @@ def stretches(run: bytes) -> list[Reading]:
     return out
 
 
-def words_of(data: bytes) -> list[Reading]:
-    """The words of a text, split at ASCII white space, each with one white space before it, so that every position has a label.
+def words_of(data: bytes) -> list[bytes | Reading]:
+    """The words of a text, split at ASCII white space; of long ones their stretches. See ``reading``."""
+    words: list[bytes | Reading] = data.split()
+    if max(map(len, words), default=0) < WORD_BYTES:
+        return words
+    return [x for w in words for x in ([w] if len(w) < WORD_BYTES else stretches(b" " + w))]
 
-    """
-    out: list[Reading] = []
-    for w in data.split():
-        if len(w) < WORD_BYTES:
-            out.append((b" " + w, 0, len(w) + 1))
-        else:
-            out.extend(stretches(b" " + w))
-    return out
+
+def reading(word: bytes | Reading) -> Reading:
+    """A word is read with one white space before it, so that white space has a label too."""
+    return (b" " + word, 0, len(word) + 1) if isinstance(word, bytes) else word
 
 
 def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -155,7 +155,7 @@ def train(texts: list[tuple[str, bytes]], steps: int = 500, batch: int = 512, ra
     """Adam over batches of words of one length; a word's bytes all carry its document's language."""
     langs = sorted({lang for lang, _ in texts})
     net = initial(langs, seed=seed)
-    pairs = [(w, langs.index(lang)) for lang, data in texts for w, _, _ in words_of(data) if LETTER[np.frombuffer(w, np.uint8)].any()]
+    pairs = [(w, langs.index(lang)) for lang, data in texts for w, _, _ in map(reading, words_of(data)) if LETTER[np.frombuffer(w, np.uint8)].any()]
     if len(langs) < 2 or not pairs:
         return net
     lang = np.array([k for _, k in pairs])
@@ -186,15 +186,16 @@ class WordTable:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[Reading, int] = {}
+        self.index: dict[bytes | Reading, int] = {}
         self.rows = np.zeros((0, 2 * len(self.net.langs) + 1))
 
-    def learn(self, words: set[Reading]) -> None:
+    def learn(self, words: set[bytes | Reading]) -> None:
         new = [w for w in words if w not in self.index]
         k = len(self.net.langs)
         made = np.zeros((len(new), 2 * k + 1))
-        begin, end = (np.array([w[i] for w in new], np.int64) for i in (1, 2))
-        for at, seq in by_length([w for w, _, _ in new]):
+        read = [reading(w) for w in new]
+        begin, end = (np.array([r[i] for r in read], np.int64) for i in (1, 2))
+        for at, seq in by_length([r[0] for r in read]):
             place = np.arange(seq.shape[1])[:, None]
             for i in range(0, len(at), 4096):
                 part, own = seq[i : i + 4096], at[i : i + 4096]
