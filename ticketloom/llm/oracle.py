@@ -77,3 +77,52 @@ scored AS (
 SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM scored
 WINDOW w AS (PARTITION BY query_id ORDER BY score, vec_id) QUALIFY rank <= 10
 """
+
+STATEMENTS["op3_substring_dedup"] = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words WHERE len(w) >= 20),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS t FROM starts),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS turn FROM windows) WHERE turn > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM later),
+places AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM places ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+#: Bytes as pairs of hex digits; runs of starts at most 200 apart make one removed span.
+STATEMENTS["op4_suffix_array_dedup"] = r"""
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+starts AS (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 199)) AS i FROM bytes WHERE length(x) >= 400),
+windows AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 400)) AS t FROM starts),
+shared AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY t) AS n FROM windows) WHERE n > 1),
+marked AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 200, true) AS head FROM shared),
+numbered AS (SELECT doc_id, i, sum(CAST(head AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+runs AS (SELECT doc_id, run, min(i) AS s, max(i) + 200 AS e FROM numbered GROUP BY 1, 2),
+edges AS (SELECT doc_id, s, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS free FROM runs),
+spans AS (
+  SELECT doc_id, count(*) AS n_spans, sum(e - s) AS n_removed, max(e) AS last,
+    string_agg(substr(x, CAST(2 * free + 1 AS BIGINT), CAST(2 * (s - free) AS BIGINT)), '' ORDER BY s) AS before
+  FROM edges JOIN bytes USING (doc_id) GROUP BY 1)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(before, '') || substr(x, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM bytes LEFT JOIN spans USING (doc_id)
+"""
+
+#: All pairs. The operator's recall is audited; at the compared sizes it finds every link.
+STATEMENTS["op10_embedding_near_dedup"] = r"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+sized AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM usable),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sized a JOIN sized b ON a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least USING (vec_id) LEFT JOIN counts USING (vec_id)
+"""
