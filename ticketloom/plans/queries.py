@@ -905,9 +905,8 @@ def maintained_metrics(m: Model) -> DataFrame:
     rounds = [(m.updates, vocab.ROUTING_COLUMNS, m.orders), (m.predictions, vocab.CLASSIFIER_COLUMNS, None), (m.answers, vocab.RESPONSE_COLUMNS, None)]
     for i, (updates, owned, orders) in enumerate(rounds, 1):
         done = store.write_back(m.spark, root, updates, owned, run_at, f"round {i}", orders)
-        difference = maintained.state_of(store.changes(m.spark, root, done))
-        state = maintained.save(maintained.merged(state, difference), f"{root}/metrics/{i}")
-    return selfcheck.summarize(maintained.metrics(state))
+        state = maintained.merged(state, maintained.state_of(store.changes(m.spark, root, done)))
+    return selfcheck.summarize(maintained.metrics(maintained.save(state, f"{root}/metrics/{len(rounds)}")))
 
 
 @query
