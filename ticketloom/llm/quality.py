@@ -16,6 +16,7 @@ from ticketloom.llm.common import column, stored, utf8
 PIECE = 1024
 LEVEL = 3
 DICTIONARY_BYTES = 64 << 10
+TRAINING_BYTES = 4 << 10
 FOLDS = 5
 
 
@@ -93,7 +94,7 @@ def probability(model: Model, x: np.ndarray) -> np.ndarray:
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-    label_column: str = "quality", sample_rows: int = 6000, piece_bytes: int = 4 << 10,
+    label_column: str = "quality", sample_rows: int = 6000, piece_bytes: int = TRAINING_BYTES,
 ) -> Model:
     """Dictionaries and calibration from at most ``sample_rows`` labelled rows outside fold 0, those with the lowest id hash.
 
