@@ -1046,6 +1046,10 @@ GATE = (
 )
 SQL["write_gate"] = f"SELECT ticket_id, order_id, customer_id, accepted FROM ({GATE})"
 SQL["write_gate_rejects"] = f"SELECT channel, count(*) AS rejected FROM ({GATE}) WHERE NOT accepted GROUP BY 1"
+SQL["load_gated"] = (
+    "SELECT channel, reason, count(*) AS n FROM (SELECT channel, CASE WHEN accepted THEN 'accepted' WHEN EXISTS (SELECT 1 FROM fx_orders o "
+    f"WHERE o.order_id = g.order_id) THEN 'order_of_other_customer' ELSE 'no_such_order' END AS reason FROM ({GATE}) g) GROUP BY ALL"
+)
 SQL["write_gate_reasons"] = (
     "SELECT t.ticket_id, t.order_id, t.customer_id, CASE WHEN EXISTS (SELECT 1 FROM broken_orders o WHERE o.order_id = t.order_id) "
     "THEN 'order_of_other_customer' ELSE 'no_such_order' END AS reason FROM broken_tickets t WHERE t.order_id IS NOT NULL AND NOT EXISTS "

@@ -297,3 +297,14 @@ def test_long_csv_reads_what_the_plain_reader_reads(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_loads_behind_the_gate_keep_what_it_stops(spark, small, tmp_path):
+    m = Model(spark, small)
+    tables_ = {"orders": m.orders, "tickets": m.gated_tickets}
+    loaded = snapshots.reload_tables(spark, tables_, str(tmp_path / "a"), "v1", gate=True)
+    total = m.gated_tickets.count()
+    assert loaded["tickets"].count() + loaded["tickets_quarantine"].count() == total and not loaded["tickets_quarantine"].isEmpty()
+    assert {r.reason for r in loaded["tickets_quarantine"].select("reason").distinct().collect()} <= {"order_of_other_customer", "no_such_order"}
+    again = snapshots.load_checked(spark, {"orders": m.orders, "tickets": loaded["tickets"]}, str(tmp_path / "b"), "v1", {}, gate=True)
+    assert again.counts["tickets_quarantine"]["rows"] == 0 and again.tables["tickets"].count() == loaded["tickets"].count()

@@ -1,5 +1,7 @@
 """Data-quality suites: every violation is a row ``(check_name, key, detail)``; empty means healthy.
 
+The names of the checks are fixed values: they are part of the result.
+
 All row checks of one table run in one scan.
 """
 

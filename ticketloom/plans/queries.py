@@ -795,6 +795,16 @@ def load_counts(m: Model) -> DataFrame:
     return m.spark.createDataFrame(rows, "table_name string, counted string, n bigint")
 
 
+@query
+def load_gated(m: Model) -> DataFrame:
+    """Tickets loaded behind the owner gate: what was loaded, and what went to the quarantine, by channel."""
+    tables = {"orders": m.orders, "tickets": m.broken_tables["tickets"]}
+    loaded = snapshots.load_checked(m.spark, tables, shared_folder(m.spark, "load"), "gated", {}, gate=True).tables
+    accepted = loaded["tickets"].groupBy("channel").agg(F.count(F.lit(1)).alias("n")).withColumn("reason", F.lit("accepted"))
+    stopped = loaded["tickets_quarantine"].groupBy("channel", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return accepted.unionByName(stopped)
+
+
 @query
 def dq_key_constraints(m: Model) -> DataFrame:
     return quality.key_constraints(m.broken_tables)

@@ -11,11 +11,10 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.operators.joins import split_by_owner
+from ticketloom.operators.joins import quarantine_reasons, split_by_owner
 from ticketloom.operators.quality import RowCheck
 
 MANIFEST = "_current"
@@ -119,10 +118,21 @@ def set_current(spark: SparkSession, root: str, version: str) -> None:
     entry.coalesce(1).write.mode("append").json(f"{root}/{MANIFEST}")
 
 
+def _entries(spark: SparkSession, root: str) -> DataFrame | None:
+    """The manifest; None before its first entry."""
+    fs, path = place(spark, f"{root}/{MANIFEST}")
+    return spark.read.schema("number long, version string").json(f"{root}/{MANIFEST}") if fs.exists(path) else None
+
+
+def place(spark: SparkSession, path: str):
+    """The file system that a path lies on, and the path on it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), target
+
+
 def _latest(spark: SparkSession, root: str) -> tuple[int, str] | None:
-    try:
-        entries = spark.read.schema("number long, version string").json(f"{root}/{MANIFEST}")
-    except AnalysisException:  # no manifest yet
+    entries = _entries(spark, root)
+    if entries is None:
         return None
     row = entries.orderBy(F.col("number").desc(), F.col("version").desc()).first()
     return (row["number"], row["version"]) if row else None
@@ -150,6 +160,12 @@ def read_tables(spark: SparkSession, root: str, names: Sequence[str]) -> dict[st
     return {name: spark.read.parquet(f"{root}/{name}/snapshot={version}") for name in names}
 
 
+def gated(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables with the owner gate in front: tickets that it stops become the table ``tickets_quarantine``, with ``reason``."""
+    split = split_by_owner(tables["tickets"], tables["orders"])
+    return tables | {"tickets": split.accepted, "tickets_quarantine": quarantine_reasons(split.quarantine, tables["orders"])}
+
+
 @dataclass(frozen=True)
 class Staged:
     """tables: what was written. counts: per table ``rows`` and, by name, how many rows fail each check."""
@@ -189,22 +205,19 @@ def stage_checked(
 
 def _remove(spark: SparkSession, paths: Sequence[str]) -> None:
     for p in paths:
-        target = spark._jvm.org.apache.hadoop.fs.Path(p)
-        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+        fs, target = place(spark, p)
+        fs.delete(target, True)
 
 
 def _made(spark: SparkSession, root: str, version: str) -> bool:
     """Whether the version was ever current."""
-    try:
-        entries = spark.read.schema("number long, version string").json(f"{root}/{MANIFEST}")
-    except AnalysisException:  # no manifest yet
-        return False
-    return not entries.where(F.col("version") == version).isEmpty()
+    entries = _entries(spark, root)
+    return entries is not None and not entries.where(F.col("version") == version).isEmpty()
 
 
 def load_checked(
     spark: SparkSession, tables: dict[str, DataFrame], root: str, version: str, checks: Mapping[str, Sequence[RowCheck]],
-    between: Callable[[dict[str, DataFrame]], DataFrame] | None = None,
+    between: Callable[[dict[str, DataFrame]], DataFrame] | None = None, gate: bool = False,
 ) -> Staged:
     """Full reload, all or nothing, that can be repeated after a refusal or a crash.
 
@@ -212,8 +225,9 @@ def load_checked(
     failed row checks. ``between`` may check the staged tables against each
     other. If anything fails, what was staged is removed and ``LoadRefused``
     tells the counts; the same version can then be loaded again. A version that
-    was current is never written over.
+    was current is never written over. With ``gate`` see ``gated``.
     """
+    tables = gated(tables) if gate else tables
     if _made(spark, root, version):
         raise ValueError(f"version {version} is there already")
     staged = stage_checked(tables, root, version, checks, over=True)
@@ -233,13 +247,16 @@ def reload_tables(
     root: str,
     version: str,
     check: Callable[[dict[str, DataFrame]], DataFrame] | None = None,
+    gate: bool = False,
 ) -> dict[str, DataFrame]:
     """Full reload of all tables, all or nothing. ``load_checked`` can be repeated under the same version.
 
     Every table is staged first. ``check`` gets the staged tables and returns
     a frame of violations; if it has any row, no table becomes current. One
-    manifest entry then switches all tables at once; see ``read_tables``.
+    manifest entry then switches all tables at once; see ``read_tables``. With
+    ``gate`` see ``gated``.
     """
+    tables = gated(tables) if gate else tables
     staged = {name: stage_snapshot(df, f"{root}/{name}", version) for name, df in tables.items()}
     if check is not None and not check(staged).isEmpty():
         raise ValueError("the staged tables violate the checks; the current snapshot is unchanged")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketloom.operators.joins import quarantine_reasons, split_by_owner
-from ticketloom.sources.snapshots import overlaid, settle
+from ticketloom.sources.snapshots import overlaid, place, settle
 
 IDS_PER_PART = 1_000_000
 PART = "_part"
@@ -60,14 +60,8 @@ def _part(ids_per_part: int) -> Column:
     return F.floor(F.col("ticket_id") / F.lit(ids_per_part)).cast("int")
 
 
-def _place(spark: SparkSession, path: str):
-    """The file system that a path lies on, and the path on it."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), target
-
-
 def _listed(spark: SparkSession, path: str) -> list[str]:
-    fs, folder = _place(spark, path)
+    fs, folder = place(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
 
 
@@ -93,7 +87,7 @@ def current(spark: SparkSession, root: str) -> Version | None:
 
 def _switch(spark: SparkSession, root: str, version: Version) -> None:
     """Make the version current: one row per range, a list as long as there are ranges."""
-    fs, claim = _place(spark, f"{root}/claims/{version.number}")
+    fs, claim = place(spark, f"{root}/claims/{version.number}")
     if not fs.createNewFile(claim):
         raise VersionTaken(f"version {version.number} of {root} is made by another writer; read the table again and repeat")
     rows = [(version.ids_per_part, p, a) for p, a in sorted(version.parts.items())] or [(version.ids_per_part, None, None)]
@@ -106,7 +100,7 @@ def release_claims(spark: SparkSession, root: str) -> list[int]:
     made, freed = _versions(spark, root), []
     for number in map(int, _listed(spark, f"{root}/claims")):
         if number not in made:
-            fs, claim = _place(spark, f"{root}/claims/{number}")
+            fs, claim = place(spark, f"{root}/claims/{number}")
             fs.delete(claim, False)
             freed.append(number)
     return freed
