@@ -404,7 +404,7 @@ def popcounts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """The pairs of each block, dealt to buckets by a hash."""
+    """The pairs of each block, dealt to buckets by a hash; a block has at most as many rows as pairs, however many buckets there are."""
     for batch in batches:
         out = []
         for row in batch.to_pylist():
@@ -412,8 +412,10 @@ def dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
             pair = pair[plane == 0]
             bucket = (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out += [(b, row["block"], pair[order[s:e]].tobytes()) for b, (s, e) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if e > s]
+            bucket = bucket[order]
+            start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            ends = np.r_[start[1:], len(bucket)]
+            out += [(int(bucket[s]), row["block"], pair[order[s:e]].tobytes()) for s, e in zip(start.tolist(), ends.tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "block", "asked"])
 
 
