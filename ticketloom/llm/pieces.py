@@ -121,13 +121,11 @@ def with_pieces(df: DataFrame, text_column: str, model_path: str, ids: str = "id
     def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = ChunkTable(processor(model_path))
         for batch in batches:
-            parts = []
+            # Each slice goes out by itself: a whole batch's ids and texts beside its input would be the worker's peak.
             for texts in slices([x or "" for x in batch.to_pylist()], SLICE_CHARS):
                 flat, last, shown = encode_slice(table, texts)
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], last]).astype(np.int32), pa.array(flat, pa.int32()))
-                parts.append(pa.StructArray.from_arrays([lists, pa.array(shown, pa.string())], names=["ids", "decoded"]))
-            kind = pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
-            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+                yield pa.StructArray.from_arrays([lists, pa.array(shown, pa.string())], names=["ids", "decoded"])
 
     others = [column(c) for c in df.columns if c.lower() not in (ids.lower(), decoded.lower())]
     held = free_name(df, "_pieces")
