@@ -317,6 +317,16 @@ def test_thresholds_hold_on_sentences_that_were_held_out(spark, small):
     assert all(precision >= 0.95 and recall >= 0.9 for precision, recall in quality_of.values()), quality_of
 
 
+def test_letter_levels_count_every_text(spark):
+    """Pairs that one of 4,026 texts holds each: a share of the texts would miss most of them."""
+    plain = spark.range(4000).selectExpr("id AS doc_id", "'abab baba' AS text")
+    rare = [(4000 + i, chr(97 + i) * 4) for i in range(26)]
+    levels, words = pii.letter_levels(plain.unionByName(spark.createDataFrame(rare, "doc_id long, text string")), "text")
+    assert [levels[i * 26 + i] for i in range(2, 26)] == ["3"] * 24  # 3 of 3 pairs: log2(29 / 4)
+    assert levels[2 * 26 + 3] == "5"  # none of 3: log2(29)
+    assert set(words) == {"abab", "baba"} | {w for _, w in rare}
+
+
 def test_long_words_that_every_polynomial_takes_for_equal(spark):
     """The Thue-Morse word and its complement: their polynomial hashes modulo 2^64 agree whatever the base."""
     morse = "".join("ab"[i.bit_count() & 1] for i in range(4096))

@@ -52,16 +52,16 @@ def _octets(hit: Column) -> Column:
     return hit.rlike(r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$")
 
 
-def letter_levels(docs: DataFrame, text_column: str, sample_rows: int = 1000) -> tuple[str, list[str]]:
-    """How rare each pair of letters is in about ``sample_rows`` whole texts, and up to 2,000 of their words.
+def letter_levels(docs: DataFrame, text_column: str) -> tuple[str, list[str]]:
+    """How rare each pair of letters is in all texts, and 2,000 words, drawn from all, to fill planted sentences.
 
     One digit for each of the 676 pairs a-z, in order: bits of surprise at the
-    second letter, 9 at most. A corpus without words gives 5 for all.
+    second letter, 9 at most. A corpus without words gives 5 for all. Every
+    text is counted whole, its words map-side first; the driver gets the pairs'
+    counts and the drawn words (all, if there are fewer).
     """
     text = F.lower(F.coalesce(column(text_column).cast("string"), F.lit("")))
-    order = F.pmod(F.xxhash64(text), F.lit(1 << 20))
-    share = int(min(1.0, sample_rows / max(1, docs.count())) * (1 << 20)) + 1
-    words = docs.where(order < share).select(F.explode(F.regexp_extract_all(text, F.lit("(?<![a-z])[a-z]{4,40}(?![a-z])"), F.lit(0))).alias("word"))
+    words = docs.select(F.explode(F.regexp_extract_all(text, F.lit("(?<![a-z])[a-z]{4,40}(?![a-z])"), F.lit(0))).alias("word"))
     words = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     words = stored(words, "pii-words")
     pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2)))).alias("pair"), "n")
@@ -205,7 +205,7 @@ def fit_model(spark: SparkSession, levels: str, words: list[str], precision: flo
     return Detector(model, cuts, quality)
 
 
-def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample_rows: int = 1000) -> DataFrame:
+def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows with ``spans``: an array of (start, no, end, kind, base, score) by start and kind, in code points, end exclusive.
 
     ``head`` marks the first span of each run of overlapping spans, ``run_end`` is where its run ends.
@@ -214,11 +214,10 @@ def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     them at their kind's threshold and no base span covers them. Spans may
     overlap. Null or empty text: no spans. Rows that repeat id and text get the
     same spans. An input column ``spans`` is replaced. Texts of any length are
-    searched whole. Letter statistics and words come from about ``sample_rows``
-    whole texts.
+    searched whole, and letter statistics come from all of them.
     """
     own = [c for c in docs.columns if c.lower() != "spans"]
-    levels, words = letter_levels(docs, text_column, sample_rows)
+    levels, words = letter_levels(docs, text_column)
     detector = fit_model(docs.sparkSession, levels, words)
     found = stored(candidates(docs, id_column, text_column, levels), "pii-candidates")
     model, cuts = detector.model, detector.cuts
