@@ -4,6 +4,7 @@ from ticketloom import vocab
 from ticketloom.operators import evaluation
 from ticketloom.operators.routing import decision_updates, route_tickets, rule_outcomes
 from pyspark.sql import functions as F
+from ticketloom.plans.testmodel import Model
 
 SCHEMA = (
     "ticket_id bigint, ai_predicted_category string, classification_confidence double, sentiment_score double, "
@@ -120,3 +121,27 @@ def test_plan_has_no_shuffle_and_no_python(spark):
     frame = spark.createDataFrame([(1, "Other", 0.8, 0.0, None, None, None)], SCHEMA)
     plan = route_tickets(frame)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_tickets_without_an_order_do_not_meet_in_one_task(spark, tmp_path):
+    """In the join that decided and stored tickets are made of, with every join shuffled."""
+    at = "timestamp_ntz'2024-01-05 10:00:00'"
+    tables = {
+        "nation": spark.range(1).selectExpr("id AS n_nationkey", "'FRANCE' AS n_name"),
+        "customer": spark.range(20).selectExpr("id AS c_custkey", "concat('C', id) AS c_name", "0L AS c_nationkey"),
+        "orders": spark.range(200).selectExpr("id AS o_orderkey", "id % 20 AS o_custkey", "'F' AS o_orderstatus", "id * 1000D AS o_totalprice", f"{at} AS o_orderdate"),
+        "events": spark.range(200).selectExpr("id AS event_id", f"{at} AS ts", "id % 20 AS user_id", "'view' AS event_type", "'{}' AS props"),
+    }
+    for name, rows in tables.items():
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        rows = Model(spark, str(tmp_path))._joined().select("ticket_id", "order_id", "order_value", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.ticket_id: r.order_value for r in rows} == {i: float(i) if i % 10 >= 3 else None for i in range(200)} and len(rows) == 200
+    assert len({r.task for r in rows if r.order_id is None}) > 1

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketloom import vocab
+from ticketloom.operators.joins import lookup_join
 from ticketloom.operators.responses import decide_responses
 from ticketloom.operators.routing import route_tickets
 from ticketloom.session import shared_folder
@@ -398,11 +399,10 @@ class Model:
 
     def _joined(self) -> DataFrame:
         """Tickets with the order and customer columns that routing and responses read."""
-        orders = self.orders.select(
-            F.col("order_id").alias("_order"), F.col("total_amount").cast("double").alias("order_value"), "order_status"
-        )
+        orders = self.orders.select("order_id", F.col("total_amount").cast("double").alias("order_value"), "order_status")
         segments = self.customers.select("customer_id", "customer_segment")
-        return self.tickets.join(segments, "customer_id").join(orders, F.col("order_id") == F.col("_order"), "left").drop("_order")
+        # A third of the tickets names no order: they must not meet in one task.
+        return lookup_join(self.tickets.join(segments, "customer_id"), orders, "order_id", "ticket_id")
 
     def routed(self) -> DataFrame:
         """Full ticket rows with their decisions side by side."""
