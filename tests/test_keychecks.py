@@ -70,3 +70,39 @@ def test_each_table_is_read_twice(spark, files):
     checks = {"order_items": [quality.failed_check(quality.line_total_check())]}
     assert max(scans(keychecks.touching(tables, stored, checks))) == 1
     assert all("PartialAggregation" in p or "partial_count" in p for p in [problems._jdf.queryExecution().toString()])
+
+
+def listed_problems(spark, tables, tmp_path):
+    keychecks.problem_keys(tables).write.parquet(str(tmp_path / "problems"))
+    return spark.read.parquet(str(tmp_path / "problems"))
+
+
+def test_orders_that_are_there_once_need_no_row(spark, files, tmp_path):
+    tables = opened(spark, files)
+    problems = listed_problems(spark, tables, tmp_path)
+    assert problems.where("owned = 1 AND off_total").count() > 100
+    touched = keychecks.touching(tables, problems, {})
+    assert touched.where(f"check_name IS NULL AND role = {keychecks.OWNS} AND p.owned = 1").count() == 0
+
+
+def test_references_that_are_met_go_before_the_shuffle(spark, files, tmp_path):
+    tables = opened(spark, files)
+    problems = listed_problems(spark, tables, tmp_path)
+    lines = tables["order_items"].selectExpr(
+        "order_item_id AS row_id", "CAST(NULL AS STRING) AS check_name", f"CAST({keychecks.PRODUCT} AS INT) AS space", "CAST(product_id AS BIGINT) AS id",
+    ).where("id IS NOT NULL")
+    dangling = problems.where(f"space = {keychecks.PRODUCT} AND dangling")
+    left = keychecks._maybe_listed(lines, dangling)
+    met = lines.join(dangling.select("id"), "id", "left_semi")
+    assert 0 < met.count() == left.count() < lines.count() / 10
+    assert met.select("row_id").exceptAll(left.select("row_id")).isEmpty()
+
+
+def test_line_sums_are_exact(spark, small):
+    empty = {n: t.where("false") for n, t in Model(spark, small).tables.items()}
+    large = "CAST(999999999999.99 AS DECIMAL(14,2))"
+    amounts = [(1, large)] * 200 + [(2, "-0.01"), (2, "-42949672.97"), (3, "NULL"), (4, "NULL"), (4, "0.05")]
+    items = spark.sql(" UNION ALL ".join(f"SELECT {i}L AS order_item_id, {o}L AS order_id, 1L AS product_id, 1 AS quantity, CAST({a} AS DECIMAL(14,2)) AS line_total" for i, (o, a) in enumerate(amounts)))
+    orders = spark.range(1, 5).selectExpr("id AS order_id", "1L AS customer_id", *[f"CAST(NULL AS {t}) AS {c}" for c, t in empty["orders"].dtypes[2:4]], "CAST(7 AS DECIMAL(10,2)) AS total_amount", *[f"CAST(NULL AS {t}) AS {c}" for c, t in empty["orders"].dtypes[5:]])
+    found = keychecks.problem_keys(empty | {"order_items": items, "orders": orders}).where("off_total").select("id", "computed_total").collect()
+    assert {r.id: str(r.computed_total) for r in found} == {1: "199999999999998.00", 2: "-42949672.98", 4: "0.05"}
