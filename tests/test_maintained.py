@@ -40,6 +40,12 @@ def test_a_state_gives_the_views(stored):
     assert plain(maintained.metrics(maintained.state_of(stored))) == plain(views.all_metrics(stored))
 
 
+def test_a_state_needs_some_columns(stored):
+    names = maintained.needed(stored.columns)
+    assert len(names) < len(stored.columns) and "message_text" not in names
+    assert plain(maintained.metrics(maintained.state_of(stored.select(*names)))) == plain(views.all_metrics(stored))
+
+
 def test_changes_additions_and_removals(stored, tmp_path):
     before = stored.where("ticket_id % 10 <> 3")
     changed = before.where("ticket_id % 4 = 1")

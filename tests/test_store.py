@@ -122,3 +122,30 @@ def test_a_run_published_in_place(spark, small, tmp_path):
     assert decided + done.rejected.count() == run.updates.where("ticket_id IS NOT NULL").count() and 0 < decided
     assert len(done.rewritten) < len(done.version.parts)
     assert spark.read.json(log).count() == 40 * 2
+
+
+def test_changes_are_joined_once_and_kept(spark, tickets, tmp_path):
+    root = str(tmp_path / "t")
+    store.create(tickets, root, "loaded", ids_per_part=10)
+    done = store.write_back(spark, root, updates(spark, (3, "Automated"), (4, None), (23, "Human Review")), OWNED, run_at(), "decided")
+    old, new = (store.read(spark, root, v).where("ticket_id IN (3, 4, 23)").withColumn("sign", F.lit(s)) for v, s in ((done.before, -1), (done.version, 1)))
+    changed = store.changes(spark, root, done)
+    assert changed.columns == [*tickets.columns, "sign"] and sorted(map(str, changed.collect())) == sorted(map(str, old.union(new).collect()))
+    # What is computed from the changes reads neither version again.
+    assert changed.inputFiles() and not any("/data/" in f for f in changed.inputFiles())
+    some = store.changes(spark, root, done, ["decision_path", "order_id"])
+    assert some.columns == ["decision_path", "order_id", "sign"]
+    assert sorted(map(str, some.collect())) == sorted(map(str, changed.select(*some.columns).collect()))
+    nothing = store.write_back(spark, root, updates(spark, (99, "Automated")), OWNED, run_at(), "nothing")
+    assert store.changes(spark, root, nothing, ["decision_path"]).columns == ["decision_path", "sign"] and store.changes(spark, root, nothing).isEmpty()
+
+
+def test_a_rewrite_shuffles_the_table_once(spark, tickets):
+    twice = tickets.union(tickets.where("ticket_id % 7 = 3"))
+    settled = snapshots.settle(updates(spark, (3, "Automated"), (4, None), (23, "Human Review"), (23, "Human Review")), OWNED).clean
+    rows = store._rewritten(twice, settled, OWNED, run_at(), 10)
+    expected = snapshots.overlaid(twice, settled, OWNED, run_at())
+    assert rows.columns == [*expected.columns, store.PART]
+    assert sorted(map(str, rows.drop(store.PART).collect())) == sorted(map(str, expected.collect()))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("hashpartitioning(_part") == 1

@@ -9,6 +9,7 @@ reaches zero is gone. A write-back costs the rows it changed, not the table.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,15 +54,26 @@ def _additive(shapes: dict[str, MetricView]) -> dict[str, str]:
     return {n: f for n, f in forms.items() if f is not None}
 
 
+def _measures(shapes: dict[str, MetricView]) -> dict[str, str]:
+    """What is kept as counts per value, as SQL text."""
+    ends = {name: micros_between("created_at", end) for name, (end, _) in views.median_columns(shapes).items()}
+    return {CONFIDENCE: "CAST(classification_confidence * 1000 AS BIGINT)"} | ends
+
+
+def needed(columns: Sequence[str], shapes: dict[str, MetricView] | None = None) -> list[str]:
+    """Those of the columns that a state is made from."""
+    shapes = shapes or views.all_views()
+    words = set(re.findall(r"\w+", " ".join([*_additive(shapes).values(), *_measures(shapes).values()])))
+    return [c for c in columns if c in words]
+
+
 def state_of(rows: DataFrame, shapes: dict[str, MetricView] | None = None) -> State:
     """The state of tickets, or the difference that changes make: rows with a ``sign`` of 1 or -1 (none: all 1)."""
     shapes = shapes or views.all_views()
     if "sign" not in rows.columns:
         rows = rows.withColumn("sign", F.lit(1))
     counters = rows.agg(*[F.expr(f).alias(n) for n, f in _additive(shapes).items()])
-    measures = {CONFIDENCE: "CAST(classification_confidence * 1000 AS BIGINT)"}
-    measures |= {name: micros_between("created_at", end) for name, (end, _) in views.median_columns(shapes).items()}
-    entries = ", ".join(f"named_struct('measure', {q(m)}, 'value', {v})" for m, v in measures.items())
+    entries = ", ".join(f"named_struct('measure', {q(m)}, 'value', {v})" for m, v in _measures(shapes).items())
     values = rows.selectExpr("sign", f"inline(array({entries}))").where("value IS NOT NULL")
     values = values.groupBy("measure", "value").agg(F.sum("sign").alias("n")).where("n <> 0")
     return State(counters, values)

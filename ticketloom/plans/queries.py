@@ -910,12 +910,14 @@ def maintained_metrics(m: Model) -> DataFrame:
     root = shared_folder(m.spark, "ticket-store")
     top = m.raw("events").agg(F.max("event_id")).first()[0]
     store.create(m.gated_tickets, root, "loaded", ids_per_part=max(100, top // 64))
-    state = maintained.save(maintained.state_of(store.read(m.spark, root)), f"{root}/metrics/0")
+    tickets = store.read(m.spark, root)
+    state = maintained.save(maintained.state_of(tickets), f"{root}/metrics/0")
     run_at = F.lit("2024-06-01 12:00:00").cast("timestamp_ntz")
     rounds = [(m.updates, vocab.ROUTING_COLUMNS, m.orders), (m.predictions, vocab.CLASSIFIER_COLUMNS, None), (m.answers, vocab.RESPONSE_COLUMNS, None)]
     for i, (updates, owned, orders) in enumerate(rounds, 1):
         done = store.write_back(m.spark, root, updates, owned, run_at, f"round {i}", orders)
-        state = maintained.merged(state, maintained.state_of(store.changes(m.spark, root, done)))
+        changed = store.changes(m.spark, root, done, maintained.needed(tickets.columns))
+        state = maintained.merged(state, maintained.state_of(changed))
     return selfcheck.summarize(maintained.metrics(maintained.save(state, f"{root}/metrics/{len(rounds)}")))
 
 

@@ -54,8 +54,12 @@ def settle(updates: DataFrame, owned: Sequence[str]) -> Settled:
 
 def overlaid(tickets: DataFrame, settled: DataFrame, owned: Sequence[str], updated_at: Column) -> DataFrame:
     """Tickets with the owned columns, and ``updated_at``, taken from their one settled update."""
+    return tickets.join(settled, "ticket_id", "left").select(*overlay_columns(tickets, owned, updated_at))
+
+
+def overlay_columns(tickets: DataFrame, owned: Sequence[str], updated_at: Column) -> list[Column]:
+    """The columns of the tickets, where a row has ``_new`` beside them."""
     matched = F.col("_new").isNotNull()
-    joined = tickets.join(settled, "ticket_id", "left")
     columns = []
     for name in tickets.columns:
         if name in owned:
@@ -65,7 +69,7 @@ def overlaid(tickets: DataFrame, settled: DataFrame, owned: Sequence[str], updat
             columns.append(F.when(matched, updated_at).otherwise(F.col(name)).alias(name))
         else:
             columns.append(F.col(name))
-    return joined.select(*columns)
+    return columns
 
 
 def apply_overlay(

@@ -13,11 +13,11 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticketloom.operators.joins import quarantine_reasons, split_by_owner
-from ticketloom.sources.snapshots import overlaid, place, settle
+from ticketloom.sources.snapshots import overlay_columns, place, settle
 
 IDS_PER_PART = 1_000_000
 PART = "_part"
@@ -38,7 +38,7 @@ class Version:
 class WriteBack:
     """version: what is current now, before: what was. rewritten: the ranges that were written.
 
-    rejected: updates that were not applied, and why. applied: the ids of the tickets that changed.
+    rejected: updates that were not applied, and why. applied: ``(ticket_id, _new)``, the updates of the tickets that changed.
     """
 
     version: Version
@@ -46,6 +46,8 @@ class WriteBack:
     rewritten: list[int]
     rejected: DataFrame
     applied: DataFrame
+    owned: Sequence[str]
+    updated_at: Column
 
 
 class VersionTaken(ValueError):
@@ -106,22 +108,39 @@ def release_claims(spark: SparkSession, root: str) -> list[int]:
     return freed
 
 
-def _written(rows: DataFrame, root: str, ids_per_part: int) -> tuple[str, list[int]]:
+def _by_range(rows: DataFrame, ids_per_part: int) -> DataFrame:
+    """The rows in the order of the files, with their range."""
+    # One task a range: ranges are equally wide and ids are unique, so none is hot.
+    return rows.withColumn(PART, _part(ids_per_part)).repartition(PART).sortWithinPartitions(PART, "ticket_id")
+
+
+def _written(placed: DataFrame, root: str) -> tuple[str, list[int]]:
     """The rows as files of a new attempt, by range; and the ranges that there are."""
     attempt = uuid.uuid4().hex
-    placed = rows.withColumn(PART, _part(ids_per_part))
-    # One task a range: ranges are equally wide and ids are unique, so none is hot.
-    placed.repartition(PART).sortWithinPartitions(PART, "ticket_id").write.partitionBy(PART).parquet(f"{root}/data/{attempt}")
-    ranges = [n for n in _listed(rows.sparkSession, f"{root}/data/{attempt}") if n.startswith(f"{PART}=")]
+    placed.write.partitionBy(PART).parquet(f"{root}/data/{attempt}")
+    ranges = [n for n in _listed(placed.sparkSession, f"{root}/data/{attempt}") if n.startswith(f"{PART}=")]
     return attempt, sorted(int(n.partition("=")[2]) for n in ranges)
 
 
+def _rewritten(old: DataFrame, settled: DataFrame, owned: Sequence[str], updated_at: Column, ids_per_part: int) -> DataFrame:
+    """What ``overlaid`` gives, in the order of the files.
+
+    Updates travel with the tickets and meet them where their range is sorted, so
+    the table is shuffled once; a join by ticket would shuffle it for itself as well.
+    """
+    tickets = old.withColumns({"_new": F.lit(None).cast(settled.schema["_new"].dataType), "_is_ticket": F.lit(True)})
+    both = tickets.unionByName(settled.withColumn("_is_ticket", F.lit(False)), allowMissingColumns=True)
+    met = F.max("_new").over(Window.partitionBy(PART, "ticket_id"))
+    placed = _by_range(both, ids_per_part).withColumn("_new", met).where("_is_ticket")
+    return placed.select(*overlay_columns(old, owned, updated_at), PART)
+
+
 def create(tickets: DataFrame, root: str, name: str, ids_per_part: int = IDS_PER_PART) -> Version:
     """The first version of a table; it needs a row at least, and ids that are unique and not null."""
     spark = tickets.sparkSession
     if current(spark, root) is not None:
         raise VersionTaken(f"there is a table under {root}")
-    attempt, parts = _written(tickets, root, ids_per_part)
+    attempt, parts = _written(_by_range(tickets, ids_per_part), root)
     if not parts:
         raise ValueError("a table without rows has no ranges")
     version = Version(1, name, ids_per_part, {p: attempt for p in parts})
@@ -191,19 +210,27 @@ def write_back(
     accepted = kept(clean.join(rejected.where("ticket_id IS NOT NULL").select("ticket_id"), "ticket_id", "left_anti"), "accepted")
     touched = sorted(r[0] for r in accepted.select(_part(before.ids_per_part)).distinct().collect())
     if not touched:
-        return WriteBack(before, before, [], rejected, accepted.select("ticket_id"))
-    attempt, parts = _written(overlaid(read(spark, root, before, touched), accepted, owned, updated_at), root, before.ids_per_part)
+        return WriteBack(before, before, [], rejected, accepted, owned, updated_at)
+    attempt, parts = _written(_rewritten(read(spark, root, before, touched), accepted, owned, updated_at, before.ids_per_part), root)
     version = Version(before.number + 1, name, before.ids_per_part, before.parts | {p: attempt for p in parts})
     _switch(spark, root, version)
-    return WriteBack(version, before, parts, rejected, accepted.select("ticket_id"))
+    return WriteBack(version, before, parts, rejected, accepted, owned, updated_at)
 
 
-def changes(spark: SparkSession, root: str, done: WriteBack) -> DataFrame:
-    """The rows that a write-back changed, as they were with ``sign`` -1 and as they are with 1; only rewritten ranges are read."""
+def changes(spark: SparkSession, root: str, done: WriteBack, columns: Sequence[str] | None = None) -> DataFrame:
+    """The rows that a write-back changed, as they were with ``sign`` -1 and as they are with 1; some columns or all.
+
+    Both come from one join of the ranges as they were with the applied updates,
+    which is written once under ``root/work``, whatever is computed from it.
+    """
+    old = read(spark, root, done.before, done.rewritten)
+    columns = old.columns if columns is None else list(columns)
     if not done.rewritten:
-        return read(spark, root, done.version, []).withColumn("sign", F.lit(1))
-    old, new = (
-        read(spark, root, v, done.rewritten).join(done.applied, "ticket_id", "left_semi").withColumn("sign", F.lit(sign))
-        for v, sign in ((done.before, -1), (done.version, 1))
-    )
-    return old.unionByName(new)
+        return old.select(*columns).withColumn("sign", F.lit(1))
+    needed = [c for c in old.columns if c in {"ticket_id", *columns}]
+    signed = old.select(*needed).join(done.applied, "ticket_id").withColumn("sign", F.explode(F.array(F.lit(-1), F.lit(1))))
+    signed = signed.withColumn("_new", F.when(F.col("sign") == 1, F.col("_new")))
+    kept = signed.select(*overlay_columns(old.select(*needed), done.owned, done.updated_at), "sign").select(*columns, "sign")
+    path = f"{root}/work/{uuid.uuid4().hex}/changes"
+    kept.write.parquet(path)
+    return spark.read.schema(kept.schema).parquet(path)
