@@ -106,3 +106,19 @@ def test_line_sums_are_exact(spark, small):
     orders = spark.range(1, 5).selectExpr("id AS order_id", "1L AS customer_id", *[f"CAST(NULL AS {t}) AS {c}" for c, t in empty["orders"].dtypes[2:4]], "CAST(7 AS DECIMAL(10,2)) AS total_amount", *[f"CAST(NULL AS {t}) AS {c}" for c, t in empty["orders"].dtypes[5:]])
     found = keychecks.problem_keys(empty | {"order_items": items, "orders": orders}).where("off_total").select("id", "computed_total").collect()
     assert {r.id: str(r.computed_total) for r in found} == {1: "199999999999998.00", 2: "-42949672.98", 4: "0.05"}
+
+
+def test_the_first_read_expands_small_splits(spark, files, tmp_path, monkeypatch):
+    name, tables, seen = "spark.sql.files.maxPartitionBytes", opened(spark, files), []
+    before, made = spark.conf.get(name), keychecks.problem_keys
+    monkeypatch.setattr(keychecks, "problem_keys", lambda t: seen.append(spark.conf.get(name)) or made(t))
+    lazy = rows(quality.tables_suite(tables))
+    assert rows(quality.tables_suite(tables, stage=str(tmp_path / "stage"))) == lazy
+    assert seen == [str(keychecks.SPLIT_BYTES)] and spark.conf.get(name) == before
+    spark.range(20000).selectExpr("id", "uuid() AS text").coalesce(1).write.option("parquet.block.size", 1 << 14).parquet(str(tmp_path / "long"))
+    with pytest.raises(ZeroDivisionError), keychecks.small_splits(spark, 1 << 16):
+        assert spark.read.parquet(str(tmp_path / "long")).rdd.getNumPartitions() > 4
+        with keychecks.small_splits(spark, 1 << 30):  # a session with smaller ones keeps them
+            assert spark.conf.get(name) == str(1 << 16)
+        1 / 0
+    assert spark.conf.get(name) == before

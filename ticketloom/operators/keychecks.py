@@ -10,11 +10,12 @@ reads a table a third time.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketloom import schemas
@@ -79,6 +80,8 @@ EXPANDED = {
 OWNS, LINES, ASKS, REFERS = range(4)
 #: Bits that number the words of the second read's filter: 2**26 bits in all, 16 MB.
 FILTER_WORDS = 20
+#: Bytes of a table that one task of the first read expands: about 3 million keys of order lines, which its aggregate holds without spilling.
+SPLIT_BYTES = 12 << 20
 
 
 def _keys_of(table: str, listed: bool = False) -> list[dict[str, str]]:
@@ -239,6 +242,18 @@ def findings(problems: DataFrame, touched: DataFrame) -> DataFrame:
     return _union([repeated, alone, dangling, empty, off, foreign])
 
 
+@contextmanager
+def small_splits(spark: SparkSession, size: int) -> Iterator[None]:
+    """What is run inside reads files in splits of at most so many bytes; the session's own setting comes back afterwards."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(size, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def two_read_suite(tables: Tables, stage: str, row_findings: dict[str, list[str]]) -> DataFrame:
     """All findings; ``stage`` is a new path in the shared folder for the two small tables."""
     spark = next(iter(tables.values())).sparkSession
@@ -247,5 +262,7 @@ def two_read_suite(tables: Tables, stage: str, row_findings: dict[str, list[str]
         frame.write.mode("errorifexists").parquet(f"{stage}/{name}")
         return spark.read.schema(frame.schema).parquet(f"{stage}/{name}")
 
-    problems = kept(problem_keys(tables), "problems")
+    # Most keys are there once, so a task's aggregate holds nearly a row per key: its size follows the split's.
+    with small_splits(spark, SPLIT_BYTES):
+        problems = kept(problem_keys(tables), "problems")
     return findings(problems, kept(touching(tables, problems, row_findings), "touched"))
